@@ -176,11 +176,10 @@ class ByteBPE:
         return out
 
     def encode_chunks(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts; equal pieces are encoded once."""
+        """Packed ids of texts."""
         cut = [self.pieces(t) for t in texts]
-        distinct = list({p for c in cut for p in c})
-        ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
-        return [ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c]) for c in cut]
+        ids = iter(self.encode_pieces([p.encode() for c in cut for p in c]))
+        return [next(ids) if len(c) == 1 else b"".join([next(ids) for _ in c]) for c in cut]
 
     def pieces(self, chunk: str) -> tuple[str, ...] | list[str]:
         """The pattern's matches. A word of letters with a space before it or not, and the mark

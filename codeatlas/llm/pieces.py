@@ -13,17 +13,9 @@ import re
 
 #: Unicode's White_Space, as the tokenizers' regular expressions understand \s.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Also what Python's own str methods take as white space, so that a test for trouble is safe.
-_ODD = re.compile(f"[{WHITE}\x1c-\x1f] | [{WHITE}\x1c-\x1f]|^ | $")
 _CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 
 
-def chunks(text: str) -> list[str]:
-    """Chunks of a text without their leading space: all but the first have one. A first chunk
-    that itself begins with a space is never cut off, so joining by spaces gives the text."""
-    return text.split(" ") if _ODD.search(text) is None else _CUT.split(text)
-
-
 class ChunkCache:
     """Packed ids of chunks, kept for as long as the worker lives. The bound frees memory only:
     a chunk that is no longer kept is encoded again."""
@@ -31,31 +23,45 @@ class ChunkCache:
     def __init__(self, encode, limit: int = 600_000):
         #: encode(list of strings) -> list of bytes, one for each string
         self.encode, self.limit = encode, limit
+        #: by chunk: with a space before it; at the start of a text; with a space before it, for
+        #: chunks that have white space at a border (never in the first of the three)
         self.lead: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
 
-    def _fill(self, known: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        if missing := [c for c in wanted if c not in known]:
+    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str, plain: bool) -> None:
+        if missing := [c for c in wanted if c not in known and not (plain and (not c or c != c.strip()))]:
             if len(known) + len(missing) > self.limit:
                 # short chunks are the frequent ones; the rest is encoded again when met
                 short = {c: v for c, v in known.items() if len(c) <= 6}
                 known.clear()
                 if len(short) < self.limit // 2:
                     known.update(short)
-                missing = [c for c in wanted if c not in known]
-            known.update(zip(missing, self.encode([lead + c for c in missing]), strict=True))
+                missing = [c for c in wanted if c not in known and not (plain and (not c or c != c.strip()))]
+            known.update(zip(missing, self.encode([before + c for c in missing]), strict=True))
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        cut = [chunks(t) for t in texts]
-        self._fill(self.first, {c[0] for c in cut}, "")
+        cut = [t.split(" ") for t in texts]
         wanted: set[str] = set()
         for c in cut:
-            wanted.update(c[1:])
-        self._fill(self.lead, wanted, " ")
-        lead, first, out = self.lead.__getitem__, self.first, []
-        for c in cut:
-            head = first[c[0]]
-            del c[0]
-            out.append(head + b"".join(map(lead, c)))
+            wanted.update(c)
+        self._fill(self.lead, wanted, " ", True)
+        del wanted
+        self._fill(self.first, {c[0] for c in cut if c[0]}, "", True)
+        lead, first, out, late = self.lead.__getitem__, self.first, [], []
+        for i, c in enumerate(cut):
+            try:  # a chunk with white space at its border isn't there: the text is cut with care
+                head = first[c[0]]
+                del c[0]
+                out.append(head + b"".join(map(lead, c)))
+            except KeyError:
+                out.append(b"")
+                late.append(i)
+        if late:
+            cut = [_CUT.split(texts[i]) for i in late]
+            self._fill(self.odd, {x for c in cut for x in c[1:]}, " ", False)
+            heads = self.encode([c[0] for c in cut])
+            for i, c, head in zip(late, cut, heads, strict=True):
+                out[i] = head + b"".join([self.odd[x] for x in c[1:]])
         return out
