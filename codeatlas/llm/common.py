@@ -104,8 +104,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS) < n:
         m = 1 << (n - 1).bit_length()
         with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate([[1], np.full(m - 1, _BASE, U64)]).astype(U64))
-            _INVERSE = np.cumprod(np.concatenate([[1], np.full(m - 1, pow(_BASE, -1, 1 << 64), U64)]).astype(U64))
+            _POWERS, _INVERSE = np.full(m, _BASE, U64), np.full(m, pow(_BASE, -1, 1 << 64), U64)
+            _POWERS[0] = _INVERSE[0] = 1
+            _POWERS, _INVERSE = np.cumprod(_POWERS), np.cumprod(_INVERSE)
     return _POWERS, _INVERSE
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, url_filter
+from codeatlas.llm import bpe, fingerprint, token_file, url_filter
+from codeatlas.llm.common import fresh_path
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op10_url_filter": op10_url_filter}
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of an edit of it, and their likeness."""
+    return fingerprint.with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the token files, and a digest of the ids read back from them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    folder = fresh_path(spark, "token-files")
+    shards = token_file.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file.read(spark, folder, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op2_winnowing": op2_winnowing, "op6_token_files": op6_token_files, "op3_byte_bpe": op3_byte_bpe, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op10_url_filter": r"""
