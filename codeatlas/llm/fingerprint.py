@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from codeatlas.llm.common import U64, batches, mix, powers, shuffle_partitions
 from codeatlas.llm.ordered import bounds, part_of
 
-K, W = 20, 40
+K, W = 12, 24
 _CHUNK = 1 << 19  # runs whose hashes are held at once; positions in it fit into POS bits
 _POS = 20
 
