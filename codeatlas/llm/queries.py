@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, fingerprint, token_file, url_filter
+from codeatlas.llm import bpe, fingerprint, pii, token_file, url_filter
 from codeatlas.llm.common import fresh_path
 
 
@@ -45,7 +45,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, folder, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op2_winnowing": op2_winnowing, "op6_token_files": op6_token_files, "op3_byte_bpe": op3_byte_bpe, "op10_url_filter": op10_url_filter}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the patterns' spans, and all spans."""
+    found = pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op5_pii": op5_pii, "op2_winnowing": op2_winnowing, "op6_token_files": op6_token_files, "op3_byte_bpe": op3_byte_bpe, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op10_url_filter": r"""
