@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, fingerprint, pii, token_file, url_filter
+from codeatlas.llm import bpe, fingerprint, pii, quality, token_file, url_filter
 from codeatlas.llm.common import fresh_path
 
 
@@ -55,7 +55,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op5_pii": op5_pii, "op2_winnowing": op2_winnowing, "op6_token_files": op6_token_files, "op3_byte_bpe": op3_byte_bpe, "op10_url_filter": op10_url_filter}
+def _left_out(modulus: int, remainder: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from labels outside one fifth of the ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_left_out(5, 0))
+    return quality.classify(docs, model).select("doc_id", _left_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op8_quality": op8_quality, "op5_pii": op5_pii, "op2_winnowing": op2_winnowing, "op6_token_files": op6_token_files, "op3_byte_bpe": op3_byte_bpe, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op10_url_filter": r"""
