@@ -24,6 +24,7 @@ TERMS, DIMS, NEIGHBOURS = 2048, 48, 15
 #: Bound of the labelled sample, in rows and in bytes of text each row may add to the fit's memory.
 MAX_TRAIN = 3000
 THRESHOLD = 0.3
+WORD_WEIGHT = 0.5  # how a text is written says more than its words
 _WORDS, _SHAPES, _REPEATS = 1024, 960, 64  # ranges of term ids; together TERMS
 
 # classes of bytes: letter a-z, A-Z, digit, beyond ASCII, then punctuation one by one
@@ -58,10 +59,12 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             repeat[back:][same] = back
     flat = [doc * TERMS + word, doc * TERMS + _WORDS + shape, (doc * TERMS + _WORDS + _SHAPES + repeat)[repeat > 0]]
     out = np.bincount(np.concatenate(flat), minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
-    # share of distinct words, in sixteenths
-    order = np.lexsort((h, doc))
+    # share of words that are new within their block of 64 words, in sixteenths; blocks make long
+    # texts comparable with short ones
+    block = (np.arange(len(h)) - first[doc]) // 64 + doc * (int(np.diff(first).max()) // 64 + 1)
+    order = np.lexsort((h, block))
     fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (block[order][1:] != block[order][:-1])
     distinct = np.bincount(doc[order][fresh], minlength=n)
     total = np.maximum(np.diff(first), 1)
     out[np.arange(n), _WORDS + _SHAPES + 8 + np.minimum(distinct * 16 // total, 16)] += total
@@ -96,9 +99,9 @@ class Model:
 
     @staticmethod
     def _scale(counts: np.ndarray) -> np.ndarray:
-        """Log counts of unit length."""
-        x = np.log1p(counts)
-        x[:, :_WORDS] *= 0.4  # how a text is written says more than its words
+        """Log rates of terms (in 300 words), of unit length: a long text is like a short one."""
+        x = np.log1p(counts * (300 / np.maximum(counts[:, :_WORDS].sum(axis=1, keepdims=True), 1)))
+        x[:, :_WORDS] *= WORD_WEIGHT
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     @staticmethod
