@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, fingerprint, pii, quality, token_file, url_filter
+from codeatlas.llm import bpe, decontaminate, fingerprint, langid, pii, quality, token_file, url_filter
 from codeatlas.llm.common import fresh_path
 
 
@@ -59,6 +59,20 @@ def _left_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~_left_out(4, 2))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", _left_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and where: a row for each document and item."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("matches") > 0)
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.edits", F.col("m.start").alias("start_char"), F.col("m.end").alias("end_char"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learned from labels outside one fifth of the ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
