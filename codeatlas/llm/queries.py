@@ -80,7 +80,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", _left_out(5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op8_quality": op8_quality, "op5_pii": op5_pii, "op2_winnowing": op2_winnowing, "op6_token_files": op6_token_files, "op3_byte_bpe": op3_byte_bpe, "op10_url_filter": op10_url_filter}
+QUERIES = {
+    "op2_winnowing": op2_winnowing,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_language": op4_language,
+    "op5_pii": op5_pii,
+    "op6_token_files": op6_token_files,
+    "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
+    "op10_url_filter": op10_url_filter,
+}
 
 ORACLES = {
     "op10_url_filter": r"""
