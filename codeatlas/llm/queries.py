@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, decontaminate, fingerprint, langid, pii, quality, token_file, url_filter
+from codeatlas.llm import bpe, decontaminate, fingerprint, langid, ngram_join, pii, quality, token_file, url_filter
 from codeatlas.llm.common import fresh_path
 
 
@@ -32,6 +32,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of documents linked by 3-word sequences, at 0.9."""
+    return ngram_join.similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of an edit of it, and their likeness."""
     return fingerprint.with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
@@ -81,6 +86,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_winnowing": op2_winnowing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language": op4_language,
