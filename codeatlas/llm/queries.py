@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, decontaminate, fingerprint, langid, ngram_join, pii, quality, token_file, url_filter
+from codeatlas.llm import bpe, decontaminate, fingerprint, langid, ngram_join, pii, quality, repeats, token_file, url_filter
 from codeatlas.llm.common import fresh_path
 
 
@@ -78,6 +78,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.edits", F.col("m.start").alias("start_char"), F.col("m.end").alias("end_char"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur again in the documents: a row for each place."""
+    return repeats.repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learned from labels outside one fifth of the ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -92,6 +97,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
+    "op7_repeats": op7_repeats,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
