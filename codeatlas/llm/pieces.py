@@ -20,7 +20,7 @@ class ChunkCache:
     """Packed ids of chunks, kept for as long as the worker lives. The bound frees memory only:
     a chunk that is no longer kept is encoded again."""
 
-    def __init__(self, encode, limit: int = 600_000):
+    def __init__(self, encode, limit: int = 1_000_000):
         #: encode(list of strings) -> list of bytes, one for each string
         self.encode, self.limit = encode, limit
         #: by chunk: with a space before it; at the start of a text; with a space before it, for

@@ -28,6 +28,7 @@ from codeatlas.llm.ordered import bounds, part_of
 from codeatlas.llm.pieces import ChunkCache
 
 BATCH_BYTES = 4 << 20
+JOINED = 32  # chunks in one string for the library; longer strings take it more time a chunk
 _SEPARATOR = "\n"
 
 
@@ -61,9 +62,9 @@ class _Library:
         out: list[bytes] = [b""] * len(chunks)
         plain = [i for i, c in enumerate(chunks) if c[:1] == " " and c[1:].strip() == c[1:] != "" and _SEPARATOR not in c]
         rest = sorted(set(range(len(chunks))) - set(plain))
-        for s in range(0, len(plain), 4096):
-            some = plain[s : s + 4096]
-            ids = np.array(self._ids([_SEPARATOR.join([chunks[i] for i in some])])[0], self.dtype)
+        parts = [plain[s : s + JOINED] for s in range(0, len(plain), JOINED)]
+        for some, ids in zip(parts, self._ids([_SEPARATOR.join([chunks[i] for i in x]) for x in parts]), strict=True):
+            ids = np.array(ids, self.dtype)
             cut = np.flatnonzero(ids == self.end[0])
             assert len(cut) == len(some) - 1
             packed, width = ids.tobytes(), ids.itemsize
