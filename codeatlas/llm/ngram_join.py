@@ -27,6 +27,7 @@ from codeatlas.llm.common import P1, U64, batches, cut, lower, mix, range_hashes
 from codeatlas.llm.components import connected_components
 
 BUCKET_BITS = 16
+COLD = 64  # n-grams in at most so many groups pair them one by one
 BLOCK_GRAMS = 3_000_000
 MARK_WORDS = 1 << 16  # of 64 bits, of the mark that spares documents in no cluster
 
@@ -112,6 +113,27 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray) ->
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
+def _near(token: DataFrame, num: int, den: int, cold: int = COLD) -> DataFrame:
+    """(a, b) of groups that may hold a linked pair, from the rows (g, n, p, t) of their prefixes;
+    each such pair is at least connected by these edges.
+
+    N-grams in few groups give pairs, which must be of like size and share enough: what both
+    prefixes have in common (of n-grams in many groups no more than the fewer of the two have)
+    and the sets' rests must reach the overlap that a link needs. N-grams in many groups connect
+    each group with one of them."""
+    count = token.groupBy("t").agg(F.min("g").alias("v"), F.count("*").alias("c")).where("c > 1")
+    token = cut(token.join(count, "t"), "tokens")
+    hot = token.where(F.col("c") > cold)
+    many = hot.groupBy("g").agg(F.count("*").alias("h"))
+    few = token.where(F.col("c") <= cold).select("t", "g", "n", "p")
+    a, b = (few.select("t", *(F.col(c).alias(f"{x}{c}") for c in ("g", "n", "p"))) for x in "ab")
+    pairs = a.join(b, "t").where(f"ag < bg and an * {den} >= bn * {num} and bn * {den} >= an * {num}")
+    pairs = pairs.groupBy("ag", "bg", "an", "bn", "ap", "bp").agg(F.count("*").alias("common"))
+    pairs = pairs.join(many.select(F.col("g").alias("ag"), F.col("h").alias("ah")), "ag", "left").join(many.select(F.col("g").alias("bg"), F.col("h").alias("bh")), "bg", "left")
+    pairs = pairs.where(f"(common + least(coalesce(ah, 0), coalesce(bh, 0)) + greatest(an - ap, bn - bp)) * {num + den} >= (an + bn) * {num}")
+    return pairs.select(F.col("ag").alias("a"), F.col("bg").alias("b")).unionByName(hot.where("g <> v").select(F.col("g").alias("a"), F.col("v").alias("b")))
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int, rank: np.ndarray, num: int, den: int) -> DataFrame:
     """(u, grams, prefix) as packed 64-bit numbers, of documents in ids (column u). A bit table of
     bounded size marks them, so that other documents' sets aren't made; the join is exact."""
@@ -241,9 +263,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_gr
     units = units.select("u", "n", F.xxhash64("prefix").alias("p"), "prefix").dropDuplicates(["u"])
     groups = units.groupBy("p", "n").agg(F.min("u").alias("g"))
     member = cut(units.join(groups, ["p", "n"]), "groups")
-    token = member.where("u = g").select("g", F.explode("prefix").alias("t"))
-    shared = token.groupBy("t").agg(F.min("g").alias("v"), F.count("*").alias("c")).where("c > 1")
-    near = token.join(shared, "t").where("g <> v").select(F.col("g").alias("a"), F.col("v").alias("b"))
+    near = _near(member.where("u = g").select("g", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("t")), num, den)
     cluster = connected_components(near.unionByName(member.where("u <> g").select(F.col("u").alias("a"), F.col("g").alias("b"))))
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "u")
     cluster = cluster.join(classes.select("u", "n", "copies").where("u is not null"), "u")
