@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from codeatlas.llm.common import P1, P2, U64, batches, cut, lower, mix, powers, range_hashes, utf8, words
 
 WORDS, GRAM = 50, 16
-MARK_BITS = 22  # of a table that marks k-grams which repeat: 512 KB, whatever the corpus
+_NONE = np.iinfo(np.int64).min  # stands for a null doc_id
+MARK_BITS = 25  # of a table that marks k-grams which repeat: 4 MB, whatever the corpus
 
 
 def _sliding(h: np.ndarray, k: int) -> np.ndarray:
@@ -79,54 +80,58 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
             _, at, _, best, chosen, *_ = _windows(data, off, n_words, gram)
             fresh = np.ones(len(at), bool)  # each selected position once
             fresh[1:] = chosen[1:] != chosen[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(best[fresh].view(np.int64))], ["g"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(best[fresh] * P1).view(np.int64))], ["g"])
 
     # k-grams at two or more selected positions, as bits: rows by key, then one row for each word of bits
     twice = docs.select("text").mapInArrow(kept, "g long").groupBy("g").count().where("count > 1")
     word, bit = F.shiftrightunsigned("g", 64 - MARK_BITS + 6), F.shiftrightunsigned("g", 64 - MARK_BITS).bitwiseAND(F.lit(63)).cast("int")
-    marks = twice.select(word.cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    marks = twice.select(word.cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     table = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    for r in marks:  # at most 2**16 rows
-        table[r["w"]] = r["b"]
+    table[marks["w"].to_numpy()] = marks["b"].to_numpy()  # at most 2**19 rows
     shared = docs.sparkSession.sparkContext.broadcast(table.view(U64))
 
     def extended(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches(8 << 20)(it):
             data, off, _ = utf8(b.column(1))
-            doc, at, full, best, _, _, _, first = _windows(data, off, n_words, gram)
-            i = best >> U64(64 - MARK_BITS)
+            doc, at, full, best, _, start, end, first = _windows(data, off, n_words, gram)
+            i = mix(best * P1) >> U64(64 - MARK_BITS)  # mixed anew: the least hashes share their first bits
             some = (t[(i >> U64(6)).astype(np.int64)] >> (i & U64(63))) & U64(1) == 1
             at, full = at[some], full[some]
-            ids = b.column(0).take(pa.array(doc[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), ids, pa.array((at - first[doc[at]]).astype(np.int32))], ["k", "doc_id", "at"])
+            of = doc[at]
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            begin = chars[start[at]]
+            place = (at - first[of]) << 32 | (begin - chars[off[of]])
+            size = chars[end[at + n_words - 1]] - begin
+            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(place), pa.array(size.astype(np.int32))], ["k", "doc_id", "place", "size"])
 
-    found = cut(docs.mapInArrow(extended, "k long, doc_id long, at int"), "suffixes")
+    found = cut(docs.mapInArrow(extended, "k long, doc_id long, place long, size int"), "suffixes")
     # the keys that repeat; the join's other side may be split where one key is in very many rows
     keys = found.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
-    places = found.join(keys, "k").select("doc_id", "at", "copies", "first_doc")
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "copies", "first_doc")).alias("places"))
-
-    def spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(4 << 20)(it):
-            data, off, _ = utf8(b.column(1))
-            low = lower(data)
-            start, end, first = words(low, off)
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            out = []
-            for i, (doc_id, got) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                places = sorted({p["at"]: p for p in got}.values(), key=lambda p: p["at"])
-                s = 0
-                while s < len(places):
-                    e, copies = s, places[s]["copies"]
-                    while e + 1 < len(places) and places[e + 1]["at"] <= places[e]["at"] + n_words:
-                        e += 1
-                        copies = max(copies, places[e]["copies"])
-                    a, z = first[i] + places[s]["at"], first[i] + places[e]["at"] + n_words - 1
-                    base = chars[off[i]]
-                    out.append((doc_id, int(chars[start[a]] - base), int(chars[end[z]] - base), int(z - a + 1), copies, places[s]["first_doc"]))
-                    s = e + 1
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start_char", "end_char", "n_words", "copies", "first_doc"])
-
-    return docs.join(by_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(spans, "doc_id long, start_char long, end_char long, n_words long, copies long, first_doc long").distinct()
+    places = found.join(keys, "k").select("doc_id", "place", "size", "copies", "first_doc")
+    places = places.repartition("doc_id").sortWithinPartitions("doc_id", "place")
+    names = ["doc_id", "start_char", "end_char", "n_words", "copies", "first_doc"]
+
+    def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((7, 0), np.int64)  # the stretch that the next batch may go on with
+        for b in it:
+            doc, origin = (np.asarray(b.column(i).fill_null(_NONE)) for i in (0, 4))
+            place, size, copies = (np.asarray(b.column(i), np.int64) for i in (1, 2, 3))
+            at, begin = place >> 32, place & 0xFFFFFFFF
+            rows = np.hstack([held, np.vstack([doc, at, at, begin, begin + size, copies, origin])])
+            if not rows.shape[1]:
+                continue
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] > rows[2, :-1] + n_words)
+            s = np.flatnonzero(new)
+            e = np.append(s[1:], rows.shape[1]) - 1
+            out = np.vstack([rows[0, s], rows[1, s], rows[2, e], rows[3, s], rows[4, e], np.maximum.reduceat(rows[5], s), rows[6, s]])
+            held = out[:, -1:]
+            yield _spans(out[:, :-1])
+        yield _spans(held)
+
+    def _spans(x: np.ndarray) -> pa.RecordBatch:
+        ids = [pa.array(c, pa.int64(), mask=c == _NONE) for c in (x[0], x[6])]
+        return pa.RecordBatch.from_arrays([ids[0], pa.array(x[3]), pa.array(x[4]), pa.array(x[2] - x[1] + n_words), pa.array(x[5]), ids[1]], names)
+
+    return places.mapInArrow(joined, ", ".join(f"{n} long" for n in names))
