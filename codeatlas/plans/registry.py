@@ -1,34 +1,491 @@
-"""The reference's operators as queries over the driver's tables, with SQL oracles."""
+"""The engine's operators as queries over the driver's tables, with SQL oracles.
+
+Each query applies one operator to whole tables; the oracle says the same in SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.functions.text import byte_length, line_count
+from codeatlas.functions import paths, text
+from codeatlas.operators import cache, calls, chunks, churn, hierarchy, pack, spans, view
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, lines and bytes by source, and the percentile of the source by bytes."""
-    from pyspark.sql import Window
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    by = docs.groupBy("source").agg(
-        F.count("*").alias("n_docs"),
-        F.sum(line_count("text")).alias("n_lines"),
-        F.sum(byte_length("text")).alias("n_bytes"),
-    )
-    # one row for each source: a global window over the aggregate, not over the documents
-    return by.withColumn("pct", F.percent_rank().over(Window.orderBy("n_bytes")))
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
 
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-QUERIES = {"source_stats": source_stats}
-ORACLES = {
-    "source_stats": """
+
+_LINES = """CASE WHEN text IS NULL OR text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), ''))
+      + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END"""
+
+
+@query(f"""
 SELECT *, percent_rank() OVER (ORDER BY n_bytes) AS pct FROM (
-  SELECT source, count(*) AS n_docs,
-    CAST(sum(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), ''))
-      + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END) AS BIGINT) AS n_lines,
-    CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS n_bytes
-  FROM documents GROUP BY source)""",
-}
+  SELECT source, count(*) AS n_docs, CAST(sum({_LINES}) AS BIGINT) AS n_lines, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS n_bytes
+  FROM documents GROUP BY source)""")
+def source_stats(spark, sf_dir):
+    """Documents, lines and bytes by source, and the percentile of the source by bytes."""
+    by = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(text.line_count("text")).alias("n_lines"), F.sum(text.byte_length("text")).alias("n_bytes"))
+    return hierarchy.percentile(by, "n_bytes", out="pct")  # over one row for each source
+
+
+@query(f"SELECT doc_id, CAST({_LINES} AS BIGINT) AS n_lines, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents")
+def line_metrics(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.line_count("text").alias("n_lines"), text.byte_length("text").alias("n_bytes"))
+
+
+@query("SELECT lower(lang) AS ext, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
+def ext_stats(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy(F.lower("lang").alias("ext")).agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_bytes"))
+
+
+@query("SELECT count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_bytes FROM documents")
+def total_stats(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_bytes"))
+
+
+_PATH_SQL = "regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '', 's'), '/+$', '')"
+
+
+def _urls(spark, sf_dir) -> DataFrame:
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"(?s)[?#].*$", ""), r"/+$", "")
+    return _t(spark, sf_dir, "pages").select("page_id", clean.alias("path"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query(f"""
+WITH p AS (SELECT string_split({_PATH_SQL}, '/') AS parts, strlen(html) AS bytes FROM pages)
+SELECT folder, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM (
+  SELECT unnest(list_transform(range(1, len(parts)), lambda i: array_to_string(parts[1:i], '/'))) AS folder, bytes FROM p) GROUP BY folder""")
+def prefix_rollup(spark, sf_dir):
+    """Files and bytes below every folder at each depth, the root apart."""
+    return hierarchy.rollup(_urls(spark, sf_dir), "path", F.count("*").alias("n_files"), F.sum("bytes").alias("n_bytes"), root=False)
+
+
+_TREE = """f AS (SELECT r_name AS a, r_name || '/' || n_name AS b, r_name || '/' || n_name || '/' || c_name AS c, o_totalprice AS v
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(f"""
+WITH {_TREE}, u AS (SELECT '' AS folder, v FROM f UNION ALL SELECT a, v FROM f UNION ALL SELECT b, v FROM f UNION ALL SELECT c, v FROM f)
+SELECT folder, count(*) AS n_orders, CAST(round(sum(v)) AS BIGINT) AS measure FROM u GROUP BY folder""")
+def measure_rollup(spark, sf_dir):
+    """Hierarchical sums: orders as files below region/nation/customer folders."""
+    path = F.concat_ws("/", "r_name", "n_name", "c_name", F.col("o_orderkey").cast("string"))
+    j = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return hierarchy.rollup(j.select(path.alias("path"), "o_totalprice"), "path", F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice")).cast("long").alias("measure"))
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Numstat text of events: a commit's hash, then a line for the user's file."""
+    stat = F.when(F.col("event_id") % 7 == 0, "-").otherwise((F.col("event_id") % 50).cast("string"))
+    lines = F.array(F.concat(F.lit("c"), F.col("event_id").cast("string")), F.lit(""), F.concat_ws("\t", stat, stat, F.concat(F.lit("src/u"), F.col("user_id").cast("string"))), F.lit("x\t1\tbad"))
+    return _t(spark, sf_dir, "events").select(F.explode(lines).alias("line"))
+
+
+@query("SELECT 'src/u' || user_id AS path, count(*) AS commits FROM events GROUP BY user_id")
+def churn_counts(spark, sf_dir):
+    """Commits for each path of a numstat log."""
+    return churn.counts_from_log(_log(spark, sf_dir))
+
+
+@query("SELECT user_id, n, percent_rank() OVER (ORDER BY n) AS percentile FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def churn_percentile(spark, sf_dir):
+    """Percentile of each user by events, by a window over distinct counts only."""
+    n = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return hierarchy.percentile_by_counts(n, "n").select("user_id", "n", "percentile")
+
+
+@query("SELECT o_orderkey, CAST(coalesce(n, 0) AS BIGINT) AS commits FROM orders LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ON o_custkey = user_id")
+def churn_inherit(spark, sf_dir):
+    """Items take the count of the file that they belong to, 0 where it has none."""
+    n = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    o = _t(spark, sf_dir, "orders").join(n, F.col("o_custkey") == F.col("user_id"), "left")
+    return o.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("commits"))
+
+
+@query("""
+WITH n AS (SELECT user_id, count(*) AS c FROM events GROUP BY user_id), f AS (
+  SELECT r_name AS a, r_name || '/' || n_name AS b, coalesce(c, 0) AS c FROM customer LEFT JOIN n ON c_custkey = user_id
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT *, percent_rank() OVER (ORDER BY commits) AS churn FROM (SELECT folder, CAST(sum(c) AS BIGINT) AS commits FROM (
+  SELECT '' AS folder, c FROM f UNION ALL SELECT a, c FROM f UNION ALL SELECT b, c FROM f) GROUP BY folder)""")
+def folder_churn(spark, sf_dir):
+    """Commits summed up the folders, and the folders' percentile."""
+    path = F.concat_ws("/", "r_name", "n_name", "c_name")
+    c = _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
+    f = c.join(n, F.col("c_custkey") == F.col("user_id"), "left").select(path.alias("path"), F.coalesce("commits", F.lit(0)).alias("commits"))
+    return hierarchy.percentile(hierarchy.rollup(f, "path", F.sum("commits").alias("commits")), "commits", out="churn")
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1 AS INTEGER) AS ordinal FROM part")
+def sibling_ordinals(spark, sf_dir):
+    return hierarchy.sibling_ordinals(_t(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey").select("p_partkey", "ordinal")
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, role, CAST(length(text) % 3 AS INTEGER) AS ordinal, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations)
+SELECT conv_id, turn, CAST(rn + max(ordinal - rn) OVER (PARTITION BY role ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING) AS INTEGER) AS new_ordinal FROM r""")
+def dedupe_ids(spark, sf_dir):
+    """Colliding ordinals made unique in preorder."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", (F.length("text") % 3).alias("ordinal"), F.struct("conv_id", "turn").alias("pre"))
+    return hierarchy.dedupe_ids(c, ["role"], "ordinal", "pre").select("conv_id", "turn", "new_ordinal")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '(?s)a.*r.*e') ORDER BY strlen(p_name), p_name, p_partkey LIMIT 12")
+def fuzzy_search(spark, sf_dir):
+    """The twelve best names for a query, as the search palette ranks them."""
+    return view.search(_t(spark, sf_dir, "part"), "Are", "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+_DOC_LINES = r"""l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS raw,
+    generate_subscripts(string_split(regexp_replace(text, '\n\z', ''), chr(10)), 1) - 1 AS line_no FROM documents WHERE text <> '')"""
+
+
+@query(f"""
+WITH {_DOC_LINES}
+SELECT doc_id, CAST(line_no // 60 AS BIGINT) AS chunk, CAST(min(line_no) AS BIGINT) AS start_line, CAST(max(line_no) + 1 AS BIGINT) AS end_line,
+  (min(line_no) + 1) || chr(8211) || (max(line_no) + 1) AS label
+FROM l GROUP BY doc_id, line_no // 60""")
+def line_chunks(spark, sf_dir):
+    """Chunks of sixty lines."""
+    rows = chunks.line_rows(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunks.fixed(rows, "doc_id").select("doc_id", "chunk", "start_line", "end_line", "label")
+
+
+@query(f"""
+WITH {_DOC_LINES}
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte,
+  regexp_replace(raw, '\\r+$', '') AS line FROM l""")
+def doc_lines(spark, sf_dir):
+    """Lines with their byte offsets."""
+    return chunks.line_rows(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", "start_byte", F.col("text").alias("line"))
+
+
+@query(rf"""
+WITH {_DOC_LINES}
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(length(regexp_extract(raw, '^[ \t]*', 0)) AS INTEGER) AS indent, CAST(length(trim(raw, ' ' || chr(9) || chr(13))) AS INTEGER) AS len FROM l""")
+def minimap(spark, sf_dir):
+    """Indent and visible length of every line."""
+    indent, size = text.minimap_row("text")
+    return chunks.line_rows(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", indent.alias("indent"), size.alias("len"))
+
+
+@query(r"""
+SELECT conv_id, turn, regexp_matches(line, '^ {0,3}#{1,6}[ \t]') AS heading, CASE WHEN regexp_matches(line, '^ {0,3}#{1,6}[ \t]') THEN trim(regexp_replace(line, '^ *#*', '')) END AS label
+FROM (SELECT conv_id, turn, repeat(' ', CAST(conv_id % 5 AS INTEGER)) || repeat('#', CAST(turn % 8 AS INTEGER)) || ' ' || role AS line FROM conversations)""")
+def heading_lines(spark, sf_dir):
+    line = F.concat(F.repeat(F.lit(" "), (F.col("conv_id") % 5).cast("int")), F.repeat(F.lit("#"), (F.col("turn") % 8).cast("int")), F.lit(" "), F.col("role"))
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
+    return c.select("conv_id", "turn", text.is_heading("line").alias("heading"), F.when(text.is_heading("line"), text.heading_label("line")).alias("label"))
+
+
+@query()
+def heading_chunks(spark, sf_dir):
+    """Heading chunks of conversations, each turn under a heading of its role."""
+    turn = F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.col("text"))
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))), lambda s: s["t"]), "\n").alias("t"))
+    return chunks.headings(c.select("conv_id", text.lines("t").alias("lines")), "conv_id", "lines")
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT n_nationkey AS k, n_name AS s, 1 AS i, CAST(14695981039346656037 AS HUGEINT) AS h FROM nation UNION ALL
+  SELECT k, s, i + 1, ((h - h % 256 + xor(CAST(h % 256 AS BIGINT), ascii(substr(s, i, 1)))) * CAST(1099511628211 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT) FROM b WHERE i <= length(s))
+SELECT k AS n_nationkey, lower(lpad(printf('%x', CAST(h AS UBIGINT)), 16, '0')) AS fingerprint FROM b WHERE i = length(s) + 1""")
+def fingerprint(spark, sf_dir):
+    """64-bit FNV-1a of short keys, inside the JVM."""
+    return _t(spark, sf_dir, "nation").select("n_nationkey", text.fnv1a("n_name").alias("fingerprint"))
+
+
+_EXT = ["rs", "py", "md", "toml", "css", "html", "o", "png", "zip", "ttf", "map", "xyz"]
+_CAT = {"rs": "Code", "py": "Code", "md": "Docs", "toml": "Config", "css": "Styles", "html": "Markup", "o": "Binary", "png": "Media", "zip": "Archive", "ttf": "Font", "map": "Generated"}
+_EXT_SQL = "list_extract([" + ", ".join(f"'{e}'" for e in _EXT) + "], CAST(event_id % 12 AS INTEGER) + 1)"
+_CAT_SQL = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{c}'" for e, c in _CAT.items()) + " ELSE 'Other' END"
+
+
+@query(f"""
+SELECT category, count(*) AS n_files, bool_and(enabled) AS all_on, min(ord) AS display_order FROM (
+  SELECT {_CAT_SQL} AS category FROM (SELECT {_EXT_SQL} AS ext FROM events)) JOIN (VALUES
+  ('Code', 0, true), ('Config', 1, true), ('Docs', 2, true), ('Styles', 3, true), ('Markup', 4, true), ('Other', 5, true), ('Binary', 6, false), ('Media', 7, false), ('Archive', 8, false), ('Font', 9, false), ('Generated', 10, false)) v(category, ord, enabled) USING (category) GROUP BY category""")
+def category_stats(spark, sf_dir):
+    """Files by extension category, with the category's order and default."""
+    ext = F.get(F.array(*map(F.lit, _EXT)), (F.col("event_id") % 12).cast("int"))
+    c = _t(spark, sf_dir, "events").select(paths.category(ext).alias("category"))
+    return c.groupBy("category").agg(F.count("*").alias("n_files"), F.bool_and(paths.category_default("category")).alias("all_on"), F.min(paths.category_order("category")).alias("display_order"))
+
+
+@query(f"""
+SELECT ext, CASE ext WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'md' THEN 'markdown' WHEN 'toml' THEN 'toml' END AS language, ext IN ('md', 'toml', 'css', 'html') AS retained, count(*) AS n
+FROM (SELECT {_EXT_SQL} AS ext FROM events) GROUP BY ext""")
+def language_stats(spark, sf_dir):
+    """Files by language, from their paths."""
+    ext = F.get(F.array(*map(F.lit, _EXT)), (F.col("event_id") % 12).cast("int"))
+    p = _t(spark, sf_dir, "events").select(F.concat(F.lit("src/f"), F.col("event_id").cast("string"), F.lit("."), ext).alias("path"))
+    return p.groupBy(paths.extension("path").alias("ext")).agg(F.first(paths.language("path")).alias("language"), F.first(paths.is_retained_text(paths.extension("path"))).alias("retained"), F.count("*").alias("n"))
+
+
+_ROLE_NAMES = ["unit_tests", "Demo-Samples", "ray_shaders", "Documentation", "third_party", "src", "misc", "libs"]
+_ROLE_SQL = "CASE name WHEN 'unit_tests' THEN 'Test' WHEN 'Demo-Samples' THEN 'Example' WHEN 'ray_shaders' THEN 'ShaderAsset' WHEN 'Documentation' THEN 'Docs' WHEN 'third_party' THEN 'Generated' WHEN 'src' THEN 'Source' WHEN 'libs' THEN 'Source' END"
+
+
+@query(f"SELECT name, {_ROLE_SQL} AS role, count(*) AS n FROM (SELECT list_extract([{', '.join(repr(x) for x in _ROLE_NAMES)}], CAST(p_partkey % 8 AS INTEGER) + 1) AS name FROM part) GROUP BY name")
+def role_classify(spark, sf_dir):
+    """Folder roles by name."""
+    p = _t(spark, sf_dir, "part").select(F.get(F.array(*map(F.lit, _ROLE_NAMES)), (F.col("p_partkey") % 8).cast("int")).alias("name"))
+    return p.groupBy("name").agg(F.first(paths.folder_role("name")).alias("role"), F.count("*").alias("n"))
+
+
+@query("""
+WITH f AS (SELECT p_brand AS folder, CASE WHEN p_size % 10 < 7 THEN 'Test' WHEN p_size % 10 < 9 THEN 'Docs' ELSE 'Source' END AS role FROM part),
+a AS (SELECT folder, role FROM f UNION ALL SELECT '', role FROM f)
+SELECT folder, CASE WHEN count(*) FILTER (role = 'Test') * 10 >= count(*) * 7 THEN 'Test' WHEN count(*) FILTER (role = 'Docs') * 10 >= count(*) * 7 THEN 'Docs' ELSE 'Source' END AS role,
+  count(*) FILTER (role = 'Test') * 10 >= count(*) * 7 OR count(*) FILTER (role = 'Docs') * 10 >= count(*) * 7 AS strong, count(*) AS total FROM a GROUP BY folder""")
+def role_dominance(spark, sf_dir):
+    """The role that seven in ten files of a folder have."""
+    role = F.when(F.col("p_size") % 10 < 7, "Test").when(F.col("p_size") % 10 < 9, "Docs").otherwise("Source")
+    f = _t(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), role.alias("role"))
+    return hierarchy.dominant_role(f)
+
+
+_CALLS_SQL = """c AS (SELECT caller, name, min(site) AS site FROM (
+  SELECT 'f/' || conv_id || '::t' || turn AS caller, unnest(string_split(text, ' ')) AS name, generate_subscripts(string_split(text, ' '), 1) AS site FROM conversations) GROUP BY caller, name),
+f AS (SELECT 'p/' || p_partkey || '::' || split_part(p_name, ' ', 1) AS path, split_part(p_name, ' ', 1) AS name FROM part)"""
+
+
+def _calls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Words of conversations as calls, parts as functions named by their first word."""
+    c = _t(spark, sf_dir, "conversations").select(F.concat(F.lit("f/"), F.col("conv_id").cast("string"), F.lit("::t"), F.col("turn").cast("string")).alias("caller"), F.posexplode(F.split("text", " ")).alias("site", "name"))
+    c = c.select("caller", "name", (F.col("site") + 1).cast("long").alias("site"), F.lit(None).cast("string").alias("receiver"))
+    word = F.substring_index("p_name", " ", 1)
+    f = _t(spark, sf_dir, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit("::"), word).alias("path"), word.alias("name"))
+    some = f.unionByName(c.groupBy("name").agg(F.min("caller").alias("path")).where("name like 'th%'").select(F.concat(F.lit("w/x::"), F.col("name")).alias("path"), "name"))
+    return calls.distinct_calls(c), some
+
+
+_SOME_SQL = _CALLS_SQL + ", s AS (SELECT * FROM f UNION ALL SELECT DISTINCT 'w/x::' || name, name FROM c WHERE name LIKE 'th%')"
+
+
+@query(f"WITH {_SOME_SQL} SELECT caller, path AS target, c.name AS name, site FROM c JOIN s ON c.name = s.name WHERE caller <> path")
+def name_join(spark, sf_dir):
+    """Callees of every function by name."""
+    return calls.callees(*_calls(spark, sf_dir))
+
+
+@query(f"WITH {_SOME_SQL} SELECT DISTINCT path AS target, caller FROM s JOIN c ON c.name = s.name WHERE caller <> path")
+def reverse_name_join(spark, sf_dir):
+    """Callers of every function by name."""
+    return calls.callers(*_calls(spark, sf_dir))
+
+
+@query(f"WITH {_SOME_SQL} SELECT direction, count(*) AS n_edges, count(DISTINCT center) AS n_centers FROM (SELECT 'callee' AS direction, caller AS center FROM c JOIN s USING (name) WHERE caller <> path UNION ALL SELECT DISTINCT 'caller', path || '|' || caller FROM s JOIN c USING (name) WHERE caller <> path) GROUP BY direction")
+def edge_union(spark, sf_dir):
+    """Both directions of the call graph in one table."""
+    e = calls.edges(*_calls(spark, sf_dir)).withColumn("center", F.when(F.col("direction") == "caller", F.concat_ws("|", "center", "target")).otherwise(F.col("center")))
+    return e.groupBy("direction").agg(F.count("*").alias("n_edges"), F.count_distinct("center").alias("n_centers"))
+
+
+def _spans_of(spark, sf_dir) -> DataFrame:
+    """A span of 90 bytes from every hundredth byte on of each document."""
+    d = _t(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.octet_length("text").alias("n"))
+    return d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1, F.lit(100).cast("long"))).alias("start"), "n").select("doc_id", "start", F.least(F.col("start") + 90, F.col("n").cast("long")).alias("end"), F.lit("x").alias("kind"))
+
+
+_BYTES_SQL = f"""{_DOC_LINES}, b AS (SELECT doc_id, line_no, CAST(coalesce(sum(strlen(raw) + 1) OVER w, 0) AS BIGINT) AS s0, strlen(raw) AS n, max(line_no) OVER (PARTITION BY doc_id) AS last FROM l
+  WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT b.doc_id, line_no, s0, s0 + n + CASE WHEN line_no = last AND NOT ends_with(text, chr(10)) THEN 0 ELSE 1 END AS e0 FROM b JOIN documents USING (doc_id))"""
+
+
+@query(f"""
+WITH {_BYTES_SQL}, sp AS (SELECT doc_id, unnest(range(0, strlen(text), 100)) AS a, strlen(text) AS n FROM documents WHERE text <> '')
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(greatest(a, s0) - s0 AS BIGINT) AS s, CAST(least(a + 90, n, e0) - s0 AS BIGINT) AS e, 'x' AS kind
+FROM sp JOIN q USING (doc_id) WHERE a < e0 AND least(a + 90, n) > s0""")
+def span_line_overlap(spark, sf_dir):
+    """Spans clipped to the lines that they overlap."""
+    return spans.by_line(_spans_of(spark, sf_dir), chunks.line_rows(_t(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query(f"""
+WITH {_BYTES_SQL}, o AS (SELECT doc_id, unnest(range(0, strlen(text), 100)) AS "offset" FROM documents WHERE text <> '')
+SELECT doc_id, CAST("offset" AS BIGINT) AS "offset", CAST(line_no AS INTEGER) AS line_no FROM o JOIN q USING (doc_id) WHERE "offset" >= s0 AND "offset" < e0""")
+def offset_to_line(spark, sf_dir):
+    """The line of each byte offset."""
+    o = _spans_of(spark, sf_dir).select("doc_id", F.col("start").alias("offset"))
+    return spans.offset_to_line(o, chunks.line_rows(_t(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+_RECT_SQL = "r AS (SELECT p_partkey AS id, CAST(p_partkey % 40 AS DOUBLE) * 20 + p_size % 7 AS x, CAST(p_partkey // 40 AS DOUBLE) * 15 + p_size % 5 AS y, CAST(8 + p_size % 9 AS DOUBLE) AS w, CAST(6 + p_size % 6 AS DOUBLE) AS h, p_size % 2 = 0 AS leaf, p_size % 3 AS depth FROM part)"
+
+
+def _rects(spark, sf_dir) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    d = lambda c: c.cast("double")
+    return _t(spark, sf_dir, "part").select(k.alias("id"), (d(k % 40) * 20 + s % 7).alias("x"), (d(F.floor(k / 40)) * 15 + s % 5).alias("y"), d(8 + s % 9).alias("w"), d(6 + s % 6).alias("h"), (s % 2 == 0).alias("leaf"), (s % 3).alias("depth"), k.alias("pre"))
+
+
+@query(f"""
+WITH {_RECT_SQL}, p AS (SELECT a.id AS id, b.id AS nb, row_number() OVER (PARTITION BY a.id ORDER BY b.x - (a.x + a.w), abs(b.y + b.h / 2 - (a.y + a.h / 2)), b.id) AS k
+  FROM r a JOIN r b ON a.depth = b.depth AND a.id <> b.id AND b.y < a.y + a.h AND b.y + b.h > a.y AND b.x - (a.x + a.w) >= 0)
+SELECT id, nb AS neighbour FROM p WHERE k = 1""")
+def spatial_step(spark, sf_dir):
+    """The nearest rectangle to the right of every one."""
+    return view.nearest(_rects(spark, sf_dir), "right", 15.0)
+
+
+_LOD = """CASE WHEN ph < 4 THEN NULL WHEN leaf AND (pw < 60 OR ph < 20) THEN 'Dot' WHEN leaf AND ph < 80 THEN 'Label' WHEN leaf AND 12 * ph / h >= 4 AND pw >= 300 THEN 'Text' WHEN leaf THEN 'Minimap'
+  WHEN pw < 60 THEN 'Dot' WHEN ph < 20 THEN 'Dot' WHEN ph < 80 THEN 'Label' WHEN ph < 250 THEN 'Card' WHEN ph < 700 OR pw < 300 THEN 'Detail' ELSE 'Full' END"""
+
+
+@query(f"""
+WITH {_RECT_SQL}, p AS (SELECT *, (x - 100) * 8 AS px, (y - 30) * 8 AS py, w * 8 AS pw, h * 8 AS ph FROM r)
+SELECT id, greatest(px, -2) AS cx, greatest(py, -2) AS cy, least(px + pw, 1602) - greatest(px, -2) AS cw, least(py + ph, 902) - greatest(py, -2) AS ch, {_LOD} AS lod
+FROM p WHERE px <= 1600 AND px + pw >= 0 AND py <= 900 AND py + ph >= 0 AND {_LOD} IS NOT NULL""")
+def visible_lod(spark, sf_dir):
+    """What a viewport shows, clipped, with its level of detail."""
+    return view.visible(_rects(spark, sf_dir), 100.0, 30.0, 8.0, 1600.0, 900.0)
+
+
+@query(f"WITH {_RECT_SQL} SELECT max(id) AS id FROM r WHERE x <= 205 AND 205 < x + w AND y <= 35 AND 35 < y + h")
+def hit_test(spark, sf_dir):
+    """The deepest rectangle under a point."""
+    return view.hit_test(_rects(spark, sf_dir), 205.0, 35.0)
+
+
+@query(f"WITH {_RECT_SQL} SELECT id, x + x * 0.25 AS x, y + 2.5 AS y, w, h FROM r")
+def layout_transition(spark, sf_dir):
+    """A quarter of the way between two layouts of the same nodes."""
+    r = _rects(spark, sf_dir).select("id", "x", "y", "w", "h")
+    return view.interpolate(r, r.select("id", (F.col("x") * 2).alias("x"), (F.col("y") + 10).alias("y"), "w", "h"), F.lit(0.25))
+
+
+@query("SELECT user_id, event_id, used FROM (SELECT *, CAST(sum(CAST(round(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM events) WHERE used <= 500")
+def lru_keep(spark, sf_dir):
+    """What each user's cache keeps within its budget."""
+    e = _t(spark, sf_dir, "events").withColumn("bytes", F.round("value").cast("long"))
+    return cache.lru_keep(e, 500, "bytes", "ts", "event_id", "user_id").select("user_id", "event_id", "used")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 4")
+def topk_priority(spark, sf_dir):
+    """The four requests of most area."""
+    return cache.top_priority(_t(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT DISTINCT c_mktsegment FROM customer")
+def filter_union(spark, sf_dir):
+    """Union of filter lists."""
+    n, r, c = (_t(spark, sf_dir, t).select(F.col(x).alias("name")) for t, x in (("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment")))
+    return n.union(r).union(c).distinct()
+
+
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def except_dirs(spark, sf_dir):
+    """Folders without an eligible file."""
+    full = _t(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).distinct().join(full, "k", "left_anti")
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT {_PATH_SQL} AS path FROM pages WHERE page_id % 3 <> 0), q AS (SELECT path FROM p UNION SELECT split_part(path, '/', 1) FROM p WHERE hash(split_part(path, '/', 1)) IS NOT NULL AND strlen(path) % 5 = 0)
+SELECT path FROM q WHERE NOT EXISTS (SELECT 1 FROM q a WHERE starts_with(q.path, a.path || '/'))""")
+def topmost(spark, sf_dir):
+    """Disabled folders without a disabled ancestor."""
+    p = _urls(spark, sf_dir).where("page_id % 3 <> 0").select("path").distinct()
+    return hierarchy.topmost(p.unionByName(p.where(F.octet_length("path") % 5 == 0).select(F.substring_index("path", "/", 1).alias("path"))).distinct())
+
+
+@query("""
+SELECT o_orderkey, list_aggregate(list_sort(list_distinct([CAST((k * t + s - 2) // (s - 1) AS BIGINT) for k in range(0, s)])), 'string_agg', ',') AS marks
+FROM (SELECT o_orderkey, o_orderkey % 40 AS t, least(greatest(o_orderkey % 9, 2), o_orderkey % 40 + 1) AS s FROM orders WHERE o_orderkey % 40 > 0)""")
+def milestones(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    out = None
+    for s in range(9):
+        part = o.where(F.col("o_orderkey") % 9 == s).select("o_orderkey", F.array_join(pack.milestones(F.col("o_orderkey") % 40, s).cast("array<string>"), ",").alias("marks"), (F.col("o_orderkey") % 40).alias("t")).where("t > 0").drop("t")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""
+WITH p AS (SELECT c_custkey, c_custkey % 300 AS p0 FROM customer)
+SELECT c_custkey, CAST(CASE WHEN b >= 120 THEN b - 14 WHEN b > 105 THEN 105 ELSE b END AS BIGINT) AS pos FROM (
+  SELECT c_custkey, CASE WHEN a >= 200 THEN a + 5 ELSE a END AS b FROM (SELECT c_custkey, CASE WHEN p0 >= 50 THEN p0 + 10 ELSE p0 END AS a FROM p))""")
+def anchor_remap(spark, sf_dir):
+    """Positions after three edits."""
+    e = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(n).alias("new_len")) for a, b, n in ((50, 50, 10), (200, 200, 5), (105, 120, 1))))
+    return _t(spark, sf_dir, "customer").select("c_custkey", spans.remap(F.col("c_custkey") % 300, e).alias("pos"))
+
+
+@query("""
+WITH g AS (SELECT user_id, event_type AS kind, sum(CAST(round(value) AS BIGINT)) AS w, min(event_id) AS s FROM events GROUP BY 1, 2)
+SELECT user_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, s) AS k FROM g) WHERE k = 1""")
+def dominant_kind(spark, sf_dir):
+    """Weighted mode, the first seen of equals."""
+    e = _t(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("kind"), F.round("value").cast("long").alias("weight"), F.col("event_id").alias("seq"))
+    return spans.dominant_kind(e, "user_id")
+
+
+@query("SELECT l_orderkey, list_aggregate(list_sort(list(l_partkey || ':' || l_linenumber)), 'string_agg', ',') AS inventory, min(l_linenumber) AS first FROM lineitem GROUP BY l_orderkey")
+def group_edges(spark, sf_dir):
+    """Targets of each name gathered in order."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", "l_linenumber").alias("t"))
+    return li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("t")), ",").alias("inventory"), F.min("l_linenumber").alias("first"))
+
+
+@query("SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS child FROM orders GROUP BY o_custkey")
+def largest_child(spark, sf_dir):
+    """The child of largest measure; of equals the last."""
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("child"))
+
+
+@query("SELECT s_suppkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', b / 1024.0) || ' KB' ELSE printf('%.1f', b / 1048576.0) || ' MB' END AS size FROM (SELECT s_suppkey, (s_suppkey * s_suppkey * 37) AS b FROM supplier)")
+def byte_sizes(spark, sf_dir):
+    """Sizes in readable steps."""
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", text.format_bytes(F.col("s_suppkey") * F.col("s_suppkey") * 37).alias("size"))
+
+
+@query(r"""
+SELECT p_partkey, nullif(regexp_extract(sig, ' -> \s*([^\s{:<]*)', 1), '') AS ret, trim(regexp_replace(regexp_extract(sig || ' {x}', '^[^{;]*', 0), '\s+', ' ', 'g')) AS signature
+FROM (SELECT p_partkey, 'fn  ' || p_name || '(a)' || CASE WHEN p_size % 2 = 0 THEN ' -> ' || p_brand || '<T>' ELSE '' END AS sig FROM part)""")
+def signatures(spark, sf_dir):
+    """Signature text and return type."""
+    sig = F.concat(F.lit("fn  "), F.col("p_name"), F.lit("(a)"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" -> "), F.col("p_brand"), F.lit("<T>"))).otherwise(""))
+    p = _t(spark, sf_dir, "part").select("p_partkey", sig.alias("sig"))
+    return p.select("p_partkey", text.return_type("sig", F.lit("rs")).alias("ret"), text.item_signature(F.concat(F.col("sig"), F.lit(" {x}"))).alias("signature"))
+
+
+@query()
+def pack_levels(spark, sf_dir):
+    """Rectangles of brands (folders) that hold parts (files)."""
+    p = _t(spark, sf_dir, "part")
+    root = F.lit("root")
+    files = p.select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("parent_id"), F.lit("file").alias("kind"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("measure"), F.lit(2).alias("depth"), F.array(root, F.col("p_brand")).alias("anc"))
+    folders = p.groupBy(F.col("p_brand").alias("id")).agg(F.sum("p_size").alias("measure")).select("id", root.alias("parent_id"), F.lit("folder").alias("kind"), F.col("id").alias("path"), F.col("id").alias("name"), "measure", F.lit(1).alias("depth"), F.array(root).alias("anc"))
+    top = spark.range(1).select(root.alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("folder").alias("kind"), F.lit("").alias("path"), root.alias("name"), F.lit(0).cast("long").alias("measure"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("anc"))
+    nodes = files.unionByName(folders).unionByName(top).withColumns({"label": F.lit(None).cast("string"), "ordinal": F.lit(0), "role": F.lit(0), "byte_start": F.lit(None).cast("long")})
+    return pack.pack(nodes, max_depth=2)
+
+
+# Beyond the reference: joins and windows that Spark has, over the event stream's table.
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_events(spark, sf_dir):
+    w = F.window("ts", "1 day")
+    return _t(spark, sf_dir, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("day"), "n")
+
+
