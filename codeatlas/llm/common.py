@@ -102,7 +102,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the base and of its inverse modulo 2**64."""
     global _POWERS, _INVERSE
     if len(_POWERS) < n:
-        m = 1 << (n - 1).bit_length()
+        m = max(n, len(_POWERS) * 5 // 4)
         with np.errstate(over="ignore"):
             _POWERS, _INVERSE = np.full(m, _BASE, U64), np.full(m, pow(_BASE, -1, 1 << 64), U64)
             _POWERS[0] = _INVERSE[0] = 1

@@ -28,7 +28,8 @@ from codeatlas.llm.components import connected_components
 
 BUCKET_BITS = 16
 COLD = 64  # n-grams in at most so many groups pair them one by one
-BLOCK_GRAMS = 3_000_000
+BLOCK_GRAMS = 2_000_000
+BATCH_BYTES = 1 << 20  # of text hashed at once; the arrays made of it take some hundred bytes a word
 MARK_WORDS = 1 << 16  # of 64 bits, of the mark that spares documents in no cluster
 
 
@@ -65,7 +66,7 @@ def _counts(docs: DataFrame, k: int) -> np.ndarray:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for b in batches(8 << 20)(it):
+        for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(b.schema.get_field_index("text")))
             g, _ = gram_sets(data, off, k)
             total += np.bincount((g >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
@@ -94,7 +95,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray) ->
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
-        for b in batches(8 << 20)(it):
+        for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(b.schema.get_field_index("text")))
             g, first = gram_sets(data, off, k)
             n = np.diff(first)
@@ -144,7 +145,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, rank: np.ndarray, num: int, d
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
-        for b in batches(4 << 20)(it):
+        for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(1))
             g, first = gram_sets(data, off, k)
             n = np.diff(first)

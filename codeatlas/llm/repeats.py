@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from codeatlas.llm.common import P1, P2, U64, batches, cut, lower, mix, powers, range_hashes, utf8, words
 
 WORDS, GRAM = 50, 16
+BATCH_BYTES = 2 << 20  # of text hashed at once
 _NONE = np.iinfo(np.int64).min  # stands for a null doc_id
 MARK_BITS = 25  # of a table that marks k-grams which repeat: 4 MB, whatever the corpus
 
@@ -75,7 +76,7 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(8 << 20)(it):
+        for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(0))
             _, at, _, best, chosen, *_ = _windows(data, off, n_words, gram)
             fresh = np.ones(len(at), bool)  # each selected position once
@@ -92,7 +93,7 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
 
     def extended(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        for b in batches(8 << 20)(it):
+        for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(1))
             doc, at, full, best, _, start, end, first = _windows(data, off, n_words, gram)
             i = mix(best * P1) >> U64(64 - MARK_BITS)  # mixed anew: the least hashes share their first bits
