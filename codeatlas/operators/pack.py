@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.functions.tables import PACK_FACTORS, SOURCE_ORDERED
+from codeatlas.plans.lineage import saved
 
 
 @dataclass(frozen=True)
@@ -135,10 +136,11 @@ def arrange(children: pd.DataFrame, kind: str, path: str, cfg: PackConfig):
     return [(r["id"], gap + x, head + y) for r, x, y in at], (bounds[0] + 2 * gap, cfg.container_header + bounds[1] + 2 * gap)
 
 
-def pack(nodes: DataFrame, cfg: PackConfig = PackConfig(), max_depth: int | None = None, save=DataFrame.cache) -> DataFrame:
+def pack(nodes: DataFrame, cfg: PackConfig = PackConfig(), max_depth: int | None = None, save=saved) -> DataFrame:
     """(id, x, y, w, h) of every node. ``nodes`` has id, parent_id (null at the root), kind, label,
     path, name, ordinal, role (number), byte_start, measure, depth, and anc: the ids from the
-    root to the parent. ``save`` keeps each level's result (cached by default)."""
+    root to the parent. ``save`` keeps each level's result and cuts its lineage."""
+    nodes = save(nodes)
     deepest = nodes.agg(F.max("depth")).first()[0] if max_depth is None else max_depth
     parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
     size = nodes.join(parents, "id", "left_anti").select("id", F.lit(cfg.page_w).alias("w"), leaf_size(F.col("measure"), cfg).alias("h"))
