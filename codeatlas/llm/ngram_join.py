@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import P1, U64, batches, cut, lower, mix, range_hashes, utf8, words
+from codeatlas.llm.common import P1, U64, arrow_rows, batches, cut, lower, mix, range_hashes, utf8, words
 from codeatlas.llm.components import connected_components
 
 BUCKET_BITS = 16
@@ -280,7 +280,8 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_gr
         F.when(F.col("block") == F.col("j"), 0).when(F.col("block") < F.col("j"), 1).otherwise(2).alias("side"),
         "u", "n", "copies", "grams", "prefix",
     )
-    found = cut(_linked(cells.repartition("key").sortWithinPartitions("key"), num, den), "links")
+    with arrow_rows(docs.sparkSession, 128):  # rows hold whole sets
+        found = cut(_linked(cells.repartition("key").sortWithinPartitions("key"), num, den), "links")
     comp = connected_components(found.select(F.col("u").alias("a"), F.col("v").alias("b")))
     links = found.groupBy("u").agg(F.sum("links").alias("near"))
 
