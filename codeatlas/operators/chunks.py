@@ -15,13 +15,13 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col(text)
     parts = F.when(t.isNull() | (t == ""), F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
     last = F.when(F.endswith(t, F.lit("\n")), 1).otherwise(0)
-    rows = docs.select(key, parts.alias("p"), last.alias("ended"))
-    rows = rows.select(key, "p", "ended", F.transform("p", lambda x: F.octet_length(x) + 1).alias("n"))
-    fold = F.aggregate("n", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x.cast("long"))))
-    rows = rows.select(key, F.size("p").alias("k"), "ended", fold.alias("at"), F.posexplode("p").alias("line_no", "raw"))
-    start = F.get("at", F.col("line_no"))
-    end = F.get("at", F.col("line_no") + 1) - F.when((F.col("line_no") == F.col("k") - 1) & (F.col("ended") == 0), 1).otherwise(0)
-    return rows.select(key, "line_no", start.alias("start_byte"), end.alias("end_byte"), F.regexp_replace("raw", r"\r+\z", "").alias("text"))
+    rows = docs.select(key, parts.alias("_p"), last.alias("_e"))
+    sizes = F.transform("_p", lambda x: F.octet_length(x) + 1)
+    fold = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x.cast("long"))))
+    rows = rows.select(key, F.size("_p").alias("_k"), "_e", fold.alias("_at"), F.posexplode("_p").alias("line_no", "_raw"))
+    start = F.get("_at", F.col("line_no"))
+    end = F.get("_at", F.col("line_no") + 1) - F.when((F.col("line_no") == F.col("_k") - 1) & (F.col("_e") == 0), 1).otherwise(0)
+    return rows.select(key, "line_no", start.alias("start_byte"), end.alias("end_byte"), F.regexp_replace("_raw", r"\r+\z", "").alias("text"))
 
 
 def fixed(lines: DataFrame, key: str, size: int = CHUNK_LINES) -> DataFrame:
