@@ -65,10 +65,10 @@ def _windows(data: np.ndarray, offsets: np.ndarray, n_words: int, gram: int):
 
 
 def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start_char, end_char, n_words, copies, first_doc) of each longest stretch of a
-    text of which every n_words words in a row occur at another place too, in this document or
-    another. copies is the largest number of places of one of them, first_doc the least doc_id
-    that holds the first of them.
+    """(doc_id, start_char, end_char, copies, first) of each stretch of a text that is covered by
+    overlapping runs of n_words words each of which occurs at another place too, in this document
+    or another. copies is the largest number of places of one of the runs; first is true where
+    no document of lesser doc_id holds any of them.
 
     Words are runs other than ASCII white space, A-Z lower-cased. Characters are code points, end
     exclusive. Null, empty and short texts have none; documents without repeats have no row;
@@ -95,44 +95,43 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
         t = shared.value
         for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(1))
-            doc, at, full, best, _, start, end, first = _windows(data, off, n_words, gram)
+            doc, at, full, best, _, start, end, _ = _windows(data, off, n_words, gram)
             i = mix(best * P1) >> U64(64 - MARK_BITS)  # mixed anew: the least hashes share their first bits
             some = (t[(i >> U64(6)).astype(np.int64)] >> (i & U64(63))) & U64(1) == 1
             at, full = at[some], full[some]
             of = doc[at]
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             begin = chars[start[at]]
-            place = (at - first[of]) << 32 | (begin - chars[off[of]])
-            size = chars[end[at + n_words - 1]] - begin
-            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(place), pa.array(size.astype(np.int32))], ["k", "doc_id", "place", "size"])
+            place = (begin - chars[off[of]]) << 32 | (chars[end[at + n_words - 1]] - begin)  # start and length
+            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(place)], ["k", "doc_id", "place"])
 
-    found = cut(docs.mapInArrow(extended, "k long, doc_id long, place long, size int"), "suffixes")
+    found = cut(docs.mapInArrow(extended, "k long, doc_id long, place long"), "suffixes")
     # the keys that repeat; the join's other side may be split where one key is in very many rows
-    keys = found.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
-    places = found.join(keys, "k").select("doc_id", "place", "size", "copies", "first_doc")
+    keys = found.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
+    # what goes on to the documents is narrow: twice the copies, and one if the document is the first
+    places = found.join(keys, "k").select("doc_id", "place", (F.col("copies") * 2 + F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True)).cast("long")).alias("c"))
     places = places.repartition("doc_id").sortWithinPartitions("doc_id", "place")
-    names = ["doc_id", "start_char", "end_char", "n_words", "copies", "first_doc"]
 
     def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((7, 0), np.int64)  # the stretch that the next batch may go on with
+        held = np.zeros((5, 0), np.int64)  # the stretch that the next batch may go on with
         for b in it:
-            doc, origin = (np.asarray(b.column(i).fill_null(_NONE)) for i in (0, 4))
-            place, size, copies = (np.asarray(b.column(i), np.int64) for i in (1, 2, 3))
-            at, begin = place >> 32, place & 0xFFFFFFFF
-            rows = np.hstack([held, np.vstack([doc, at, at, begin, begin + size, copies, origin])])
+            doc = np.asarray(b.column(0).fill_null(_NONE))
+            place, c = (np.asarray(b.column(i), np.int64) for i in (1, 2))
+            begin = place >> 32
+            rows = np.hstack([held, np.vstack([doc, begin, begin + (place & 0xFFFFFFFF), c >> 1, c & 1])])
             if not rows.shape[1]:
                 continue
             new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] > rows[2, :-1] + n_words)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] >= rows[2, :-1])
             s = np.flatnonzero(new)
             e = np.append(s[1:], rows.shape[1]) - 1
-            out = np.vstack([rows[0, s], rows[1, s], rows[2, e], rows[3, s], rows[4, e], np.maximum.reduceat(rows[5], s), rows[6, s]])
+            out = np.vstack([rows[0, s], rows[1, s], rows[2, e], np.maximum.reduceat(rows[3], s), np.minimum.reduceat(rows[4], s)])
             held = out[:, -1:]
             yield _spans(out[:, :-1])
         yield _spans(held)
 
     def _spans(x: np.ndarray) -> pa.RecordBatch:
-        ids = [pa.array(c, pa.int64(), mask=c == _NONE) for c in (x[0], x[6])]
-        return pa.RecordBatch.from_arrays([ids[0], pa.array(x[3]), pa.array(x[4]), pa.array(x[2] - x[1] + n_words), pa.array(x[5]), ids[1]], names)
+        ids = pa.array(x[0], pa.int64(), mask=x[0] == _NONE)
+        return pa.RecordBatch.from_arrays([ids, *map(pa.array, x[1:4]), pa.array(x[4] == 1)], ["doc_id", "start_char", "end_char", "copies", "first"])
 
-    return places.mapInArrow(joined, ", ".join(f"{n} long" for n in names))
+    return places.mapInArrow(joined, "doc_id long, start_char long, end_char long, copies long, first boolean")

@@ -1,0 +1,229 @@
+"""Operators on single texts, against brute force, round trips and the libraries."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from codeatlas.llm import bpe, decontaminate, fingerprint, langid, ordered, pii, quality, queries, token_file, url_filter
+
+TEXTS = [None, "", " ", "a", "Hello, world! It's  two  spaces\n\nand\tlines ", "x" * 3000, "ab" * 700 + " " * 40 + "the " * 300, "日本語 テキスト é ñ 12345 <|endoftext|>", "\n a", "a \n", "the the the", "Hello, world! It's  two  spaces\n\nand\tlines "]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i * 3, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def test_bpe_is_tiktoken(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, t in enumerate(TEXTS):
+        assert np.frombuffer(got[i * 3]["ids"], "<u4").tolist() == enc.encode_ordinary(t or "")
+        assert bytes(got[i * 3]["decoded"]) == (t or "").encode()
+    assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_random(spark):
+    b, cache = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n\t '’sétll\x85\x1c　日 ñ12!?…​.,-") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for t, ids in zip(texts, cache.pack(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t)
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder = f"file://{tmp_path}/t"
+    shards = token_file.write(docs.select("doc_id", "text"), folder, path)
+    got = {r["doc_id"]: r for r in token_file.read(spark, folder, shards).withColumn("crc", F.crc32("ids")).collect()}
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    at = 0
+    for i, t in enumerate(TEXTS):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i * 3]["start"], got[i * 3]["n_tokens"], got[i * 3]["crc"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    none = token_file.write(empty, f"file://{tmp_path}/e", path)
+    assert none == [] and token_file.read(spark, f"file://{tmp_path}/e", none).count() == 0
+    with pytest.raises(ValueError):
+        token_file.local("s3a://bucket/x")
+
+
+def brute_winnow(t, k, w):
+    if not t:
+        return []
+    k = min(k, len(t))
+    h = [int(x) >> 20 for x in fingerprint._gram_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32), k)]
+    w, out = min(w, len(h)), []
+    for i in range(len(h) - w + 1):
+        j = max(x for x in range(i, i + w) if h[x] == min(h[i : i + w]))
+        if not out or out[-1] != j:
+            out.append(j)
+    return [(h[j] >> 12, j) for j in out]
+
+
+def test_winnow():
+    rng = random.Random(1)
+    for _ in range(200):
+        t = "ab" * rng.randint(0, 60) if rng.random() < 0.3 else "".join(rng.choice("abé ") for _ in range(rng.choice([0, 1, 3, 19, 20, 58, 60, 200])))
+        k, w = rng.choice([(12, 24), (3, 5), (1, 1), (4, 16)])
+        h, p = fingerprint.winnow(t, k, w)
+        assert list(zip(h.tolist(), p.tolist(), strict=True)) == brute_winnow(t, k, w)
+
+
+def test_winnow_guarantee():
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(fingerprint.K + fingerprint.W - 1))
+    a, b = ("".join(rng.choice("ijklmnop ") for _ in range(300)) for _ in range(2))
+    assert set(fingerprint.winnow(a + shared)[0]) & set(fingerprint.winnow(shared + b)[0])
+
+
+def test_edits(docs, empty, spark):
+    got = {r["doc_id"]: r for r in fingerprint.with_edits(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        t, nxt = t or "", TEXTS[(i + 1) % len(TEXTS)] or ""
+        k = len(t) // 4
+        r = got[i * 3]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert got[12]["fingerprint"] == got[33]["fingerprint"]
+    assert fingerprint.with_edits(empty).count() == 0
+    odd = spark.createDataFrame([(None, "a"), (5, "b"), (5, "b")], "doc_id long, text string")
+    assert fingerprint.with_edits(odd).count() == 3
+    assert fingerprint.fingerprint(docs).where("size(hashes) = 0").count() == 2
+
+
+def test_bounds(spark):
+    d = spark.range(1000)
+    cuts = ordered.bounds(d, "id", 80)
+    n = d.groupBy(ordered.part_of("id", cuts).alias("p")).count().collect()
+    assert len(n) >= 70 and max(r["count"] for r in n) < 40
+    assert ordered.bounds(d.where("id < 0"), "id", 4) == []
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def test_emails():
+    rng = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choice("ab.@-é% ") for _ in range(rng.randint(0, 25)))
+        assert list(pii.emails(t)) == [m.span() for m in EMAIL.finditer(t)]
+
+
+def test_pii(spark, docs, empty):
+    t = "Mail a.b+c@x-y.example.com, ip 10.0.0.255 not 10.0.0.256, card 4539 1488 0343 6467 not 4539148803436468, call +1 (555) 010-9999 or 555-010-1234, ssn 123-45-6789, token = \"0641917ea4e9feb9cda83477b57ac2654884f485\"."
+    base, spans = pii.all_spans(t, pii.trained())
+    assert [(k, t[a:b]) for k, a, b in base] == [("email", "a.b+c@x-y.example.com"), ("ip", "10.0.0.255"), ("card", "4539 1488 0343 6467"), ("phone", "+1 (555) 010-9999")]
+    assert {("phone", "555-010-1234"), ("ssn", "123-45-6789")} <= {(k, t[a:b]) for k, a, b in spans} and set(base) <= set(spans)
+    assert pii.all_spans("Plain words only, version 2.0 of 1999!! la&&& %%%", pii.trained())[1] == []
+    assert pii.find(docs).where("size(spans) > 0").count() == 0 and pii.find(empty).count() == 0
+    d = spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert "example.com" not in out[1] and "<email>" in out[1] and out[2] is None and out[3] == ""
+
+
+def test_stretches_equal_whole_decoding():
+    m, rng = pii.trained(), random.Random(1)
+    for _ in range(100):
+        s = np.array([rng.choice([0] * 12 + list(range(pii.N_SHAPES - 1))) for _ in range(rng.randint(1, 60))])
+        e = m.emissions(s, np.concatenate([[pii.EDGE], s[:-1]]), np.concatenate([s[1:], [pii.EDGE]]))
+        assert (m.viterbi(e[None], np.array([len(s)]))[0] == m.label(s)).all()
+
+
+def distance(n, t):
+    prev = [0] * (len(t) + 1)
+    for i, x in enumerate(n, 1):
+        cur = [i]
+        for j, c in enumerate(t, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != c)))
+        prev = cur
+    return min(prev)
+
+
+def test_decontaminate(spark, docs, empty):
+    rng = random.Random(1)
+    for _ in range(150):
+        n = decontaminate.normalise("".join(rng.choice("abc d") for _ in range(rng.randint(5, 40))))
+        t = list(n)
+        for _ in range(rng.randint(0, 4)):
+            p = rng.randrange(max(1, len(t)))
+            t[p : p + rng.randint(0, 1)] = rng.choice([[], ["x"], ["q"]])
+        x = decontaminate.normalise("zz " * rng.randint(0, 5) + "".join(t) + " ww" * rng.randint(0, 5))
+        if n:
+            assert bool(decontaminate.Matcher([(7, n)], 8).matches(x)) == (distance(n, x) <= len(n) // 8)
+    items = spark.createDataFrame([(1, "Hello world, its two spaces"), (2, None), (3, "!!"), (4, "the the the"), (4, "the the the")], "item_id long, text string")
+    for limit in (100, 1):
+        got = {r["doc_id"]: sorted(m["item_id"] for m in r["matches"]) for r in decontaminate.find(docs, items, max_items=limit).collect()}
+        assert got[30][:1] == [4] and got[12] == [1] and got[0] == [] and got[3] == []
+    assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(docs, items.limit(0)).where("size(matches) > 0").count() == 0
+
+
+def test_quality(spark, sf, docs, empty):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = queries.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.9 and got.score.between(0, 1).all()
+    none = quality.fit(d, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
+    assert {r["score"] for r in quality.classify(docs, none).collect()} == {0.5}
+    assert quality.classify(empty, none).count() == 0
+
+
+def test_language(spark, sf, docs, empty):
+    got = queries.op4_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.8
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.Network(["a", "b"])).collect()}
+    assert out[0] == ("und", 0.0) and out[3] == ("und", 0.0) and out[6] == ("und", 0.0) and out[9][0] in "ab"
+    assert langid.fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)) is None
+    assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"} and langid.identify(empty, None).count() == 0
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    net = langid.Network(["a", "b"], hidden=3)
+    for p in (*net.f.params(), *net.b.params()):
+        p += 0.1
+    x = rng.integers(1, 20, (4, 6)).astype(np.uint8)
+    f = net.f
+    for i, p in enumerate(f.params()):
+        f.e, f.u, f.c = (q.astype(np.float64) for q in f.params())
+        keep = []
+        out = f.run(np.ascontiguousarray(x.T), keep)
+        weight = rng.standard_normal((len(out), *out[0].shape))
+        grad = f.back(np.ascontiguousarray(x.T), keep, weight)[i]
+        at = tuple(rng.integers(0, s) for s in p.shape) if i else (int(x[0, 0]), 1)
+        q = f.params()[i]
+        loss = []
+        for d in (1e-5, -2e-5):
+            q[at] += d
+            loss.append(sum((o * w).sum() for o, w in zip(f.run(np.ascontiguousarray(x.T)), weight, strict=True)))
+        assert abs((loss[0] - loss[1]) / 2e-5 - grad[at]) < 1e-3 * max(1, abs(grad[at]))
+
+
+def test_urls(spark):
+    urls = ["http://A.Example.com/en/71?x", "http://a.example.com/en/8", "x://net/de/1#a", "http://www.list.io:80/p/", "http://list.io/p/index.html", "nothing", None, "http://h", "http://notcom/en/1", "http://b.example.net/de/80", "", "https://list.io/p"]
+    d = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(d, spark.createDataFrame([("https://list.io/p",), (None,), ("https://list.io/p",)], "url string")).collect()}
+    assert got[0] == ("a.example.com", "/en/71", "example.com/en/7", "allow") and got[1][2:] == ("com/en/", "block") and got[2] == ("net", "/de/1", "net/de/", "block")
+    assert [got[i][3] for i in (3, 4, 11)] == ["block"] * 3 and got[5] == ("", "", None, "allow") == got[6] and got[7] == ("h", "", None, "allow") and got[8][2] is None and got[9][2] == "example.net/de/8"
+    assert url_filter.filter_urls(d, d.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+    assert url_filter.filter_urls(d.limit(0), d).count() == 0
+    small = url_filter.filter_urls(d, d.select("url"), max_blocks=1)
+    assert small.where("rule is null and path <> '' and verdict = 'allow'").count() == 0
