@@ -124,8 +124,9 @@ class Network:
         h = self.w.shape[0] // 2
         return np.stack([p @ self.w[:h] + q @ self.w[h:] + self.bias for p, q in zip(f, b, strict=True)])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 1) -> Network:
-        """Adam on the mean cross-entropy of all positions."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 280, batch: int = 256, rate: float = 0.01, seed: int = 1) -> Network:
+        """Adam on the mean cross-entropy of all positions; as many steps for any sample."""
+        epochs = -(-steps // -(-len(x) // batch))
         rng = np.random.default_rng(seed)
         params = [*self.f.params(), *self.b.params(), self.w, self.bias]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
