@@ -9,7 +9,8 @@ they share, and the pairs that are left expand into members that are verified ex
 with more n-grams than a task should hold is cut into blocks, and each pair of blocks is a task.
 
 Order: n-grams are counted in 2**16 buckets by hash, over all documents; the order is by the
-bucket's count, then by hash. Any order gives the right result; this one keeps frequent n-grams
+bucket's count, then by hash. N-grams that then turn out to be in the prefixes of many groups go
+to the end, and prefixes are made anew. Any order gives the right result; this one keeps frequent n-grams
 out of prefixes. N-grams are 64-bit hashes: two in one pair of sets that collide are the only
 source of error (below 1e-10 for sets of 20,000).
 """
@@ -27,6 +28,7 @@ from codeatlas.llm.common import P1, U64, arrow_rows, batches, cut, lower, mix,
 from codeatlas.llm.components import connected_components
 
 BUCKET_BITS = 16
+LATE, MAX_LATE = 16, 1 << 17  # n-grams met in more than LATE groups go to the end of the order; so many of them are broadcast
 COLD = 64  # n-grams in at most so many groups pair them one by one
 BLOCK_GRAMS = 2_000_000
 BATCH_BYTES = 1 << 20  # of text hashed at once; the arrays made of it take some hundred bytes a word
@@ -89,9 +91,24 @@ def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n >= least_linked(num, den), n - -(-n * num // den) + 1, 0)
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
+class Order:
+    """The global order of n-grams: those known to be in many groups last, then by bucket and hash."""
+
+    def __init__(self, rank: np.ndarray, late: np.ndarray):
+        self.rank, self.late = rank, np.sort(late)
+
+    def sorted(self, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Indices that put each owner's n-grams in order."""
+        rank = self.rank[(grams >> U64(64 - BUCKET_BITS)).astype(np.int64)]
+        if len(self.late):
+            at = np.minimum(np.searchsorted(self.late, grams), len(self.late) - 1)
+            rank = rank + (self.late[at] == grams) * np.int32(1 << BUCKET_BITS)
+        return np.lexsort((grams, rank, owner))
+
+
+def _prefixes(docs: DataFrame, k: int, num: int, den: int, first_of: Order) -> DataFrame:
     """(doc_id, n, s1, s2, prefix): s1 and s2 hash the whole set."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    shared = docs.sparkSession.sparkContext.broadcast(first_of)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
@@ -101,7 +118,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray) ->
             n = np.diff(first)
             p = prefix_size(n, num, den)
             d = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((g, r[(g >> U64(64 - BUCKET_BITS)).astype(np.int64)], d))
+            order = r.sorted(g, d)
             keep = np.arange(len(g)) - first[:-1][d] < p[d]
             sums = []
             for m in (g * P1, g ^ U64(0x5851F42D4C957F2D)):
@@ -135,13 +152,13 @@ def _near(token: DataFrame, num: int, den: int, cold: int = COLD) -> DataFrame:
     return pairs.select(F.col("ag").alias("a"), F.col("bg").alias("b")).unionByName(hot.where("g <> v").select(F.col("g").alias("a"), F.col("v").alias("b")))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int, rank: np.ndarray, num: int, den: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, k: int, first_of: Order, num: int, den: int) -> DataFrame:
     """(u, grams, prefix) as packed 64-bit numbers, of documents in ids (column u). A bit table of
     bounded size marks them, so that other documents' sets aren't made; the join is exact."""
     word, bit = F.pmod(F.xxhash64("u"), F.lit(MARK_WORDS)), F.pmod(F.xxhash64("u", F.lit(7)), F.lit(64)).cast("int")
     mark = ids.select(word.alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_b"))
     some = docs.select(F.col("doc_id").alias("u"), "text").withColumn("_w", word).join(F.broadcast(mark), "_w").where(F.call_function("getbit", "_b", bit) == 1).select("u", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    shared = docs.sparkSession.sparkContext.broadcast(first_of)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
@@ -151,7 +168,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, rank: np.ndarray, num: int, d
             n = np.diff(first)
             p = prefix_size(n, num, den)
             d = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((g, r[(g >> U64(64 - BUCKET_BITS)).astype(np.int64)], d))
+            order = r.sorted(g, d)
             head = g[order]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()), pa.array([head[x : x + q].tobytes() for x, q in zip(first, p)], pa.binary())], ["u", "grams", "prefix"])
 
@@ -239,6 +256,18 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, links long")
 
 
+def _classes(base: DataFrame) -> DataFrame:
+    """(s1, s2, n, u, copies): u is the least document of each set."""
+    return base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("u"), F.count("*").alias("copies"))
+
+
+def _groups(base: DataFrame) -> DataFrame:
+    """(p, n, u, prefix, g) of the units that may link with others; g is the least of their group."""
+    units = base.where(F.size("prefix") > 0).join(_classes(base).select("u", "n", "s1", "s2"), ["s1", "s2", "n"]).where("doc_id = u")
+    units = units.select("u", "n", F.xxhash64("prefix").alias("p"), "prefix").dropDuplicates(["u"])
+    return units.join(units.groupBy("p", "n").agg(F.min("u").alias("g")), ["p", "n"])
+
+
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of (doc_id, text).
 
@@ -253,17 +282,20 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_gr
     counts = _counts(docs, k)
     rank = np.empty(len(counts), np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
-    base = cut(_prefixes(docs, k, num, den, rank), "prefixes")
+    first_of = Order(rank, np.zeros(0, U64))
+    base = cut(_prefixes(docs, k, num, den, first_of), "prefixes")
+    groups = _groups(base)
+    many = groups.where("u = g").select(F.explode("prefix").alias("t")).groupBy("t").count().where(F.col("count") > LATE)
+    late = many.orderBy(F.desc("count"), "t").limit(MAX_LATE).toPandas()["t"].to_numpy(np.int64).view(U64)
+    if len(late):  # any order is right; the better one needs the prefixes anew
+        first_of = Order(rank, late)
+        base = cut(_prefixes(docs, k, num, den, first_of), "prefixes")
 
     some = base.where("n > 0")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("u"), F.count("*").alias("copies"))
+    classes = _classes(base)
     # the classes' side has each key once; a hot class is on the side that the skew join splits
     of = some.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"])
-
-    units = base.where(F.size("prefix") > 0).join(classes.select("u", F.col("n").alias("n"), "s1", "s2"), ["s1", "s2", "n"]).where("doc_id = u")
-    units = units.select("u", "n", F.xxhash64("prefix").alias("p"), "prefix").dropDuplicates(["u"])
-    groups = units.groupBy("p", "n").agg(F.min("u").alias("g"))
-    member = cut(units.join(groups, ["p", "n"]), "groups")
+    member = cut(_groups(base), "groups")
     near = _near(member.where("u = g").select("g", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("t")), num, den)
     cluster = connected_components(near.unionByName(member.where("u <> g").select(F.col("u").alias("a"), F.col("g").alias("b"))))
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "u")
@@ -272,7 +304,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_gr
     size = cluster.groupBy("root").agg(F.sum("n").alias("grams"))
     cluster = cluster.join(size, "root").withColumn("blocks", F.ceil(F.col("grams") / block_grams).cast("int"))
     cluster = cut(cluster.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).drop("grams"), "clusters")
-    sets = _sets(docs, cluster.select("u"), k, rank, num, den).join(cluster, "u")
+    sets = _sets(docs, cluster.select("u"), k, first_of, num, den).join(cluster, "u")
     # block i is in the tasks (i, j) for all j of its cluster; most clusters are one block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = sets.select("*", other.alias("j")).select(
