@@ -23,6 +23,7 @@ from codeatlas.llm.pieces import WHITE, ChunkCache
 
 MATRIX_BYTES = 256
 BATCH_BYTES = 4 << 20
+CACHED = 250_000  # chunks that a worker keeps; workers outlive their tasks
 _MARKS = frozenset(".,;:!?")
 
 
@@ -207,7 +208,7 @@ def load(path: str, pattern: str) -> tuple[ByteBPE, ChunkCache]:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         bpe = ByteBPE(ranks, pattern)
-        _loaded[path, pattern] = bpe, ChunkCache(bpe.encode_chunks)
+        _loaded[path, pattern] = bpe, ChunkCache(bpe.encode_chunks, CACHED)
     return _loaded[path, pattern]
 
 
