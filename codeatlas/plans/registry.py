@@ -197,7 +197,9 @@ def heading_lines(spark, sf_dir):
     return c.select("conv_id", "turn", text.is_heading("line").alias("heading"), F.when(text.is_heading("line"), text.heading_label("line")).alias("label"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT conv_id, turn, role, 2 + length(text) - length(replace(text, chr(10), '')) AS n FROM conversations)
+SELECT conv_id, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk, CAST(sum(n) OVER w - n AS INTEGER) AS start_line, CAST(sum(n) OVER w AS INTEGER) AS end_line, role AS label FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
 def heading_chunks(spark, sf_dir):
     """Heading chunks of conversations, each turn under a heading of its role."""
     turn = F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.col("text"))
@@ -482,6 +484,114 @@ def pack_levels(spark, sf_dir):
     return pack.pack(nodes, max_depth=2)
 
 
+@query("""
+WITH t AS (SELECT r_name AS folder, o_orderstatus AS ext, CAST(round(o_totalprice) AS BIGINT) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(greatest(count(*) FILTER (ext <> 'P') - count(*) FILTER (folder = 'ASIA'), 0) AS BIGINT) AS n_files, CAST(greatest(sum(v) FILTER (ext <> 'P') - sum(v) FILTER (folder = 'ASIA'), 0) AS BIGINT) AS n_bytes FROM t""")
+def filtered_totals(spark, sf_dir):
+    """Totals of enabled extensions without topmost disabled folders (as the reference counts them)."""
+    j = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = j.select("r_name", "n_name", "o_orderstatus", F.round("o_totalprice").cast("long").alias("v"))
+    off = j.select(F.lit("ASIA").alias("path")).limit(1).unionByName(j.where("r_name = 'ASIA'").select(F.concat_ws("/", "r_name", "n_name").alias("path"))).distinct()
+    j = j.join(F.broadcast(hierarchy.topmost(off).withColumn("off", F.lit(True))), F.col("r_name") == F.col("path"), "left")
+    on, gone = F.col("o_orderstatus") != "P", F.col("off")
+    return j.agg(F.greatest(F.count_if(on) - F.count_if(gone), F.lit(0)).alias("n_files"), F.greatest(F.sum(F.when(on, F.col("v"))) - F.sum(F.when(gone, F.col("v"))), F.lit(0)).alias("n_bytes"))
+
+
+@query("""
+SELECT name, n_bytes, row_number() OVER (ORDER BY n_bytes DESC, name) AS place FROM (SELECT n_name AS name, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_bytes FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY n_name)""")
+def folder_children(spark, sf_dir):
+    """A folder's children by size, then name; those without files have 0."""
+    from pyspark.sql import Window
+
+    c = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
+    n = _t(spark, sf_dir, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("name"), F.coalesce("c", F.lit(0)).alias("n_bytes"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_bytes"), "name")).cast("long"))  # one folder's children
+
+
+@query("SELECT conv_id, turn, CAST(i * 20 + max(greatest(sy, 0) - (i - 1) * 20) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bottom FROM (SELECT conv_id, turn, length(text) % 90 - 30 AS sy, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)")
+def pinned_stack(spark, sf_dir):
+    """Bottoms of pinned headers: a running maximum plus a constant step."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 90 - 30).alias("sy"), F.row_number().over(w).alias("i"))
+    run = F.max(F.greatest(F.col("sy"), F.lit(0)) - (F.col("i") - 1) * 20).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return c.select("conv_id", "turn", (F.col("i") * 20 + run).cast("long").alias("bottom"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(CAST(l_quantity AS BIGINT) + 8) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM lineitem")
+def card_offsets(spark, sf_dir):
+    """Tops of stacked cards: prefix sums of heights and gaps."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.sum(F.col("l_quantity").cast("long") + 8).over(w), F.lit(0)).alias("top"))
+
+
+@query("SELECT CAST(sum(1 + CASE WHEN brand_no % 2 = 0 THEN n ELSE 0 END) AS BIGINT) AS visible FROM (SELECT CAST(regexp_extract(p_brand, '[0-9]+', 0) AS INTEGER) AS brand_no, count(DISTINCT p_type) AS n FROM part GROUP BY 1)")
+def visible_rows(spark, sf_dir):
+    """Rows of a list whose expanded categories show their entries."""
+    n = _t(spark, sf_dir, "part").groupBy(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("b")).agg(F.count_distinct("p_type").alias("n"))
+    return n.agg(F.sum(1 + F.when(F.col("b") % 2 == 0, F.col("n")).otherwise(0)).alias("visible"))
+
+
+@query("SELECT n_name AS folder, coalesce(saved, n_nationkey % 4 <> 0) AS enabled FROM nation LEFT JOIN (SELECT s_nationkey, bool_or(s_acctbal > 9000) AS saved FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def selection_defaults(spark, sf_dir):
+    """What saved settings say, else the default."""
+    saved = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.bool_or(F.col("s_acctbal") > 9000).alias("saved"))
+    n = _t(spark, sf_dir, "nation").join(saved, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return n.select(F.col("n_name").alias("folder"), F.coalesce("saved", F.col("n_nationkey") % 4 != 0).alias("enabled"))
+
+
+@query("SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS filters FROM nation WHERE n_nationkey % 3 = 0 GROUP BY n_regionkey")
+def filter_lists(spark, sf_dir):
+    """A selection turned into lists of what is off."""
+    n = _t(spark, sf_dir, "nation").where("n_nationkey % 3 = 0")
+    return n.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("filters"))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list(role || ':' || n)), ',') AS inventory FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
+def kind_inventory(spark, sf_dir):
+    """Items of each file by kind, as text."""
+    n = _t(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
+    return n.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "role", "n"))), ",").alias("inventory"))
+
+
+@query(f"WITH {_DOC_LINES} SELECT doc_id, CAST(max(length(regexp_replace(raw, '\\r+$', ''))) AS BIGINT) AS longest FROM l GROUP BY doc_id")
+def longest_line(spark, sf_dir):
+    """The longest line of each document, inside the row."""
+    d = _t(spark, sf_dir, "documents").where("text <> ''")
+    return d.select("doc_id", F.array_max(F.transform(text.lines("text"), F.length)).cast("long").alias("longest"))
+
+
+@query("SELECT p_brand, max_by(p_type, (p_size, p_partkey)) AS ret FROM part GROUP BY p_brand")
+def last_return_type(spark, sf_dir):
+    """Of duplicates the last in order."""
+    f = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("ret"), F.struct("p_size", "p_partkey").alias("pre"))
+    return calls.last_return_type(f).select(F.col("name").alias("p_brand"), "ret")
+
+
+@query(f"SELECT path, CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS INTEGER) AS place FROM (SELECT DISTINCT {_PATH_SQL} AS path FROM pages)")
+def path_order(spark, sf_dir):
+    """Paths in order of their components: bounds of a range partitioning, then ranks within."""
+    p = _urls(spark, sf_dir).select("path").distinct()
+    return hierarchy.preorder(p.withColumn("positions", F.split("path", "/")), out="place").select("path", (F.col("place") + 1).alias("place"))
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS latest FROM events GROUP BY user_id")
+def latest_snapshot(spark, sf_dir):
+    """The latest of each generation."""
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
+
+
+@query(f"SELECT page_id, NOT (path = 'x' OR starts_with(path, split_part(path, '/', 1) || '/en/')) AS enabled FROM (SELECT page_id, {_PATH_SQL} AS path FROM pages)")
+def prefix_update(spark, sf_dir):
+    """A folder and all below it switched off."""
+    host = F.substring_index("path", "/", 1)
+    return _urls(spark, sf_dir).select("page_id", (~((F.col("path") == "x") | F.startswith("path", F.concat(host, F.lit("/en/"))))).alias("enabled"))
+
+
 # Beyond the reference: joins and windows that Spark has, over the event stream's table.
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def daily_events(spark, sf_dir):
