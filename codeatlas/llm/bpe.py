@@ -23,7 +23,7 @@ from codeatlas.llm.pieces import WHITE, ChunkCache
 
 MATRIX_BYTES = 256
 BATCH_BYTES = 4 << 20
-CACHED = 250_000  # chunks that a worker keeps; workers outlive their tasks
+CACHED = 100_000  # chunks that a worker keeps; workers outlive their tasks
 _MARKS = frozenset(".,;:!?")
 
 
