@@ -39,12 +39,6 @@ def normalise_path(path: str | Column) -> Column:
     return F.regexp_replace(F.translate(_col(path), "\\", "/"), r"^(\./|/)+", "")
 
 
-def ancestors(path: str | Column) -> Column:
-    """The folders above a path, the root ("") first."""
-    p = F.split(_col(path), "/")
-    return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.array_join(F.slice(p, 1, i), "/"))) if path is not None else None
-
-
 def folder_prefixes(path: str | Column) -> Column:
     """The folders above a path, without the root."""
     p = F.split(_col(path), "/")
