@@ -22,7 +22,7 @@ from codeatlas.llm.common import batches, binaries, utf8
 from codeatlas.llm.pieces import WHITE, ChunkCache
 
 MATRIX_BYTES = 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 CACHED = 100_000  # chunks that a worker keeps; workers outlive their tasks
 _MARKS = frozenset(".,;:!?")
 
@@ -233,6 +233,23 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return df.mapInArrow(run, schema)
 
 
+def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", exact: str = "round_trip") -> DataFrame:
+    """As encode, and ``exact``: whether decoding the ids gives the text's bytes. One pass, so one
+    Python worker a core holds the vocabulary, where encode and decode in a row need two."""
+    df = _without(df, ids, exact)
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType(), False), T.StructField(exact, T.BooleanType(), False)])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, cache = load(path, pattern)
+        for b in batches(BATCH_BYTES, text)(it):
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            packed = cache.pack(texts)
+            same = [bpe.decode(np.frombuffer(p, "<u4").astype(np.int64)).tobytes() == t.encode() for t, p in zip(texts, packed, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], [*b.schema.names, ids, exact])
+
+    return df.mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the bytes of packed ids; empty for null or no ids. A column of the
     input with that name gives way."""
