@@ -98,27 +98,36 @@ class Matcher:
         if not self.some or not text:
             return []
         best: dict[int, tuple[int, int, int]] = {}
-        seen: dict[int, int] = {}  # by item: where the text is verified up to
+        # by item: the disjoint stretches of text where it can lie. A window holds its hit, and hits
+        # come in order, so a window meets the last stretches or lies to the right of all
+        near: dict[int, list[tuple[int, int]]] = {}
         for last, (size, where) in self.find.iter(text):
             for k, off in where:
-                _, n, e = self.items[k]
-                a, b = max(0, last + 1 - size - off - e), min(len(text), last + 1 - size - off + len(n) + e)
-                if k in best and best[k][0] == 0 or seen.get(k, -1) >= b:
+                if k in best:
                     continue
-                seen[k] = b
+                _, n, e = self.items[k]
                 at = last + 1 - size - off
                 if at >= 0 and text.startswith(n, at):
-                    d, end = 0, at + len(n)
-                else:
-                    if e == 0:
-                        continue
-                    d, end = myers(self.peq[k], len(n), text[a:b], e)
-                    end += a
-                if d <= e and (k not in best or d < best[k][0]):
-                    if d:  # the start, by the same distance backwards from the end
-                        rev = text[max(0, end - len(n) - e) : end][::-1]
-                        at = end - self._start(k, n, rev, d)
-                    best[k] = (d, at, end)
+                    best[k] = (0, at, at + len(n))
+                elif e:
+                    a, b = max(0, at - e), min(len(text), at + len(n) + e)
+                    found = near.setdefault(k, [])
+                    while found and found[-1][1] >= a:
+                        x, y = found.pop()
+                        a, b = min(a, x), max(b, y)
+                    found.append((a, b))
+        for k, found in near.items():
+            if k in best:
+                continue
+            _, n, e = self.items[k]
+            d, end = e + 1, -1
+            for a, b in found:
+                some, to = myers(self.peq[k], len(n), text[a:b], e)
+                if some < d:
+                    d, end = some, to + a
+            if d <= e:  # the start, by the same distance backwards from the end
+                rev = text[max(0, end - len(n) - e) : end][::-1]
+                best[k] = (d, end - self._start(k, n, rev, d), end)
         return sorted((self.items[k][0], d, a, b) for k, (d, a, b) in best.items())
 
     def _start(self, k: int, n: str, rev: str, d: int) -> int:

@@ -177,6 +177,22 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(docs, items.limit(0)).where("size(matches) > 0").count() == 0
 
 
+def test_decontaminate_repeated_pieces():
+    item = "the quick brown fox jumps over one dogs the quick brown fox and then it sleeps a whole day by rivers"
+    assert [item[:20], item[40:60]] == ["the quick brown fox "] * 2 and len(item) == 100
+    text = "zz zz " + "x" + item[1:25] + "x" + item[26:] + " zz " * 30
+    assert [m[:2] for m in decontaminate.Matcher([(7, item)]).matches(decontaminate.normalise(text))] == [(7, 2)]
+    rng = random.Random(2)
+    for _ in range(2000):
+        n = "".join(rng.choice(["abcd", "abcd", "efgh", "ijkl"]) for _ in range(rng.randint(3, 8)))
+        t = list(n)
+        for _ in range(rng.randint(0, len(n) // 8 + 1)):
+            t[rng.randrange(len(t))] = "x"
+        t = "y" * rng.randint(0, 9) + "".join(t) + rng.choice(["", "y" * 60, n[:8] + "y" * 9])
+        d = distance(n, t)
+        assert [m[1] for m in decontaminate.Matcher([(7, n)], 8).matches(t)] == ([d] if d <= len(n) // 8 else [])
+
+
 def test_quality(spark, sf, docs, empty):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
