@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions import paths, tables
@@ -91,14 +91,20 @@ def _symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "ext", "lines", "content", "language").mapInPandas(run, _ITEMS)
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """(path, fingerprint) of retained contents: 64-bit FNV-1a, as hexadecimal digits."""
+def content_fingerprint(content: Column) -> Column:
+    """64-bit FNV-1a of a whole binary content as 16 hexadecimal digits; null for null, the
+    offset basis for an empty one."""
     @F.pandas_udf("string")
     def fnv(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: f"{git.fnv1a(b):016x}")
+        return content.map(lambda b: None if b is None else f"{git.fnv1a(b):016x}")
+
+    return fnv(content)
 
+
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(path, fingerprint) of retained contents: 64-bit FNV-1a, as hexadecimal digits."""
     kept = files.where(F.col("content").isNotNull() & (paths.is_retained_text("ext") | F.col("language").isNotNull()))
-    return kept.select("path", fnv("content").alias("fingerprint"))
+    return kept.select("path", content_fingerprint(F.col("content")).alias("fingerprint"))
 
 
 def index(spark: SparkSession, root: str, extensions=(), folders=(), files=(), cache: str | None = None) -> Index:

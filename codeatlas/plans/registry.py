@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas import api
 from codeatlas.functions import paths, text
 from codeatlas.operators import cache, calls, chunks, churn, hierarchy, pack, spans, view
 
@@ -216,6 +217,13 @@ def fingerprint(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", text.fnv1a("n_name").alias("fingerprint"))
 
 
+@query()
+def content_fingerprint(spark, sf_dir):
+    """64-bit FNV-1a of every document's whole text; null for a null text."""
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", api.content_fingerprint(F.col("text").cast("binary")).alias("fingerprint"))
+
+
 _EXT = ["rs", "py", "md", "toml", "css", "html", "o", "png", "zip", "ttf", "map", "xyz"]
 _CAT = {"rs": "Code", "py": "Code", "md": "Docs", "toml": "Config", "css": "Styles", "html": "Markup", "o": "Binary", "png": "Media", "zip": "Archive", "ttf": "Font", "map": "Generated"}
 _EXT_SQL = "list_extract([" + ", ".join(f"'{e}'" for e in _EXT) + "], CAST(event_id % 12 AS INTEGER) + 1)"

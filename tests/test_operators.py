@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from codeatlas.operators import cache, calls, chunks, churn, hierarchy, pack, spans, view
+from codeatlas.plans import registry
 
 
 def rows(df, *cols):
@@ -157,3 +158,18 @@ def test_source_order():
     assert [p[0] for p in pos] == ["a", "b"]
     pos, _ = pack.arrange(kids, "file", "x.rs", CFG)
     assert [p[0] for p in pos] == ["b", "a"]
+
+
+def test_content_fingerprint(spark, tmp_path):
+    texts = [None, "", "hello", "é 日本 😀", "line\n" * 20_000, "line\n" * 20_000 + "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(data):
+        h = 14695981039346656037
+        for b in data:
+            h = ((h ^ b) * 1099511628211) % 2**64
+        return f"{h:016x}"
+
+    got = dict(rows(registry.QUERIES["content_fingerprint"](spark, str(tmp_path)), "doc_id", "fingerprint"))
+    assert got == {i: None if t is None else brute(t.encode()) for i, t in enumerate(texts)}
+    assert got[1] == "cbf29ce484222325" and got[2] == "a430d84680aabd0b"
