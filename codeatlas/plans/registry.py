@@ -279,13 +279,14 @@ _CALLS_SQL = """c AS (SELECT caller, name, min(site) AS site FROM (
 f AS (SELECT 'p/' || p_partkey || '::' || split_part(p_name, ' ', 1) AS path, split_part(p_name, ' ', 1) AS name FROM part)"""
 
 
-def _calls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Words of conversations as calls, parts as functions named by their first word."""
+def _calls(spark, sf_dir, named: str = "name like 'th%'") -> tuple[DataFrame, DataFrame]:
+    """Words of conversations as calls, parts as functions named by their first word, and as
+    further functions the called names for which ``named`` holds."""
     c = _t(spark, sf_dir, "conversations").select(F.concat(F.lit("f/"), F.col("conv_id").cast("string"), F.lit("::t"), F.col("turn").cast("string")).alias("caller"), F.posexplode(F.split("text", " ")).alias("site", "name"))
     c = c.select("caller", "name", (F.col("site") + 1).cast("long").alias("site"), F.lit(None).cast("string").alias("receiver"))
     word = F.substring_index("p_name", " ", 1)
     f = _t(spark, sf_dir, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit("::"), word).alias("path"), word.alias("name"))
-    some = f.unionByName(c.groupBy("name").agg(F.min("caller").alias("path")).where("name like 'th%'").select(F.concat(F.lit("w/x::"), F.col("name")).alias("path"), "name"))
+    some = f.unionByName(c.groupBy("name").agg(F.min("caller").alias("path")).where(named).select(F.concat(F.lit("w/x::"), F.col("name")).alias("path"), "name"))
     return calls.distinct_calls(c), some
 
 
@@ -307,10 +308,30 @@ def reverse_name_join(spark, sf_dir):
 @query(f"WITH {_SOME_SQL} SELECT direction, count(*) AS n_edges, count(DISTINCT center) AS n_centers FROM (SELECT 'callee' AS direction, caller AS center FROM c JOIN s USING (name) WHERE caller <> path UNION ALL SELECT DISTINCT 'caller', path || '|' || caller FROM s JOIN c USING (name) WHERE caller <> path) GROUP BY direction")
 def edge_union(spark, sf_dir):
     """Both directions of the call graph in one table."""
-    e = calls.edges(*_calls(spark, sf_dir)).withColumn("center", F.when(F.col("direction") == "caller", F.concat_ws("|", "center", "target")).otherwise(F.col("center")))
+    return _edge_counts(*_calls(spark, sf_dir))
+
+
+def _edge_counts(called: DataFrame, functions: DataFrame) -> DataFrame:
+    e = calls.edges(called, functions).withColumn("center", F.when(F.col("direction") == "caller", F.concat_ws("|", "center", "target")).otherwise(F.col("center")))
     return e.groupBy("direction").agg(F.count("*").alias("n_edges"), F.count_distinct("center").alias("n_centers"))
 
 
+# The same three with every called name as a function.
+@query()
+def all_name_join(spark, sf_dir):
+    return calls.callees(*_calls(spark, sf_dir, "true"))
+
+
+@query()
+def all_reverse_name_join(spark, sf_dir):
+    return calls.callers(*_calls(spark, sf_dir, "true"))
+
+
+@query()
+def all_edge_union(spark, sf_dir):
+    return _edge_counts(*_calls(spark, sf_dir, "true"))
+
+
 def _spans_of(spark, sf_dir) -> DataFrame:
     """A span of 90 bytes from every hundredth byte on of each document."""
     d = _t(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.octet_length("text").alias("n"))

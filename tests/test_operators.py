@@ -173,3 +173,20 @@ def test_content_fingerprint(spark, tmp_path):
     got = dict(rows(registry.QUERIES["content_fingerprint"](spark, str(tmp_path)), "doc_id", "fingerprint"))
     assert got == {i: None if t is None else brute(t.encode()) for i, t in enumerate(texts)}
     assert got[1] == "cbf29ce484222325" and got[2] == "a430d84680aabd0b"
+
+
+def test_every_called_name_is_a_function(spark, tmp_path):
+    said = [(1, 0, "the cat the"), (1, 1, "cat sat"), (2, 0, None), (2, 1, ""), (3, 0, "almond then")]
+    parts = [(7, "almond red"), (8, "sat blue"), (9, "almond"), (10, None)]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    called = {}
+    for c, t, x in said:
+        for i, w in enumerate([] if x is None else x.split(" "), 1):
+            called.setdefault((f"f/{c}::t{t}", w), i)
+    functions = {(f"p/{k}::{n.split(' ')[0]}", n.split(" ")[0]) for k, n in parts if n} | {(f"w/x::{w}", w) for _, w in called}
+    want = sorted((f, path, w, at) for (f, w), at in called.items() for path, n in functions if n == w)
+    assert rows(registry.QUERIES["all_name_join"](spark, str(tmp_path)), "caller", "target", "name", "site") == want
+    assert rows(registry.QUERIES["all_reverse_name_join"](spark, str(tmp_path)), "caller", "target") == sorted((f, path) for f, path, _, _ in want)
+    n = len(want)
+    assert rows(registry.QUERIES["all_edge_union"](spark, str(tmp_path)), "direction", "n_edges", "n_centers") == [("callee", n, len({f for f, *_ in want})), ("caller", n, n)]
