@@ -3,7 +3,7 @@
 The field labels words (runs without white space) by their shapes and those of their neighbours.
 It is trained by gradient descent from a small labelled table that is generated from a rule, and
 decoded by Viterbi in numpy over padded batches. Words of letters only can't hold what it looks
-for; where the outside label beats every other label by more than transitions can ever regain,
+for, but for keys known by their prefix; where the outside label beats every other label by more than transitions can ever regain,
 it is fixed, so a text falls into short stretches between such words and only those are decoded.
 The result is that of decoding whole texts.
 """
@@ -98,6 +98,9 @@ _SHAPE = [re.compile(p + r"\Z") for _, p in _SHAPES]
 LOWER = 0
 N_SHAPES = len(_SHAPES) + 2  # others, and the border of the text
 EDGE = N_SHAPES - 1
+#: Shapes that are secrets whatever their characters.
+KEY = [n for n, _ in _SHAPES].index("key")
+SECRET = frozenset(i for i, (n, _) in enumerate(_SHAPES) if n in ("key", "assigned", "quoted hex"))
 
 
 def shape(word: str) -> int:
@@ -107,6 +110,13 @@ def shape(word: str) -> int:
     return N_SHAPES - 2
 
 
+def word_shape(word: str) -> int:
+    """The shape of a word of a text; of those of letters only, upper-case keys aren't plain."""
+    if word.isalpha():
+        return KEY if word.isupper() and _SHAPE[KEY].match(word) else LOWER
+    return shape(word)
+
+
 class CRF:
     """Scores: own shape, left and right neighbour's shape for each label, and label pairs."""
 
@@ -243,18 +253,21 @@ def trained() -> CRF:
 # -- whole texts ----------------------------------------------------------------------------
 
 _WORD = re.compile(r"\S+")
-#: Words that can matter to the field: with a digit or @, signs, or the name of a secret.
+#: Words that can matter to the field: with a digit or @, or of a shape in SECRET.
 _NEAR = re.compile(r"[0-9@]")
+#: What a text with such a word holds.
+_OPEN = re.compile(r"[0-9@=]|AKIA|ASIA|ghp_|sk-|[\"'][a-f]{24}")
 _TRIM = ".,;:!?\"')"
 
 
 def model_spans(text: str, model: CRF) -> list[tuple[str, int, int]]:
     """Spans that the field labels; neighbouring words of one label join. A word without a digit
-    or @ holds none of what it looks for, whatever its label."""
-    if _NEAR.search(text) is None:
+    or @ holds none of what it looks for, whatever its label, unless its shape is in SECRET."""
+    if _OPEN.search(text) is None:
         return []
     words = [m.span() for m in _WORD.finditer(text)]
-    y = model.label(np.array([LOWER if (w := text[a:b]).isalpha() else shape(w) for a, b in words]))
+    shapes = np.array([word_shape(text[a:b]) for a, b in words])
+    y = model.label(shapes)
     found, last = [], -1
     for i in np.flatnonzero(y).tolist():
         a, b = words[i]
@@ -262,7 +275,7 @@ def model_spans(text: str, model: CRF) -> list[tuple[str, int, int]]:
             b -= 1
         while a < b and text[a] in _TRIM:
             a += 1
-        if not _NEAR.search(text, a, b):
+        if not _NEAR.search(text, a, b) and int(shapes[i]) not in SECRET:
             continue
         if found and last == i - 1 and found[-1][0] == LABELS[y[i]]:
             found[-1] = (found[-1][0], found[-1][1], b)
