@@ -66,8 +66,9 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[order][1:] != h[order][:-1]) | (block[order][1:] != block[order][:-1])
     distinct = np.bincount(doc[order][fresh], minlength=n)
-    total = np.maximum(np.diff(first), 1)
-    out[np.arange(n), _WORDS + _SHAPES + 8 + np.minimum(distinct * 16 // total, 16)] += total
+    total = np.diff(first)
+    some = np.flatnonzero(total)  # a text without words has no terms
+    out[some, _WORDS + _SHAPES + 8 + np.minimum(distinct[some] * 16 // total[some], 16)] += total[some]
     return out
 
 

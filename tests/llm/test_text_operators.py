@@ -214,6 +214,16 @@ def test_quality(spark, sf, docs, empty):
     assert quality.classify(empty, none).count() == 0
 
 
+def test_quality_without_words(spark):
+    model = quality.Model(["the cat sat on a mat"] * 3 + ["spam " * 64] * 2, [1, 1, 1, 0, 0])
+    blank = [None, "", "  \n\t"]
+    beside = [x for t in blank for x in ("the cat sat", t, "BUY now!!!")]
+    for texts in ([[t] for t in blank] + [blank, beside]):
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = [r["score"] for r in quality.classify(d, model).collect() if texts[r["doc_id"]] in blank]
+        assert len(got) == sum(t in blank for t in texts) and all(abs(x - model.prior) < 1e-9 for x in got)
+
+
 def test_language(spark, sf, docs, empty):
     got = queries.op4_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.8
