@@ -18,12 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import batches, binaries, utf8
+from codeatlas.llm.common import batches, binaries, lean, utf8, without
 from codeatlas.llm.pieces import WHITE, ChunkCache
 
 MATRIX_BYTES = 256
+MATRIX_CELLS = 1 << 18  # of a padded matrix; about ten arrays of its size are held
 BATCH_BYTES = 1 << 20
-CACHED = 100_000  # chunks that a worker keeps; workers outlive their tasks
+CACHE_BYTES = 24 << 20  # of chunks that a worker keeps; workers outlive their tasks
 _MARKS = frozenset(".,;:!?")
 
 
@@ -160,7 +161,7 @@ class ByteBPE:
             high = low if low < 3 else low * 2 - 2
             high = {1: 1, 2: 2}.get(low, 1 << (low - 1).bit_length())
             at = np.flatnonzero((lengths >= low) & (lengths <= high))
-            step = max(1, (1 << 20) // high)
+            step = max(1, MATRIX_CELLS // high)
             for s in range(0, len(at), step):
                 some = at[s : s + step]
                 size = lengths[some]
@@ -208,20 +209,16 @@ def load(path: str, pattern: str) -> tuple[ByteBPE, ChunkCache]:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         bpe = ByteBPE(ranks, pattern)
-        _loaded[path, pattern] = bpe, ChunkCache(bpe.encode_chunks, CACHED)
+        _loaded[path, pattern] = bpe, ChunkCache(bpe.encode_chunks, CACHE_BYTES)
     return _loaded[path, pattern]
 
 
-def _without(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*(f"`{c}`" for c in df.columns if c not in names))
-
-
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ``ids``: the text's token ids as packed little-endian unsigned 32-bit integers.
 
     ``path`` must be readable by the workers (it comes with an installed package). A null or
     empty text has no ids. A column of the input with that name gives way."""
-    df = _without(df, ids)
+    df = without(df, ids)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType(), False)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +227,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cache.pack(texts), pa.binary())], [*b.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", exact: str = "round_trip") -> DataFrame:
     """As encode, and ``exact``: whether decoding the ids gives the text's bytes. One pass, so one
     Python worker a core holds the vocabulary, where encode and decode in a row need two."""
-    df = _without(df, ids, exact)
+    df = without(df, ids, exact)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType(), False), T.StructField(exact, T.BooleanType(), False)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +244,13 @@ def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text", i
             same = [bpe.decode(np.frombuffer(p, "<u4").astype(np.int64)).tobytes() == t.encode() for t, p in zip(texts, packed, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], [*b.schema.names, ids, exact])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the bytes of packed ids; empty for null or no ids. A column of the
     input with that name gives way."""
-    df = _without(df, decoded)
+    df = without(df, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType(), False)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,4 +261,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
             ends = np.concatenate([[0], np.cumsum(bpe.token_len[tokens])])
             yield pa.RecordBatch.from_arrays([*b.columns, binaries(bpe.decode(tokens), ends[off // 4])], [*b.schema.names, decoded])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

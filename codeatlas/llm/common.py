@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,10 +18,13 @@ P1, P2, P3 = U64(0x9E3779B185EBCA87), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share. Where none is set, one of our own if
+    all runs in this process (as in tests); a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import os
     import tempfile
 
@@ -33,13 +38,26 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_WHERE = "_codeatlas_path"
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """The rows written as a table in the shared folder and read again: short lineage that
     outlives any executor, and no second run of what made them."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _WHERE, path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` returned, when all that is made of them is written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(getattr(t, _WHERE))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -54,10 +72,55 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table without columns of these names, which Spark tells apart by letters, not by case."""
+    gone = {n.lower() for n in names}
+    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in gone))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of the table has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_libc = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker outlives its tasks, and what one operator
+    freed would else be counted against the next one's."""
+    global _libc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.malloc_trim  # noqa: B018
+        except (OSError, AttributeError):  # another C library
+            _libc = False
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that leaves no freed memory with the worker."""
+
+    def ran(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            release()
+
+    return ran
+
+
 def batches(max_bytes: int, column: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Slices incoming batches so that each slice holds about max_bytes of the column (a single
     longer text makes a slice of its own): memory is bounded whatever the batch size set."""
@@ -106,21 +169,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = np.ones(1, U64)
-_INVERSE = np.ones(1, U64)
 _BASE = 0x9E3779B97F4A7C15
+_STEP = 1024
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    low, high = np.full(_STEP, base, U64), np.full(n // _STEP + 1, pow(base, _STEP, 1 << 64), U64)
+    low[0] = high[0] = 1
+    return (np.cumprod(high)[:, None] * np.cumprod(low)).ravel()[:n]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the base and of its inverse modulo 2**64."""
-    global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        m = max(n, len(_POWERS) * 5 // 4)
-        with np.errstate(over="ignore"):
-            _POWERS, _INVERSE = np.full(m, _BASE, U64), np.full(m, pow(_BASE, -1, 1 << 64), U64)
-            _POWERS[0] = _INVERSE[0] = 1
-            _POWERS, _INVERSE = np.cumprod(_POWERS), np.cumprod(_INVERSE)
-    return _POWERS, _INVERSE
+    """n powers of the base and of its inverse modulo 2**64. Made anew for each batch: a table kept
+    by a worker would stay as large as the longest text that it ever met."""
+    return _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
 
 
 def range_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

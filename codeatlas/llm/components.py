@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import cut
+from codeatlas.llm.common import cut, drop
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
@@ -17,17 +17,19 @@ def _is_forest_of_stars(e: DataFrame) -> bool:
     return e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node's greater neighbours go to the least node it knows of. Also the table that must
+    be kept until the edges are written."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    # a hub's edges are on the side that the skew join may split
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")  # written, so that the join may split a hub's edges
+    moved = e.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
+    return moved.distinct(), least
 
 
 def _small(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -39,5 +41,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _is_forest_of_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        e = cut(_small(_large(e)), "edges")
+        large, least = _large(e)
+        after = cut(_small(large), "edges")
+        drop(e, least)
+        e = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")

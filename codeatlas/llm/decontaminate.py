@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import batches
+from codeatlas.llm.common import batches, cut, free_name, lean, without
 
 #: One edit for every so many characters of an item.
 CHARS_PER_EDIT = 25
-#: Items and bytes of items that may be broadcast; more of them go in several passes.
+#: Items and bytes (UTF-8) of items that may be broadcast; more of them go in several passes.
 MAX_ITEMS, MAX_ITEM_BYTES = 50_000, 32 << 20
 _KEPT = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 # lower-cased ASCII: what isn't a letter or digit becomes a space
@@ -79,8 +80,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT):
         self.items = [(i, n, budget(n, chars_per_edit)) for i, t in items if (n := normalise(t or ""))]
-        self.peq = [masks(n) for _, n, _ in self.items]
-        self.back = [masks(n[::-1]) for _, n, _ in self.items]
+        self.peq: dict[int, dict[str, int]] = {}  # made when an item's piece is first met
         by: dict[str, list[tuple[int, int]]] = {}
         for k, (_, n, e) in enumerate(self.items):
             for off, p in pieces(n, e):
@@ -121,8 +121,9 @@ class Matcher:
                 continue
             _, n, e = self.items[k]
             d, end = e + 1, -1
+            peq = self.peq.get(k) or self.peq.setdefault(k, masks(n))
             for a, b in found:
-                some, to = myers(self.peq[k], len(n), text[a:b], e)
+                some, to = myers(peq, len(n), text[a:b], e)
                 if some < d:
                     d, end = some, to + a
             if d <= e:  # the start, by the same distance backwards from the end
@@ -148,37 +149,64 @@ _FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()
 
 
 def _groups(items: DataFrame, max_items: int, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in groups within both bounds, one at a time on the driver. Equal texts meet once."""
+    """The items in groups within both bounds, read one at a time."""
     group, size = [], 0
-    for r in items.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        group.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-        if len(group) >= max_items or size >= max_bytes:
+    for r in items.select("item_id", "text").where("text is not null").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
+        bytes_ = len(r["text"].encode("utf-8", "surrogatepass"))
+        if group and (len(group) >= max_items or size + bytes_ > max_bytes):
             yield group
             group, size = [], 0
+        group.append((r["item_id"], r["text"]))
+        size += bytes_
     if group:
         yield group
 
 
-def find(df: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, max_items: int = MAX_ITEMS, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def find(df: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, max_items: int = MAX_ITEMS, max_bytes: int = MAX_ITEM_BYTES, matches: str = "matches") -> DataFrame:
     """Adds ``matches``: item_id, edits, start and end (in the normalised text) of each item that
-    occurs in the whole text within one edit for every chars_per_edit of its characters; empty
-    where none does, for null and empty texts. Items without a letter or digit match nothing.
-    A column of the input with that name gives way; repeated rows and items stay.
-
-    Items are broadcast within the two bounds; beyond, documents are scanned once for each group."""
-    df = df.select(*(f"`{c}`" for c in df.columns if c != "matches"))
-    schema = T.StructType([*df.schema.fields, T.StructField("matches", _FOUND)])
-    groups = list(_groups(items, max_items, max_bytes))
-    shared = [df.sparkSession.sparkContext.broadcast(g) for g in groups]
-
+    occurs in the whole text within one edit for every chars_per_edit of its characters, ordered by
+    item_id and start; empty where none does, for null and empty texts. Items without a letter or
+    digit match nothing; equal items count once; of one item_id with unlike texts each is sought. A
+    column of the input with that name gives way; repeated rows stay.
+
+    Items are broadcast within the two bounds (one larger item alone). Where there are more, each
+    group of them is a pass of its own over the texts that writes only what it finds, and is gone
+    when the next one begins; what is found then joins the documents by hashes of their texts."""
+    df = without(df, matches)
+    spark, groups = df.sparkSession, _groups(items, max_items, max_bytes)
+    group, after = next(groups, []), next(groups, None)
+    if after is None:
+        schema = T.StructType([*df.schema.fields, T.StructField(matches, _FOUND)])
+        return df.mapInArrow(lean(_scan(spark.sparkContext.broadcast(group), text, chars_per_edit, matches)), schema)
+
+    keys = [free_name(df, "key_1"), free_name(df, "key_2")]
+    hashed = [F.xxhash64(F.col(f"`{text}`")), F.xxhash64(F.col(f"`{text}`"), F.lit(1))]
+    texts = df.select(*(h.alias(k) for h, k in zip(hashed, ("k1", "k2"), strict=True)), F.col(f"`{text}`").alias("text")).where("text is not null")
+    schema = T.StructType([*texts.schema.fields, T.StructField("found", _FOUND)])
+    parts = []
+    while group is not None:
+        shared = spark.sparkContext.broadcast(group)
+        some = texts.mapInArrow(lean(_scan(shared, "text", chars_per_edit, "found")), schema).where(F.size("found") > 0)
+        parts.append(cut(some.select("k1", "k2", F.explode("found").alias("m")).distinct(), "matches"))
+        shared.destroy()
+        group, after = after, next(groups, None)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    # at most an entry for each item; written, so that the join may split a text that is in very many rows
+    found = cut(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("m")).alias("m")), "matches")
+    found = found.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]), F.col("m").alias(matches))
+    out = df.select(*(f"`{c}`" for c in df.columns), *(h.alias(k) for h, k in zip(hashed, keys, strict=True))).join(found, keys, "left")
+    return out.select(*(f"`{c}`" for c in df.columns), F.coalesce(F.col(matches), F.array().cast(_FOUND)).alias(matches))
+
+
+def _scan(shared, text: str, chars_per_edit: int, matches: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ms = [Matcher(s.value, chars_per_edit) for s in shared]
+        m = Matcher(shared.value, chars_per_edit)
         for b in batches(8 << 20, text)(it):
             out = []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                n = normalise(t or "")
-                out.append([{"item_id": i, "edits": d, "start": a, "end": z} for m in ms for i, d, a, z in m.matches(n)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _FOUND_ARROW)], [*b.schema.names, "matches"])
+                out.append([{"item_id": i, "edits": d, "start": a, "end": z} for i, d, a, z in m.matches(normalise(t or ""))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _FOUND_ARROW)], [*b.schema.names, matches])
 
-    return df.mapInArrow(run, schema)
+    return run

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import U64, batches, mix, powers, shuffle_partitions
+from codeatlas.llm.common import U64, batches, lean, mix, powers, shuffle_partitions, without
 from codeatlas.llm.ordered import bounds, part_of
 
 K, W = 12, 24
@@ -75,7 +75,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(df: DataFrame, text: str = "text", k: int = K, w: int = W) -> DataFrame:
     """Adds ``hashes`` (array of long) and ``positions`` (array of int), empty for a null or empty
     text. Columns of the input with these names give way. Repeated rows stay."""
-    df = df.select(*(f"`{c}`" for c in df.columns if c not in ("hashes", "positions")))
+    df = without(df, "hashes", "positions")
     schema = T.StructType([*df.schema.fields, T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def fingerprint(df: DataFrame, text: str = "text", k: int = K, w: int = W) -> Da
             kept = [winnow(t or "", k, w) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([h.astype(np.int64) for h, _ in kept], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for _, p in kept], pa.list_(pa.int32()))], [*b.schema.names, "hashes", "positions"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def with_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _EDIT_TYPES)], _EDIT_NAMES) if out else _EMPTY
         # every part but an empty one ends with an extra row, after which none is held
 
-    return with_next(docs.select("doc_id", "text")).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(_EDIT_NAMES, ("long", "long", "string", "string", "string", "double", "double"))))
+    return with_next(docs.select("doc_id", "text")).mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in zip(_EDIT_NAMES, ("long", "long", "string", "string", "string", "double", "double"))))
 
 
 _EDIT_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import batches, utf8
+from codeatlas.llm.common import batches, lean, utf8, without
 
 HIDDEN, WINDOW = 8, 64
 #: Bound of the training sample: documents, and windows of each.
@@ -197,7 +197,7 @@ def identify(df: DataFrame, model: Network | None, text: str = "text") -> DataFr
     """Adds ``lang_pred`` and ``score``, the mean probability of that language over the whole
     text. ``und`` with score 0 for a null text or one without a letter, or without a model.
     Columns with these names give way; repeated rows stay; ties go to the first language."""
-    df = df.select(*(f"`{c}`" for c in df.columns if c not in ("lang_pred", "score")))
+    df = without(df, "lang_pred", "score")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -213,4 +213,4 @@ def identify(df: DataFrame, model: Network | None, text: str = "text") -> DataFr
             score = np.where(named, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -11,8 +11,12 @@ with more n-grams than a task should hold is cut into blocks, and each pair of b
 Order: n-grams are counted in 2**16 buckets by hash, over all documents; the order is by the
 bucket's count, then by hash. N-grams that then turn out to be in the prefixes of many groups go
 to the end, and prefixes are made anew. Any order gives the right result; this one keeps frequent n-grams
-out of prefixes. N-grams are 64-bit hashes: two in one pair of sets that collide are the only
-source of error (below 1e-10 for sets of 20,000).
+out of prefixes. N-grams and sets are known by 64-bit hashes: collisions (of two n-grams in one pair
+of sets, or of two sets in the corpus) are the only source of error.
+
+Tables that a join meets with a hot key on one side (a set that many documents have, an n-gram
+in many prefixes, a large cluster) are written first, so that Spark's skew join may split it: a
+join above an aggregate of the same stage is never split.
 """
 
 from __future__ import annotations
@@ -24,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import P1, U64, arrow_rows, batches, cut, lower, mix, range_hashes, utf8, words
+from codeatlas.llm.common import P1, U64, arrow_rows, batches, cut, drop, lean, lower, mix, range_hashes, utf8, words
 from codeatlas.llm.components import connected_components
 
 BUCKET_BITS = 16
 LATE, MAX_LATE = 16, 1 << 17  # n-grams met in more than LATE groups go to the end of the order; so many of them are broadcast
 COLD = 64  # n-grams in at most so many groups pair them one by one
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 1_000_000
 BATCH_BYTES = 1 << 20  # of text hashed at once; the arrays made of it take some hundred bytes a word
+_NONE = -(1 << 63)  # stands for a null doc_id
 MARK_WORDS = 1 << 16  # of 64 bits, of the mark that spares documents in no cluster
 
 
@@ -75,7 +80,7 @@ def _counts(docs: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -106,29 +111,37 @@ class Order:
         return np.lexsort((grams, rank, owner))
 
 
+def set_key(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each whole set."""
+    sums = []
+    for m in (g * P1, g ^ U64(0x5851F42D4C957F2D)):
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(m))])
+        sums.append(total[first[1:]] - total[first[:-1]])
+    return mix(sums[0] ^ mix(sums[1] + np.diff(first).astype(U64) * P1)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, first_of: Order) -> DataFrame:
-    """(doc_id, n, s1, s2, prefix): s1 and s2 hash the whole set."""
+    """(doc_id, h, n, w, prefix), written: h is the text's hash, w the set's."""
     shared = docs.sparkSession.sparkContext.broadcast(first_of)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
         for b in batches(BATCH_BYTES)(it):
-            data, off, _ = utf8(b.column(b.schema.get_field_index("text")))
+            data, off, _ = utf8(b.column(2))
             g, first = gram_sets(data, off, k)
             n = np.diff(first)
             p = prefix_size(n, num, den)
             d = np.repeat(np.arange(len(n)), n)
             order = r.sorted(g, d)
             keep = np.arange(len(g)) - first[:-1][d] < p[d]
-            sums = []
-            for m in (g * P1, g ^ U64(0x5851F42D4C957F2D)):
-                total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(m))])
-                sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
             flat = pa.array(g[order][keep].view(np.int64))
             ends = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(set_key(g, first)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "h", "n", "w", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    made = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(run), "doc_id long, h long, n long, w long, prefix array<long>")
+    out = cut(made, "prefixes")
+    shared.destroy()
+    return out
 
 
 def _near(token: DataFrame, num: int, den: int, cold: int = COLD) -> DataFrame:
@@ -139,7 +152,7 @@ def _near(token: DataFrame, num: int, den: int, cold: int = COLD) -> DataFrame:
     prefixes have in common (of n-grams in many groups no more than the fewer of the two have)
     and the sets' rests must reach the overlap that a link needs. N-grams in many groups connect
     each group with one of them."""
-    count = token.groupBy("t").agg(F.min("g").alias("v"), F.count("*").alias("c")).where("c > 1")
+    count = cut(token.groupBy("t").agg(F.min("g").alias("v"), F.count("*").alias("c")).where("c > 1"), "counts")
     token = cut(token.join(count, "t"), "tokens")
     hot = token.where(F.col("c") > cold)
     many = hot.groupBy("g").agg(F.count("*").alias("h"))
@@ -152,12 +165,13 @@ def _near(token: DataFrame, num: int, den: int, cold: int = COLD) -> DataFrame:
     return pairs.select(F.col("ag").alias("a"), F.col("bg").alias("b")).unionByName(hot.where("g <> v").select(F.col("g").alias("a"), F.col("v").alias("b")))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int, first_of: Order, num: int, den: int) -> DataFrame:
-    """(u, grams, prefix) as packed 64-bit numbers, of documents in ids (column u). A bit table of
-    bounded size marks them, so that other documents' sets aren't made; the join is exact."""
+def _sets(docs: DataFrame, ids: DataFrame, k: int, first_of: Order, num: int, den: int) -> tuple[DataFrame, object]:
+    """(w, grams, prefix) as packed 64-bit numbers, of the sets in ids (columns w, and u, a document
+    that has it). A bit table of bounded size marks documents, so that other documents' sets aren't
+    made; the join is exact. Also the broadcast to be freed when the rows are written."""
     word, bit = F.pmod(F.xxhash64("u"), F.lit(MARK_WORDS)), F.pmod(F.xxhash64("u", F.lit(7)), F.lit(64)).cast("int")
     mark = ids.select(word.alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_b"))
-    some = docs.select(F.col("doc_id").alias("u"), "text").withColumn("_w", word).join(F.broadcast(mark), "_w").where(F.call_function("getbit", "_b", bit) == 1).select("u", "text")
+    some = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("u"), "text").withColumn("_w", word).join(F.broadcast(mark), "_w").where(F.call_function("getbit", "_b", bit) == 1).select("u", "text")
     shared = docs.sparkSession.sparkContext.broadcast(first_of)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +184,11 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, first_of: Order, num: int, de
             d = np.repeat(np.arange(len(n)), n)
             order = r.sorted(g, d)
             head = g[order]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()), pa.array([head[x : x + q].tobytes() for x, q in zip(first, p)], pa.binary())], ["u", "grams", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(set_key(g, first)), pa.array([g[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()), pa.array([head[x : x + q].tobytes() for x, q in zip(first, p)], pa.binary())], ["u", "w", "grams", "prefix"])
 
-    return some.mapInArrow(run, "u long, grams binary, prefix binary").join(ids, "u", "left_semi").dropDuplicates(["u"])
+    # by both: the documents of a hot set are dealt apart, and only its chosen one is left
+    made = some.mapInArrow(lean(run), "u long, w long, grams binary, prefix binary").join(ids, ["w", "u"], "left_semi")
+    return made.dropDuplicates(["w", "u"]).drop("u"), shared
 
 
 def join_block(n: np.ndarray, sets: list[np.ndarray], prefixes: list[bytes], weight: np.ndarray, side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +246,7 @@ def join_block(n: np.ndarray, sets: list[np.ndarray], prefixes: list[bytes], wei
 
 
 def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v, links) of the rows (key, side, u, n, copies, grams, prefix) of each key."""
+    """(u, v, links) of the rows (key, side, w, n, copies, grams, prefix) of each key; u and v are sets."""
 
     def done(part: list[tuple]) -> pa.RecordBatch:
         u = np.array([r[2] for r in part], np.int64)
@@ -253,71 +269,80 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
         if len(part) > 1:
             yield done(part)
 
-    return rows.mapInArrow(run, "u long, v long, links long")
+    return rows.mapInArrow(lean(run), "u long, v long, links long")
 
 
 def _classes(base: DataFrame) -> DataFrame:
-    """(s1, s2, n, u, copies): u is the least document of each set."""
-    return base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("u"), F.count("*").alias("copies"))
+    """(w, n, u, copies) of each set, written: u is the least document that has it."""
+    return cut(base.where("n > 0").groupBy("w", "n").agg(F.min("doc_id").alias("u"), F.count("*").alias("copies")), "classes")
 
 
-def _groups(base: DataFrame) -> DataFrame:
-    """(p, n, u, prefix, g) of the units that may link with others; g is the least of their group."""
-    units = base.where(F.size("prefix") > 0).join(_classes(base).select("u", "n", "s1", "s2"), ["s1", "s2", "n"]).where("doc_id = u")
-    units = units.select("u", "n", F.xxhash64("prefix").alias("p"), "prefix").dropDuplicates(["u"])
-    return units.join(units.groupBy("p", "n").agg(F.min("u").alias("g")), ["p", "n"])
+def _units(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """(p, n, w, prefix) of the sets that may link with others, once each."""
+    chosen = classes.select("w", F.col("u").alias("doc_id"))
+    # by both: the documents of a hot set are dealt apart
+    same = (base["w"] == chosen["w"]) & base["doc_id"].eqNullSafe(chosen["doc_id"])
+    units = base.where(F.size("prefix") > 0).join(chosen, same, "left_semi").dropDuplicates(["w", "doc_id"])
+    return units.select(F.xxhash64("prefix").alias("p"), "n", "w", "prefix")
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of (doc_id, text).
+    """(doc_id, n_shingles, component_id, n_links, text_key, component_key) of (doc_id, text), a row for each.
 
     Two documents link when den * |x and y| >= num * |x or y| for their sets of k-word sequences
     (words: runs other than ASCII white space, A-Z lower-cased; a text of fewer words is one
     sequence). component_id is the least doc_id reachable by links, n_links the number of other
-    documents linked with. Null and empty texts and such without words have no sequence and link
-    with nothing. Equal texts are linked, each counts. Rows with a null doc_id come back with a
-    null component unless linked; repeated rows count as equal documents. An empty table gives
-    an empty one."""
+    documents linked with. text_key is xxhash64 of the text; component_key is the same for rows of
+    one component and for no others, but for rows without a sequence, where it is null.
+
+    Null and empty texts and such without words have no sequence and link with nothing. Equal texts
+    are linked, each counts. Each row counts on its own: repeated rows are equal documents, and rows
+    of one doc_id with unlike texts are two documents (text_key tells them apart). Where all rows of
+    a component have a null doc_id, so is component_id. An empty table gives an empty one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = _counts(docs, k)
     rank = np.empty(len(counts), np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
     first_of = Order(rank, np.zeros(0, U64))
-    base = cut(_prefixes(docs, k, num, den, first_of), "prefixes")
-    groups = _groups(base)
-    many = groups.where("u = g").select(F.explode("prefix").alias("t")).groupBy("t").count().where(F.col("count") > LATE)
+    base = _prefixes(docs, k, num, den, first_of)
+    classes = _classes(base)
+    many = _units(base, classes).dropDuplicates(["p", "n"]).select(F.explode("prefix").alias("t")).groupBy("t").count().where(F.col("count") > LATE)
     late = many.orderBy(F.desc("count"), "t").limit(MAX_LATE).toPandas()["t"].to_numpy(np.int64).view(U64)
     if len(late):  # any order is right; the better one needs the prefixes anew
         first_of = Order(rank, late)
-        base = cut(_prefixes(docs, k, num, den, first_of), "prefixes")
-
-    some = base.where("n > 0")
-    classes = _classes(base)
-    # the classes' side has each key once; a hot class is on the side that the skew join splits
-    of = some.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"])
-    member = cut(_groups(base), "groups")
-    near = _near(member.where("u = g").select("g", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("t")), num, den)
-    cluster = connected_components(near.unionByName(member.where("u <> g").select(F.col("u").alias("a"), F.col("g").alias("b"))))
-    cluster = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "u")
-    cluster = cluster.join(classes.select("u", "n", "copies").where("u is not null"), "u")
-
-    size = cluster.groupBy("root").agg(F.sum("n").alias("grams"))
+        drop(base)
+        base = _prefixes(docs, k, num, den, first_of)
+
+    units = cut(_units(base, classes), "units")
+    group = cut(units.groupBy("p", "n").agg(F.min("w").alias("g")), "groups")
+    member = cut(units.join(group, ["p", "n"]), "members")  # g is the least set of the group
+    near = _near(member.where("w = g").select("g", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("t")), num, den)
+    cluster = connected_components(near.unionByName(member.where("w <> g").select(F.col("w").alias("a"), F.col("g").alias("b"))))
+    cluster = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "w")
+    cluster = cut(cluster.join(classes, "w"), "clusters")
+
+    size = cut(cluster.groupBy("root").agg(F.sum("n").alias("grams")), "sizes")
     cluster = cluster.join(size, "root").withColumn("blocks", F.ceil(F.col("grams") / block_grams).cast("int"))
-    cluster = cut(cluster.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).drop("grams"), "clusters")
-    sets = _sets(docs, cluster.select("u"), k, first_of, num, den).join(cluster, "u")
+    cluster = cluster.withColumn("block", F.pmod(F.xxhash64("w"), F.col("blocks")).cast("int")).drop("grams")
+    sets, shared = _sets(docs, cluster.select("w", F.coalesce("u", F.lit(_NONE)).alias("u")), k, first_of, num, den)
     # block i is in the tasks (i, j) for all j of its cluster; most clusters are one block
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = sets.select("*", other.alias("j")).select(
+    cells = sets.join(cluster.drop("u"), "w").select("*", other.alias("j")).select(
         F.xxhash64("root", F.least("block", "j"), F.greatest("block", "j")).alias("key"),
         F.when(F.col("block") == F.col("j"), 0).when(F.col("block") < F.col("j"), 1).otherwise(2).alias("side"),
-        "u", "n", "copies", "grams", "prefix",
+        "w", "n", "copies", "grams", "prefix",
     )
     with arrow_rows(docs.sparkSession, 128):  # rows hold whole sets
         found = cut(_linked(cells.repartition("key").sortWithinPartitions("key"), num, den), "links")
+    shared.destroy()
+    drop(units, group, member, size)
     comp = connected_components(found.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    links = found.groupBy("u").agg(F.sum("links").alias("near"))
-
-    of = of.join(comp.withColumnRenamed("node", "u"), "u", "left").join(links, "u", "left")
-    out = of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "u").alias("component_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    none = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    comp = cut(comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "w").join(classes.select("w", "u"), "w"), "components")
+    least = cut(comp.groupBy("root").agg(F.min("u").alias("least")), "least")
+    comp = comp.join(least, "root").select("w", "root", "least")
+    links = found.groupBy("u").agg(F.sum("links").alias("near")).withColumnRenamed("u", "w")
+    classes = cut(classes.join(comp, "w", "left").join(links, "w", "left").select("w", F.coalesce("least", "u").alias("component_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "w").alias("component_key")), "result")
+
+    out = base.where("n > 0").select("doc_id", "n", "w", "h").join(classes, "w").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", F.col("h").alias("text_key"), "component_key")
+    none = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("h").alias("text_key"), F.lit(None).cast("long").alias("component_key"))
     return out.unionByName(none)

@@ -16,29 +16,53 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 
 
+#: What a kept chunk takes besides its characters and ids: two objects and a place in a dictionary.
+ENTRY_BYTES = 200
+#: Longer chunks (a text without spaces is one chunk) are encoded each time, never kept.
+LONGEST = 64
+
+
 class ChunkCache:
-    """Packed ids of chunks, kept for as long as the worker lives. The bound frees memory only:
-    a chunk that is no longer kept is encoded again."""
+    """Packed ids of chunks, kept for as long as the worker lives, within a number of bytes. The
+    bound frees memory only: a chunk that is not kept is encoded again."""
 
-    def __init__(self, encode, limit: int = 1_000_000):
+    def __init__(self, encode, limit: int = 64 << 20):
         #: encode(list of strings) -> list of bytes, one for each string
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.held = encode, limit, 0
         #: by chunk: with a space before it; at the start of a text; with a space before it, for
         #: chunks that have white space at a border (never in the first of the three)
         self.lead: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
-    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str, plain: bool) -> None:
-        if missing := [c for c in wanted if c not in known and not (plain and (not c or c != c.strip()))]:
-            if len(known) + len(missing) > self.limit:
-                # short chunks are the frequent ones; the rest is encoded again when met
-                short = {c: v for c, v in known.items() if len(c) <= 6}
-                known.clear()
-                if len(short) < self.limit // 2:
-                    known.update(short)
-                missing = [c for c in wanted if c not in known and not (plain and (not c or c != c.strip()))]
-            known.update(zip(missing, self.encode([before + c for c in missing]), strict=True))
+    def _size(self, made: dict[str, bytes]) -> int:
+        # a string takes up to four bytes a character
+        return sum((len(c) if c.isascii() else 4 * len(c)) + len(v) + ENTRY_BYTES for c, v in made.items())
+
+    def _room(self, need: int) -> None:
+        """Frees all dictionaries if need more bytes don't fit. Short chunks are the frequent
+        ones; they stay if they leave room."""
+        if self.held + need <= self.limit:
+            return
+        for known in (self.lead, self.first, self.odd):
+            short = {c: v for c, v in known.items() if len(c) <= 6} if known is self.lead else {}
+            known.clear()
+            if self._size(short) < self.limit // 4:
+                known.update(short)
+        self.held = self._size(self.lead)
+
+    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str, plain: bool) -> dict[str, bytes]:
+        """Ids of the wanted chunks that are not kept; those that may be kept are, from now on."""
+        missing = [c for c in wanted if c not in known and not (plain and (not c or c != c.strip()))]
+        return dict(zip(missing, self.encode([before + c for c in missing]), strict=True)) if missing else {}
+
+    def _keep(self, known: dict[str, bytes], made: dict[str, bytes]) -> None:
+        some = {c: v for c, v in made.items() if len(c) <= LONGEST}
+        size = self._size(some)
+        self._room(size)
+        if self.held + size <= self.limit:
+            known.update(some)
+            self.held += size
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -46,22 +70,26 @@ class ChunkCache:
         wanted: set[str] = set()
         for c in cut:
             wanted.update(c)
-        self._fill(self.lead, wanted, " ", True)
+        new = self._fill(self.lead, wanted, " ", True)
         del wanted
-        self._fill(self.first, {c[0] for c in cut if c[0]}, "", True)
-        lead, first, out, late = self.lead.__getitem__, self.first, [], []
+        heads = self._fill(self.first, {c[0] for c in cut if c[0]}, "", True)
+        known, first, out, late = self.lead, self.first, [], []
+        of = (lambda c: known[c] if c in known else new[c]) if new else known.__getitem__
         for i, c in enumerate(cut):
             try:  # a chunk with white space at its border isn't there: the text is cut with care
-                head = first[c[0]]
+                head = first[c[0]] if c[0] in first else heads[c[0]]
                 del c[0]
-                out.append(head + b"".join(map(lead, c)))
+                out.append(head + b"".join(map(of, c)))
             except KeyError:
                 out.append(b"")
                 late.append(i)
+        self._keep(self.lead, new)
+        self._keep(self.first, heads)
         if late:
             cut = [_CUT.split(texts[i]) for i in late]
-            self._fill(self.odd, {x for c in cut for x in c[1:]}, " ", False)
-            heads = self.encode([c[0] for c in cut])
-            for i, c, head in zip(late, cut, heads, strict=True):
-                out[i] = head + b"".join([self.odd[x] for x in c[1:]])
+            new = self._fill(self.odd, {x for c in cut for x in c[1:]}, " ", False)
+            both = {x: self.odd[x] if x in self.odd else new[x] for c in cut for x in c[1:]}
+            for i, c, head in zip(late, cut, self.encode([c[0] for c in cut]), strict=True):
+                out[i] = head + b"".join([both[x] for x in c[1:]])
+            self._keep(self.odd, new)
         return out

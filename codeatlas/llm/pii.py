@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import batches
+from codeatlas.llm.common import batches, lean, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field labels, besides O (outside).
@@ -301,7 +301,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``spans``: kind, start and end (code points, end exclusive) and whether a pattern
     found it, ordered by kind and start. Null and empty texts have none. A column of the input
     with that name gives way; repeated rows stay."""
-    df = df.select(*(f"`{c}`" for c in df.columns if c != "spans"))
+    df = without(df, "spans")
     schema = T.StructType([*df.schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())])))])
 
     model = trained()
@@ -315,7 +315,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
                 out.append([{"kind": k, "start": a, "end": z, "base": (k, a, z) in known} for k, a, z in spans])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _SPANS)], [*b.schema.names, "spans"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
@@ -338,4 +338,4 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, b.schema.field(i).type) if j == i else c for j, c in enumerate(b.columns)], b.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

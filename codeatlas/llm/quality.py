@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import U64, batches, lower, range_hashes, utf8, words
+from codeatlas.llm.common import U64, batches, lean, lower, range_hashes, utf8, without, words
 
 TERMS, DIMS, NEIGHBOURS = 2048, 48, 15
 #: Bound of the labelled sample, in rows and in bytes of text each row may add to the fit's memory.
@@ -135,12 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", max
     return Model([t for _, t, _ in got], [y for _, _, y in got])
 
 
-def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """Adds ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from the threshold
-    on). A null text counts as empty, which gets the prior; columns with these names give way;
-    repeated rows stay. Without labelled rows every score is 0.5."""
-    df = df.select(*(f"`{c}`" for c in df.columns if c not in ("score", "predicted")))
-    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    on), or columns of other names. A null text counts as empty, which gets the prior; columns with
+    these names give way; repeated rows stay. Without labelled rows every score is 0.5."""
+    df = without(df, score, predicted)
+    schema = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def classify(df: DataFrame, model: Model, text: str = "text", threshold: float =
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
                 data, off, _ = utf8(part.column(i))
-                score = m.score(data, off).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+                found = m.score(data, off).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*b.schema.names, score, predicted])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -34,7 +34,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of documents linked by 3-word sequences, at 0.9."""
-    return ngram_join.similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+    found = ngram_join.similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import P1, P2, U64, batches, cut, lower, mix, powers, range_hashes, utf8, words
+from codeatlas.llm.common import P1, P2, U64, batches, cut, lean, lower, mix, powers, range_hashes, utf8, words
 
 WORDS, GRAM = 50, 16
 BATCH_BYTES = 2 << 20  # of text hashed at once
@@ -84,7 +84,7 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(mix(best[fresh] * P1).view(np.int64))], ["g"])
 
     # k-grams at two or more selected positions, as bits: rows by key, then one row for each word of bits
-    twice = docs.select("text").mapInArrow(kept, "g long").groupBy("g").count().where("count > 1")
+    twice = docs.select("text").mapInArrow(lean(kept), "g long").groupBy("g").count().where("count > 1")
     word, bit = F.shiftrightunsigned("g", 64 - MARK_BITS + 6), F.shiftrightunsigned("g", 64 - MARK_BITS).bitwiseAND(F.lit(63)).cast("int")
     marks = twice.select(word.cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     table = np.zeros(1 << (MARK_BITS - 6), np.int64)
@@ -105,7 +105,7 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
             place = (begin - chars[off[of]]) << 32 | (chars[end[at + n_words - 1]] - begin)  # start and length
             yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(place)], ["k", "doc_id", "place"])
 
-    found = cut(docs.mapInArrow(extended, "k long, doc_id long, place long"), "suffixes")
+    found = cut(docs.mapInArrow(lean(extended), "k long, doc_id long, place long"), "suffixes")
     # the keys that repeat; the join's other side may be split where one key is in very many rows
     keys = found.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
     # what goes on to the documents is narrow: twice the copies, and one if the document is the first
@@ -134,4 +134,4 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
         ids = pa.array(x[0], pa.int64(), mask=x[0] == _NONE)
         return pa.RecordBatch.from_arrays([ids, *map(pa.array, x[1:4]), pa.array(x[4] == 1)], ["doc_id", "start_char", "end_char", "copies", "first"])
 
-    return places.mapInArrow(joined, "doc_id long, start_char long, end_char long, copies long, first boolean")
+    return places.mapInArrow(lean(joined), "doc_id long, start_char long, end_char long, copies long, first boolean")

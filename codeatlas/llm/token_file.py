@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import batches, shuffle_partitions
+from codeatlas.llm.common import batches, lean, shuffle_partitions
 from codeatlas.llm.ordered import bounds, part_of
 from codeatlas.llm.pieces import ChunkCache
 
 BATCH_BYTES = 4 << 20
+CACHE_BYTES = 112 << 20  # of chunks that a worker keeps
 JOINED = 32  # chunks in one string for the library; longer strings take it more time a chunk
 _SEPARATOR = "\n"
 
@@ -83,7 +84,7 @@ _caches: dict[tuple[str, str], ChunkCache] = {}
 def _cache(path: str, dtype: str) -> ChunkCache:
     if (path, dtype) not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are shared out by Spark
-        _caches[path, dtype] = ChunkCache(_Library(path, dtype).encode)
+        _caches[path, dtype] = ChunkCache(_Library(path, dtype).encode, CACHE_BYTES)
     return _caches[path, dtype]
 
 
@@ -125,7 +126,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype:
                 os.replace(x + mark, x)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["part", "n_docs", "n_ids"])
 
-    rows = sorted(tuple(r) for r in dealt.mapInArrow(run, _WRITTEN).collect())
+    rows = sorted(tuple(r) for r in dealt.mapInArrow(lean(run), _WRITTEN).collect())
     sums = [0, *accumulate(r[2] for r in rows)]
     return [(part, base, n) for (part, _, n), base in zip(rows, sums[:-1], strict=True)]
 
@@ -153,4 +154,4 @@ def read(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]], d
 
     table = spark.createDataFrame([(p, b) for p, b, _ in shards], "part int, base long")
     # a task for each shard
-    return table.repartitionById(max(1, max((p for p, _, _ in shards), default=0) + 1), F.col("part")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return table.repartitionById(max(1, max((p for p, _, _ in shards), default=0) + 1), F.col("part")).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
