@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.llm import bpe, decontaminate, ngram_join, pii, quality
-from codeatlas.llm.common import cut
+from codeatlas.llm.common import cut, free_name
 
 
 def _same(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -21,22 +21,29 @@ def _same(docs: DataFrame, out: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, doesn't reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return _same(docs, quality.classify(docs, model).where("predicted = 1"))
+    score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
+    return _same(docs, quality.classify(docs, model, score=score, predicted=predicted).where(F.col(predicted) == 1))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word sequences at 0.8 the one of least doc_id, once. Documents
-    without a doc_id stay."""
-    keep = ngram_join.similar(docs).where("doc_id = component_id").select("doc_id").distinct()
-    # the join's partitioning by doc_id serves dropDuplicates as well: texts move once
-    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _same(docs, one.unionByName(docs.where("doc_id is null")))
+    """Of documents linked by 5-word sequences at 0.8 the one of least doc_id (then of least hash
+    of its text). Rows of equal doc_id and text are one document, rows of one doc_id with unlike
+    texts are two. Documents without a doc_id stay."""
+    found = ngram_join.similar(docs).where("doc_id is not null")
+    linked = found.where("component_key is not null").groupBy("component_key").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    key = free_name(docs, "text_key")
+    keep = linked.select("k.doc_id", "k.text_key").unionByName(found.where("component_key is null").select("doc_id", "text_key"))
+    keep = keep.withColumnRenamed("text_key", key)
+    # the join's partitioning serves dropDuplicates as well: texts move once
+    one = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text")).join(keep, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return _same(docs, one).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _same(docs, found.where(F.size("matches") == 0))
+    matches = free_name(docs, "matches")
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), matches=matches)
+    return _same(docs, found.where(F.size(matches) == 0))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
