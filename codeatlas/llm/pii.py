@@ -1,11 +1,14 @@
 """Personal data in text: patterns with checks, and a linear-chain conditional random field.
 
-The field labels words (runs without white space) by their shapes and those of their neighbours.
-It is trained by gradient descent from a small labelled table that is generated from a rule, and
-decoded by Viterbi in numpy over padded batches. Words of letters only can't hold what it looks
-for, but for keys known by their prefix; where the outside label beats every other label by more than transitions can ever regain,
-it is fixed, so a text falls into short stretches between such words and only those are decoded.
-The result is that of decoding whole texts.
+The field labels words (runs without ASCII white space) by features of their shapes and of their
+neighbours' shapes: classes of characters, runs of them, lengths, counts, first characters, and
+hashed words. It knows no pattern of any kind; all weights are learned, by gradient ascent on the
+likelihood of a small labelled table that is generated from a rule, and it is decoded by Viterbi in
+numpy over padded batches. A word is outside for certain where that beats every other label by more
+than the transitions around it can regain; so texts fall into short stretches between such words and
+only those are decoded. The result is that of decoding whole texts.
+
+Time is linear in a text's length, whatever it holds: patterns never scan a run twice.
 """
 
 from __future__ import annotations
@@ -19,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import batches, lean, without
+from codeatlas.llm.common import P1, P2, U64, batches, lean, lower, mix, range_hashes, utf8, without, words
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field labels, besides O (outside).
 LABELS = ("O", "email", "ip", "card", "phone", "ssn", "secret")
 
 _RUN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_RUN_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# possessive: a run of digits is taken once, never given back
+_RUN_IP = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _RUN_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _RUN_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -56,15 +59,31 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of four numbers between dots, found run by run: a match begins at a run's first
+    number and takes whole numbers, so it is every four in a row. Parts are at most 255."""
+    for m in _RUN_IP.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in four):
+                yield at, at + size
+            at += size + 1
+
+
+def is_card(text: str) -> bool:
+    d = text.replace(" ", "").replace("-", "")
+    return 13 <= len(d) <= 19 and luhn(d)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each kind, without those that fail the kind's check."""
     found = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [("ip", *m.span()) for m in _RUN_IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
-        for m in _RUN_CARD.finditer(text):
-            d = m[0].replace(" ", "").replace("-", "")
-            if 13 <= len(d) <= 19 and luhn(d):
-                found.append(("card", *m.span()))
+        found += [("ip", a, b) for a, b in ips(text)]
+        found += [("card", *m.span()) for m in _RUN_CARD.finditer(text) if is_card(m[0])]
         if "+" in text:
             found += [("phone", *m.span()) for m in _RUN_PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
     return found
@@ -73,91 +92,146 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _DIGIT = re.compile("[0-9]")
 # -- features -------------------------------------------------------------------------------
 
-_SHAPES = (
-    ("lower", r"[^\W\d_]*[a-zà-ÿ][^\W\d_]*[.,;:!?]?"),
-    ("ssn", r"\d{3}-\d{2}-\d{4}[.,;]?"),
-    ("local phone", r"\(?\d{3}\)?[-.]\d{3}[-.]\d{4}[.,;]?"),
-    ("phone tail", r"\d{3}[-.]\d{4}[.,;]?"),
-    ("area", r"\(\d{2,4}\)"),
-    ("country", r"\+\d{1,3}"),
-    ("plus number", r"\+[\d().-]{7,}[.,;]?"),
-    ("dotted four", r"\d{1,3}(\.\d{1,3}){3}[.,;]?"),
-    ("card digits", r"\d{13,19}[.,;]?"),
-    ("card groups", r"\d{4}(-\d{4}){3}[.,;]?"),
-    ("four digits", r"\d{4}"),
-    ("digits", r"\d+[.,;]?"),
-    ("mail", r"\S+@\S+\.\S+"),
-    ("key", r"(AKIA|ASIA|ghp_|sk-)[A-Za-z0-9]{12,}[.,;]?"),
-    ("assigned", r"(?i)(password|passwd|secret|token|api_key)=\S+"),
-    ("quoted hex", r"[\"'][0-9a-f]{24,}[\"'][.,;]?"),
-    ("secret name", r"(?i)(password|passwd|secret|token|api_key):?"),
-    ("sign", r"[^\w\s]+"),
-    ("digit within", r"\S*\d\S*"),
-)
-_SHAPE = [re.compile(p + r"\Z") for _, p in _SHAPES]
-LOWER = 0
-N_SHAPES = len(_SHAPES) + 2  # others, and the border of the text
-EDGE = N_SHAPES - 1
-#: Shapes that are secrets whatever their characters.
-KEY = [n for n, _ in _SHAPES].index("key")
-SECRET = frozenset(i for i, (n, _) in enumerate(_SHAPES) if n in ("key", "assigned", "quoted hex"))
-
-
-def shape(word: str) -> int:
-    for i, p in enumerate(_SHAPE):
-        if p.match(word):
-            return i
-    return N_SHAPES - 2
-
-
-def word_shape(word: str) -> int:
-    """The shape of a word of a text; of those of letters only, upper-case keys aren't plain."""
-    if word.isalpha():
-        return KEY if word.isupper() and _SHAPE[KEY].match(word) else LOWER
-    return shape(word)
+# classes of bytes: a-z, A-Z, 0-9, beyond ASCII, then every other byte a class of its own
+_CLASS = np.arange(256, dtype=np.int64) + 5
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
+_ALNUM = _CLASS < 5
+_HEX = np.zeros(256, bool)
+_HEX[[*range(48, 58), *range(97, 103), *range(65, 71)]] = True
+#: What a word's features are, and how many values each has; values beyond come from hashes.
+_FIELDS = {"shape": 2048, "runs": 1024, "length": 32, "made of": 1024, "digits": 24, "marks": 128, "hex": 64, "begins": 1024, "word": 2048, "first": 256, "last": 256, "changes": 8, "name": 512}
+_BASE = dict(zip(_FIELDS, np.cumsum([0, *_FIELDS.values()]).tolist(), strict=False))
+N_FEATURES = sum(_FIELDS.values())
+#: Features of a neighbour that count.
+_BESIDE = [list(_FIELDS).index(x) for x in ("runs", "length", "made of", "word", "first", "last")]
+
+
+def _hashed(h: np.ndarray, size: int) -> np.ndarray:
+    return (mix(h * P2) >> U64(33)).astype(np.int64) % size
+
+
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(words, fields) of feature numbers. A word's core is it without signs at its ends."""
+    cls = _CLASS[data]
+    alnum = np.flatnonzero(_ALNUM[data])
+    lo, hi = np.searchsorted(alnum, start), np.searchsorted(alnum, end)
+    some = lo < hi
+    a = np.where(some, alnum[np.minimum(lo, max(len(alnum) - 1, 0))], start) if len(alnum) else start
+    b = np.where(some, alnum[np.maximum(hi - 1, 0)] + 1, start) if len(alnum) else start
+    size = b - a
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask)])
+        return total[b] - total[a]
+
+    kinds = [count(cls == k) for k in (1, 2, 3, 4)]
+    marks = {c: count(data == ord(c)) for c in "@.-_=:/+"}
+    other = size - sum(kinds) - sum(marks.values())
+    length = np.select([size < 16, size < 20, size < 24, size < 32, size < 40, size < 64], [size, 16 + (size > 16), 18 + (size > 20), 20 + (size - 24) // 4, 22 + (size - 32) // 4, 24 + (size > 40)], 26 + (size > 256))
+    made = sum((x > 0).astype(np.int64) << i for i, x in enumerate([*kinds, *(marks[c] for c in "@.-_="), other + marks[":"] + marks["/"] + marks["+"]]))
+    change = np.zeros(len(data), bool)
+    change[1:] = cls[1:] != cls[:-1]
+    inner = np.concatenate([[0], np.cumsum(change)])
+    changes = np.maximum(inner[b] - inner[np.minimum(a + 1, len(data))], 0) * some
+    # runs: the first byte of each run of one class, hashed in order
+    keep = change.copy()
+    keep[a[some]] = True
+    at = np.concatenate([[0], np.cumsum(keep)])
+    runs = range_hashes(cls[keep], at[a], at[b])
+    low = lower(data)
+    n4 = np.minimum(size, 4)
+    begins = range_hashes(data, a, a + n4) + np.minimum(size // 8, 4).astype(U64) * P1
+    plain = (kinds[2] == 0) & (size <= 24) & (size > 0)
+    word = np.where(plain, _hashed(range_hashes(low, a, b), _FIELDS["word"] - 1) + 1, 0)
+    # the part before the first =, where there is one
+    eq = np.flatnonzero(data == 61)
+    nth = np.searchsorted(eq, a)
+    cut = np.where(nth < len(eq), eq[np.minimum(nth, max(len(eq) - 1, 0))], len(data)) if len(eq) else np.full(len(a), len(data))
+    named = (cut < b) & some
+    name = np.where(named, _hashed(range_hashes(low, a, np.where(named, cut, a)), _FIELDS["name"] - 1) + 1, 0)
+    hexes = (count(_HEX[data]) == size) & (size > 0)
+    raw = np.maximum(end - 1, 0)
+    cols = [
+        _hashed(range_hashes(cls, a, b), _FIELDS["shape"]), _hashed(runs, _FIELDS["runs"]), length, made, np.minimum(kinds[2], 23),
+        np.minimum(marks["."], 3) * 32 + np.minimum(marks["-"], 3) * 8 + np.minimum(marks["@"], 1) * 4 + np.minimum(marks["_"], 1) * 2 + np.minimum(marks["="], 1),
+        np.where(hexes, 1 + length + 28 * ((kinds[2] > 0) & (kinds[0] + kinds[1] > 0)), 0), _hashed(begins, _FIELDS["begins"]), word,
+        np.minimum(cls[start], 255), np.minimum(cls[raw], 255), np.digitize(changes, [1, 2, 3, 5, 9, 17, 33]), name,
+    ]
+    return np.stack([c + off for c, off in zip(cols, _BASE.values(), strict=True)], axis=1)
 
 
 class CRF:
-    """Scores: own shape, left and right neighbour's shape for each label, and label pairs."""
+    """Scores of a word's own features and of both neighbours', for each label, and of label pairs."""
 
     def __init__(self, n_labels: int = len(LABELS)):
-        self.own, self.left, self.right = (np.zeros((N_SHAPES, n_labels)) for _ in range(3))
-        self.step = np.zeros((n_labels, n_labels))
-
-    def emissions(self, shapes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        return self.own[shapes] + self.left[before] + self.right[after]
-
-    def fit(self, rows: list[tuple[list[int], list[int]]], rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> CRF:
-        """Gradient ascent on the mean log-likelihood, by forward and backward sums over all
-        sentences at once (padded at the end)."""
-        n, w, k = len(rows), max(len(s) for s, _ in rows), self.step.shape[0]
-        s, y, live = np.full((n, w), EDGE), np.zeros((n, w), int), np.zeros((n, w), bool)
-        for i, (a, b) in enumerate(rows):
-            s[i, : len(a)], y[i, : len(a)], live[i, : len(a)] = a, b, True
-        edge = np.full((n, 1), EDGE)
-        before, after = np.hstack([edge, s[:, :-1]]), np.hstack([s[:, 1:], edge])
+        # the last row is for the text's border
+        self.own, self.left, self.right = (np.zeros((N_FEATURES + 1, n_labels), np.float32) for _ in range(3))
+        self.step = np.zeros((n_labels, n_labels), np.float32)
+
+    def emissions(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores of each word's labels; first: the first word of each text, and the number of words."""
+        n = len(f)
+        out = np.zeros((n, self.step.shape[0]), np.float32)
+        if not n:
+            return out
+        for j in range(f.shape[1]):
+            out += self.own[f[:, j]]
+        is_first, is_last = np.zeros(n, bool), np.zeros(n, bool)
+        begin = first[:-1][np.diff(first) > 0]
+        is_first[begin] = True
+        is_last[first[1:][np.diff(first) > 0] - 1] = True
+        for j in _BESIDE:
+            out[1:] += self.left[np.where(is_first[1:], N_FEATURES, f[:-1, j])]
+            out[:-1] += self.right[np.where(is_last[:-1], N_FEATURES, f[1:, j])]
+        out[0] += len(_BESIDE) * self.left[N_FEATURES]
+        out[-1] += len(_BESIDE) * self.right[N_FEATURES]
+        return out
+
+    def fit(self, texts: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.3, decay: float = 3e-4) -> CRF:
+        """Adaptive gradient ascent on the mean log-likelihood, by forward and backward sums over
+        all sentences at once (padded at the end). texts: words with their labels."""
+        data, off, _ = utf8(pa.array([" ".join(w for w, _ in t) for t in texts], pa.string()))
+        start, end, first = words(data, off)
+        f, n, k = features(data, start, end), len(texts), self.step.shape[0]
+        size = np.diff(first)
+        w = int(size.max())
+        row, col = np.repeat(np.arange(n), size), np.arange(len(f)) - np.repeat(first[:-1], size)
+        live = np.zeros((n, w), bool)
+        live[row, col] = True
+        y = np.zeros((n, w), int)
+        y[row, col] = [LABELS.index(label) for t in texts for _, label in t]
         pairs = live[:, 1:]
         truth = np.zeros((k, k))
         np.add.at(truth, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
+        before = np.where((col == 0)[:, None], N_FEATURES, f[np.maximum(np.arange(len(f)) - 1, 0)][:, _BESIDE])
+        after = np.where((col == size[row] - 1)[:, None], N_FEATURES, f[np.minimum(np.arange(len(f)) + 1, len(f) - 1)][:, _BESIDE])
+        params = (self.own, self.left, self.right, self.step)
+        seen = [np.full_like(v, 1e-6) for v in params]
         for _ in range(rounds):
-            e = self.emissions(s, before, after)
-            f, b = np.zeros((n, w, k)), np.zeros((n, w, k))
-            f[:, 0] = e[:, 0]
+            e = np.zeros((n, w, k))
+            e[row, col] = self.emissions(f, first)
+            fw, bw = np.zeros((n, w, k)), np.zeros((n, w, k))
+            fw[:, 0] = e[:, 0]
             for t in range(1, w):
-                f[:, t] = np.where(live[:, t, None], e[:, t] + np.logaddexp.reduce(f[:, t - 1, :, None] + self.step, axis=1), f[:, t - 1])
+                fw[:, t] = np.where(live[:, t, None], e[:, t] + np.logaddexp.reduce(fw[:, t - 1, :, None] + self.step, axis=1), fw[:, t - 1])
             for t in range(w - 2, -1, -1):
-                b[:, t] = np.where(live[:, t + 1, None], np.logaddexp.reduce(self.step + (e[:, t + 1] + b[:, t + 1])[:, None, :], axis=2), 0)
-            z = np.logaddexp.reduce(f[:, -1], axis=1)
-            d = -np.exp(f + b - z[:, None, None])
+                bw[:, t] = np.where(live[:, t + 1, None], np.logaddexp.reduce(self.step + (e[:, t + 1] + bw[:, t + 1])[:, None, :], axis=2), 0)
+            z = np.logaddexp.reduce(fw[:, -1], axis=1)
+            d = -np.exp(fw + bw - z[:, None, None])
             d[np.arange(n)[:, None], np.arange(w)[None, :], y] += 1
-            d = d[live]
-            grads = [np.zeros_like(self.own) for _ in range(3)]
-            for grad, at in zip(grads, (s, before, after), strict=True):
-                np.add.at(grad, at[live], d)
-            both = np.exp(f[:, :-1, :, None] + self.step + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])
+            d = d[row, col]
+            grads = []
+            for at in (f, before, after):
+                grad = np.empty((N_FEATURES + 1, k))
+                for label in range(k):
+                    grad[:, label] = np.bincount(at.ravel(), np.repeat(d[:, label], at.shape[1]), N_FEATURES + 1)
+                grads.append(grad)
+            both = np.exp(fw[:, :-1, :, None] + self.step + (e[:, 1:] + bw[:, 1:])[:, :, None, :] - z[:, None, None, None])
             grads.append(truth - both[pairs].sum(axis=0))
-            for v, grad in zip((self.own, self.left, self.right, self.step), grads, strict=True):
-                v += rate * (grad / n - decay * v)
+            for v, grad, s in zip(params, grads, seen, strict=True):
+                g = grad / n - decay * v
+                s += g * g
+                v += (rate * g / np.sqrt(s)).astype(np.float32)
         return self
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -177,124 +251,184 @@ class CRF:
                 y = np.where(live, back[np.arange(n), t, y], y)
         return out
 
-    def label(self, shapes: np.ndarray) -> np.ndarray:
-        """The best labels of one text."""
-        n = len(shapes)
-        if not n:
-            return np.zeros(0, np.int8)
-        before, after = np.concatenate([[EDGE], shapes[:-1]]), np.concatenate([shapes[1:], [EDGE]])
-        e = self.emissions(shapes, before, after)
-        regain = 2 * (self.step.max() - self.step.min())
-        open_ = e[:, 0] < e[:, 1:].max(axis=1) + regain  # elsewhere the label is O for certain
+    def open_words(self, e: np.ndarray) -> np.ndarray:
+        """Where a word may be other than outside: changing its label to outside loses no more
+        than the two transitions around it can give."""
+        gain = np.maximum((self.step - self.step[:, :1]).max(axis=0), 0) + np.maximum((self.step - self.step[:1]).max(axis=1), 0)
+        return (e[:, 1:] + gain[1:] >= e[:, :1]).any(axis=1)
+
+    def label(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best labels of texts one after another: those of whole decoding of each."""
+        n = len(e)
         out = np.zeros(n, np.int8)
+        open_ = self.open_words(e)
         if not open_.any():
             return out
-        # stretches of open words with the fixed word on either side
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        # stretches of open words of one text, with the fixed word on either side
         at = np.flatnonzero(open_)
-        first = np.concatenate([[True], np.diff(at) > 1])
-        starts = np.maximum(at[first] - 1, 0)
-        ends = np.minimum(at[np.concatenate([first[1:], [True]])] + 2, n)
+        new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(doc[at]) > 0)])
+        starts = np.maximum(at[new] - 1, first[:-1][doc[at[new]]])
+        last = at[np.concatenate([new[1:], [True]])]
+        ends = np.minimum(last + 2, first[1:][doc[last]])
         size = ends - starts
         order = np.argsort(size, kind="stable")
-        for s in range(0, len(order), 256):  # of like length
-            some = order[s : s + 256]
-            w = size[some].max()
+        s = 0
+        while s < len(order):  # of like length, and so many that a batch stays small
+            some = order[s : s + max(1, min(1024, (1 << 17) // int(size[order[s]])))]
+            some = some[size[some] <= max(16, 2 * size[order[s]])]
+            s += len(some)
+            w = int(size[some].max())
             index = np.minimum(starts[some][:, None] + np.arange(w)[None, :], n - 1)
             y = self.viterbi(e[index], size[some])
-            live = (np.arange(w)[None, :] < size[some][:, None]) & open_[index]
+            live = np.arange(w)[None, :] < size[some][:, None]
             out[index[live]] = y[live]
         return out
 
 
-def training_table(seed: int = 7, rows: int = 240) -> list[tuple[list[tuple[str, str]], None]]:
-    """A small labelled table: sentences of plain words with one item each, made from a rule."""
+def training_table(seed: int = 7, rows: int = 1500) -> list[list[tuple[str, str]]]:
+    """A small labelled table, made from a rule: sentences of plain words in some languages, with
+    one or two items of personal data, secrets, or harmless numbers and signs among them."""
     rng = np.random.default_rng(seed)
-    plain = "the record of this order was sent to our office and they will reply soon with all details la maison est grande der tag war lang una casa nueva".split()
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    syllables = "an ber co de ent fi gra ha il jo ka lu mo ne or pe qui re sa tion un ver wie ze ñe öl êt ße".split()
+    common = "the of and to in la de le un der und die el los que est for with our my on at by from as is was they".split()
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-
-    def item() -> list[tuple[str, str]]:
-        pick = rng.integers(0, 18)
-        hexes = "".join(rng.choice(list("0123456789abcdef"), 32))
-        return [
-            lambda: [(f"user{d(2)}@mail{d(1)}.example.com", "email")],
-            lambda: [(".".join(str(x) for x in rng.integers(0, 256, 4)), "ip")],
-            lambda: [(d(16), "card")],
-            lambda: [("-".join(d(4) for _ in range(4)), "card")],
-            lambda: [(d(4), "card") for _ in range(4)],
-            lambda: [("+" + d(1), "phone"), (f"({d(3)})", "phone"), (f"{d(3)}-{d(4)}", "phone")],
-            lambda: [(f"({d(3)})", "phone"), (f"{d(3)}-{d(4)}", "phone")],
-            lambda: [(f"{d(3)}-{d(3)}-{d(4)}", "phone")],
-            lambda: [("+" + d(11), "phone")],
-            lambda: [(f"{d(3)}-{d(2)}-{d(4)}", "ssn")],
-            lambda: [("AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)), "secret")],
-            lambda: [("password=" + hexes[:18], "secret")],
-            lambda: [("token", "O"), ("=", "O"), (f'"{hexes}"', "secret")],
-            lambda: [(d(int(rng.integers(1, 5))), "O")],
-            lambda: [("Version", "O"), (f"{d(1)}.{d(1)}.", "O")],
-            lambda: [("page", "O"), (d(3), "O"), ("-", "O"), ("token", "O")],
-            lambda: [(w + m, "O") for w, m in zip(rng.choice(plain, 5), rng.choice(list("!*%&$#|"), 5), strict=True)],
-            lambda: [(x, "O") for x in rng.permutation(["BY-NC", "4.0.", "v1.2", "3rd", "12%", "x1", "|", "--", d(5)])[:3]],
-        ][pick]()
-
-    words = lambda: [(w, "O") for w in rng.choice(plain, rng.integers(1, 5))]
-    return [[*words(), *item(), *words()] for _ in range(rows)]
+    of = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    hexes, low, up, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def plain() -> str:
+        w = pick(common) if rng.random() < 0.4 else "".join(pick(syllables) for _ in range(rng.integers(1, 5)))
+        return pick([w, w, w, w.capitalize(), w.upper()])
+
+    def number() -> str:
+        n = int(rng.integers(1, 4))
+        return pick([d(n), d(n), f"{d(1)}.{d(1)}", f"{d(4)}", f"{d(2)}%", f"${d(2)}.{d(2)}", f"{d(2)}:{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(3)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(5)}", f"{d(1)},{d(3)},{d(3)}", f"x{d(1)}", f"{d(1)}rd", f"#{d(3)}", f"{d(6)}", f"{d(1)}.{d(1)}.{d(2)}"])
+
+    host = lambda: ".".join([pick(["mail", "post", "mx", "corp", "inbox", "web"]) + pick(["", d(1), d(2)]), *([pick(["example", "acme", "site"])] if rng.random() < 0.7 else []), pick(["com", "org", "net", "de", "io"])])
+    user = lambda: pick([plain().lower(), plain().lower() + "." + plain().lower(), plain().lower() + "." + d(2), plain().lower() + d(3), of(low, 1) + "_" + plain().lower()])
+    names, secret = ["password", "passwd", "secret", "token", "api_key"], lambda: pick([of(hexes, 32), of(hexes, 40), of(hexes, 24), of(mixed, 20), of(mixed, 36), of("abcdef", 24), of(low, 20)])
+    key = lambda: pick([pick(["AKIA", "ASIA"]) + of(up + "234567", 16), pick(["AKIA", "ASIA"]) + of(up, 16), "ghp_" + of(mixed, int(rng.integers(14, 37))), "ghp_" + of(low, 16), "sk-" + of(mixed, int(rng.integers(16, 41))), "sk-" + of(low, 16)])
+    said = lambda: pick([str.lower, str.upper, str.capitalize])(pick(names))
+    items = [
+        lambda: [(f"{user()}@{host()}", "email")],
+        lambda: [(".".join(str(x) for x in rng.integers(0, 256, 4)), "ip")],
+        lambda: [(d(int(rng.integers(13, 20))), "card")],
+        lambda: [(d(16), "card")],
+        lambda: [("-".join(d(4) for _ in range(4)), "card")],
+        lambda: [(d(4), "card") for _ in range(4)],
+        lambda: [("+" + d(int(rng.integers(1, 3))), "phone"), (f"({d(3)})", "phone"), (f"{d(3)}-{d(4)}", "phone")],
+        lambda: [("+" + d(2), "phone"), (d(3), "phone"), (d(3), "phone"), (d(4), "phone")],
+        lambda: [(f"({d(3)})", "phone"), (f"{d(3)}-{d(4)}", "phone")],
+        lambda: [(f"{d(3)}-{d(3)}-{d(4)}", "phone")],
+        lambda: [("+" + d(int(rng.integers(9, 15))), "phone")],
+        lambda: [(f"{d(3)}-{d(2)}-{d(4)}", "ssn")],
+        lambda: [(key(), "secret")],
+        lambda: [(f"{said()}={pick([secret(), of(low, int(rng.integers(3, 20))), of(mixed, int(rng.integers(4, 20))), plain().lower() + plain().lower()])}", "secret")],
+        lambda: [(said(), "O"), (pick(["=", ":", ":="]), "O"), (pick(['"%s"', "'%s'"]) % secret(), "secret")],
+        lambda: [(said(), "O"), ("=", "O"), (pick(['"%s"', "'%s'"]) % of("abcdef", int(rng.integers(20, 33))), "secret")],
+        lambda: [(pick([pick(["AKIA", "ASIA"]) + of(up, 16), "ghp_" + of(low, 16), "sk-" + of(low, int(rng.integers(14, 24)))]), "secret")],
+        lambda: [(f"{said()}={of(low, int(rng.integers(2, 12)))}", "secret")],
+        lambda: [(said() + ":", "O"), (secret()[:24] + d(2), "secret")],
+        lambda: [(number(), "O")],
+        lambda: [(number(), "O"), (pick(["-", "to", "|", "/", "and"]), "O"), (number(), "O")],
+        lambda: [(x, "O") for x in (plain().capitalize(), pick(["BY-NC", "GPL", "MIT", "ISO", "Version", "page", "No."]), number() + ".")],
+        lambda: [(plain() + pick(["!!", "***", "%%%", "&&&", "###", "$$$", "|", "...", "…", '"', ")"]), "O") for _ in range(3)],
+        lambda: [(pick(["=", "|", "--", "***", "###", "+", "•", "@", "&", "#", "!!"]), "O"), (plain(), "O")],
+        lambda: [(x, "O") for x in pick([("a", "=", "b"), ("x=y",), (plain() + "=" + plain(),), ("password:", plain()), (pick(names), plain()), ("token", plain()), ("ghp_",), ("AKIA",), ("ASIAN",), ("sk-" + plain().lower()[:9],), ("sk-" + of(low, int(rng.integers(4, 11))), plain()), ("secret", "="), ("foo_bar",), (plain() + "-" + plain(),)])],
+        lambda: [("http://" + host() + "/" + plain().lower(), "O")],
+        lambda: [(plain() + "." + pick(["txt", "py", "md"]), "O")],
+        lambda: [(plain() + pick([".", ",", ";", ":", "?", "!"]), "O"), (plain(), "O")],
+        lambda: [("".join(plain() for _ in range(4)), "O")],
+        lambda: [(pick(["x", "ab", "日本語", "é"]) * int(rng.integers(1, 9)), "O")],
+    ]
+    noise = ["", "", "", "", ".", ",", "!!", "***", "%%%", "&&&", "###", "$$$", ";"]
+
+    def sentence() -> list[tuple[str, str]]:
+        item = [(w, y) for w, y in pick(items)()]
+        if rng.random() < 0.5:
+            item[-1] = (item[-1][0] + pick(noise), item[-1][1])
+        around = lambda: [(plain() + pick(noise), "O") for _ in range(rng.integers(0, 5))]
+        return [*around(), *item, *around()] or [(plain(), "O")]
+
+    return [sentence() for _ in range(rows)]
 
 
 @lru_cache(maxsize=1)
 def trained() -> CRF:
     """The field, trained once a process; the same in each."""
-    rows = [([LOWER if w.isalpha() else shape(w) for w, _ in r], [LABELS.index(y) for _, y in r]) for r in training_table()]
-    model = CRF().fit(rows, rounds=120)
-    # a word without a digit or @ is outside, by rule
-    model.own[[LOWER, N_SHAPES - 2, *(i for i, (name, _) in enumerate(_SHAPES) if name in ("sign", "secret name"))], 1:] -= 40
-    return model
+    return CRF().fit(training_table())
 
 
 # -- whole texts ----------------------------------------------------------------------------
 
-_WORD = re.compile(r"\S+")
-#: Words that can matter to the field: with a digit or @, or of a shape in SECRET.
-_NEAR = re.compile(r"[0-9@]")
-#: What a text with such a word holds.
-_OPEN = re.compile(r"[0-9@=]|AKIA|ASIA|ghp_|sk-|[\"'][a-f]{24}")
-_TRIM = ".,;:!?\"')"
-
-
-def model_spans(text: str, model: CRF) -> list[tuple[str, int, int]]:
-    """Spans that the field labels; neighbouring words of one label join. A word without a digit
-    or @ holds none of what it looks for, whatever its label, unless its shape is in SECRET."""
-    if _OPEN.search(text) is None:
-        return []
-    words = [m.span() for m in _WORD.finditer(text)]
-    shapes = np.array([word_shape(text[a:b]) for a, b in words])
-    y = model.label(shapes)
-    found, last = [], -1
-    for i in np.flatnonzero(y).tolist():
-        a, b = words[i]
-        while b > a and text[b - 1] in _TRIM:
-            b -= 1
-        while a < b and text[a] in _TRIM:
-            a += 1
-        if not _NEAR.search(text, a, b) and int(shapes[i]) not in SECRET:
-            continue
-        if found and last == i - 1 and found[-1][0] == LABELS[y[i]]:
-            found[-1] = (found[-1][0], found[-1][1], b)
-        else:
-            found.append((LABELS[y[i]], a, b))
-        last = i
+_RANK = {k: i for i, k in enumerate((*KINDS, "ssn", "secret"))}
+
+
+def field_spans(data: np.ndarray, offsets: np.ndarray, model: CRF) -> list[list[tuple[str, int, int]]]:
+    """For each text the spans (code points) that the field labels: neighbouring words of one label
+    join, without the signs at their ends. An address or a card must pass the same check as a
+    pattern's match."""
+    n = len(offsets) - 1
+    found: list[list[tuple[str, int, int]]] = [[] for _ in range(n)]
+    start, end, first = words(data, offsets)
+    if not len(start):
+        return found
+    y = model.label(model.emissions(features(data, start, end), first), first)
+    at = np.flatnonzero(y)
+    if not len(at):
+        return found
+    doc = np.searchsorted(first, at, "right") - 1
+    new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(doc) > 0) | (np.diff(y[at]) != 0)])
+    begin, stop = at[new], at[np.concatenate([new[1:], [True]])]
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    for i, j, d in zip(begin.tolist(), stop.tolist(), doc[new].tolist(), strict=True):
+        kind = LABELS[y[i]]
+        # a run of a kind that is one word is one span for each word
+        for a, b in [(start[i], end[j])] if kind in ("phone", "card") else [(start[x], end[x]) for x in range(i, j + 1)]:
+            core = np.flatnonzero(_ALNUM[data[a:b]])
+            if not len(core):
+                continue
+            lead = int(a + core[0])
+            if kind == "phone" and lead > a and data[lead - 1] in b"(+":
+                lead -= 1
+            a, b = lead, int(a + core[-1] + 1)
+            if kind in ("card", "ip"):
+                said = data[a:b].tobytes().decode("utf-8", "replace")
+                if not (is_card(said) if kind == "card" and re.fullmatch(r"[0-9 -]+", said) else kind == "ip" and next(ips(said), None) == (0, len(said))):
+                    continue
+            found[d].append((kind, int(chars[a] - chars[offsets[d]]), int(chars[b] - chars[offsets[d]])))
     return found
 
 
+def _merged(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The base spans, and of the others those that overlap none of them, by kind and start."""
+    if base and more:
+        taken = sorted((a, b) for _, a, b in base)
+        begins = [a for a, _ in taken]
+        reach = np.maximum.accumulate([b for _, b in taken])  # the furthest end so far
+        last = np.searchsorted(begins, [s[2] for s in more]) - 1  # of those that begin before a span's end
+        more = [s for s, i in zip(more, last.tolist(), strict=True) if i < 0 or reach[i] <= s[1]]
+    return sorted(base + more, key=lambda s: (_RANK[s[0]], s[1], s[2]))
+
+
 def all_spans(text: str, model: CRF) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and those with the field's spans that overlap none of them."""
+    data, off, _ = utf8(pa.array([text], pa.string()))
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    more = [s for s in model_spans(text, model) if not any(a < s[2] and s[1] < b for a, b in taken)]
-    rank = {k: i for i, k in enumerate((*KINDS, "ssn", "secret"))}
-    return base, sorted(base + more, key=lambda s: (rank[s[0]], s[1], s[2]))
+    return base, _merged(base, field_spans(data, off, model)[0])
+
+
+def batch_spans(texts: pa.Array, model: CRF) -> Iterator[tuple[str | None, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """Each text with what all_spans has for it."""
+    data, off, _ = utf8(texts)
+    for t, more in zip(texts.to_pylist(), field_spans(data, off, model), strict=True):
+        base = base_spans(t or "")
+        yield t, base, _merged(base, more)
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+BATCH_BYTES = 1 << 20  # of text; the arrays made of it take some hundred bytes a word
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
@@ -303,14 +437,12 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     with that name gives way; repeated rows stay."""
     df = without(df, "spans")
     schema = T.StructType([*df.schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())])))])
-
     model = trained()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(8 << 20, text)(it):
+        for b in batches(BATCH_BYTES, text)(it):
             out = []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                base, spans = all_spans(t or "", model)
+            for _, base, spans in batch_spans(b.column(b.schema.get_field_index(text)), model):
                 known = set(base)
                 out.append([{"kind": k, "start": a, "end": z, "base": (k, a, z) in known} for k, a, z in spans])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _SPANS)], [*b.schema.names, "spans"])
@@ -323,18 +455,18 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     model = trained()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(8 << 20, text)(it):
+        for b in batches(BATCH_BYTES, text)(it):
             i = b.schema.get_field_index(text)
             out = []
-            for t in b.column(i).to_pylist():
-                if t:
+            for t, _, spans in batch_spans(b.column(i), model):
+                if spans:
                     parts, last = [], 0
-                    for kind, a, z in sorted(all_spans(t, model)[1], key=lambda s: (s[1], -s[2])):
+                    for kind, a, z in sorted(spans, key=lambda s: (s[1], -s[2])):
                         if z <= last:
                             continue
                         parts += [t[last : max(a, last)], f"<{kind}>" if a >= last else ""]
                         last = z
-                    t = "".join(parts) + t[last:] if parts else t
+                    t = "".join(parts) + t[last:]
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, b.schema.field(i).type) if j == i else c for j, c in enumerate(b.columns)], b.schema.names)
 

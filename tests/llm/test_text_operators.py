@@ -2,17 +2,22 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from codeatlas.llm.common import utf8, words
 from codeatlas.llm import bpe, decontaminate, fingerprint, langid, ordered, pii, quality, queries, token_file, url_filter
 
 TEXTS = [None, "", " ", "a", "Hello, world! It's  two  spaces\n\nand\tlines ", "x" * 3000, "ab" * 700 + " " * 40 + "the " * 300, "日本語 テキスト é ñ 12345 <|endoftext|>", "\n a", "a \n", "the the the", "Hello, world! It's  two  spaces\n\nand\tlines "]
@@ -155,10 +160,93 @@ def test_secrets_without_digits(spark):
 
 def test_stretches_equal_whole_decoding():
     m, rng = pii.trained(), random.Random(1)
-    for _ in range(100):
-        s = np.array([rng.choice([0] * 12 + list(range(pii.N_SHAPES - 1))) for _ in range(rng.randint(1, 60))])
-        e = m.emissions(s, np.concatenate([[pii.EDGE], s[:-1]]), np.concatenate([s[1:], [pii.EDGE]]))
-        assert (m.viterbi(e[None], np.array([len(s)]))[0] == m.label(s)).all()
+    table = [w for row in pii.training_table(11, 200) for w, _ in row]
+    texts = [" ".join(rng.choice(table if rng.random() < 0.5 else ["the", "und"]) for _ in range(rng.randint(0, 60))) for _ in range(100)]
+    data, off, _ = utf8(pa.array(texts, pa.string()))
+    start, end, first = words(data, off)
+    e = m.emissions(pii.features(data, start, end), first)
+    got = m.label(e, first)
+    assert m.open_words(e).mean() < 0.9
+    for i in range(len(texts)):
+        own = e[first[i] : first[i + 1]]
+        if len(own):
+            assert (m.viterbi(own[None], np.array([len(own)]))[0] == got[first[i] : first[i + 1]]).all()
+            one = utf8(pa.array([texts[i]], pa.string()))  # a text's labels don't depend on its neighbours in a batch
+            s1, e1, f1 = words(one[0], one[1])
+            assert np.allclose(m.emissions(pii.features(one[0], s1, e1), f1), own, atol=1e-4)
+
+
+def test_viterbi_is_best_path():
+    m, rng = pii.CRF(3), np.random.default_rng(4)
+    m.step = rng.standard_normal((3, 3)).astype(np.float32)
+    e = rng.standard_normal((20, 5, 3)).astype(np.float32)
+    size = rng.integers(1, 6, 20)
+    got = m.viterbi(e, size)
+    for row, n, y in zip(e, size, got, strict=True):
+        score = lambda p: sum(row[i, c] for i, c in enumerate(p)) + sum(m.step[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        assert score(y[:n].tolist()) >= max(score(p) for p in itertools.product(range(3), repeat=int(n))) - 1e-5
+
+
+def test_field_alone_finds_the_planted(sf, spark):
+    """Recall of the field without the patterns, on documents that it wasn't trained on."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("text").collect()]
+    found = pii.field_spans(*utf8(pa.array(texts, pa.string()))[:2], pii.trained())
+    hit, all_, extra = Counter(), Counter(), 0
+    for t, spans in zip(texts, found, strict=True):
+        want = pii.base_spans(t) + [("secret", *m.span(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)]
+        for k, a, b in want:
+            all_[k] += 1
+            hit[k] += any(q == k and x < b and a < y for q, x, y in spans)
+        extra += sum(not any(x < b and a < y for _, a, b in want) for _, x, y in spans)
+    assert min(all_.values()) >= 10 and all(hit[k] >= 0.9 * n for k, n in all_.items()) and extra <= 0.02 * sum(all_.values())
+
+
+def brute_base(text):
+    """The patterns as they are written in the contract."""
+    number = lambda p: int(p.lstrip("0")[:5] or 0)
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(number(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(d[-1::-2]) + sum(x * 2 - 9 * (x > 4) for x in d[-2::-2])
+        if 13 <= len(d) <= 19 and total % 10 == 0:
+            found.append(("card", *m.span()))
+    return found + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_base_spans_random():
+    rng = random.Random(6)
+    for i in range(6000):
+        t = "".join(rng.choice(["0", "4", "25", "255", "256", "007", ".", ".", "-", " ", "+", "(", "a", "@", "é"]) for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(t) == brute_base(t), t
+
+
+def test_pii_query(spark, sf):
+    got = {r["doc_id"]: r for r in queries.op5_pii(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        base = brute_base(r["text"] or "")
+        said, g = ",".join(f"{k}:{a}:{b}" for k, a, b in base), got[r["doc_id"]]
+        assert [g[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        assert g["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and set(said.split(",")) <= {*g["spans"].split(","), ""}
+
+
+def test_pii_long_runs():
+    m = pii.trained()
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)]
+    began = time.perf_counter()
+    for t in ("0" * 10**6, "a" * 10**6 + "1", "1." * 400_000, "a@" * 300_000, "+1((" * 200_000):
+        pii.all_spans(t, m)
+    assert time.perf_counter() - began < 30
+
+
+def test_pii_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a@b.cd", "mine"), (1, "a@b.cd", "mine"), (None, None, None)], "doc_id long, text string, Spans string")
+    out = pii.find(d)
+    assert [c for c in out.columns if c.lower() == "spans"] == ["spans"] and out.where("size(spans) = 1").count() == 2
+    assert sorted(r["Spans"] or "" for r in pii.redact(d).collect()) == ["", "mine", "mine"]
 
 
 def distance(n, t):
