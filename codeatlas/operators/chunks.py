@@ -2,26 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeatlas.functions.tables import CHUNK_LINES
 from codeatlas.functions.text import heading_label, is_heading, range_label
 
+LINE_ROWS = 256  # texts whose lines are made at once
+
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, start_byte, end_byte, text): ends include the line end, texts don't. The
-    running sum is inside the row's own array, so no window and no shuffle."""
-    t = F.col(text)
-    parts = F.when(t.isNull() | (t == ""), F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
-    last = F.when(F.endswith(t, F.lit("\n")), 1).otherwise(0)
-    rows = docs.select(key, parts.alias("_p"), last.alias("_e"))
-    sizes = F.transform("_p", lambda x: F.octet_length(x) + 1)
-    fold = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x.cast("long"))))
-    rows = rows.select(key, F.size("_p").alias("_k"), "_e", fold.alias("_at"), F.posexplode("_p").alias("line_no", "_raw"))
-    start = F.get("_at", F.col("line_no"))
-    end = F.get("_at", F.col("line_no") + 1) - F.when((F.col("line_no") == F.col("_k") - 1) & (F.col("_e") == 0), 1).otherwise(0)
-    return rows.select(key, "line_no", start.alias("start_byte"), end.alias("end_byte"), F.regexp_replace("_raw", r"\r+\z", "").alias("text"))
+    """(key, line_no, start_byte, end_byte, text): ends include the line end, texts don't. One pass
+    over Arrow batches: line ends are found in the bytes of a batch at once, so time and memory are
+    linear in a text's bytes however many lines it has, and nothing is shuffled."""
+    d = docs.select(F.col(key), F.col(text).alias("_text"))
+    schema = T.StructType([d.schema[0], T.StructField("line_no", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start_byte", "end_byte")), T.StructField("text", T.StringType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(0, batch.num_rows, LINE_ROWS):
+                yield from _lines(batch.slice(i, LINE_ROWS), [f.name for f in schema.fields])
+
+    return d.mapInArrow(run, schema)
+
+
+def _lines(b: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    texts = b.column(1).cast(pa.large_binary()).fill_null(b"")
+    off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    ends = np.flatnonzero(data == 10) + 1
+    # a text's last line may lack its end
+    open_ = np.flatnonzero((np.diff(off) > 0) & (data[np.maximum(off[1:], 1) - 1] != 10)) if len(data) else np.zeros(0, np.int64)
+    ends = np.sort(np.concatenate([ends, off[1:][open_]]))
+    if not len(ends):
+        return
+    starts = np.concatenate([[0], ends[:-1]])
+    doc = np.searchsorted(off, starts, "right") - 1
+    first = np.searchsorted(doc, np.arange(len(off) - 1))
+    # texts without the line end and carriage returns before it
+    stop = ends - (data[ends - 1] == 10)
+    left = np.flatnonzero(stop > starts)
+    while len(left := left[data[stop[left] - 1] == 13]):
+        stop[left] -= 1
+        left = left[stop[left] > starts[left]]
+    cuts = np.empty(2 * len(ends) + 1, np.int64)
+    cuts[0], cuts[1::2], cuts[2::2] = 0, stop, ends
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+    line = every.take(pa.array(np.arange(0, 2 * len(ends), 2))).cast(pa.binary()).cast(pa.string())
+    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *(pa.array(x) for x in ((np.arange(len(doc)) - first[doc]).astype(np.int32), starts - off[doc], ends - off[doc])), line], names)
 
 
 def fixed(lines: DataFrame, key: str, size: int = CHUNK_LINES) -> DataFrame:
