@@ -4,13 +4,16 @@ In every run of neighbouring word k-grams the least hash selects a position; onl
 selected positions are kept. A passage of L words holds L - k + 1 k-grams, and its least one
 selects the same word in every copy. First the kept suffixes are sorted by their k-gram alone:
 where no neighbour is equal, nothing of L words can repeat, and that is most of them. The others
-are extended to the left by each possible number of words, cut at L words, sorted and compared
-with their neighbours again; equal ones are repeated passages, and those that overlap join to
-the longest. (Comparing only neighbours in the order of whole suffixes would lose a passage whose
-neighbour goes on longer to the right but differs sooner to the left.)
-
-Sorting is by 64-bit hash of the words, so equal keys meet in an aggregation with partial sums,
-which a passage in a third of all documents doesn't burden.
+are extended to the left by each possible number of words and to the right up to L words; these
+stretches are sorted over all documents (range partitions by hash of the words, then document and
+place) and each is compared with its neighbours in that order, those across a partition's border
+included. Where a neighbour is equal, the stretch repeats; stretches that overlap join, which
+extends a match left and right to its whole length. (Comparing only neighbours in the order of
+whole suffixes would lose a passage whose neighbour goes on longer to the right but differs sooner
+to the left: so each left extension has a place of its own in the order.)
+
+Words are compared by 64-bit hash of all L of them. A passage in a third of all documents is dealt
+over many ranges, as document and place are part of the order; no task holds all its places.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import P1, P2, U64, batches, cut, lean, lower, mix, powers, range_hashes, utf8, words
+from codeatlas.llm.common import P1, P2, U64, batches, cut, drop, lean, lower, mix, powers, range_hashes, utf8, words
 
 WORDS, GRAM = 50, 16
 BATCH_BYTES = 2 << 20  # of text hashed at once
@@ -64,11 +68,45 @@ def _windows(data: np.ndarray, offsets: np.ndarray, n_words: int, gram: int):
     return doc, at, _sliding(h * P2, n_words)[at], grams[chosen], chosen, start, end, first
 
 
+def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's sorted rows (k, doc_id, place) those whose k is that of the row before or
+    after, and the first and the last (border 1, 2, or 3 for both), whose other neighbour is in
+    another partition. The last row of a batch is held until the next one comes."""
+    part, held, before, first = TaskContext.get().partitionId(), None, False, True
+
+    def told(b: pa.RecordBatch, k: np.ndarray, prev: np.ndarray, nxt: np.ndarray, border: np.ndarray) -> pa.RecordBatch:
+        keep = np.flatnonzero(prev | nxt | (border > 0))
+        rows = b.take(pa.array(keep))
+        key = pa.array(k[keep], mask=border[keep] == 0)  # only at borders is it looked at again
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, np.int32)), pa.array(border[keep]), key, rows.column(1), rows.column(2), pa.array(prev[keep]), pa.array(nxt[keep])], _NEAR)
+
+    for b in it:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        k = np.asarray(b.column(0), np.int64)
+        prev, border = np.zeros(len(k), bool), np.zeros(len(k), np.int32)
+        prev[1:] = k[1:] == k[:-1]
+        prev[0] = before
+        border[0] = int(first)
+        if len(k) > 1:
+            yield told(b.slice(0, len(k) - 1), k[:-1], prev[:-1], prev[1:], border[:-1])
+            first = False
+        held, before = b.slice(len(k) - 1), bool(prev[-1])
+    if held is not None:
+        k = np.asarray(held.column(0), np.int64)
+        yield told(held, k, np.array([before]), np.array([False]), np.array([2 + first], np.int32))
+
+
+_NEAR = ["part", "border", "k", "doc_id", "place", "before", "after"]
+
+
 def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start_char, end_char, copies, first) of each stretch of a text that is covered by
+    """(doc_id, start_char, end_char, first) of each stretch of a text that is covered by
     overlapping runs of n_words words each of which occurs at another place too, in this document
-    or another. copies is the largest number of places of one of the runs; first is true where
-    no document of lesser doc_id holds any of them.
+    or another. first is true where none of them occurs in a document of lesser doc_id or sooner
+    in this one.
 
     Words are runs other than ASCII white space, A-Z lower-cased. Characters are code points, end
     exclusive. Null, empty and short texts have none; documents without repeats have no row;
@@ -106,32 +144,44 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(place)], ["k", "doc_id", "place"])
 
     found = cut(docs.mapInArrow(lean(extended), "k long, doc_id long, place long"), "suffixes")
-    # the keys that repeat; the join's other side may be split where one key is in very many rows
-    keys = found.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
-    # what goes on to the documents is narrow: twice the copies, and one if the document is the first
-    places = found.join(keys, "k").select("doc_id", "place", (F.col("copies") * 2 + F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True)).cast("long")).alias("c"))
+    shared.destroy()
+    ordered = found.repartitionByRange("k", "doc_id", "place").sortWithinPartitions("k", "doc_id", "place")
+    same = cut(ordered.mapInArrow(lean(neighbours), "part int, border int, k long, doc_id long, place long, before boolean, after boolean"), "neighbours")
+    drop(found)
+    # what meets at the borders of partitions: two rows for each
+    ends: dict[int, dict[int, int]] = {}
+    for r in same.where("border > 0").select("part", "border", "k").collect():
+        for side in (1, 2):
+            if r["border"] & side:
+                ends.setdefault(r["part"], {})[side] = r["k"]
+    parts = sorted(ends)
+    met = [q for p, q in zip(parts, parts[1:], strict=False) if ends[p][2] == ends[q][1]]  # q's first row equals the last one before it
+    last = [p for p, q in zip(parts, parts[1:], strict=False) if ends[p][2] == ends[q][1]]
+    at = lambda ps, side: (F.col("border").bitwiseAND(side) > 0) & F.col("part").isin(ps) if ps else F.lit(False)
+    same = same.withColumn("before", F.col("before") | at(met, 1)).withColumn("after", F.col("after") | at(last, 2)).where("before or after")
+    places = same.select("doc_id", "place", (~F.col("before")).cast("long").alias("c"))
     places = places.repartition("doc_id").sortWithinPartitions("doc_id", "place")
 
     def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)  # the stretch that the next batch may go on with
+        held = np.zeros((4, 0), np.int64)  # the stretch that the next batch may go on with
         for b in it:
             doc = np.asarray(b.column(0).fill_null(_NONE))
             place, c = (np.asarray(b.column(i), np.int64) for i in (1, 2))
             begin = place >> 32
-            rows = np.hstack([held, np.vstack([doc, begin, begin + (place & 0xFFFFFFFF), c >> 1, c & 1])])
+            rows = np.hstack([held, np.vstack([doc, begin, begin + (place & 0xFFFFFFFF), c])])
             if not rows.shape[1]:
                 continue
             new = np.ones(rows.shape[1], bool)
             new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] >= rows[2, :-1])
             s = np.flatnonzero(new)
             e = np.append(s[1:], rows.shape[1]) - 1
-            out = np.vstack([rows[0, s], rows[1, s], rows[2, e], np.maximum.reduceat(rows[3], s), np.minimum.reduceat(rows[4], s)])
+            out = np.vstack([rows[0, s], rows[1, s], rows[2, e], np.minimum.reduceat(rows[3], s)])
             held = out[:, -1:]
             yield _spans(out[:, :-1])
         yield _spans(held)
 
     def _spans(x: np.ndarray) -> pa.RecordBatch:
         ids = pa.array(x[0], pa.int64(), mask=x[0] == _NONE)
-        return pa.RecordBatch.from_arrays([ids, *map(pa.array, x[1:4]), pa.array(x[4] == 1)], ["doc_id", "start_char", "end_char", "copies", "first"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(x[1]), pa.array(x[2]), pa.array(x[3] == 1)], ["doc_id", "start_char", "end_char", "first"])
 
-    return places.mapInArrow(lean(joined), "doc_id long, start_char long, end_char long, copies long, first boolean")
+    return places.mapInArrow(lean(joined), "doc_id long, start_char long, end_char long, first boolean")
