@@ -53,11 +53,14 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``cut`` returned, when all that is made of them is written."""
+    """Deletes tables that ``cut`` returned, when all that is made of them is written. Shuffle files
+    of jobs that have ended go when the driver collects garbage, so it is asked to."""
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(getattr(t, _WHERE))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 @contextmanager

@@ -32,7 +32,7 @@ from codeatlas.llm.common import P1, U64, arrow_rows, batches, cut, drop, lean,
 from codeatlas.llm.components import connected_components
 
 BUCKET_BITS = 16
-LATE, MAX_LATE = 16, 1 << 17  # n-grams met in more than LATE groups go to the end of the order; so many of them are broadcast
+LATE, MAX_LATE = 16, 1 << 17  # n-grams in the prefixes of more than LATE sets go to the end of the order; so many of them are broadcast
 COLD = 64  # n-grams in at most so many groups pair them one by one
 BLOCK_GRAMS = 1_000_000
 BATCH_BYTES = 1 << 20  # of text hashed at once; the arrays made of it take some hundred bytes a word
@@ -148,17 +148,21 @@ def _near(token: DataFrame, num: int, den: int, cold: int = COLD) -> DataFrame:
     """(a, b) of groups that may hold a linked pair, from the rows (g, n, p, t) of their prefixes;
     each such pair is at least connected by these edges.
 
-    N-grams in few groups give pairs, which must be of like size and share enough: what both
+    N-grams in few groups (at most ``cold``) give pairs, which must be of like size and share enough: what both
     prefixes have in common (of n-grams in many groups no more than the fewer of the two have)
     and the sets' rests must reach the overlap that a link needs. N-grams in many groups connect
     each group with one of them."""
     count = cut(token.groupBy("t").agg(F.min("g").alias("v"), F.count("*").alias("c")).where("c > 1"), "counts")
     token = cut(token.join(count, "t"), "tokens")
+    drop(count)
     hot = token.where(F.col("c") > cold)
     many = hot.groupBy("g").agg(F.count("*").alias("h"))
     few = token.where(F.col("c") <= cold).select("t", "g", "n", "p")
-    a, b = (few.select("t", *(F.col(c).alias(f"{x}{c}") for c in ("g", "n", "p"))) for x in "ab")
-    pairs = a.join(b, "t").where(f"ag < bg and an * {den} >= bn * {num} and bn * {den} >= an * {num}")
+    # at most ``cold`` groups meet in a row; each group's partners are those after it, of like size
+    met = few.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("g", "n", "p"))).alias("m")).select("m", F.posexplode("m").alias("i", "a"))
+    like = lambda b: (F.col("a.n") * den >= b["n"] * num) & (b["n"] * den >= F.col("a.n") * num)
+    met = met.select("a", F.explode(F.filter(F.slice("m", F.col("i") + 2, F.size("m")), like)).alias("b"))
+    pairs = met.select(*(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "ab" for c in ("g", "n", "p")))
     pairs = pairs.groupBy("ag", "bg", "an", "bn", "ap", "bp").agg(F.count("*").alias("common"))
     pairs = pairs.join(many.select(F.col("g").alias("ag"), F.col("h").alias("ah")), "ag", "left").join(many.select(F.col("g").alias("bg"), F.col("h").alias("bh")), "bg", "left")
     pairs = pairs.where(f"(common + least(coalesce(ah, 0), coalesce(bh, 0)) + greatest(an - ap, bn - bp)) * {num + den} >= (an + bn) * {num}")
@@ -306,8 +310,9 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_gr
     first_of = Order(rank, np.zeros(0, U64))
     base = _prefixes(docs, k, num, den, first_of)
     classes = _classes(base)
-    many = _units(base, classes).dropDuplicates(["p", "n"]).select(F.explode("prefix").alias("t")).groupBy("t").count().where(F.col("count") > LATE)
+    many = _units(base, classes).select(F.explode("prefix").alias("t")).groupBy("t").count().where(F.col("count") > LATE)
     late = many.orderBy(F.desc("count"), "t").limit(MAX_LATE).toPandas()["t"].to_numpy(np.int64).view(U64)
+    del many
     if len(late):  # any order is right; the better one needs the prefixes anew
         first_of = Order(rank, late)
         drop(base)
@@ -316,6 +321,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_gr
     units = cut(_units(base, classes), "units")
     group = cut(units.groupBy("p", "n").agg(F.min("w").alias("g")), "groups")
     member = cut(units.join(group, ["p", "n"]), "members")  # g is the least set of the group
+    drop(units, group)
     near = _near(member.where("w = g").select("g", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("t")), num, den)
     cluster = connected_components(near.unionByName(member.where("w <> g").select(F.col("w").alias("a"), F.col("g").alias("b"))))
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "w")
@@ -335,7 +341,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_gr
     with arrow_rows(docs.sparkSession, 128):  # rows hold whole sets
         found = cut(_linked(cells.repartition("key").sortWithinPartitions("key"), num, den), "links")
     shared.destroy()
-    drop(units, group, member, size)
+    drop(member, size)
     comp = connected_components(found.select(F.col("u").alias("a"), F.col("v").alias("b")))
     comp = cut(comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "w").join(classes.select("w", "u"), "w"), "components")
     least = cut(comp.groupBy("root").agg(F.min("u").alias("least")), "least")
