@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import batches, lean, utf8, without
+from codeatlas.llm.common import P1, U64, batches, lean, mix, utf8, without
 
 HIDDEN, WINDOW = 8, 64
 #: Bound of the training sample: documents, and windows of each.
 MAX_TRAIN, MAX_WINDOWS = 1200, 8
+#: Bound of the label layer; a corpus with more values in lang is refused, never cut.
+MAX_LANGS = 1000
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -171,26 +173,57 @@ class Network:
         return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-30)
 
 
+def _sample(known: DataFrame, max_train: int) -> list[tuple]:
+    """(doc_id, lang): of each language about the same number of documents, those of least hash of
+    doc_id. One count by language, then a threshold for the hash that lets twice as many through as
+    are wanted, so the rows that reach the driver don't grow with the corpus."""
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if len(count) > MAX_LANGS:
+        raise ValueError(f"{len(count)} languages in lang; the network labels {MAX_LANGS} at most")
+    if not count:
+        return []
+    each = max(1, max_train // len(count))
+    rule = known.sparkSession.createDataFrame([(k, min(1 << 32, -(-(2 * each + 20) * (1 << 32) // n))) for k, n in count.items()], "lang string, most long")
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    rows = known.select("doc_id", "lang", spread.alias("h")).join(F.broadcast(rule), "lang").where("h < most").select("doc_id", "lang", "h").collect()
+    found, taken = [], {}
+    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"] is None, r["doc_id"])):
+        if taken.setdefault(r["lang"], 0) < each:
+            taken[r["lang"]] += 1
+            found.append((r["doc_id"], r["lang"]))
+    return found
+
+
 def fit(docs: DataFrame, allowed, max_train: int = MAX_TRAIN, max_windows: int = MAX_WINDOWS) -> Network | None:
-    """Trains on documents for which ``allowed`` holds and lang isn't null: for each language at
-    most max_train / languages of least hash of doc_id, and the first max_windows windows of each.
-    (Predictions always read whole texts.) None where there are no such documents."""
-    known = docs.where(allowed).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(1000).collect())
-    if not langs:
+    """Trains on documents for which ``allowed`` holds and neither lang, text nor doc_id is null:
+    for each language at most max_train / languages of least hash of doc_id, and of each max_windows
+    windows from all over its text, chosen by hash on the executors. (Predictions always read whole
+    texts.) None where there are no such documents. More than MAX_LANGS languages are an error."""
+    known = docs.where(allowed).where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    ids = _sample(known, max_train)
+    if not ids:
         return None
-    each = max(1, max_train // len(langs))
-    ids = None
-    for lang in langs:  # a top-k for each language, not a window over all its rows
-        some = known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        ids = some if ids is None else ids.unionByName(some)
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "lang", F.substring("text", 1, WINDOW * max_windows).alias("text")).collect()
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in rows)
-    data, off, _ = utf8(pa.array([t for *_, t in rows], pa.string()))
-    x, doc, count = windows(data, off)
-    y = np.array([langs.index(lang) for _, lang, _ in rows])[doc]
-    full = count >= min(WINDOW, 16)
-    return Network(langs).fit(x[full], y[full]) if full.any() else Network(langs)
+    langs = sorted({lang for _, lang in ids})
+    some = known.sparkSession.createDataFrame(sorted(set(ids)), known.select("doc_id", "lang").schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(2 << 20)(it):
+            data, off, _ = utf8(b.column(2))
+            x, doc, count = windows(data, off)
+            # a short last window tells little, unless it is all that there is
+            good = (count >= 16) | (np.diff(off)[doc] < 16)
+            x, doc, nth = x[good], doc[good], (np.arange(len(doc)) - np.searchsorted(doc, doc))[good]
+            spread = mix(nth.astype(U64) * P1 + np.asarray(b.column(3), np.int64).view(U64)[doc])
+            order = np.lexsort((spread, doc))
+            keep = order[np.arange(len(doc)) - np.searchsorted(doc, doc[order]) < max_windows] if len(doc) else order
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(doc[keep])), b.column(3).take(pa.array(doc[keep])), pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["lang", "h", "x"])
+
+    rows = known.join(F.broadcast(some), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    got = sorted(rows.mapInArrow(lean(run), "lang string, h long, x binary").collect(), key=lambda r: (r["h"], r["x"]))
+    if not got:
+        return Network(langs)
+    x = np.stack([np.frombuffer(r["x"], np.uint8) for r in got])
+    return Network(langs).fit(x, np.array([langs.index(r["lang"]) for r in got]))
 
 
 def identify(df: DataFrame, model: Network | None, text: str = "text") -> DataFrame:
