@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from codeatlas.llm.common import U64, batches, lean, lower, range_hashes, utf8, without, words
 
 TERMS, DIMS, NEIGHBOURS = 2048, 48, 15
-#: Bound of the labelled sample, in rows and in bytes of text each row may add to the fit's memory.
+#: Bound of the labelled sample, in rows.
 MAX_TRAIN = 3000
 THRESHOLD = 0.3
 WORD_WEIGHT = 0.5  # how a text is written says more than its words
@@ -76,16 +76,26 @@ class Model:
     """What is broadcast: idf-weighted projection, labelled vectors, labels and the prior."""
 
     def __init__(self, texts: list[str], labels: list[int], seed: int = 5):
+        rows = [np.zeros((0, TERMS), np.float32)]
+        for s in range(0, len(texts), 64):
+            data, off, _ = utf8(pa.array(texts[s : s + 64], pa.string()))
+            rows.append(term_counts(data, off))
+        self._learn(np.vstack(rows), labels, seed)
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray, labels: list[int], seed: int = 5) -> Model:
+        """The same from counts of terms, a row for each labelled text."""
+        model = cls.__new__(cls)
+        model._learn(counts, labels, seed)
+        return model
+
+    def _learn(self, counts: np.ndarray, labels: list[int], seed: int) -> None:
         self.y = np.array(labels, np.float32)
         self.prior = float(self.y.mean()) if len(self.y) else 0.5
         if not len(self.y):
             self.project, self.v = np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32)
             return
-        rows = []
-        for s in range(0, len(texts), 64):
-            data, off, _ = utf8(pa.array(texts[s : s + 64], pa.string()))
-            rows.append(self._scale(term_counts(data, off)))
-        x = np.vstack(rows)
+        x = np.vstack([self._scale(counts[s : s + 256]) for s in range(0, len(counts), 256)])
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         x *= self.idf
         # randomised subspace iteration for the leading right singular vectors
@@ -124,15 +134,31 @@ class Model:
         return np.where(counts.any(axis=1), np.clip(out, 0, 1), self.prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", max_train: int = MAX_TRAIN, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """Fits on at most max_train labelled rows for which ``allowed`` (a condition on doc_id)
-    holds: those of least hash of doc_id. Of each, at most max_chars characters are looked at; a
-    document's score always uses its whole text. Null labels and texts are left out."""
+    holds: those of least hash of doc_id. Their whole texts are counted on the executors; what
+    comes to the driver is a row of at most TERMS counts for each. Null labels and texts are left
+    out; of one doc_id with several labels the largest holds, and repeated rows all count."""
     marked = labels.where(allowed).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", F.substring("text", 1, max_chars).alias("text"), "y")
-    got = sorted((r["doc_id"], r["text"], int(r["y"])) for r in rows.collect())
-    return Model([t for _, t, _ in got], [y for _, _, y in got])
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "y", "text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(2 << 20)(it):
+            data, off, _ = utf8(b.column(3))
+            for s in range(0, b.num_rows, 256):
+                e = min(s + 256, b.num_rows)
+                x = term_counts(data[off[s] : off[e]], off[s : e + 1] - off[s])
+                at = [np.flatnonzero(r) for r in x]
+                packed = [pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([r[i].astype("<f4").tobytes() for r, i in zip(x, at, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns[:3]), *packed], ["doc_id", "h", "y", "terms", "counts"])
+
+    got = rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, y {rows.schema['y'].dataType.simpleString()}, terms binary, counts binary").collect()
+    got = sorted(got, key=lambda r: (r["doc_id"], r["h"]))[:max_train]
+    counts = np.zeros((len(got), TERMS), np.float32)
+    for x, r in zip(counts, got, strict=True):
+        x[np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["counts"], "<f4")
+    return Model.of_counts(counts, [int(r["y"]) for r in got])
 
 
 def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
