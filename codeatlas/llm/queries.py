@@ -104,7 +104,30 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
+# words as in the contract: A-Z lower-cased, runs other than the six ASCII white spaces
+_LOW = "translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')"
+
 ORACLES = {
+    "op1_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split({_LOW}, ' '), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM w),
+t AS (SELECT doc_id, unnest(g) AS g FROM s), n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, coalesce(k.k, 0) AS n_links FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = n.doc_id
+LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) k ON k.a = n.doc_id""",
+    "op7_repeats": f"""
+WITH p AS (SELECT doc_id, unnest(string_split({_LOW}, ' ')) AS word, generate_subscripts(string_split({_LOW}, ' '), 1) AS i FROM documents),
+q AS (SELECT doc_id, word, i, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(word) - 1 AS a FROM p),
+w AS (SELECT doc_id, a, a + length(word) AS b, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM q WHERE word <> ''),
+g AS (SELECT doc_id, a, k, n, last_value(b) OVER f AS b, string_agg(word, ' ') OVER f AS words FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+h AS (SELECT doc_id, a, b, md5(words) AS m FROM g WHERE k + 49 <= n),
+d AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY m ORDER BY doc_id, a) = 1 AS first, count(*) OVER (PARTITION BY m) AS c FROM h),
+s AS (SELECT *, a >= lag(b, 1, -1) OVER (PARTITION BY doc_id ORDER BY a) AS fresh FROM d WHERE c > 1),
+z AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY a) AS part FROM s)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS start_char, CAST(max(b) AS BIGINT) AS end_char, bool_and(first) AS first FROM z GROUP BY doc_id, part""",
     "op10_url_filter": r"""
 WITH p AS (
   SELECT page_id,
