@@ -75,12 +75,12 @@ def is_retained_text(ext: str | Column) -> Column:
 
 
 def name_tokens(name: str | Column) -> Column:
-    """ASCII-lower-cased runs of letters and digits."""
-    return F.filter(F.split(ascii_lower(name), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """ASCII-lower-cased runs of ASCII letters and digits."""
+    return F.filter(F.split(ascii_lower(name), r"[^a-z0-9]+"), lambda x: x != "")
 
 
 def collapsed(name: str | Column) -> Column:
-    return F.regexp_replace(ascii_lower(name), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(ascii_lower(name), r"[^a-z0-9]+", "")
 
 
 def _signal(name: Column, words: str) -> Column:

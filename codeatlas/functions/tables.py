@@ -45,5 +45,25 @@ FONT_PX, MIN_TEXT_FONT_PX = 12.0, 4.0
 CHUNK_LINES = 60
 SEARCH_LIMIT = 12
 MAX_RETAINED_BYTES = 8 * 1024 * 1024
+TEXT_MARGIN, CHAR_WIDTH, BODY_PAD, PAGE_W = 12.0, 0.62, 6.0, 640.0
+HISTORY = 64
+#: colours, 0xRRGGBB
+TEXT_COLOUR = 0xD8D8D8
+SYNTAX_COLOURS = {"Keyword": 0xC586C0, "Function": 0xDCDCAA, "Type": 0x4EC9B0, "String": 0xCE9178, "Comment": 0x6A9955, "Number": 0xB5CEA8, "Property": 0x9CDCFE}
+HEAT, DEPTH_FILL, CODE_FILL = (0x2A2A2E, 0xB03030), (0x17171B, 0x3C3C46), 0x101014
+FILE_TINT, FILE_BLEND = 0x443828, 0.25
+DOC_TINT, TEST_TINT, FOLDER_BLEND = 0x3060A0, 0x306030, 0.12
+TYPE_BLEND = {"File": 0.35, "Item": 0.25, "Leaf": 0.18}
+DOC_FOLDERS, TEST_FOLDERS = ["docs", "doc", "documentation"], ["test", "tests", "spec", "specs", "__tests__"]
+EXTENSION_TINTS = {
+    0xC06030: "rs", 0xC0B030: "js mjs cjs", 0xD0A030: "jsx", 0x3080D0: "ts mts cts", 0x4070C0: "tsx", 0x30A060: "py", 0xC03040: "rb", 0x30B0B0: "go", 0xB04030: "java", 0xA050C0: "kt kts",
+    0xE06030: "swift", 0x5070A0: "c h", 0x5060C0: "cpp cc cxx hpp hxx hh", 0x7050B0: "cs", 0xD05030: "html htm", 0xC040A0: "css", 0xB050A0: "scss sass less", 0x40B070: "vue", 0xD04020: "svelte",
+    0x908040: "json", 0x906050: "yaml yml", 0x807060: "toml", 0x808060: "xml", 0x4080C0: "md markdown", 0x808080: "txt rst", 0x50A040: "sh bash zsh fish", 0xC08030: "sql", 0x3040C0: "lua",
+    0x7060B0: "php", 0x3060C0: "r", 0x6040A0: "ex exs", 0xD0A020: "zig", 0x40A0C0: "dart", 0xC03020: "scala",
+}
+OTHER_TINT = 0x606068
+#: kinds of highlighted text, by the first part of a capture's name; four names are matched whole
+CAPTURES = {"Keyword": "keyword conditional repeat include exception", "Function": "function", "Type": "type constructor", "String": "string escape", "Comment": "comment", "Number": "constant number", "Property": "property"}
+WHOLE_CAPTURES = {"text.title": "Type", "text.literal": "String", "text.uri": "Property", "text.reference": "Property"}
 PACK_FACTORS = [0.5, 0.625, 0.75, 0.875, 1.0, 1.125, 1.5, 2.0, 3.0]
 # -------------------------------------------------------------------------------------------

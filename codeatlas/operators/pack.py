@@ -142,8 +142,7 @@ def pack(nodes: DataFrame, cfg: PackConfig = PackConfig(), max_depth: int | None
     root to the parent. ``save`` keeps each level's result and cuts its lineage."""
     nodes = save(nodes)
     deepest = nodes.agg(F.max("depth")).first()[0] if max_depth is None else max_depth
-    parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-    size = nodes.join(parents, "id", "left_anti").select("id", F.lit(cfg.page_w).alias("w"), leaf_size(F.col("measure"), cfg).alias("h"))
+    size = pages(nodes, cfg)
     place_of = None
     for depth in range(deepest, 0, -1):
         kids = nodes.where(F.col("depth") == depth).select("id", "parent_id", "kind", "label", "name", "ordinal", "role", "byte_start").join(size, "id")
@@ -158,19 +157,7 @@ def pack(nodes: DataFrame, cfg: PackConfig = PackConfig(), max_depth: int | None
         size = size.unionByName(level.select(F.col("parent").alias("id"), "w", "h").distinct())
     if place_of is None:
         return size.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "w", "h")
-    # absolute: offsets of self and ancestors, added from the root down
-    up = nodes.select("id", F.posexplode(F.concat("anc", F.array("id"))).alias("d", "a"))
-    up = up.join(place_of.select(F.col("id").alias("a"), "dx", "dy"), "a", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", F.coalesce("dx", F.lit(0.0)).alias("dx"), F.coalesce("dy", F.lit(0.0)).alias("dy")))).alias("s"))
-    total = lambda c: F.aggregate("s", F.lit(0.0), lambda acc, v: acc + v[c])
-    return up.select("id", total("dx").alias("x"), total("dy").alias("y")).join(size, "id")
-
-
-def draft_sizes(nodes: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
-    """Vertical stacks: (id, y) of leaves and containers of depth 1, by running sums of heights."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("parent_id").orderBy("name", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn("y", cfg.container_header + cfg.gap + F.coalesce(F.sum(leaf_size(F.col("measure"), cfg) + cfg.gap).over(w), F.lit(0.0)))
+    return absolute(nodes, size, place_of)
 
 
 def milestones(total: Column, snapshots: int) -> Column:
@@ -180,3 +167,89 @@ def milestones(total: Column, snapshots: int) -> Column:
     return F.array_distinct(steps)
 
 
+def pages(nodes: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
+    """(id, w, h) of nodes without children."""
+    parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
+    return nodes.join(parents, "id", "left_anti").select("id", F.lit(cfg.page_w).alias("w"), leaf_size(F.col("measure"), cfg).alias("h"))
+
+
+def draft_layouts(nodes: DataFrame, cfg: PackConfig = PackConfig(), exact: DataFrame | None = None, max_depth: int | None = None, save=saved) -> tuple[DataFrame, DataFrame]:
+    """(id, w, h) of every node and (id, dx, dy) of every child in its parent: containers are
+    vertical stacks in the order of ``pre``. Where ``exact`` has a container's layout (id, w, h,
+    children: array of id, dx, dy) it holds instead. One job for each depth, running sums by parent."""
+    from pyspark.sql import Window
+
+    nodes = save(nodes.select("id", "parent_id", "measure", "depth", "pre"))
+    deepest = nodes.agg(F.max("depth")).first()[0] if max_depth is None else max_depth
+    size, place_of = pages(nodes, cfg), None
+    above = Window.partitionBy("parent_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    for depth in range(deepest or 0, 0, -1):
+        kids = nodes.where(F.col("depth") == depth).join(size, "id")
+        if exact is not None:
+            done = exact.select(F.col("id").alias("parent_id"), F.col("w").alias("pw"), F.col("h").alias("ph"), F.map_from_entries(F.transform("children", lambda c: F.struct(c["id"], F.struct(c["dx"].alias("dx"), c["dy"].alias("dy"))))).alias("at"))
+            kids = kids.join(done, "parent_id", "left")
+        else:
+            kids = kids.withColumns({"pw": F.lit(None).cast("double"), "ph": F.lit(None).cast("double"), "at": F.lit(None).cast("map<string,struct<dx:double,dy:double>>")})
+        own = F.try_element_at("at", F.col("id"))
+        stacked = cfg.container_header + cfg.gap + F.coalesce(F.sum(F.col("h") + cfg.gap).over(above), F.lit(0.0))
+        level = save(kids.select("id", "parent_id", "w", "h", "pw", "ph", F.coalesce(own["dx"], F.lit(cfg.gap)).alias("dx"), F.coalesce(own["dy"], stacked).alias("dy")))
+        place_of = level.select("id", "dx", "dy") if place_of is None else place_of.unionByName(level.select("id", "dx", "dy"))
+        up = level.groupBy(F.col("parent_id").alias("id")).agg(F.max("pw").alias("pw"), F.max("ph").alias("ph"), (F.max("w") + 2 * cfg.gap).alias("sw"), (cfg.container_header + cfg.gap + F.sum(F.col("h") + cfg.gap)).alias("sh"))
+        size = size.unionByName(up.select("id", F.coalesce("pw", "sw").alias("w"), F.coalesce("ph", "sh").alias("h")))
+    return size, place_of if place_of is not None else size.select("id", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).limit(0)
+
+
+def absolute(nodes: DataFrame, size: DataFrame, place_of: DataFrame) -> DataFrame:
+    """(id, x, y, w, h): offsets of self and ancestors (``anc``), added from the root down."""
+    up = nodes.select("id", F.posexplode(F.concat("anc", F.array("id"))).alias("d", "a"))
+    up = up.join(place_of.select(F.col("id").alias("a"), "dx", "dy"), "a", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", F.coalesce("dx", F.lit(0.0)).alias("dx"), F.coalesce("dy", F.lit(0.0)).alias("dy")))).alias("s"))
+    total = lambda c: F.aggregate("s", F.lit(0.0), lambda acc, v: acc + v[c])
+    return up.select("id", total("dx").alias("x"), total("dy").alias("y")).join(size, "id")
+
+
+def draft(nodes: DataFrame, cfg: PackConfig = PackConfig(), max_depth: int | None = None, save=saved) -> DataFrame:
+    """Rectangles of the draft layout of the whole tree."""
+    return absolute(nodes, *draft_layouts(nodes, cfg, None, max_depth, save))
+
+
+def postorder(nodes: DataFrame) -> DataFrame:
+    """(id, post, inherited) of nodes with ``pre``, ``anc``, ``kind`` and ``own_role`` (null where a
+    node's name says nothing strong): children before parents, siblings in order, and the role that
+    each inherits: from folders the nearest one that says so at or above it, Source below files.
+
+    A node's place is its place in preorder, less its ancestors, plus what lies below it."""
+    below = nodes.select(F.explode("anc").alias("id")).groupBy("id").agg(F.count("*").alias("below"))
+    up = nodes.select("id", F.posexplode(F.concat("anc", F.array("id"))).alias("d", "a")).join(nodes.select(F.col("id").alias("a"), "kind", "own_role"), "a")
+    chain = up.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "kind", "own_role"))).alias("c"))
+
+    def step(acc: Column, n: Column) -> Column:  # the role that a node takes from its parent and itself
+        role = F.when(n["d"] == 0, F.lit("Source")).when(acc["kind"] == "folder", F.coalesce(n["own_role"], acc["role"])).otherwise("Source")
+        return F.struct(role.alias("role"), n["kind"].alias("kind"))
+
+    role = F.aggregate("c", F.struct(F.lit("Source").alias("role"), F.lit("folder").alias("kind")), step)["role"]
+    j = nodes.join(below, "id", "left").join(chain.select("id", role.alias("inherited")), "id")
+    return j.select("id", (F.col("pre") - F.size("anc") + F.coalesce("below", F.lit(0))).cast("long").alias("post"), "inherited")
+
+
+def progressive(nodes: DataFrame, post: DataFrame, snapshots: int, cfg: PackConfig = PackConfig(), max_depth: int | None = None, save=saved) -> DataFrame:
+    """(completed, id, x, y, w, h): the draft layout at 0, the whole packing at the last step, and
+    at the milestones between them the packing of what is done with the draft of what is not.
+    ``post`` is the order of work. A step between shows at the first container done from its
+    milestone on, as a page changes nothing. The number of snapshots bounds the number of jobs."""
+    nodes, post = save(nodes), save(post)
+    whole = save(pack(nodes, cfg, max_depth, save))
+    held = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
+    at = whole.select("id", "x", "y")
+    rel = nodes.where("parent_id is not null").select("id", "parent_id").join(at, "id").join(at.select(F.col("id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py")), "parent_id")
+    inside = rel.groupBy(F.col("parent_id").alias("id")).agg(F.collect_list(F.struct("id", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy"))).alias("children"))
+    exact = save(whole.select("id", "w", "h").join(inside, "id"))
+    total = post.count()
+    out = draft(nodes, cfg, max_depth, save).withColumn("completed", F.lit(0).cast("long"))
+    marks = post.sparkSession.range(1).select(F.explode(milestones(F.lit(total).cast("long"), snapshots)).alias("m")).where(f"m > 0 and m < {total}")
+    # the first container at or after each milestone, if it comes before the end
+    steps = marks.join(F.broadcast(post.join(held, "id").select((F.col("post") + 1).alias("at"))), F.col("at") >= F.col("m")).groupBy("m").agg(F.min("at").alias("at")).select("at").distinct()
+    for row in sorted(r["at"] for r in steps.collect()):  # at most as many as snapshots
+        if row < total:
+            done = exact.join(post.where(F.col("post") < row).select("id"), "id", "left_semi")
+            out = out.unionByName(absolute(nodes, *draft_layouts(nodes, cfg, done, max_depth, save)).withColumn("completed", F.lit(row).cast("long")))
+    return out.unionByName(whole.withColumn("completed", F.lit(total).cast("long")))

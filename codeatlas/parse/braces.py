@@ -13,6 +13,8 @@ _NOISE = {
     "c": r"//[^\n]*|/\*.*?\*/|R\"(\w*)\(.*?\)\1\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'",
 }
 _NOT_NAMES = frozenset("if for while switch return catch sizeof else do new delete throw using lock foreach fixed when defined case function await typeof in of super assert static_assert register packoffset layout".split())
+#: words of field values; right inside a class body any other word can name a method
+_NOT_METHODS = frozenset("if for while switch catch function".split())
 _IDENT = r"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*"
 
 
@@ -131,7 +133,7 @@ def items(source: bytes, language: str) -> list[Item]:
             for m in _METHOD.finditer(code, body + 1, c.end):
                 opened = m.end() - 1
                 inside = [a for a, b in pairs.items() if a > body and a < m.start(1) < b]
-                if not inside and m[1] not in _NOT_NAMES:
+                if not inside and m[1] not in _NOT_METHODS:
                     add("fn", m[1], m.start(1) if _head(code, m.start(1)) > m.start(1) else max(_head(code, m.start(1)), body + 1), pairs[opened] + 1)
     else:
         for label, p in _TYPES[language].items():

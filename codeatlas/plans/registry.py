@@ -475,8 +475,9 @@ def dominant_kind(spark, sf_dir):
 @query("SELECT l_orderkey, list_aggregate(list_sort(list(l_partkey || ':' || l_linenumber)), 'string_agg', ',') AS inventory, min(l_linenumber) AS first FROM lineitem GROUP BY l_orderkey")
 def group_edges(spark, sf_dir):
     """Targets of each name gathered in order."""
-    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", "l_linenumber").alias("t"))
-    return li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("t")), ",").alias("inventory"), F.min("l_linenumber").alias("first"))
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("center"), F.lit("x").alias("raw_name"), F.col("l_linenumber").alias("site"), F.concat_ws(":", "l_partkey", "l_linenumber").alias("target"))
+    g = calls.group_edges(li)
+    return g.select(F.col("center").alias("l_orderkey"), F.array_join(F.array_sort("targets"), ",").alias("inventory"), "first")
 
 
 @query("SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS child FROM orders GROUP BY o_custkey")
@@ -603,7 +604,7 @@ def last_return_type(spark, sf_dir):
 
 @query(f"SELECT path, CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS INTEGER) AS place FROM (SELECT DISTINCT {_PATH_SQL} AS path FROM pages)")
 def path_order(spark, sf_dir):
-    """Paths in order of their components: bounds of a range partitioning, then ranks within."""
+    """Paths in order of their components. The rank runs over all paths in one task."""
     p = _urls(spark, sf_dir).select("path").distinct()
     return hierarchy.preorder(p.withColumn("positions", F.split("path", "/")), out="place").select("path", (F.col("place") + 1).alias("place"))
 
@@ -628,3 +629,4 @@ def daily_events(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("day"), "n")
 
 
+from codeatlas.plans import views  # noqa: E402, F401 - registers its queries

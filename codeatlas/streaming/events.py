@@ -51,3 +51,45 @@ def anchors(edits: DataFrame) -> DataFrame:
 
 def to_memory(df: DataFrame, name: str, mode: str) -> DataStreamWriter:
     return df.writeStream.format("memory").queryName(name).outputMode(mode)
+
+
+def loading(progress: DataFrame) -> DataFrame:
+    """What a load says of itself: (fraction, said) from (phase, done, total)."""
+    n = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"))
+    some = F.col("total") > 0
+    said = (
+        F.when(F.col("phase") == 0, "Scanning files…").when((F.col("phase") == 1) & some, F.concat(F.lit("Parsing "), n, F.lit(" files…"))).when(F.col("phase") == 1, "Parsing…")
+        .when(F.col("phase") == 2, "Building symbol tree…").when(some, F.concat(F.lit("Packing "), n, F.lit(" nodes...")))
+        .otherwise(F.concat(F.lit("Packing "), n, F.lit(" nodes...")))
+    )
+    share = F.when(F.col("phase") == 0, 0.0).when(F.col("phase") == 2, 1.0).when(some, F.col("done") / F.col("total")).otherwise(0.0)
+    return progress.select("*", share.cast("double").alias("fraction"), said.alias("said"))
+
+
+def current(events: DataFrame, generation: str = "generation", *by: str) -> DataFrame:
+    """Events of the newest generation (of each of ``by``), all of them: nothing is lost, and what
+    an older load still sends is left out."""
+    newest = events.groupBy(*by).agg(F.max(generation).alias("_newest"))
+    j = events.join(F.broadcast(newest)) if not by else events.join(newest, list(by))  # without by: one row
+    return j.where(F.col(generation) == F.col("_newest")).drop("_newest")
+
+
+class Loads:
+    """Loads of one session, of which a new one ends the one before: its jobs carry a tag."""
+
+    def __init__(self, spark, name: str = "codeatlas-load"):
+        self.spark, self.name, self.generation = spark, name, 0
+
+    def start(self) -> str:
+        """Ends what the last load still runs, and tags this thread's jobs from now on."""
+        if self.generation:
+            self.cancel()
+        self.generation += 1
+        tag = f"{self.name}-{self.generation}"
+        self.spark.addTag(tag)
+        return tag
+
+    def cancel(self) -> None:
+        tag = f"{self.name}-{self.generation}"
+        self.spark.interruptTag(tag)
+        self.spark.removeTag(tag)

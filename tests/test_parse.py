@@ -2,18 +2,19 @@
 
 import pytest
 
-from codeatlas.parse import registry
+from codeatlas.parse import registry, rows
+from codeatlas.plans import sources
 
 CASES = {
-    "rust": ("mod inner {\n fn a() {}\n}\n#[derive(Debug)]\npub struct Point { x: f64 }\nimpl Point {\n pub fn new() -> Self { Point { x: 0.0 } }\n fn norm(&self) -> f64 { 1.0 }\n}\nimpl Show for i32 { fn show(&self) {} }\npub fn free(x: impl Fn()) { let s = \"fn no() {\"; }\n", [("module", "inner", 1), ("struct", "Point", 0), ("impl", "Point", 2), ("impl", "Show for i32", 1), ("fn", "free", 0)]),
-    "python": ("class Animal:\n  '''D.'''\n  def a(self): pass\n  def b(self): pass\ndef standalone(): pass\n@dec\ndef decorated(): pass\n", [("class", "Animal", 2), ("fn", "standalone", 0), ("fn", "decorated", 0)]),
-    "javascript": ("function greet(n) { return n; }\nclass Greeter { constructor(x) { this.x = x; } hi() { if (a) { b(); } return 1; } }\nconst add = (a, b) => a + b;\nexport function exported() {}\n", [("fn", "greet", 0), ("class", "Greeter", 2), ("fn", "add", 0), ("fn", "exported", 0)]),
-    "typescript": ("function f(): void {}\nclass A { m(): number { return 1; } }\ninterface I { a: string; }\nenum E { A, B }\ntype T = { a: number };\nconst g = (x: number): number => x;\n", [("fn", "f", 0), ("class", "A", 1), ("interface", "I", 0), ("enum", "E", 0), ("type", "T", 0), ("fn", "g", 0)]),
-    "c": ("struct P { int x; };\nenum C { A, B };\ntypedef unsigned int u32;\nint main(int argc, char **argv) { if (x) { y(); } return 0; }\nstruct P fwd;\n", [("struct", "P", 0), ("enum", "C", 0), ("typedef", "u32", 0), ("fn", "main", 0)]),
-    "cpp": ("namespace app {\nclass W { public: void draw() const { x(); } };\nclass V : public W { public: V(int a) : b(a) {} ~V() {} int get() { return 1; } };\nstruct S { int a; };\nenum class E { A };\n}\ntypedef int myint;\nint run(int a) { return a; }\nvoid Foo::bar() { baz(); }\ntemplate <typename T> T tmax(T a, T b) { return a; }\n", [("namespace", "app", 4), ("typedef", "myint", 0), ("fn", "run", 0), ("fn", "Foo::bar", 0), ("fn", "tmax", 0)]),
-    "csharp": ("namespace N {\npublic class A { public A() {} public int M(int a) { return a; } }\npublic interface I { void X(); }\nenum E { A }\nstruct S { int a; }\npublic record R(int A);\n}\n", [("namespace", "N", 5)]),
-    "glsl": ("struct L { vec3 p; };\nlayout(std140) uniform Cam { mat4 v; };\nvec3 shade(vec3 n) { return n; }\nvoid main() { shade(x); }\n", [("struct", "L", 0), ("interface", "Cam", 0), ("fn", "shade", 0), ("fn", "main", 0)]),
-    "hlsl": ("cbuffer Frame : register(b0) { float4 a; };\nstruct V { float4 p; };\nfloat4 main(V v) : SV_Target { return v.p; }\n", [("cbuffer", "Frame", 0), ("struct", "V", 0), ("fn", "main", 0)]),
+    "rust": ("#[derive(Clone)]\npub(crate) struct Route { hops: u8 }\nimpl Iterator for Route {\n type Item = u8;\n fn next(&mut self) -> Option<u8> { None }\n}\npub mod wire { pub async fn send() {} const fn pad() -> u8 { 0 } }\ntrait Hop { fn cost(&self) -> u8 { 1 } }\nfn plan(f: impl Fn(u8)) { let note = \"struct Fake {\"; /* fn hidden() {} */ }\n", [("struct", "Route", 0), ("impl", "Iterator for Route", 1), ("module", "wire", 2), ("trait", "Hop", 1), ("fn", "plan", 0)]),
+    "python": ("import os\n\nclass Kettle(Base):\n  \"\"\"Boils.\"\"\"\n  async def boil(self): pass\n  @property\n  def hot(self): return True\n  def pour(self):\n    def drip(): pass\n@retry(3)\nasync def brew(leaf): pass\n", [("class", "Kettle", 3), ("fn", "brew", 0)]),
+    "javascript": ("export default class Dial {\n  constructor(min) { this.min = min; }\n  static of(x) { while (x) { x--; } return new Dial(x); }\n  get mid() { return 1; }\n}\nlet twice = async (n) => { return n * 2; };\nasync function* ticks() { yield 1; }\nconst plain = 3;\n", [("class", "Dial", 3), ("fn", "twice", 0), ("fn", "ticks", 0)]),
+    "typescript": ("export interface Plug { volts: number; }\nconst enum Side { L, R }\ntype Maybe<T> = T | { none: true };\nabstract class Socket { private on(p: Plug): boolean { return !!p; } }\nexport const join = <T,>(a: T): T => a;\nfunction cut(s: Side): void {}\n", [("interface", "Plug", 0), ("enum", "Side", 0), ("type", "Maybe", 0), ("class", "Socket", 1), ("fn", "cut", 0)]),
+    "c": ("#include <stdio.h>\nstruct Gear { int teeth; };\nstruct Gear later;\nenum Turn { CW, CCW };\ntypedef struct Axle { struct Gear *g; } axle_t;\nstatic int spin(struct Gear *g, int n) { for (;;) { if (n) { break; } } return 0; }\n", [("struct", "Gear", 0), ("enum", "Turn", 0), ("typedef", "axle_t", 0), ("fn", "spin", 0)]),
+    "cpp": ("namespace mill {\nstruct Sack { int kg; };\nenum class Grain { Rye, Oat };\nclass Wheel : public Part { public: Wheel(int r) : radius(r) {} ~Wheel() {} int turn() const { return grind(); } };\n}\ntemplate <class T> T larger(T a, T b) { return a > b ? a : b; }\nvoid mill::Wheel::stop() { brake(); }\n", [("namespace", "mill", 3), ("fn", "larger", 0), ("fn", "mill::Wheel::stop", 0)]),
+    "csharp": ("namespace Depot {\npublic sealed class Crate { public Crate() {} internal int Weigh(int n) { return n; } }\npublic record Label(string Text);\ninterface IMove { void Go(); }\npublic enum Dock { North }\nstruct Pallet { int n; }\n}\n", [("namespace", "Depot", 5)]),
+    "glsl": ("layout(std140) uniform Sky { vec4 hue; };\nstruct Fog { float near; };\nfloat haze(Fog f) { return f.near; }\nvoid main() { haze(g); }\n", [("interface", "Sky", 0), ("struct", "Fog", 0), ("fn", "haze", 0), ("fn", "main", 0)]),
+    "hlsl": ("struct Vert { float3 at; };\ncbuffer Wind : register(b2) { float4 gust; };\nfloat4 bend(Vert v) : SV_Position { return float4(v.at, 1); }\n", [("struct", "Vert", 0), ("cbuffer", "Wind", 0), ("fn", "bend", 0)]),
 }
 
 
@@ -23,6 +24,20 @@ def test_items(language):
     assert [(i.label, i.name, len(i.children)) for i in registry.parse(source.encode(), language)] == want
 
 
+@pytest.mark.parametrize("language", sorted(sources.SOURCES))
+def test_sample_sources(language):
+    text, want, _ = sources.SOURCES[language]
+    source, found = text.replace("%", "12").encode(), []
+
+    def add(items, depth):
+        for i in items:
+            found.append((i.label, i.name, rows(source, i.start, i.end), depth))
+            add(i.children, depth + 1)
+
+    add(registry.parse(source, language), 1)
+    assert found == [(a, b.replace("%", "12"), n, d) for a, b, n, d in want]
+
+
 def test_signature_and_docs():
     src = "//! top\n//! more\n/// Doc.\n/// Two.\n#[inline]\nfn multi(\n  a: i32,\n  b: i32,\n) -> i32 { 1 }\n//// no\nfn other() {}\n"
     one, two = registry.parse(src.encode(), "rust")
