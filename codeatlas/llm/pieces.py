@@ -35,34 +35,25 @@ class ChunkCache:
         self.first: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
-    def _size(self, made: dict[str, bytes]) -> int:
-        # a string takes up to four bytes a character
-        return sum((len(c) if c.isascii() else 4 * len(c)) + len(v) + ENTRY_BYTES for c, v in made.items())
-
-    def _room(self, need: int) -> None:
-        """Frees all dictionaries if need more bytes don't fit. Short chunks are the frequent
-        ones; they stay if they leave room."""
-        if self.held + need <= self.limit:
-            return
-        for known in (self.lead, self.first, self.odd):
-            short = {c: v for c, v in known.items() if len(c) <= 6} if known is self.lead else {}
-            known.clear()
-            if self._size(short) < self.limit // 4:
-                known.update(short)
-        self.held = self._size(self.lead)
-
-    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str, plain: bool) -> dict[str, bytes]:
-        """Ids of the wanted chunks that are not kept; those that may be kept are, from now on."""
+    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str, plain: bool) -> list[str]:
+        """Encodes the wanted chunks that are not kept; returns them."""
         missing = [c for c in wanted if c not in known and not (plain and (not c or c != c.strip()))]
-        return dict(zip(missing, self.encode([before + c for c in missing]), strict=True)) if missing else {}
+        if missing:
+            known.update(zip(missing, self.encode([before + c for c in missing]), strict=True))
+        return missing
 
-    def _keep(self, known: dict[str, bytes], made: dict[str, bytes]) -> None:
-        some = {c: v for c, v in made.items() if len(c) <= LONGEST}
-        size = self._size(some)
-        self._room(size)
-        if self.held + size <= self.limit:
-            known.update(some)
-            self.held += size
+    def _trim(self, known: dict[str, bytes], new: list[str]) -> None:
+        """After a batch: chunks too long to be kept go, and all that is kept where it is too much."""
+        for c in new:
+            if len(c) > LONGEST:
+                del known[c]
+            else:  # a string takes up to four bytes a character
+                self.held += (len(c) if c.isascii() else 4 * len(c)) + len(known[c]) + ENTRY_BYTES
+        if self.held > self.limit:
+            self.lead.clear()
+            self.first.clear()
+            self.odd.clear()
+            self.held = 0
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -73,23 +64,22 @@ class ChunkCache:
         new = self._fill(self.lead, wanted, " ", True)
         del wanted
         heads = self._fill(self.first, {c[0] for c in cut if c[0]}, "", True)
-        known, first, out, late = self.lead, self.first, [], []
-        of = (lambda c: known[c] if c in known else new[c]) if new else known.__getitem__
+        lead, first, out, late = self.lead.__getitem__, self.first, [], []
         for i, c in enumerate(cut):
             try:  # a chunk with white space at its border isn't there: the text is cut with care
-                head = first[c[0]] if c[0] in first else heads[c[0]]
+                head = first[c[0]]
                 del c[0]
-                out.append(head + b"".join(map(of, c)))
+                out.append(head + b"".join(map(lead, c)))
             except KeyError:
                 out.append(b"")
                 late.append(i)
-        self._keep(self.lead, new)
-        self._keep(self.first, heads)
+        self._trim(self.lead, new)
+        self._trim(self.first, [c for c in heads if c in self.first])
         if late:
             cut = [_CUT.split(texts[i]) for i in late]
             new = self._fill(self.odd, {x for c in cut for x in c[1:]}, " ", False)
-            both = {x: self.odd[x] if x in self.odd else new[x] for c in cut for x in c[1:]}
-            for i, c, head in zip(late, cut, self.encode([c[0] for c in cut]), strict=True):
-                out[i] = head + b"".join([both[x] for x in c[1:]])
-            self._keep(self.odd, new)
+            heads = self.encode([c[0] for c in cut])
+            for i, c, head in zip(late, cut, heads, strict=True):
+                out[i] = head + b"".join([self.odd[x] for x in c[1:]])
+            self._trim(self.odd, new)
         return out

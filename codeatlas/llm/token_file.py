@@ -28,7 +28,7 @@ from codeatlas.llm.ordered import bounds, part_of
 from codeatlas.llm.pieces import ChunkCache
 
 BATCH_BYTES = 4 << 20
-CACHE_BYTES = 112 << 20  # of chunks that a worker keeps
+CACHE_BYTES = 176 << 20  # of chunks that a worker keeps
 JOINED = 32  # chunks in one string for the library; longer strings take it more time a chunk
 _SEPARATOR = "\n"
 
