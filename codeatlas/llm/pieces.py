@@ -24,7 +24,9 @@ LONGEST = 64
 
 class ChunkCache:
     """Packed ids of chunks, kept for as long as the worker lives, within a number of bytes. The
-    bound frees memory only: a chunk that is not kept is encoded again."""
+    bound frees memory only: a chunk that is not kept is encoded again. Of chunks with a space
+    before them there are two generations: when the younger one has half of the bytes it becomes
+    the older one, whose chunks come back when they are met again."""
 
     def __init__(self, encode, limit: int = 64 << 20):
         #: encode(list of strings) -> list of bytes, one for each string
@@ -32,25 +34,35 @@ class ChunkCache:
         #: by chunk: with a space before it; at the start of a text; with a space before it, for
         #: chunks that have white space at a border (never in the first of the three)
         self.lead: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
     def _fill(self, known: dict[str, bytes], wanted: set[str], before: str, plain: bool) -> list[str]:
         """Encodes the wanted chunks that are not kept; returns them."""
-        missing = [c for c in wanted if c not in known and not (plain and (not c or c != c.strip()))]
-        if missing:
-            known.update(zip(missing, self.encode([before + c for c in missing]), strict=True))
+        missing = list(wanted.difference(known))
+        if plain:
+            missing = [c for c in missing if c and c == c.strip()]
+        unmet = missing
+        if missing and known is self.lead and self.older:
+            older = self.older
+            known.update([(c, older[c]) for c in missing if c in older])
+            unmet = [c for c in missing if c not in older]
+        if unmet:
+            known.update(zip(unmet, self.encode([before + c for c in unmet]), strict=True))
         return missing
 
     def _trim(self, known: dict[str, bytes], new: list[str]) -> None:
         """After a batch: chunks too long to be kept go, and all that is kept where it is too much."""
-        for c in new:
-            if len(c) > LONGEST:
-                del known[c]
-            else:  # a string takes up to four bytes a character
-                self.held += (len(c) if c.isascii() else 4 * len(c)) + len(known[c]) + ENTRY_BYTES
-        if self.held > self.limit:
-            self.lead.clear()
+        long = [c for c in new if len(c) > LONGEST]
+        for c in long:
+            del known[c]
+        if long:
+            new = [c for c in new if len(c) <= LONGEST]
+        # two bytes a character: most have one, some four
+        self.held += 2 * sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + ENTRY_BYTES * len(new)
+        if self.held > self.limit // 2:
+            self.older, self.lead = self.lead, {}
             self.first.clear()
             self.odd.clear()
             self.held = 0
