@@ -224,8 +224,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, cache = load(path, pattern)
         for b in batches(BATCH_BYTES, text)(it):
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cache.pack(texts), pa.binary())], [*b.schema.names, ids])
+            packed = binaries(*cache.pack_array(b.column(b.schema.get_field_index(text))))
+            yield pa.RecordBatch.from_arrays([*b.columns, packed], [*b.schema.names, ids])
 
     return df.mapInArrow(lean(run), schema)
 
@@ -239,10 +239,13 @@ def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text", i
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = load(path, pattern)
         for b in batches(BATCH_BYTES, text)(it):
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            packed = cache.pack(texts)
-            same = [bpe.decode(np.frombuffer(p, "<u4").astype(np.int64)).tobytes() == t.encode() for t, p in zip(texts, packed, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], [*b.schema.names, ids, exact])
+            column = b.column(b.schema.get_field_index(text))
+            packed, off = cache.pack_array(column)
+            tokens = packed.view("<u4").astype(np.int64)
+            back, at = bpe.decode(tokens), np.concatenate([[0], np.cumsum(bpe.token_len[tokens])])[off // 4]
+            data, want, _ = utf8(column)
+            same = [back[x:v].tobytes() == data[y:w].tobytes() for x, v, y, w in zip(at[:-1], at[1:], want[:-1], want[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, binaries(packed, off), pa.array(same, pa.bool_())], [*b.schema.names, ids, exact])
 
     return df.mapInArrow(lean(run), schema)
 

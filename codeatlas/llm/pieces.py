@@ -11,6 +11,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Unicode's White_Space, as the tokenizers' regular expressions understand \s.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
@@ -24,9 +28,8 @@ LONGEST = 64
 
 class ChunkCache:
     """Packed ids of chunks, kept for as long as the worker lives, within a number of bytes. The
-    bound frees memory only: a chunk that is not kept is encoded again. Of chunks with a space
-    before them there are two generations: when the younger one has half of the bytes it becomes
-    the older one, whose chunks come back when they are met again."""
+    bound frees memory only: a chunk that is not kept is encoded again. When it is reached, after a
+    batch, all go."""
 
     def __init__(self, encode, limit: int = 64 << 20):
         #: encode(list of strings) -> list of bytes, one for each string
@@ -34,26 +37,18 @@ class ChunkCache:
         #: by chunk: with a space before it; at the start of a text; with a space before it, for
         #: chunks that have white space at a border (never in the first of the three)
         self.lead: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
-    def _fill(self, known: dict[str, bytes], wanted: set[str], before: str, plain: bool) -> list[str]:
-        """Encodes the wanted chunks that are not kept; returns them."""
-        missing = list(wanted.difference(known))
-        if plain:
-            missing = [c for c in missing if c and c == c.strip()]
-        unmet = missing
-        if missing and known is self.lead and self.older:
-            older = self.older
-            known.update([(c, older[c]) for c in missing if c in older])
-            unmet = [c for c in missing if c not in older]
-        if unmet:
-            known.update(zip(unmet, self.encode([before + c for c in unmet]), strict=True))
-        return missing
+    def _fill(self, known: dict[str, bytes], wanted: list[str], before: str) -> list[str]:
+        """Encodes the wanted chunks that are not kept; returns what is new."""
+        new = [c for c in wanted if c not in known]
+        if new:
+            known.update(zip(new, self.encode([before + c for c in new]), strict=True))
+        return new
 
     def _trim(self, known: dict[str, bytes], new: list[str]) -> None:
-        """After a batch: chunks too long to be kept go, and all that is kept where it is too much."""
+        """After a batch: chunks too long to be kept go, the others count."""
         long = [c for c in new if len(c) > LONGEST]
         for c in long:
             del known[c]
@@ -61,37 +56,55 @@ class ChunkCache:
             new = [c for c in new if len(c) <= LONGEST]
         # two bytes a character: most have one, some four
         self.held += 2 * sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + ENTRY_BYTES * len(new)
-        if self.held > self.limit // 2:
-            self.older, self.lead = self.lead, {}
-            self.first.clear()
-            self.odd.clear()
+
+    def _bound(self) -> None:
+        if self.held > self.limit:
+            for known in (self.lead, self.first, self.odd):
+                known.clear()
             self.held = 0
 
-    def pack(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        cut = [t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c)
-        new = self._fill(self.lead, wanted, " ", True)
-        del wanted
-        heads = self._fill(self.first, {c[0] for c in cut if c[0]}, "", True)
-        lead, first, out, late = self.lead.__getitem__, self.first, [], []
-        for i, c in enumerate(cut):
-            try:  # a chunk with white space at its border isn't there: the text is cut with care
-                head = first[c[0]]
-                del c[0]
-                out.append(head + b"".join(map(lead, c)))
-            except KeyError:
-                out.append(b"")
-                late.append(i)
+    def pack_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The packed ids of all texts, one after another, and where each text's begin (and the end).
+
+        Texts are split and equal chunks are found by Arrow; Python sees each chunk of a batch once."""
+        parts = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
+        off = np.asarray(parts.offsets, np.int64)
+        chunks = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+        off = off - off[0]
+        if not len(chunks):
+            return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+        code, names = np.asarray(chunks.indices, np.int64), chunks.dictionary.to_pylist()
+        # texts with a chunk that is empty or has white space at a border are cut with care
+        bad = np.array([not c or c != c.strip() for c in names])
+        late = np.flatnonzero(np.logical_or.reduceat(bad[code], off[:-1]))
+        firsts, at = np.unique(code[off[:-1]], return_inverse=True)
+        good = [c for c, b in zip(names, bad.tolist(), strict=True) if not b]
+        heads = [names[i] for i in firsts if not bad[i]]
+        new, new_heads = self._fill(self.lead, good, " "), self._fill(self.first, heads, "")
+        lead, first = self.lead, self.first
+        table = [lead.get(c, b"") for c in names] + [first.get(names[i], b"") for i in firsts]
+        pick = code.copy()
+        pick[off[:-1]] = len(names) + at
         self._trim(self.lead, new)
-        self._trim(self.first, [c for c in heads if c in self.first])
-        if late:
-            cut = [_CUT.split(texts[i]) for i in late]
-            new = self._fill(self.odd, {x for c in cut for x in c[1:]}, " ", False)
-            heads = self.encode([c[0] for c in cut])
-            for i, c, head in zip(late, cut, heads, strict=True):
-                out[i] = head + b"".join([self.odd[x] for x in c[1:]])
+        self._trim(self.first, new_heads)
+        if len(late):
+            nothing = len(table)
+            table.append(b"")
+            text = texts.take(pa.array(late)).to_pylist()
+            cut = [_CUT.split(t or "") for t in text]
+            new = self._fill(self.odd, list({x for c in cut for x in c[1:]}), " ")
+            for i, c, head in zip(late.tolist(), cut, self.encode([c[0] for c in cut]), strict=True):
+                pick[off[i] : off[i + 1]] = nothing
+                pick[off[i]] = len(table)
+                table.append(head + b"".join([self.odd[x] for x in c[1:]]))
             self._trim(self.odd, new)
-        return out
+        self._bound()
+        ids = pa.array(table, pa.large_binary()).take(pa.array(pick))
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        data = np.frombuffer(ids.buffers()[2], np.uint8) if ids.buffers()[2] is not None else np.zeros(0, np.uint8)
+        return data[ends[0] : ends[-1]], ends[off] - ends[0]
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        data, off = self.pack_array(pa.array(texts, pa.large_string()))
+        return [data[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]

@@ -28,7 +28,7 @@ from codeatlas.llm.ordered import bounds, part_of
 from codeatlas.llm.pieces import ChunkCache
 
 BATCH_BYTES = 4 << 20
-CACHE_BYTES = 176 << 20  # of chunks that a worker keeps
+CACHE_BYTES = 300 << 20  # of chunks that a worker keeps
 JOINED = 32  # chunks in one string for the library; longer strings take it more time a chunk
 _SEPARATOR = "\n"
 
@@ -104,7 +104,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype:
     dealt = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, width, end = _cache(tokenizer, dtype), np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
+        cache, width = _cache(tokenizer, dtype), np.dtype(dtype).itemsize
         os.makedirs(top, exist_ok=True)
         part, n, total, names, files = None, 0, 0, [], []
         for b in batches(BATCH_BYTES)(it):
@@ -113,13 +113,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype:
                 names = [f"{top}/shard-{part:06d}.{x}" for x in ("bin", "idx", "ids")]
                 mark = f".{uuid.uuid4().hex}"
                 files = [open(x + mark, "wb") for x in names]
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            packed = [x + end for x in cache.pack(texts)]
-            ends = total + np.cumsum([len(x) // width for x in packed])
-            files[0].write(b"".join(packed))
+            packed, off = cache.pack_array(b.column(2))
+            cuts = off[1:] // width
+            ids = np.insert(packed.view(dtype), cuts, end_id)  # the end id after each document
+            ends = total + cuts + np.arange(1, len(cuts) + 1)
+            files[0].write(ids.tobytes())
             files[1].write(ends.astype("<u8").tobytes())
             files[2].write(np.asarray(b.column(1).fill_null(np.iinfo(np.int64).min)).astype("<i8").tobytes())
-            n, total = n + len(packed), int(ends[-1])
+            n, total = n + len(cuts), int(ends[-1])
         if part is not None:
             for f, x in zip(files, names, strict=True):
                 f.close()
