@@ -68,6 +68,8 @@ def _symbols(files: DataFrame) -> DataFrame:
             return out
         items = registry.parse(content, language)
         add(items, path, 1)
+        if text := registry.doc(content, language):
+            out.append((path, "doc", None, path, None, "", 0, 0, None, text, 0, 0, 0))
         if not items and lines > tables.CHUNK_LINES and (ext in retained or language in registry.PARSERS):
             try:
                 parts = _chunks(content.decode("utf-8"), ext or "")
@@ -122,7 +124,10 @@ def index(spark: SparkSession, root: str, extensions=(), folders=(), files=(), c
     top = os.path.basename(os.path.abspath(root))
     folder = sums.join(folder_churn, "folder")
     folder_nodes = folder.select(F.col("folder").alias("path"), F.lit("folder").alias("kind"), F.when(F.col("folder") != "", parent(F.col("folder"))).alias("parent"), F.when(F.col("folder") == "", top).otherwise(paths.file_name("folder")).alias("name"), F.lit(None).cast("long").alias("byte_start"), F.lit(None).cast("long").alias("byte_end"), "measure", F.lit(0).cast("long").alias("src_order"), "commits", "churn", F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/"))).alias("depth")).withColumns(none)
-    items = _symbols(read).join(file_nodes.select(F.col("path").alias("file"), "commits", "churn", F.col("depth").alias("fd")), "file")
+    symbols = _symbols(read)
+    docs = symbols.where("kind = 'doc'").select("path", F.col("doc").alias("_doc"))
+    file_nodes = file_nodes.join(docs, "path", "left").withColumn("doc", F.col("_doc")).drop("_doc")
+    items = symbols.where("kind <> 'doc'").join(file_nodes.select(F.col("path").alias("file"), "commits", "churn", F.col("depth").alias("fd")), "file")
     items = items.withColumn("depth", F.col("depth") + F.col("fd")).drop("file", "fd")
     nodes = file_nodes.unionByName(folder_nodes).unionByName(items)
     nodes = hierarchy.sibling_ordinals(nodes, "parent", "name", "src_order")
@@ -151,17 +156,24 @@ def functions(found: Index) -> DataFrame:
     return f.select("path", "ordinal", "name", "file", "ext", "byte_start", "byte_end", return_type("signature", "ext").alias("ret"), "pre")
 
 
+def _by_file(found: Index) -> DataFrame:
+    """(file, ext, content, functions): the functions of each file in one row, so that a file's bytes
+    are moved and parsed once for all of them."""
+    f = functions(found).select("file", "ext", F.struct("path", "byte_start", "byte_end", paths.enclosing_class("path").alias("enclosing")).alias("f"))
+    f = f.groupBy("file", "ext").agg(F.collect_list("f").alias("functions"))
+    return f.join(found.files.select(F.col("path").alias("file"), "content").where("content is not null"), "file")
+
+
 def calls(found: Index) -> DataFrame:
     """(caller, name, site, site_end, receiver) of every function."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from codeatlas.parse import registry
 
         for d in it:
-            out = [(r.path, n, a, b, v) for r in d.itertuples(index=False) for n, a, b, v in registry.calls(r.content, r.ext, int(r.byte_start), int(r.byte_end))]
+            out = [(f["path"], n, a, b, v) for r in d.itertuples(index=False) for f in r.functions for n, a, b, v in registry.calls(r.content, r.ext, int(f["byte_start"]), int(f["byte_end"]))]
             yield pd.DataFrame(out, columns=["caller", "name", "site", "site_end", "receiver"])
 
-    f = functions(found).join(found.files.select(F.col("path").alias("file"), "content").where("content is not null"), "file")
-    return f.select("path", "ext", "byte_start", "byte_end", "content").mapInPandas(run, "caller string, name string, site long, site_end long, receiver string")
+    return _by_file(found).select("ext", "content", "functions").mapInPandas(run, "caller string, name string, site long, site_end long, receiver string")
 
 
 def type_bindings(found: Index) -> DataFrame:
@@ -181,12 +193,14 @@ def type_bindings(found: Index) -> DataFrame:
             out = []
             for r in d.itertuples(index=False):
                 pairs = [(k["name"], k["ret"]) for k in (r.known if r.known is not None else [])]
-                got = registry.bindings(r.content, r.ext, int(r.byte_start), int(r.byte_end), r.enclosing, {n for n, t in pairs if t is None}, {n: t for n, t in pairs if t})
-                out += [(r.path, v, c) for v, c in got.items()]
+                kinds, made = {n for n, t in pairs if t is None}, {n: t for n, t in pairs if t}
+                for f in r.functions:
+                    got = registry.bindings(r.content, r.ext, int(f["byte_start"]), int(f["byte_end"]), f["enclosing"], kinds, made)
+                    out += [(f["path"], v, c) for v, c in got.items()]
             yield pd.DataFrame(out, columns=["caller", "receiver", "class"])
 
-    rows = f.join(found.files.select(F.col("path").alias("file"), "content").where("content is not null"), "file").join(known, "file", "left")
-    return rows.select("path", "ext", "byte_start", "byte_end", "content", paths.enclosing_class("path").alias("enclosing"), "known").mapInPandas(run, "caller string, receiver string, class string")
+    rows = _by_file(found).join(known, "file", "left")
+    return rows.select("ext", "content", "functions", "known").mapInPandas(run, "caller string, receiver string, class string")
 
 
 def all_call_edges(found: Index) -> DataFrame:

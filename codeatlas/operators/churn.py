@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.functions.paths import file_part
-from codeatlas.operators.hierarchy import percentile, rollup
+from codeatlas.operators.hierarchy import percentile_by_counts, rollup
 
 
 def counts_from_log(log: DataFrame, line: str = "line") -> DataFrame:
@@ -20,7 +20,8 @@ def annotate(files: DataFrame, churn: DataFrame, path: str = "path") -> tuple[Da
     """Files with commits (0 if none) and percentile, and folders with sums and percentile."""
     counted = files.join(churn.withColumnRenamed("path", path), path, "left").withColumn("commits", F.coalesce("commits", F.lit(0)))
     folders = rollup(counted, path, F.sum("commits").alias("commits"))
-    return percentile(counted, "commits", out="churn"), percentile(folders, "commits", out="churn")
+    # by the distinct counts: no window over all files or folders
+    return percentile_by_counts(counted, "commits", out="churn"), percentile_by_counts(folders, "commits", out="churn")
 
 
 def inherit(items: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import ast
 import re
 
+from functools import lru_cache
+
 from codeatlas.parse import Item, doc_above, nest, signature
 
 
@@ -36,6 +38,7 @@ def _docstring(body: list[ast.stmt]) -> str | None:
     return None
 
 
+@lru_cache(maxsize=2)  # the functions of one file come one after another
 def tree(source: bytes) -> ast.Module | None:
     try:
         return ast.parse(source)

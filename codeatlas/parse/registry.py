@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from codeatlas.parse import Item, braces, file_doc, make, python, utf8
 
@@ -15,6 +16,11 @@ _CALL = re.compile(r"((?:[A-Za-z_$][\w$]*\s*::\s*)*[A-Za-z_$][\w$]*)\s*(?:::\s*<
 _NOT_CALLED = braces._NOT_NAMES | frozenset("fn match loop let mut pub impl where struct enum trait as move async unsafe ref class".split())
 
 
+@lru_cache(maxsize=2)  # the functions of one file come one after another
+def _blanked(source: bytes, language: str) -> str:
+    return braces.blank(source.decode("latin-1"), language)
+
+
 def parse(source: bytes, language: str | None) -> list[Item]:
     return PARSERS[language](source) if language in PARSERS else []
 
@@ -31,7 +37,7 @@ def calls(source: bytes, ext: str, start: int, end: int) -> list[tuple[str, int,
     if language == "python":
         found = python.calls(source, start, end)
     else:
-        code, found = braces.blank(source.decode("latin-1"), language), []
+        code, found = _blanked(source, language), []
         for m in _CALL.finditer(code, start, end):
             name = re.sub(r"\s", "", m[1])
             before = code[max(start, m.start() - 80) : m.start()]
@@ -58,7 +64,7 @@ def bindings(source: bytes, ext: str, start: int, end: int, enclosing: str | Non
         return python.bindings(source, start, enclosing, classes, returns)
     if ext not in ("ts", "tsx", "js", "jsx"):
         return {}
-    code = braces.blank(source.decode("latin-1"), "typescript")[start:end]
+    code = _blanked(source, "typescript")[start:end]
     if re.match(r"(?:export\s+)?(?:const|let|var)\b", code):
         return {}  # begins before its function
     out: dict[str, str] = {"this": enclosing} if enclosing else {}

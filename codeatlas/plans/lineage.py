@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, written once to spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The rows, written once to spark.checkpoint.dir. Where that is unset, a folder of our own if all
+    runs in this process (as in tests); a cluster must name one that all its machines share."""
     sc = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "codeatlas-checkpoints"))
     return df.checkpoint()

@@ -103,3 +103,15 @@ def test_settings(tmp_path):
     assert settings.load(str(tmp_path / "none")) == settings.Settings()
     m = settings.merged(settings.ProjectSettings(["a"], ["x"], ["f"]), settings.ProjectSettings(["a", "b"], [], ["g"]))
     assert (m.filter_extensions, m.filter_folders, m.filter_files) == (["a", "b"], ["x"], ["g"])
+
+
+def test_file_docs_and_calls(spark, tmp_path):
+    (tmp_path / "a.rs").write_text("//! Front door.\n//! Twice.\nfn ring() { bell(); }\nfn bell() { ring(); hall::ring(); }\n")
+    (tmp_path / "b.py").write_text('"""Back door."""\n\ndef knock(door):\n    door.open()\n    bell()\n')
+    (tmp_path / "c.txt").write_text("plain\n")
+    found = api.index(spark, str(tmp_path))
+    docs = {r["path"]: r["doc"] for r in found.nodes.where("kind = 'file'").collect()}
+    assert docs == {"a.rs": "Front door.\nTwice.", "b.py": "Back door.", "c.txt": None}
+    assert found.nodes.where("kind = 'doc'").count() == 0
+    got = {(r["caller"], r["name"], r["receiver"]) for r in api.calls(found).collect()}
+    assert got == {("a.rs::ring", "bell", None), ("a.rs::bell", "ring", None), ("a.rs::bell", "hall::ring", None), ("b.py::knock", "open", "door"), ("b.py::knock", "bell", None)}
