@@ -80,7 +80,8 @@ def _counts(docs: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = docs.select("text").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -139,7 +140,8 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, first_of: Order) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(set_key(g, first)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "h", "n", "w", "prefix"])
 
     made = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(run), "doc_id long, h long, n long, w long, prefix array<long>")
-    out = cut(made, "prefixes")
+    with arrow_rows(docs.sparkSession, 1000):  # rows hold whole texts
+        out = cut(made, "prefixes")
     shared.destroy()
     return out
 

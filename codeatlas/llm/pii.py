@@ -428,7 +428,7 @@ def batch_spans(texts: pa.Array, model: CRF) -> Iterator[tuple[str | None, list[
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-BATCH_BYTES = 1 << 20  # of text; the arrays made of it take some hundred bytes a word
+BATCH_BYTES = 1 << 18  # of text; the arrays made of it take some hundred bytes a word
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:

@@ -24,6 +24,7 @@ TERMS, DIMS, NEIGHBOURS = 2048, 48, 15
 #: Bound of the labelled sample, in rows.
 MAX_TRAIN = 3000
 THRESHOLD = 0.3
+BATCH_BYTES = 1 << 19  # of text whose terms are counted at once
 WORD_WEIGHT = 0.5  # how a text is written says more than its words
 _WORDS, _SHAPES, _REPEATS = 1024, 960, 64  # ranges of term ids; together TERMS
 
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", max
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "y", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(2 << 20)(it):
+        for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(3))
             for s in range(0, b.num_rows, 256):
                 e = min(s + 256, b.num_rows)
@@ -171,7 +172,7 @@ def classify(df: DataFrame, model: Model, text: str = "text", threshold: float =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches(2 << 20, text)(it):
+        for b in batches(BATCH_BYTES, text)(it):
             i = b.schema.get_field_index(text)
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
