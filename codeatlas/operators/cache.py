@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeatlas.operators.ordered import running_sum
+
 
 def lru_keep(entries: DataFrame, budget: float, size: str, clock: str, key: str, *by: str) -> DataFrame:
     """What stays when the oldest entries go until the rest fits: the longest recent run that fits.
-    With ``by``, a budget for each group."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc(clock), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    With ``by``, a budget for each group. An entry of unknown size takes nothing."""
+    taken, latest = F.coalesce(F.col(size), F.lit(0)), [F.desc(clock), F.desc(key)]
+    if not by:
+        return running_sum(entries, taken, *latest, out="used").where(F.col("used") <= budget)
+    w = Window.partitionBy(*by).orderBy(*latest).rowsBetween(Window.unboundedPreceding, 0)
+    return entries.withColumn("used", F.sum(taken).over(w)).where(F.col("used") <= budget)
 
 
 def top_priority(requests: DataFrame, area: str, key: str, n: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.paths import folder_prefixes
+from codeatlas.operators.ordered import rank
 
 
 def rollup(files: DataFrame, path: str, *aggs: Column, root: bool = True) -> DataFrame:
@@ -49,8 +50,8 @@ def percentile_by_counts(rows: DataFrame, value: str, out: str = "percentile") -
 
 
 def preorder(nodes: DataFrame, positions: str = "positions", out: str = "pre") -> DataFrame:
-    """Preorder numbers from each node's array of sibling positions."""
-    return nodes.withColumn(out, F.row_number().over(Window.orderBy(positions)) - 1)
+    """Preorder numbers (long) from each node's array of sibling positions."""
+    return rank(nodes, F.col(positions), out=out)
 
 
 def topmost(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -604,9 +604,9 @@ def last_return_type(spark, sf_dir):
 
 @query(f"SELECT path, CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS INTEGER) AS place FROM (SELECT DISTINCT {_PATH_SQL} AS path FROM pages)")
 def path_order(spark, sf_dir):
-    """Paths in order of their components. The rank runs over all paths in one task."""
+    """Paths in order of their components."""
     p = _urls(spark, sf_dir).select("path").distinct()
-    return hierarchy.preorder(p.withColumn("positions", F.split("path", "/")), out="place").select("path", (F.col("place") + 1).alias("place"))
+    return hierarchy.preorder(p.withColumn("positions", F.split("path", "/")), out="place").select("path", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS latest FROM events GROUP BY user_id")

@@ -1,9 +1,10 @@
 """Operators on small tables with known results."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from codeatlas.operators import cache, calls, chunks, churn, hierarchy, pack, spans, view
+from codeatlas.operators import cache, calls, chunks, churn, hierarchy, ordered, pack, spans, view
 from codeatlas.plans import registry
 
 
@@ -107,6 +108,42 @@ def test_lru(spark):
     assert rows(cache.lru_keep(d, 10, "bytes", "t", "k"), "k") == [(2,), (3,)]
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables keep more than one partition."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_lru_of_all_rows(spark, many_ranges):
+    sizes = [(i * 37 % 11, i) for i in range(500)] + [(None, 500), (3, 501)]
+    d = spark.createDataFrame([(i, b, t) for i, (b, t) in enumerate(sizes)], "k int, bytes long, t int").repartition(7)
+    kept, used = [], 0
+    for i, (b, _) in reversed(list(enumerate(sizes))):
+        used += b or 0
+        if used <= 400:
+            kept.append((i, used))
+    got = cache.lru_keep(d, 400, "bytes", "t", "k")
+    assert sorted((r.k, r.used) for r in got.collect()) == sorted(kept)
+    assert cache.lru_keep(d.where("k < 0"), 400, "bytes", "t", "k").count() == 0
+
+
+def test_rank_over_ranges(spark, many_ranges):
+    d = spark.range(5000).select(F.xxhash64("id").alias("x"), F.array(F.col("id") % 13, F.col("id")).alias("positions"))
+    got = ordered.rank(d, F.col("x"), out="r").collect()
+    assert [r.r for r in sorted(got, key=lambda r: r.x)] == list(range(5000)) and d.columns == ["x", "positions"]
+    tree = hierarchy.preorder(d).collect()
+    assert [r.pre for r in sorted(tree, key=lambda r: r.positions)] == list(range(5000))
+
+
+def test_rank_has_no_window_over_all_rows(spark):
+    plan = ordered.rank(spark.range(5000).toDF("x"), F.desc("x"))._jdf.queryExecution().executedPlan().toString()
+    # the only exchange into one partition is that of one row a range
+    assert plan.count("Exchange SinglePartition") == 1 and "BroadcastExchange" in plan
+
+
 def test_skyline():
     pos, used = pack.place([(6, 4), (4, 2), (4, 2)], 0, 10)
     assert pos == [(0, 0), (6, 0), (6, 2)] and used == (10, 4)
