@@ -12,7 +12,8 @@ extends a match left and right to its whole length. (Comparing only neighbours i
 whole suffixes would lose a passage whose neighbour goes on longer to the right but differs sooner
 to the left: so each left extension has a place of its own in the order.)
 
-Words are compared by 64-bit hash of all L of them. A passage in a third of all documents is dealt
+Words are compared by two independent hashes of all L of them, 96 bits together: of 10**13 places
+less than one pair in a thousand such corpora is taken for equal by mistake. A passage in a third of all documents is dealt
 over many ranges, as document and place are part of the order; no task holds all its places.
 """
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import P1, P2, U64, batches, cut, drop, lean, lower, mix, powers, range_hashes, utf8, words
+from codeatlas.llm.common import P1, P2, P3, U64, batches, cut, drop, lean, lower, mix, powers, range_hashes, utf8, words
 
 WORDS, GRAM = 50, 16
 BATCH_BYTES = 2 << 20  # of text hashed at once
@@ -43,15 +44,15 @@ def _sliding(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, n_words: int, gram: int):
-    """For each place where n_words words of one text begin: the text, the place, the hash of
-    the words, the hash of the selected k-gram and where it is; and each word's start and end."""
+    """For each place where n_words words of one text begin: the text, the place, the two hashes
+    of the words, the hash of the selected k-gram and where it is; and each word's start and end."""
     low = lower(data)
     start, end, first = words(low, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     h = range_hashes(low, start, end)
     at = np.flatnonzero(np.arange(len(h)) + n_words <= first[1:][doc])
     if not len(at):
-        return doc, at, at.view(U64), at.view(U64), at, start, end, first
+        return doc, at, at.view(U64), at.astype(np.int32), at.view(U64), at, start, end, first
     grams = _sliding(h, gram)
     # least by hash, of equal ones the first: the low bits hold the place in the batch
     bits = U64(max(24, len(grams).bit_length()))
@@ -65,41 +66,43 @@ def _windows(data: np.ndarray, offsets: np.ndarray, n_words: int, gram: int):
         m = len(grams) - w + 1
         best = np.minimum(best[:m], best[w - span : w - span + m])
     chosen = (best[at] & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    return doc, at, _sliding(h * P2, n_words)[at], grams[chosen], chosen, start, end, first
+    more = (_sliding(mix(h ^ P3), n_words)[at] >> U64(32)).astype(np.uint32).view(np.int32)
+    return doc, at, _sliding(h * P2, n_words)[at], more, grams[chosen], chosen, start, end, first
 
 
 def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's sorted rows (k, doc_id, place) those whose k is that of the row before or
+    """Of a partition's sorted rows (k, l, doc_id, place) those whose k and l are those of the row before or
     after, and the first and the last (border 1, 2, or 3 for both), whose other neighbour is in
     another partition. The last row of a batch is held until the next one comes."""
     part, held, before, first = TaskContext.get().partitionId(), None, False, True
 
-    def told(b: pa.RecordBatch, k: np.ndarray, prev: np.ndarray, nxt: np.ndarray, border: np.ndarray) -> pa.RecordBatch:
+    def told(b: pa.RecordBatch, k: np.ndarray, l: np.ndarray, prev: np.ndarray, nxt: np.ndarray, border: np.ndarray) -> pa.RecordBatch:
         keep = np.flatnonzero(prev | nxt | (border > 0))
         rows = b.take(pa.array(keep))
-        key = pa.array(k[keep], mask=border[keep] == 0)  # only at borders is it looked at again
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, np.int32)), pa.array(border[keep]), key, rows.column(1), rows.column(2), pa.array(prev[keep]), pa.array(nxt[keep])], _NEAR)
+        inner = border[keep] == 0  # only at borders are the hashes looked at again
+        key = [pa.array(k[keep], mask=inner), pa.array(l[keep], mask=inner)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, np.int32)), pa.array(border[keep]), *key, rows.column(2), rows.column(3), pa.array(prev[keep]), pa.array(nxt[keep])], _NEAR)
 
     for b in it:
         if not b.num_rows:
             continue
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        k = np.asarray(b.column(0), np.int64)
+        k, l = np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int32)
         prev, border = np.zeros(len(k), bool), np.zeros(len(k), np.int32)
-        prev[1:] = k[1:] == k[:-1]
+        prev[1:] = (k[1:] == k[:-1]) & (l[1:] == l[:-1])
         prev[0] = before
         border[0] = int(first)
         if len(k) > 1:
-            yield told(b.slice(0, len(k) - 1), k[:-1], prev[:-1], prev[1:], border[:-1])
+            yield told(b.slice(0, len(k) - 1), k[:-1], l[:-1], prev[:-1], prev[1:], border[:-1])
             first = False
         held, before = b.slice(len(k) - 1), bool(prev[-1])
     if held is not None:
-        k = np.asarray(held.column(0), np.int64)
-        yield told(held, k, np.array([before]), np.array([False]), np.array([2 + first], np.int32))
+        k, l = np.asarray(held.column(0), np.int64), np.asarray(held.column(1), np.int32)
+        yield told(held, k, l, np.array([before]), np.array([False]), np.array([2 + first], np.int32))
 
 
-_NEAR = ["part", "border", "k", "doc_id", "place", "before", "after"]
+_NEAR = ["part", "border", "k", "l", "doc_id", "place", "before", "after"]
 
 
 def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFrame:
@@ -116,7 +119,7 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
     def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(0))
-            _, at, _, best, chosen, *_ = _windows(data, off, n_words, gram)
+            _, at, _, _, best, chosen, *_ = _windows(data, off, n_words, gram)
             fresh = np.ones(len(at), bool)  # each selected position once
             fresh[1:] = chosen[1:] != chosen[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(mix(best[fresh] * P1).view(np.int64))], ["g"])
@@ -133,27 +136,27 @@ def repeated(docs: DataFrame, n_words: int = WORDS, gram: int = GRAM) -> DataFra
         t = shared.value
         for b in batches(BATCH_BYTES)(it):
             data, off, _ = utf8(b.column(1))
-            doc, at, full, best, _, start, end, _ = _windows(data, off, n_words, gram)
+            doc, at, full, more, best, _, start, end, _ = _windows(data, off, n_words, gram)
             i = mix(best * P1) >> U64(64 - MARK_BITS)  # mixed anew: the least hashes share their first bits
             some = (t[(i >> U64(6)).astype(np.int64)] >> (i & U64(63))) & U64(1) == 1
-            at, full = at[some], full[some]
+            at, full, more = at[some], full[some], more[some]
             of = doc[at]
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             begin = chars[start[at]]
             place = (begin - chars[off[of]]) << 32 | (chars[end[at + n_words - 1]] - begin)  # start and length
-            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(place)], ["k", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(more), b.column(0).take(pa.array(of)), pa.array(place)], ["k", "l", "doc_id", "place"])
 
-    found = cut(docs.mapInArrow(lean(extended), "k long, doc_id long, place long"), "suffixes")
+    found = cut(docs.mapInArrow(lean(extended), "k long, l int, doc_id long, place long"), "suffixes")
     shared.destroy()
-    ordered = found.repartitionByRange("k", "doc_id", "place").sortWithinPartitions("k", "doc_id", "place")
-    same = cut(ordered.mapInArrow(lean(neighbours), "part int, border int, k long, doc_id long, place long, before boolean, after boolean"), "neighbours")
+    ordered = found.repartitionByRange("k", "l", "doc_id", "place").sortWithinPartitions("k", "l", "doc_id", "place")
+    same = cut(ordered.mapInArrow(lean(neighbours), "part int, border int, k long, l int, doc_id long, place long, before boolean, after boolean"), "neighbours")
     drop(found)
     # what meets at the borders of partitions: two rows for each
-    ends: dict[int, dict[int, int]] = {}
-    for r in same.where("border > 0").select("part", "border", "k").collect():
+    ends: dict[int, dict[int, tuple[int, int]]] = {}
+    for r in same.where("border > 0").select("part", "border", "k", "l").collect():
         for side in (1, 2):
             if r["border"] & side:
-                ends.setdefault(r["part"], {})[side] = r["k"]
+                ends.setdefault(r["part"], {})[side] = (r["k"], r["l"])
     parts = sorted(ends)
     met = [q for p, q in zip(parts, parts[1:], strict=False) if ends[p][2] == ends[q][1]]  # q's first row equals the last one before it
     last = [p for p, q in zip(parts, parts[1:], strict=False) if ends[p][2] == ends[q][1]]
