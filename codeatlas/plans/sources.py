@@ -36,7 +36,7 @@ SOURCES: dict[str, tuple[str, list[tuple[str, str, int, int]], list[tuple[str, s
     ),
     "csharp": (
         "namespace Shop% {\npublic interface ISell% { void Sell(); }\npublic class Till% {\n  public int Ring%(int a) { Log%(a); return a; }\n}\n}\n",
-        [("namespace", "Shop%", 6, 1), ("interface", "ISell%", 1, 2), ("class", "Till%", 3, 2), ("fn", "Ring%", 1, 3)],
+        [("namespace", "Shop%", 6, 1), ("interface", "ISell%", 1, 2), ("fn", "Sell", 1, 3), ("class", "Till%", 3, 2), ("fn", "Ring%", 1, 3)],
         [("Log%", None)],
     ),
     "glsl": (
