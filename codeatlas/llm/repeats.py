@@ -12,8 +12,9 @@ extends a match left and right to its whole length. (Comparing only neighbours i
 whole suffixes would lose a passage whose neighbour goes on longer to the right but differs sooner
 to the left: so each left extension has a place of its own in the order.)
 
-Words are compared by two independent hashes of all L of them, 96 bits together: of 10**13 places
-less than one pair in a thousand such corpora is taken for equal by mistake. A passage in a third of all documents is dealt
+Words are compared by two hashes of all L of them, 96 bits together: of 10**13 places less than one
+pair in a thousand such corpora is taken for equal by mistake. Both are made of the single words'
+64-bit hashes, so passages that differ only in two words of equal hash are taken for equal. A passage in a third of all documents is dealt
 over many ranges, as document and place are part of the order; no task holds all its places.
 """
 
