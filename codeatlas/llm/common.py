@@ -202,12 +202,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of bytes other than ASCII white space, and the first word of
-    each text (one entry more than texts). A word never crosses the border of two texts."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes other than ASCII white space (or those of another table of
+    256 flags), and the first word of each text (one entry more than texts). A word never crosses
+    the border of two texts."""
     inside = np.ones(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     change = inside[1:] != inside[:-1]
     begins, ends = change & inside[1:], change & inside[:-1]
     border = offsets[1:-1]
@@ -218,6 +219,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many ranges one after another, and the offsets between them."""
+    size = end - start
+    off = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(off[-1]) + np.repeat(start - off[:-1], size)
+    return data[at], off
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, all other bytes as they are."""
     return _LOWER[data]

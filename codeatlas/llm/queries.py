@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, decontaminate, fingerprint, langid, ngram_join, pii, quality, repeats, token_file, url_filter
+from codeatlas.llm import bpe, collocations, decontaminate, fingerprint, infill, langid, ngram_join, pii, quality, repeats, token_file, url_filter
 from codeatlas.llm.common import fresh_path
 
 
@@ -91,6 +91,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", _left_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language the 2,000 phrases that stand out most from what their parts would give."""
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form and cuts, and digests of the output and of the text restored from it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = infill.restore(infill.transform(docs))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_winnowing": op2_winnowing,
@@ -102,6 +115,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 # words as in the contract: A-Z lower-cased, runs other than the six ASCII white spaces
@@ -152,4 +167,29 @@ SELECT page_id, host, path, rule, CASE
   WHEN key <> '' AND key IN (SELECT key FROM k WHERE page_id % 100 = 0) THEN 'block'
   ELSE 'allow' END AS verdict
 FROM r""",
+    "op11_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS ws FROM p),
+q AS (SELECT lang, ws, unnest(range(1, 6)) AS k FROM w),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM q WHERE len(ws) >= k),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100),
+d AS (SELECT DISTINCT lang, a, unnest([array_to_string(ws[2:], ' '), array_to_string(ws[:k - 1], ' ')]) AS phrase FROM c WHERE k >= 3),
+e AS (SELECT c.* FROM c ANTI JOIN d USING (lang, phrase, a)),
+j AS (SELECT lang, phrase, a, k, ws, unnest(range(1, k)) AS j FROM e),
+s AS (SELECT j.lang, j.phrase, j.a, j.j, x.f AS l, y.f AS r, n.n, CAST(CAST(1000 AS HUGEINT) * a * n.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM j JOIN f x ON x.lang = j.lang AND x.phrase = array_to_string(ws[:j], ' ') JOIN f y ON y.lang = j.lang AND y.phrase = array_to_string(ws[j + 1:], ' ') JOIN n ON n.lang = j.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE best = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000""",
+    "op13_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS ts, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, text, ts, CAST(len(ts) AS BIGINT) AS n, [CAST('0x' || substr(x, 1 + 8 * i, 8) AS BIGINT) for i in range(4)] AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+k AS (SELECT *, array_to_string(ts[1:i], '') AS p, array_to_string(ts[i + 1:j], '') AS m, array_to_string(ts[j + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM k""",
 }
