@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from codeatlas.llm import bpe, collocations, decontaminate, fingerprint, infill, langid, ngram_join, pii, quality, repeats, token_file, url_filter
+from codeatlas.llm import bpe, collocations, decontaminate, fingerprint, infill, langid, ngram_join, pii, quality, repeats, token_file, toxicity, url_filter
 from codeatlas.llm.common import fresh_path
 
 
@@ -96,6 +96,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labels of two thirds of the ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_left_out(3, 1))
+    return toxicity.classify(docs, model).select("doc_id", _left_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's form and cuts, and digests of the output and of the text restored from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -116,6 +123,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
