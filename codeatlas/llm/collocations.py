@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import U64, batches, binaries, cut, drop, lean, lower, mix, range_hashes, slices, utf8, words
+from codeatlas.llm.common import U64, arrow_rows, batches, binaries, cut, drop, lean, lower, mix, range_hashes, slices, utf8, words
 
 LEAST, DEPTH, TOP = 100, 5, 2000
 UND = "und"
-BATCH_BYTES = 3 << 20  # of text in a shard
+BATCH_BYTES = 1 << 20  # of text in a shard
+ROWS = 500  # of an Arrow batch of texts
 #: Of the table of frequent pairs: at most 2**25 bits, 4 MB.
 MARK_BITS = 25
 SALTS = 16  # parts of a language that are ranked for themselves first
@@ -151,7 +152,8 @@ def phrases(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
             zero = pa.array(np.zeros(len(langs), np.int32))  # a row without a phrase: the number of words
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), zero, zero, pa.array([""] * len(langs), pa.string()), pa.array(n)], ["lang", "longest", "shortest", "phrase", "c"])
 
-    few = cut(_summed(docs.mapInArrow(lean(short), _STATES), 1).where((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
+    with arrow_rows(spark, ROWS):
+        few = cut(_summed(docs.mapInArrow(lean(short), _STATES), 1).where((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
     totals = cut(few.where("k = 0").select("lang", F.col("f").alias("n")), "words")
     # the frequent pairs, as bits
     pairs = few.where("k = 2")
@@ -179,7 +181,8 @@ def phrases(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
             fresh[1:] |= (t[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 0
             yield from _rows(shard, langs, DEPTH, fresh, 3)
 
-    more = cut(_summed(docs.mapInArrow(lean(long), _STATES), least), "phrases")
+    with arrow_rows(spark, ROWS):
+        more = cut(_summed(docs.mapInArrow(lean(long), _STATES), least), "phrases")
     both = cut(few.where("k > 0").unionByName(more), "phrases")
     shared.destroy()
     drop(few, more)

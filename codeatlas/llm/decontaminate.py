@@ -78,8 +78,8 @@ def myers(peq: dict[str, int], m: int, text: str, limit: int) -> tuple[int, int]
 class Matcher:
     """All pieces of all items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT):
-        self.items = [(i, n, budget(n, chars_per_edit)) for i, t in items if (n := normalise(t or ""))]
+    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = 0):
+        self.items = [(i, n, budget(n, chars_per_edit)) for i, t in items if len(n := normalise(t or "")) >= max(1, min_chars)]
         self.peq: dict[int, dict[str, int]] = {}  # made when an item's piece is first met
         by: dict[str, list[tuple[int, int]]] = {}
         for k, (_, n, e) in enumerate(self.items):
@@ -108,7 +108,8 @@ class Matcher:
                 _, n, e = self.items[k]
                 at = last + 1 - size - off
                 if at >= 0 and text.startswith(n, at):
-                    best[k] = (0, at, at + len(n))
+                    if e or self._whole_words(text, at, at + len(n)):
+                        best[k] = (0, at, at + len(n))
                 elif e:
                     a, b = max(0, at - e), min(len(text), at + len(n) + e)
                     found = near.setdefault(k, [])
@@ -131,6 +132,10 @@ class Matcher:
                 best[k] = (d, end - self._start(k, n, rev, d), end)
         return sorted((self.items[k][0], d, a, b) for k, (d, a, b) in best.items())
 
+    @staticmethod
+    def _whole_words(text: str, a: int, b: int) -> bool:
+        return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
+
     def _start(self, k: int, n: str, rev: str, d: int) -> int:
         """The least length of a prefix of rev at distance d from the reversed item."""
         prev = list(range(len(n) + 1))
@@ -162,12 +167,13 @@ def _groups(items: DataFrame, max_items: int, max_bytes: int) -> Iterator[list[t
         yield group
 
 
-def find(df: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, max_items: int = MAX_ITEMS, max_bytes: int = MAX_ITEM_BYTES, matches: str = "matches") -> DataFrame:
+def find(df: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, max_items: int = MAX_ITEMS, max_bytes: int = MAX_ITEM_BYTES, matches: str = "matches", min_chars: int = 0) -> DataFrame:
     """Adds ``matches``: item_id, edits, start and end (in the normalised text) of each item that
     occurs in the whole text within one edit for every chars_per_edit of its characters, ordered by
     item_id and start; empty where none does, for null and empty texts. Items without a letter or
-    digit match nothing; equal items count once; of one item_id with unlike texts each is sought. A
-    column of the input with that name gives way; repeated rows stay.
+    digit match nothing; equal items count once; of one item_id with unlike texts each is sought.
+    Items too short for an edit must be whole words of the text (``a`` isn't in ``cat``). Items of fewer
+    normalised characters than min_chars (none by default) are not sought. A column of the input with that name gives way; repeated rows stay.
 
     Items are broadcast within the two bounds (one larger item alone). Where there are more, each
     group of them is a pass of its own over the texts that writes only what it finds, and is gone
@@ -177,7 +183,7 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: in
     group, after = next(groups, []), next(groups, None)
     if after is None:
         schema = T.StructType([*df.schema.fields, T.StructField(matches, _FOUND)])
-        return df.mapInArrow(lean(_scan(spark.sparkContext.broadcast(group), text, chars_per_edit, matches)), schema)
+        return df.mapInArrow(lean(_scan(spark.sparkContext.broadcast(group), text, chars_per_edit, matches, min_chars)), schema)
 
     keys = [free_name(df, "key_1"), free_name(df, "key_2")]
     hashed = [F.xxhash64(F.col(f"`{text}`")), F.xxhash64(F.col(f"`{text}`"), F.lit(1))]
@@ -186,7 +192,7 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: in
     parts = []
     while group is not None:
         shared = spark.sparkContext.broadcast(group)
-        some = texts.mapInArrow(lean(_scan(shared, "text", chars_per_edit, "found")), schema).where(F.size("found") > 0)
+        some = texts.mapInArrow(lean(_scan(shared, "text", chars_per_edit, "found", min_chars)), schema).where(F.size("found") > 0)
         parts.append(cut(some.select("k1", "k2", F.explode("found").alias("m")).distinct(), "matches"))
         shared.destroy()
         group, after = after, next(groups, None)
@@ -200,9 +206,9 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", chars_per_edit: in
     return out.select(*(f"`{c}`" for c in df.columns), F.coalesce(F.col(matches), F.array().cast(_FOUND)).alias(matches))
 
 
-def _scan(shared, text: str, chars_per_edit: int, matches: str):
+def _scan(shared, text: str, chars_per_edit: int, matches: str, min_chars: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(shared.value, chars_per_edit)
+        m = Matcher(shared.value, chars_per_edit, min_chars)
         for b in batches(8 << 20, text)(it):
             out = []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():

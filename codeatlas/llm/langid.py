@@ -175,17 +175,19 @@ class Network:
 
 def _sample(known: DataFrame, max_train: int) -> list[tuple]:
     """(doc_id, lang): of each language about the same number of documents, those of least hash of
-    doc_id. One count by language, then a threshold for the hash that lets twice as many through as
+    doc_id. A count of ids by language, then a threshold for the hash that lets twice as many through as
     are wanted, so the rows that reach the driver don't grow with the corpus."""
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if len(count) > MAX_LANGS:
         raise ValueError(f"{len(count)} languages in lang; the network labels {MAX_LANGS} at most")
     if not count:
         return []
     each = max(1, max_train // len(count))
-    rule = known.sparkSession.createDataFrame([(k, min(1 << 32, -(-(2 * each + 20) * (1 << 32) // n))) for k, n in count.items()], "lang string, most long")
+    rule = known.sparkSession.createDataFrame([(k, min(1 << 32, -(-(2 * each + 20) * (1 << 32) // max(n, 1)))) for k, n in count.items()], "lang string, most long")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    rows = known.select("doc_id", "lang", spread.alias("h")).join(F.broadcast(rule), "lang").where("h < most").select("doc_id", "lang", "h").collect()
+    some = known.select("doc_id", "lang", spread.alias("h")).join(F.broadcast(rule), "lang").where("h < most").select("doc_id", "lang", "h")
+    # an id counts once, however many rows it has; the limit is far above what the thresholds let through
+    rows = some.distinct().orderBy("h", "doc_id", "lang").limit(4 * max_train + 40 * len(count)).collect()
     found, taken = [], {}
     for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"] is None, r["doc_id"])):
         if taken.setdefault(r["lang"], 0) < each:
@@ -198,7 +200,8 @@ def fit(docs: DataFrame, allowed, max_train: int = MAX_TRAIN, max_windows: int =
     """Trains on documents for which ``allowed`` holds and neither lang, text nor doc_id is null:
     for each language at most max_train / languages of least hash of doc_id, and of each max_windows
     windows from all over its text, chosen by hash on the executors. (Predictions always read whole
-    texts.) None where there are no such documents. More than MAX_LANGS languages are an error."""
+    texts.) Of an id in several rows the text of least hash is read. So the driver gets at most
+    max_train * max_windows windows. None where there are no such documents. More than MAX_LANGS languages are an error."""
     known = docs.where(allowed).where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
     ids = _sample(known, max_train)
     if not ids:
@@ -219,7 +222,9 @@ def fit(docs: DataFrame, allowed, max_train: int = MAX_TRAIN, max_windows: int =
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(doc[keep])), b.column(3).take(pa.array(doc[keep])), pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["lang", "h", "x"])
 
     rows = known.join(F.broadcast(some), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    got = sorted(rows.mapInArrow(lean(run), "lang string, h long, x binary").collect(), key=lambda r: (r["h"], r["x"]))
+    least = rows.groupBy("doc_id", "lang").agg(F.min("h").alias("h"))  # as many rows as ``some`` at most
+    one = rows.join(F.broadcast(least), ["doc_id", "lang", "h"], "left_semi").select("doc_id", "lang", "text", "h")
+    got = sorted(one.mapInArrow(lean(run), "lang string, h long, x binary").distinct().collect(), key=lambda r: (r["h"], r["x"]))
     if not got:
         return Network(langs)
     x = np.stack([np.frombuffer(r["x"], np.uint8) for r in got])

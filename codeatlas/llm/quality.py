@@ -121,8 +121,9 @@ class Model:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The similarity-weighted share of label 1 among each text's nearest labelled vectors;
-        the prior for texts without words."""
+        """The similarity-weighted share of label 1 among each text's nearest labelled vectors (of
+        equally near ones those that come first in the sample: by doc_id, then hash of the text); the prior
+        for texts without words."""
         n = len(offsets) - 1
         if not len(self.v):
             return np.full(n, self.prior)
@@ -130,6 +131,9 @@ class Model:
         sims = self._unit(self._scale(counts) @ self.project) @ self.v.T  # one exact block
         k = min(NEIGHBOURS, len(self.v))
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(sims, top, axis=1).min(axis=1)
+        for r in np.flatnonzero((sims >= least[:, None]).sum(axis=1) > k):  # ties: those of first number
+            top[r] = np.lexsort((np.arange(sims.shape[1]), -sims[r]))[:k]
         w = np.maximum(np.take_along_axis(sims, top, axis=1), 0) ** 2 + 1e-6
         out = (w * self.y[top]).sum(axis=1) / w.sum(axis=1)
         return np.where(counts.any(axis=1), np.clip(out, 0, 1), self.prior)
@@ -138,11 +142,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """Fits on at most max_train labelled rows for which ``allowed`` (a condition on doc_id)
     holds: those of least hash of doc_id. Their whole texts are counted on the executors; what
-    comes to the driver is a row of at most TERMS counts for each. Null labels and texts are left
-    out; of one doc_id with several labels the largest holds, and repeated rows all count."""
+    comes to the driver is a row of at most TERMS counts for each, max_train rows in all. Null labels
+    and texts are left out; of one doc_id with several labels the largest holds, with several rows
+    the text of least hash."""
     marked = labels.where(allowed).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "y", "text")
+    least = rows.groupBy("doc_id").agg(F.min("h").alias("h"))  # as many rows as ``some`` at most
+    rows = rows.join(F.broadcast(least), ["doc_id", "h"], "left_semi").select("doc_id", "h", "y", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(BATCH_BYTES)(it):
@@ -154,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", max
                 packed = [pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([r[i].astype("<f4").tobytes() for r, i in zip(x, at, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns[:3]), *packed], ["doc_id", "h", "y", "terms", "counts"])
 
-    got = rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, y {rows.schema['y'].dataType.simpleString()}, terms binary, counts binary").collect()
+    got = rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, y {rows.schema['y'].dataType.simpleString()}, terms binary, counts binary").dropDuplicates(["doc_id", "h"]).collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["h"]))[:max_train]
     counts = np.zeros((len(got), TERMS), np.float32)
     for x, r in zip(counts, got, strict=True):

@@ -10,9 +10,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm import collocations, infill, queries, toxicity
+from codeatlas.llm import collocations, decontaminate, infill, langid, quality, queries, toxicity, url_filter
 from codeatlas.llm.common import utf8
 
 from test_oracles import duck, plain  # noqa: F401
@@ -248,3 +249,60 @@ def test_toxicity_odd_tables(spark):
 def test_toxicity_held_out(spark, sf):
     got = queries.op12_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     assert got.where("predicted = toxic").count() / got.count() > 0.92
+
+
+# -- bounds and clashes of earlier operators ------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["_key", "_hard", "_maybe", "_listed", "key", "hard", "block", "maybe", "listed", *(f"w{i}" for i in range(8)), "W3", "host", "Path", "rule", "VERDICT", "a.b", "url2"])
+def test_url_filter_clashes(spark, name):
+    urls = [("http://a.io/x", "mine"), ("http://b.io/y", "mine"), ("http://x.com/en/1", "mine"), (None, "mine")]
+    d = spark.createDataFrame(urls, ["url", name])
+    out = url_filter.filter_urls(d, spark.createDataFrame([("http://a.io/x",)], "url string"))
+    assert sorted((r["url"] or "", r["verdict"]) for r in out.collect()) == [("", "allow"), ("http://a.io/x", "block"), ("http://b.io/y", "allow"), ("http://x.com/en/1", "block")]
+    if name.lower() not in ("host", "path", "rule", "verdict"):
+        assert {r[name] for r in out.collect()} == {"mine"}
+
+
+def test_one_id_in_many_rows(spark):
+    """What a fit brings to the driver is bounded by ids, not rows."""
+    got = []
+    collect = DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        got.append(len(rows))
+        return rows
+
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("der Hund und die Katze gehen in das alte Haus "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "the dog and the cat go home to the old house", "en")] * 3, "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(7, 1), (1, 0)], "doc_id long, quality int")
+    DataFrame.collect = counted
+    kind = type(docs)
+    before = kind.collect
+    kind.collect = counted if kind is DataFrame else (lambda self, f=before: (got.append(len(x := f(self))), x)[1])
+    try:
+        net = langid.fit(docs, F.lit(True))
+        model = quality.fit(docs, labels, F.lit(True))
+    finally:
+        kind.collect, DataFrame.collect = before, collect
+    assert net.langs == ["de", "en"] and len(model.y) == 2
+    assert got and max(got) <= 16
+
+
+def test_quality_ties():
+    """Of equally near neighbours those that come first vote."""
+    texts = ["alpha beta gamma"] * 40 + ["one two, three!"] * 5
+    model = quality.Model(texts, [1] * 15 + [0] * 25 + [0] * 5)
+    data, off, _ = utf8(pa.array(["alpha beta gamma"]))
+    assert model.score(data, off)[0] == pytest.approx(1.0)
+    model = quality.Model(texts, [0] * 15 + [1] * 25 + [0] * 5)
+    assert model.score(data, off)[0] == pytest.approx(0.0)
+
+
+def test_short_benchmark_items(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a cat"), (3, "concatenate a"), (4, "CAT!"), (5, "x y z"), (6, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "cat"), (3, "cat sat"), (4, "y z")], "item_id long, text string")
+    got = {r["doc_id"]: [(m["item_id"], m["start"], m["end"]) for m in r["matches"]] for r in decontaminate.find(docs, items).collect()}
+    assert got == {1: [(2, 4, 7), (3, 4, 11)], 2: [(1, 0, 1), (2, 2, 5)], 3: [(1, 12, 13)], 4: [(2, 0, 3)], 5: [(4, 2, 5)], 6: []}
+    assert {m["item_id"] for r in decontaminate.find(docs, items, min_chars=7).collect() for m in r["matches"]} == {3}
