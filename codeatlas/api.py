@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions import paths, tables
+from codeatlas.operators import call_index as indexes
 from codeatlas.operators import calls as call_ops
 from codeatlas.operators import churn as churn_ops
-from codeatlas.operators import hierarchy, pack
+from codeatlas.operators import hierarchy, intervals, pack
 from codeatlas.plans.lineage import saved
 from codeatlas.sources import git, manifest
 
@@ -156,16 +157,19 @@ def functions(found: Index) -> DataFrame:
     return f.select("path", "ordinal", "name", "file", "ext", "byte_start", "byte_end", return_type("signature", "ext").alias("ret"), "pre")
 
 
-def _by_file(found: Index) -> DataFrame:
+def _by_file(found: Index, some: Column | None = None, center: str | None = None) -> DataFrame:
     """(file, ext, content, functions): the functions of each file in one row, so that a file's bytes
-    are moved and parsed once for all of them."""
-    f = functions(found).select("file", "ext", F.struct("path", "byte_start", "byte_end", paths.enclosing_class("path").alias("enclosing")).alias("f"))
+    are moved and parsed once for all of them. ``some`` is a condition on (path, content) of files;
+    ``center`` leaves one function."""
+    f = functions(found)
+    f = f if center is None else f.where(F.col("path") == center)
+    f = f.select("file", "ext", F.struct("path", "byte_start", "byte_end", paths.enclosing_class("path").alias("enclosing")).alias("f"))
     f = f.groupBy("file", "ext").agg(F.collect_list("f").alias("functions"))
-    return f.join(found.files.select(F.col("path").alias("file"), "content").where("content is not null"), "file")
+    return f.join(found.files.where("content is not null").where(F.lit(True) if some is None else some).select(F.col("path").alias("file"), "content"), "file")
 
 
-def calls(found: Index) -> DataFrame:
-    """(caller, name, site, site_end, receiver) of every function."""
+def calls(found: Index, some: Column | None = None, center: str | None = None) -> DataFrame:
+    """(caller, name, site, site_end, receiver) of every function, of those in some files, or of one."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from codeatlas.parse import registry
 
@@ -173,17 +177,17 @@ def calls(found: Index) -> DataFrame:
             out = [(f["path"], n, a, b, v) for r in d.itertuples(index=False) for f in r.functions for n, a, b, v in registry.calls(r.content, r.ext, int(f["byte_start"]), int(f["byte_end"]))]
             yield pd.DataFrame(out, columns=["caller", "name", "site", "site_end", "receiver"])
 
-    return _by_file(found).select("ext", "content", "functions").mapInPandas(run, "caller string, name string, site long, site_end long, receiver string")
+    return _by_file(found, some, center).select("ext", "content", "functions").mapInPandas(run, "caller string, name string, site long, site_end long, receiver string")
 
 
-def type_bindings(found: Index) -> DataFrame:
-    """(caller, receiver, class) of every function; class names and return types of the tree are
+def type_bindings(found: Index, some: Column | None = None, center: str | None = None) -> DataFrame:
+    """(caller, receiver, class) of every function (or some, as in ``calls``); class names and return types of the tree are
     gathered for each file by a join on the names that it holds."""
     f = functions(found)
     classes = found.nodes.where("label in ('class', 'struct', 'impl')").select("name").distinct()
     returns = call_ops.last_return_type(f)
     names = classes.select("name", F.lit(None).cast("string").alias("ret")).unionByName(returns)
-    words = found.files.where("content is not null").select(F.col("path").alias("file"), F.explode(F.array_distinct(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"\w+"), F.lit(0)))).alias("name"))
+    words = found.files.where("content is not null").where(F.lit(True) if some is None else some).select(F.col("path").alias("file"), F.explode(F.array_distinct(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"\w+"), F.lit(0)))).alias("name"))
     known = words.join(names, "name").groupBy("file").agg(F.collect_list(F.struct("name", "ret")).alias("known"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +203,7 @@ def type_bindings(found: Index) -> DataFrame:
                     out += [(f["path"], v, c) for v, c in got.items()]
             yield pd.DataFrame(out, columns=["caller", "receiver", "class"])
 
-    rows = _by_file(found).join(known, "file", "left")
+    rows = _by_file(found, some, center).join(known, "file", "left")
     return rows.select("ext", "content", "functions", "known").mapInPandas(run, "caller string, receiver string, class string")
 
 
@@ -210,7 +214,35 @@ def all_call_edges(found: Index) -> DataFrame:
 
 
 def resolve_calls(found: Index, center: str) -> DataFrame:
-    return all_call_edges(found).where(F.col("center") == center)
+    """Callees and callers of one function. Only its own file is parsed for what it calls, and for who calls
+    it only files that hold its name; nothing where there is no such function."""
+    f = functions(found).select("path", "name", "file")
+    me = f.where(F.col("path") == center).limit(1).collect()
+    if not me:
+        return call_ops.edges(calls(found, F.lit(False)).select("caller", "name", "site", "receiver"), f.select("path", "name"))
+    own = F.col("path") == me[0]["file"]
+    made = calls(found, own, center).select("caller", "name", "site", "receiver")
+    out = call_ops.callees(made, f.select("path", "name"), type_bindings(found, own, center))
+    holds = F.contains("content", F.lit(me[0]["name"].encode()))
+    back = call_ops.callers(calls(found, holds).select("caller", "name"), f.where(F.col("path") == center).select("path", "name"))
+    return call_ops.both(out, back)
+
+
+def call_index(found: Index, buckets: int = 64) -> indexes.CallIndex:
+    """All call edges, written so that one function's are read from a few files (``lookup_calls``)."""
+    return indexes.build(calls(found).select("caller", "name", "site", "receiver"), functions(found).select("path", "name"), type_bindings(found), buckets)
+
+
+def lookup_calls(found: Index, index: indexes.CallIndex, center: str) -> DataFrame:
+    """The rows of ``resolve_calls`` from the index."""
+    named = functions(found).where(F.col("path") == center).select("path", "name").collect()
+    return indexes.lookup(index, {r["path"]: r["name"] for r in named})
+
+
+def enclosing_functions(found: Index, places: DataFrame) -> DataFrame:
+    """(file, id, at, function): the innermost function around each place (file, id, at) in a file's bytes."""
+    f = functions(found).select("file", F.col("path").alias("id"), F.col("byte_start").alias("start"), F.col("byte_end").alias("end"))
+    return intervals.innermost(places, f, "file").select("file", "id", "at", F.col("inner").alias("function"))
 
 
 def roles(found: Index) -> DataFrame:
@@ -228,12 +260,12 @@ def layout(found: Index, cfg: pack.PackConfig = pack.PackConfig()) -> DataFrame:
     ident = F.concat_ws("|", "kind", F.coalesce("label", F.lit("")), "path", F.col("ordinal").cast("string"))
     n = found.nodes.withColumn("id", ident).join(roles(found), "path", "left").withColumn("role", paths.role_order(F.coalesce("role", F.lit("Source"))))
     n = saved(n.drop("order"))
-    own = n.select("path", "id", "pre", "byte_start", "byte_end")
-    # an item's parent is the node of the parent path whose bytes hold it
-    up = own.select(F.col("path").alias("parent"), F.col("id").alias("parent_id"), F.col("byte_start").alias("ps"), F.col("byte_end").alias("pe"))
-    j = n.join(up, "parent", "left").where("parent is null or ps is null or byte_start is null or (ps <= byte_start and byte_end <= pe)")
-    j = j.groupBy(*(c for c in n.columns)).agg(F.min_by("parent_id", F.coalesce(F.col("pe") - F.col("ps"), F.lit(0))).alias("parent_id"))
-    j = saved(j)
+    # an item's parent is the node of the parent path whose bytes hold it; a folder has no bytes
+    holders = n.where("byte_start is not null").select(F.col("path").alias("key"), "id", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"))
+    inside = intervals.innermost(n.where("parent is not null and byte_start is not null").select(F.col("parent").alias("key"), "id", F.col("byte_start").alias("at")), holders)
+    folders = n.where("byte_start is null").select(F.col("path").alias("parent"), F.col("id").alias("folder_id"))
+    j = n.join(inside.select("id", "inner"), "id", "left").join(folders, "parent", "left")
+    j = saved(j.withColumn("parent_id", F.coalesce("inner", "folder_id")).select(*n.columns, "parent_id"))
     chain = j.select("id", "parent_id", F.array().cast("array<string>").alias("anc"), F.col("parent_id").alias("at"))
     deepest = j.agg(F.max("depth")).first()[0]
     step = j.select(F.col("id").alias("at"), F.col("parent_id").alias("next"))

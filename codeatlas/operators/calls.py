@@ -47,8 +47,13 @@ def callers(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 def edges(calls: DataFrame, functions: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
     """Both directions of every centre: (center, direction, target, raw_name, site)."""
-    out = callees(calls, functions, bindings).select(F.col("caller").alias("center"), F.lit("callee").alias("direction"), "target", F.col("name").alias("raw_name"), "site")
-    back = callers(calls, functions).select(F.col("target").alias("center"), F.lit("caller").alias("direction"), F.col("caller").alias("target"), F.lit(None).cast("string").alias("raw_name"), F.lit(None).cast("long").alias("site"))
+    return both(callees(calls, functions, bindings), callers(calls, functions))
+
+
+def both(out: DataFrame, back: DataFrame) -> DataFrame:
+    """Callees and callers in one table."""
+    out = out.select(F.col("caller").alias("center"), F.lit("callee").alias("direction"), "target", F.col("name").alias("raw_name"), "site")
+    back = back.select(F.col("target").alias("center"), F.lit("caller").alias("direction"), F.col("caller").alias("target"), F.lit(None).cast("string").alias("raw_name"), F.lit(None).cast("long").alias("site"))
     return out.unionByName(back)
 
 

@@ -186,13 +186,12 @@ def draft_layouts(nodes: DataFrame, cfg: PackConfig = PackConfig(), exact: DataF
     for depth in range(deepest or 0, 0, -1):
         kids = nodes.where(F.col("depth") == depth).join(size, "id")
         if exact is not None:
-            done = exact.select(F.col("id").alias("parent_id"), F.col("w").alias("pw"), F.col("h").alias("ph"), F.map_from_entries(F.transform("children", lambda c: F.struct(c["id"], F.struct(c["dx"].alias("dx"), c["dy"].alias("dy"))))).alias("at"))
-            kids = kids.join(done, "parent_id", "left")
+            kids = kids.join(exact.select(F.col("id").alias("parent_id"), F.col("w").alias("pw"), F.col("h").alias("ph")), "parent_id", "left")
+            kids = kids.join(exact.select(F.explode("children").alias("c")).select("c.id", F.col("c.dx").alias("ex"), F.col("c.dy").alias("ey")), "id", "left")
         else:
-            kids = kids.withColumns({"pw": F.lit(None).cast("double"), "ph": F.lit(None).cast("double"), "at": F.lit(None).cast("map<string,struct<dx:double,dy:double>>")})
-        own = F.try_element_at("at", F.col("id"))
+            kids = kids.withColumns({c: F.lit(None).cast("double") for c in ("pw", "ph", "ex", "ey")})
         stacked = cfg.container_header + cfg.gap + F.coalesce(F.sum(F.col("h") + cfg.gap).over(above), F.lit(0.0))
-        level = save(kids.select("id", "parent_id", "w", "h", "pw", "ph", F.coalesce(own["dx"], F.lit(cfg.gap)).alias("dx"), F.coalesce(own["dy"], stacked).alias("dy")))
+        level = save(kids.select("id", "parent_id", "w", "h", "pw", "ph", F.coalesce("ex", F.lit(cfg.gap)).alias("dx"), F.coalesce("ey", stacked).alias("dy")))
         place_of = level.select("id", "dx", "dy") if place_of is None else place_of.unionByName(level.select("id", "dx", "dy"))
         up = level.groupBy(F.col("parent_id").alias("id")).agg(F.max("pw").alias("pw"), F.max("ph").alias("ph"), (F.max("w") + 2 * cfg.gap).alias("sw"), (cfg.container_header + cfg.gap + F.sum(F.col("h") + cfg.gap)).alias("sh"))
         size = size.unionByName(up.select("id", F.coalesce("pw", "sw").alias("w"), F.coalesce("ph", "sh").alias("h")))
@@ -235,21 +234,68 @@ def progressive(nodes: DataFrame, post: DataFrame, snapshots: int, cfg: PackConf
     """(completed, id, x, y, w, h): the draft layout at 0, the whole packing at the last step, and
     at the milestones between them the packing of what is done with the draft of what is not.
     ``post`` is the order of work. A step between shows at the first container done from its
-    milestone on, as a page changes nothing. The number of snapshots bounds the number of jobs."""
-    nodes, post = save(nodes), save(post)
+    milestone on, as a page changes nothing.
+
+    Draft and packing are made once. What is done at a step is a beginning of the postorder, so the only
+    containers that differ from both are those with some of their nodes done: one path from the root.
+    Their sizes are sums over their children, for all steps in one job; every other node keeps its place
+    within the topmost container that is wholly done or wholly drafted, and moves with that. So a step
+    costs its path and the rows that it returns, not a layout."""
+    from pyspark.sql import Window
+
+    spark, nodes, post = nodes.sparkSession, save(nodes), save(post.select("id", "post"))
     whole = save(pack(nodes, cfg, max_depth, save))
-    held = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-    at = whole.select("id", "x", "y")
-    rel = nodes.where("parent_id is not null").select("id", "parent_id").join(at, "id").join(at.select(F.col("id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py")), "parent_id")
-    inside = rel.groupBy(F.col("parent_id").alias("id")).agg(F.collect_list(F.struct("id", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy"))).alias("children"))
-    exact = save(whole.select("id", "w", "h").join(inside, "id"))
+    drafted = save(draft(nodes, cfg, max_depth, save))
     total = post.count()
-    out = draft(nodes, cfg, max_depth, save).withColumn("completed", F.lit(0).cast("long"))
-    marks = post.sparkSession.range(1).select(F.explode(milestones(F.lit(total).cast("long"), snapshots)).alias("m")).where(f"m > 0 and m < {total}")
-    # the first container at or after each milestone, if it comes before the end
-    steps = marks.join(F.broadcast(post.join(held, "id").select((F.col("post") + 1).alias("at"))), F.col("at") >= F.col("m")).groupBy("m").agg(F.min("at").alias("at")).select("at").distinct()
-    for row in sorted(r["at"] for r in steps.collect()):  # at most as many as snapshots
-        if row < total:
-            done = exact.join(post.where(F.col("post") < row).select("id"), "id", "left_semi")
-            out = out.unionByName(absolute(nodes, *draft_layouts(nodes, cfg, done, max_depth, save)).withColumn("completed", F.lit(row).cast("long")))
-    return out.unionByName(whole.withColumn("completed", F.lit(total).cast("long")))
+    ends = drafted.withColumn("completed", F.lit(0).cast("long")).unionByName(whole.withColumn("completed", F.lit(total).cast("long")))
+    s = min(max(snapshots, 2), total + 1)
+    marks = sorted({-(-k * total // (s - 1)) for k in range(1, s - 1)} - {0, total})
+    held = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
+    # the first container at or after each milestone, if it comes before the end: one row
+    at = F.col("post") + 1
+    first = post.join(held, "id").agg(*(F.min(F.when(at >= m, at)) for m in marks)).first() if marks else ()
+    steps = sorted({int(x) for x in first if x is not None and x < total})
+    if not steps:
+        return ends.select("completed", "id", "x", "y", "w", "h")
+
+    below = nodes.select(F.explode("anc").alias("id")).groupBy("id").agg(F.count("*").alias("below"))
+    tree = nodes.select("id", "parent_id", "depth", "pre").join(post, "id").join(below, "id", "left").withColumn("low", F.col("post") - F.coalesce("below", F.lit(0)))
+    begun = F.filter(F.array(*(F.lit(x).cast("long") for x in steps)), lambda x: (F.col("low") < x) & (x <= F.col("post")))  # some of its nodes are done, itself is not
+    tree = save(tree.withColumn("begun", begun))
+    size = tree.join(whole.select("id", F.col("w").alias("ew"), F.col("h").alias("eh")), "id").join(drafted.select("id", F.col("w").alias("fw"), F.col("h").alias("fh")), "id")
+    path = tree.select(F.col("id").alias("parent_id"), F.explode("begun").alias("step"))
+    kids = size.join(path, "parent_id").withColumn("done", F.col("post") < F.col("step")).withColumn("open", F.array_contains("begun", F.col("step")))
+    kids = save(kids.select("step", "parent_id", "id", "depth", "pre", "done", "open", F.when(F.col("done"), F.col("ew")).otherwise(F.col("fw")).alias("w"), F.when(F.col("done"), F.col("eh")).otherwise(F.col("fh")).alias("h")))
+    # a row for each step and depth: what a begun container's other children take, from the deepest up
+    rest = kids.where(~F.col("open"))
+    took = rest.groupBy("step", "parent_id").agg(F.max("w").alias("w"), F.sum(F.col("h") + cfg.gap).alias("h"))
+    chain = path.join(tree.select(F.col("id").alias("parent_id"), "depth"), "parent_id").join(took, ["step", "parent_id"], "left").collect()
+    made, inner = [], {}
+    for r in sorted(chain, key=lambda r: -r["depth"]):
+        w, h = inner.get(r["step"], (0.0, -cfg.gap))
+        w, h = max(w, r["w"] or 0.0) + 2 * cfg.gap, cfg.container_header + cfg.gap + (r["h"] or 0.0) + h + cfg.gap
+        inner[r["step"]] = w, h
+        made.append((r["step"], r["parent_id"], r["depth"], w, h))
+    sizes = spark.createDataFrame([(a, i, w, h) for a, i, _, w, h in made], "step long, id string, nw double, nh double")
+    known = kids.join(F.broadcast(sizes), ["step", "id"], "left").withColumn("h", F.coalesce("nh", "h"))
+    above = Window.partitionBy("step", "parent_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    known = save(known.withColumn("dy", cfg.container_header + cfg.gap + F.coalesce(F.sum(F.col("h") + cfg.gap).over(above), F.lit(0.0))))
+    # where the begun containers lie, from the root down
+    inside = {(r["step"], r["id"]): (r["parent_id"], r["dy"]) for r in known.where("open").collect()}
+    corner: dict[tuple[int, str], tuple[float, float]] = {}
+    for a, i, _, _, _ in sorted(made, key=lambda m: m[2]):
+        up = inside.get((a, i))
+        x, y = corner[a, up[0]] if up else (0.0, 0.0)
+        corner[a, i] = (x + cfg.gap, y + up[1]) if up else (0.0, 0.0)
+    corners = spark.createDataFrame([(a, i, *corner[a, i]) for a, i, *_ in made], "step long, parent_id string, px double, py double")
+    at_top = tree.where("parent_id is null").withColumn("step", F.explode(F.array(*(F.lit(x).cast("long") for x in steps)))).where(~F.array_contains("begun", F.col("step")))
+    tops = at_top.select("step", "id", (F.col("post") < F.col("step")).alias("done"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"))
+    moved = known.where(~F.col("open")).join(F.broadcast(corners), ["step", "parent_id"]).select("step", "id", "done", (F.col("px") + cfg.gap).alias("ax"), (F.col("py") + F.col("dy")).alias("ay")).unionByName(tops)
+    both = whole.select("id", *(F.col(c).alias(f"e{c}") for c in "xywh")).join(drafted.select("id", *(F.col(c).alias(f"f{c}") for c in "xywh")), "id")
+    pick = lambda c: F.when(F.col("done"), F.col(f"e{c}")).otherwise(F.col(f"f{c}"))
+    moved = moved.join(both, "id").select("step", "done", F.col("id").alias("a"), (F.col("ax") - pick("x")).alias("mx"), (F.col("ay") - pick("y")).alias("my"))
+    # each node moves with the one of its ancestors (or itself) that lies in a begun container
+    near = nodes.select("id", F.explode(F.concat("anc", F.array("id"))).alias("a")).join(moved, "a").join(both, "id")
+    kept = near.select("id", (pick("x") + F.col("mx")).alias("x"), (pick("y") + F.col("my")).alias("y"), pick("w").alias("w"), pick("h").alias("h"), F.col("step").alias("completed"))
+    opened = spark.createDataFrame([(i, *corner[a, i], w, h, a) for a, i, _, w, h in made], "id string, x double, y double, w double, h double, completed long")
+    return ends.unionByName(kept).unionByName(opened).select("completed", "id", "x", "y", "w", "h")

@@ -115,3 +115,27 @@ def test_file_docs_and_calls(spark, tmp_path):
     assert found.nodes.where("kind = 'doc'").count() == 0
     got = {(r["caller"], r["name"], r["receiver"]) for r in api.calls(found).collect()}
     assert got == {("a.rs::ring", "bell", None), ("a.rs::bell", "ring", None), ("a.rs::bell", "hall::ring", None), ("b.py::knock", "open", "door"), ("b.py::knock", "bell", None)}
+
+
+def test_one_function(spark, tmp_path):
+    """Lookups of one function give its rows of the whole call graph."""
+    (tmp_path / "a.rs").write_text("//! Front.\nfn ring() { bell(); knock(); }\nfn bell() { ring(); hall::ring(); }\nmod inner { fn deep() { fn deeper() { bell() } } }\n")
+    (tmp_path / "b.py").write_text("class Door:\n    def open(self):\n        bell()\n\ndef knock(door):\n    door = Door()\n    door.open()\n    bell()\n")
+    (tmp_path / "c.txt").write_text("bell\n")
+    found = api.index(spark, str(tmp_path))
+    whole = {}
+    for r in api.all_call_edges(found).collect():
+        whole.setdefault(r["center"], set()).add(tuple(r))
+    index = api.call_index(found, 8)
+    try:
+        for center in ("a.rs::bell", "b.py::knock", "b.py::Door::open"):
+            want = whole.get(center, set())
+            assert want and {tuple(r) for r in api.resolve_calls(found, center).collect()} == want
+            assert {tuple(r) for r in api.lookup_calls(found, index, center).collect()} == want
+        assert api.resolve_calls(found, "nowhere").collect() == [] and api.lookup_calls(found, index, "nowhere").collect() == []
+    finally:
+        index.drop()
+    text = (tmp_path / "a.rs").read_text()
+    spots = [("a.rs", w, text.index(w)) for w in ("knock()", "ring(); hall", "bell() } }", "//!")]
+    got = {r["id"]: r["function"] for r in api.enclosing_functions(found, spark.createDataFrame(spots, "file string, id string, at long")).collect()}
+    assert (got["knock()"], got["ring(); hall"], got["//!"]) == ("a.rs::ring", "a.rs::bell", None) and got["bell() } }"].startswith("a.rs::inner::deep")
