@@ -29,21 +29,11 @@ def cell_of(at: Column, level: Column) -> Column:
     return F.floor(at / F.pow(F.lit(2.0), level)).cast("double") + F.lit(0.0)
 
 
-def zorder(x: Column, y: Column) -> Column:
-    """Cells near each other have near numbers: the lowest 16 bits of both, in turn."""
-    out = F.lit(0).cast("long")
-    for i in range(16):
-        bit = lambda c: F.shiftright(c.cast("long"), i).bitwiseAND(F.lit(1).cast("long"))  # noqa: B023, E731
-        out = out + bit(x) * (1 << (2 * i)) + bit(y) * (1 << (2 * i + 1))
-    return out
-
-
 def cells(rects: DataFrame) -> DataFrame:
-    """Each rectangle (x, y, w, h) once for each cell of its level that it meets: _level, _cx, _cy, _z."""
+    """Each rectangle (x, y, w, h) once for each cell of its level that it meets: _level, _cx, _cy."""
     lv = rects.withColumn("_level", level_of(F.greatest("w", "h")))
     span = lambda a, s: F.array_distinct(F.array(cell_of(F.col(a), F.col("_level")), cell_of(F.col(a) + F.col(s), F.col("_level"))))
-    each = lv.withColumn("_cx", F.explode(span("x", "w"))).withColumn("_cy", F.explode(span("y", "h")))
-    return each.withColumn("_z", zorder(F.col("_cx"), F.col("_cy")))
+    return lv.withColumn("_cx", F.explode(span("x", "w"))).withColumn("_cy", F.explode(span("y", "h")))
 
 
 def hit_tests(points: DataFrame, rects: DataFrame, rank: str = "pre") -> DataFrame:
@@ -53,8 +43,8 @@ def hit_tests(points: DataFrame, rects: DataFrame, rank: str = "pre") -> DataFra
     there = cells(rects.where("w > 0 and h > 0 and x is not null and y is not null"))
     levels = sorted(r[0] for r in there.select("_level").distinct().collect())  # one row a level: exponents of doubles
     at = points.select("point", "px", "py", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("_level"))
-    at = at.withColumns({"_cx": cell_of(F.col("px"), F.col("_level")), "_cy": cell_of(F.col("py"), F.col("_level"))}).withColumn("_z", zorder(F.col("_cx"), F.col("_cy")))
-    j = at.join(there, ["_level", "_z", "_cx", "_cy"]).where("x <= px and px < x + w and y <= py and py < y + h")
+    at = at.withColumns({"_cx": cell_of(F.col("px"), F.col("_level")), "_cy": cell_of(F.col("py"), F.col("_level"))})
+    j = at.join(there, ["_level", "_cx", "_cy"]).where("x <= px and px < x + w and y <= py and py < y + h")
     best = j.groupBy("point").agg(F.max_by("id", rank).alias("id"))
     return points.select("point").join(best, "point", "left")
 

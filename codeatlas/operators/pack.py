@@ -8,6 +8,7 @@ sums over exploded ancestors. The tree's depth, not its size, sets the number of
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
@@ -43,28 +44,35 @@ def _envelope(size: tuple[float, float], aspect: float) -> float:
 def place(sizes: list[tuple[float, float]], gap: float, width: float):
     """Bottom-left skyline: each rectangle where its top is lowest, then lower, then further left.
     Returns positions and the used width and height."""
-    edges: list[list[float]] = [[0.0, width, 0.0]]  # x, end, height
+    begins, tops = [0.0], [0.0]  # the skyline's steps from left to right, each up to the next one's begin
     out, used = [], (0.0, 0.0)
     for w, h in sizes:
         pw, ph = w + gap, h + gap
-        spots = [(max(e[2] for e in edges if e[0] < x + pw and e[1] > x), x) for x, _, _ in edges if x + pw <= width]
-        y, x = min(spots)
-        cut = []
-        for a, b, top in edges:
-            if b <= x or a >= x + pw:
-                cut.append([a, b, top])
-            else:
-                if a < x:
-                    cut.append([a, x, top])
-                if b > x + pw:
-                    cut.append([x + pw, b, top])
-        cut.append([x, x + pw, y + ph])
-        edges = []
-        for e in sorted(cut):
-            if edges and edges[-1][2] == e[2] and edges[-1][1] == e[0]:
-                edges[-1][1] = e[1]
-            else:
-                edges.append(e)
+        best, high, j, n = None, deque(), 0, len(begins)
+        for i, x in enumerate(begins):
+            if x + pw > width:
+                break
+            # the steps that the rectangle would stand on, and of these the indices of falling tops
+            while j < n and begins[j] < x + pw:
+                while high and tops[high[-1]] <= tops[j]:
+                    high.pop()
+                high.append(j)
+                j += 1
+            if high[0] < i:
+                high.popleft()
+            if best is None or tops[high[0]] < best[0]:
+                best = tops[high[0]], x, i, j
+        y, x, i, j = best
+        end = begins[j] if j < n else width
+        steps, heights = [x], [y + ph]
+        if end > x + pw and tops[j - 1] != y + ph:  # what is left of the last step
+            steps.append(x + pw)
+            heights.append(tops[j - 1])
+        after = tops[j] if j < n else None
+        stop = j + 1 if after == heights[-1] else j  # equal neighbours are one step
+        if i and tops[i - 1] == y + ph:
+            del steps[0], heights[0]
+        begins[i:stop], tops[i:stop] = steps, heights
         out.append((x, y))
         used = max(used[0], x + w), max(used[1], y + h)
     return out, used

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.operators import call_index, calls, chunks, grid, intervals
+from codeatlas.operators import call_index, calls, chunks, grid, intervals, name_index
+from codeatlas.plans.lineage import shared_dir
 from codeatlas.plans.registry import _t, query
+from codeatlas.streaming import rollups
 
 # -- enclosing intervals --------------------------------------------------------------------
 
@@ -115,3 +119,34 @@ SELECT id, nb AS neighbour FROM p WHERE k = 1""")
 def grid_step(spark, sf_dir):
     """The nearest rectangle below each one, whatever their sizes."""
     return grid.neighbours(_sizes(spark, sf_dir), "down")
+
+
+# -- names by length ------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE regexp_matches(lower(c_name), '7.*0.*5') ORDER BY strlen(c_name), c_name, c_custkey LIMIT 12")
+def indexed_search(spark, sf_dir):
+    """The twelve best names for a query, from an index that is read shortest names first."""
+    index = name_index.build(_t(spark, sf_dir, "customer"), "c_name", "c_custkey")
+    return name_index.search(index, "705").select(F.col("order").alias("c_custkey"), F.col("name").alias("c_name"))
+
+
+# -- rollups that follow changes ------------------------------------------------------------
+
+
+@query("""
+WITH o AS (SELECT o_custkey, count(*) AS n, CAST(sum(round(o_totalprice)) AS BIGINT) AS lines FROM orders GROUP BY 1),
+f AS (SELECT 'n' || c_nationkey || '/' || c_mktsegment AS folder, 'n' || c_nationkey AS top, coalesce(lines, c_custkey) AS lines, coalesce(n, 0) AS commits FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE c_acctbal >= 0),
+a AS (SELECT folder, lines, commits FROM f UNION ALL SELECT top, lines, commits FROM f UNION ALL SELECT '', lines, commits FROM f)
+SELECT folder, count(*) AS n_files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(commits) AS BIGINT) AS commits FROM a GROUP BY folder""")
+def maintained_rollup(spark, sf_dir):
+    """Totals of customers as files by nation and segment, after two change sets: what they ordered, and
+    those in debt, who go."""
+    c, long = _t(spark, sf_dir, "customer"), lambda x: F.lit(x).cast("long")
+    path = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_mktsegment"), F.lit("/"), F.col("c_custkey").cast("string")).alias("path")
+    store = rollups.Store(spark, f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}")
+    store.apply(c.select(path, F.col("c_custkey").cast("long").alias("lines"), long(0).alias("commits")))
+    made = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(F.round("o_totalprice")).cast("long").alias("lines"), F.count("*").alias("commits"))
+    store.apply(c.join(made, "c_custkey").select(path, "lines", "commits"))
+    store.apply(c.where("c_acctbal < 0").select(path, long(None).alias("lines"), long(None).alias("commits")))
+    return store.folders()

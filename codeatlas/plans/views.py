@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from codeatlas import api
 from codeatlas.functions import display, paths, tables
-from codeatlas.operators import cache, calls, chunks, hierarchy, highlight, navigation, pack
+from codeatlas.operators import cache, calls, chunks, hierarchy, highlight, navigation, nested, pack
+from codeatlas.plans.lineage import shared_dir
 from codeatlas.plans.registry import _BYTES_SQL, _PATH_SQL, _t, _urls, query
 from codeatlas.plans.sources import EXTENSIONS, SOURCES
 from codeatlas.streaming import events as streams
@@ -447,7 +449,8 @@ def node_count(spark, sf_dir):
 
 @query("SELECT p_brand || '/' || p_partkey AS id, p_brand AS parent_id, CAST(p_size AS BIGINT) AS measure FROM part UNION ALL SELECT p_brand, 'root', CAST(sum(p_size) AS BIGINT) FROM part GROUP BY p_brand UNION ALL SELECT 'root', NULL, 0")
 def tree_json(spark, sf_dir):
-    """A tree written as JSON, a node a line, and read back."""
+    """A tree written as nested JSON, a document for each top folder, and read back."""
     n = _tree(spark, sf_dir).select("id", "parent_id", "kind", "measure", "depth", "anc", "pre")
-    back = n.select(F.from_json(F.to_json(F.struct(*n.columns)), n.schema).alias("j")).select("j.*")
-    return back.select("id", "parent_id", "measure")
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    nested.write(n, folder)
+    return nested.read(spark, folder, "id string, kind string, measure long, depth int, pre long").select("id", "parent_id", "measure")

@@ -1,5 +1,6 @@
 """Intervals, the call index and the grid against brute force, on small and odd tables."""
 
+import json
 import random
 import re
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeatlas.operators import call_index, calls, grid, intervals, view
+from codeatlas.operators import call_index, calls, grid, intervals, name_index, nested, view
 
 # -- intervals ------------------------------------------------------------------------------
 
@@ -182,3 +183,75 @@ def test_levels(spark):
     sides = [0.0, 1e-9, 0.5, 1.0, 1.0000001, 2.0, 3.0, 1024.0, 1025.0, 1e12]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in sides], "s double").select(grid.level_of(F.col("s"))).collect()]
     assert all(2.0**lv >= s and (s <= 2.0**-60 or 2.0 ** (lv - 1) < s) for s, lv in zip(sides, got, strict=True))
+
+
+# -- names by length ------------------------------------------------------------------------
+
+
+def test_name_index(spark):
+    """The results of the search over all names, whatever the query."""
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdeÄäßİ日._ ") for _ in range(rng.randint(0, 9))) for _ in range(300)] + ["x" * 400, "y" * 300 + "a", "abc", "abc", None]
+    d = spark.createDataFrame(list(enumerate(names)), "pre long, name string")
+    index = name_index.build(d)
+    try:
+        for q in ["", "a", "AB", "ä", "ÄB", "日", "ab.", "zzz", "ya", "._", "e a"]:
+            want = [(r["name"], r["pre"]) for r in view.search(d.where("name is not null"), q).select("name", "pre").collect()]
+            assert [tuple(r) for r in name_index.search(index, q).collect()] == want, q
+    finally:
+        index.drop()
+    empty = name_index.build(d.limit(0))
+    assert name_index.search(empty, "a").collect() == []
+
+
+def test_name_index_reads_few_lengths(spark, monkeypatch):
+    d = spark.range(3000).select(F.col("id").alias("pre"), F.repeat(F.lit("ab"), (F.col("id") % 90 + 1).cast("int")).alias("name"))
+    index, read = name_index.build(d), []
+    names = name_index.NameIndex.names
+    monkeypatch.setattr(name_index.NameIndex, "names", lambda self, lengths: read.extend(lengths) or names(self, lengths))
+    try:
+        assert len(name_index.search(index, "abab").collect()) == 12
+        assert len(index.lengths) == 90 and read == [4]
+        plan = names(index, [4])._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(length" in plan
+    finally:
+        index.drop()
+
+
+# -- nested JSON ----------------------------------------------------------------------------
+
+
+def test_nested(spark, tmp_path):
+    """What is written is JSON for any reader, nests as the tree does, and reads back equal."""
+    rng = random.Random(2)
+    rows, pre = [], [0]
+
+    def grow(parent, depth, anc):
+        me = f'{"n\"é,]}" if rng.random() < 0.2 else "n"}{pre[0]}'
+        rows.append((me, parent, depth, anc, pre[0], rng.choice([None, 3])))
+        pre[0] += 1
+        for _ in range(rng.randint(0, 4) if depth < 30 and len(rows) < 120 else 0):
+            grow(me, depth + 1, [*anc, me])
+
+    while len(rows) < 60:
+        rows.clear()
+        pre[0] = 0
+        grow(None, 0, [])
+    d = spark.createDataFrame(rows, "id string, parent_id string, depth int, anc array<string>, pre long, measure long")
+    folder = f"file://{tmp_path}/tree"
+    nested.write(d.repartition(3), folder)
+    back = nested.read(spark, folder, "id string, depth int, pre long, measure long")
+    assert {tuple(r) for r in back.select("id", "parent_id", "depth", "pre", "measure").collect()} == {(r[0], r[1], r[2], r[4], r[5]) for r in rows}
+    texts = {}
+    for r in sorted(nested.documents(spark, folder).collect(), key=lambda r: (r["top"] or "", r["part"].rsplit("/", 1)[-1])):
+        texts[r["top"]] = texts.get(r["top"], "") + r["text"]
+    kids = {}
+    for r in rows:
+        kids.setdefault(r[1], []).append(r[0])
+
+    def same(node):
+        assert [c["id"] for c in node["children"]] == kids.get(node["id"], [])
+        return 1 + sum(map(same, node["children"]))
+
+    tops = [json.loads(t) for top, t in texts.items() if json.loads(t)["depth"] == 1]
+    assert sum(map(same, tops)) == len(rows) - 1 and {t["id"] for t in tops} == set(kids[rows[0][0]])
