@@ -99,7 +99,7 @@ _ALNUM = _CLASS < 5
 _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103), *range(65, 71)]] = True
 #: What a word's features are, and how many values each has; values beyond come from hashes.
-_FIELDS = {"shape": 2048, "runs": 1024, "length": 32, "made of": 1024, "digits": 24, "marks": 128, "hex": 64, "begins": 1024, "word": 2048, "first": 256, "last": 256, "changes": 8, "name": 512}
+_FIELDS = {"shape": 2048, "runs": 1024, "length": 32, "made of": 1024, "digits": 24, "marks": 128, "hex": 64, "begins": 1024, "word": 4096, "first": 256, "last": 256, "changes": 8, "name": 4096, "lead": 48}
 _BASE = dict(zip(_FIELDS, np.cumsum([0, *_FIELDS.values()]).tolist(), strict=False))
 N_FEATURES = sum(_FIELDS.values())
 #: Features of a neighbour that count.
@@ -110,8 +110,33 @@ def _hashed(h: np.ndarray, size: int) -> np.ndarray:
     return (mix(h * P2) >> U64(33)).astype(np.int64) % size
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(words, fields) of feature numbers. A word's core is it without signs at its ends."""
+def _assigned(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, alnum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the bytes of the name that it is a value of: what stands before a = or : within
+    the word, or else the word before, where that ends in one, or the one before a lone = or : or :=.
+    An empty range where there is none. a and b: the words' cores."""
+    lo, hi = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    if not len(start) or not len(alnum):
+        return lo, hi
+    ties = np.flatnonzero((data == 61) | (data == 58))
+    nth = np.searchsorted(ties, a)
+    cut = ties[np.minimum(nth, len(ties) - 1)] if len(ties) else np.full(len(a), len(data))
+    own = (nth < len(ties)) & (a < cut) & (cut < b)
+    lo[own], hi[own] = a[own], alnum[np.maximum(np.searchsorted(alnum, cut[own]) - 1, 0)] + 1
+    doc = np.searchsorted(first, np.arange(len(start)), "right")
+    last = data[end - 1]
+    tied = (last == 61) | (last == 58)
+    bare = tied & (a == b) & (end - start <= 2)
+    here = np.arange(len(start))
+    one, two = np.maximum(here - 1, 0), np.maximum(here - 2, 0)
+    one_ok, two_ok = (here > 0) & (doc == doc[one]) & tied[one], (here > 1) & (doc == doc[two])
+    for use, at in ((~own & one_ok & ~bare[one], one), (~own & one_ok & bare[one] & two_ok, two)):
+        lo[use], hi[use] = a[at[use]], b[at[use]]
+    return lo, hi
+
+
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(words, fields) of feature numbers; first: the first word of each text, and the number of
+    words. A word's core is it without signs at its ends."""
     cls = _CLASS[data]
     alnum = np.flatnonzero(_ALNUM[data])
     lo, hi = np.searchsorted(alnum, start), np.searchsorted(alnum, end)
@@ -143,19 +168,17 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     begins = range_hashes(data, a, a + n4) + np.minimum(size // 8, 4).astype(U64) * P1
     plain = (kinds[2] == 0) & (size <= 24) & (size > 0)
     word = np.where(plain, _hashed(range_hashes(low, a, b), _FIELDS["word"] - 1) + 1, 0)
-    # the part before the first =, where there is one
-    eq = np.flatnonzero(data == 61)
-    nth = np.searchsorted(eq, a)
-    cut = np.where(nth < len(eq), eq[np.minimum(nth, max(len(eq) - 1, 0))], len(data)) if len(eq) else np.full(len(a), len(data))
-    named = (cut < b) & some
-    name = np.where(named, _hashed(range_hashes(low, a, np.where(named, cut, a)), _FIELDS["name"] - 1) + 1, 0)
+    n0, n1 = _assigned(data, start, end, first, a, b, alnum)
+    name = np.where(n0 < n1, _hashed(range_hashes(low, n0, n1), _FIELDS["name"] - 1) + 1, 0)
+    lead = data[np.minimum(a, max(len(data) - 1, 0))].astype(np.int64) - 48
+    lead = np.where((lead >= 0) & (lead < 10), 1 + lead + 10 * np.minimum(marks["-"], 3), 0)
     hexes = (count(_HEX[data]) == size) & (size > 0)
     raw = np.maximum(end - 1, 0)
     cols = [
         _hashed(range_hashes(cls, a, b), _FIELDS["shape"]), _hashed(runs, _FIELDS["runs"]), length, made, np.minimum(kinds[2], 23),
         np.minimum(marks["."], 3) * 32 + np.minimum(marks["-"], 3) * 8 + np.minimum(marks["@"], 1) * 4 + np.minimum(marks["_"], 1) * 2 + np.minimum(marks["="], 1),
         np.where(hexes, 1 + length + 28 * ((kinds[2] > 0) & (kinds[0] + kinds[1] > 0)), 0), _hashed(begins, _FIELDS["begins"]), word,
-        np.minimum(cls[start], 255), np.minimum(cls[raw], 255), np.digitize(changes, [1, 2, 3, 5, 9, 17, 33]), name,
+        np.minimum(cls[start], 255), np.minimum(cls[raw], 255), np.digitize(changes, [1, 2, 3, 5, 9, 17, 33]), name, lead,
     ]
     return np.stack([c + off for c, off in zip(cols, _BASE.values(), strict=True)], axis=1)
 
@@ -187,52 +210,70 @@ class CRF:
         out[-1] += len(_BESIDE) * self.right[N_FEATURES]
         return out
 
-    def fit(self, texts: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.3, decay: float = 3e-4) -> CRF:
-        """Adaptive gradient ascent on the mean log-likelihood, by forward and backward sums over
-        all sentences at once (padded at the end). texts: words with their labels."""
+    def fit(self, texts: list[list[tuple[str, str]]], rounds: int = 240, parts: int = 4, rate: float = 0.3, decay: float = 3e-4) -> CRF:
+        """Adaptive gradient ascent on the mean log-likelihood of one of ``parts`` of the sentences
+        after another. texts: words with their labels."""
+        made = [self._prepared(texts[i::parts]) for i in range(parts) if texts[i::parts]]
+        params = (self.own, self.left, self.right, self.step)
+        seen = [np.full_like(v, 1e-6) for v in params]
+        for i in range(rounds):
+            n, grads = self._gradients(*made[i % len(made)])
+            for v, grad, s in zip(params, grads, seen, strict=True):
+                g = grad / n - decay * v
+                s += g * g
+                v += (rate * g / np.sqrt(s)).astype(np.float32)
+        return self
+
+    def _prepared(self, texts: list[list[tuple[str, str]]]) -> tuple:
+        """Features of sentences, their places in a padded matrix, their labels and label pairs, and
+        for each table its words in the order of their features and where each feature begins."""
         data, off, _ = utf8(pa.array([" ".join(w for w, _ in t) for t in texts], pa.string()))
         start, end, first = words(data, off)
-        f, n, k = features(data, start, end), len(texts), self.step.shape[0]
+        f, k = features(data, start, end, first), self.step.shape[0]
         size = np.diff(first)
-        w = int(size.max())
-        row, col = np.repeat(np.arange(n), size), np.arange(len(f)) - np.repeat(first[:-1], size)
-        live = np.zeros((n, w), bool)
+        row, col = np.repeat(np.arange(len(texts)), size), np.arange(len(f)) - np.repeat(first[:-1], size)
+        live = np.zeros((len(texts), int(size.max())), bool)
         live[row, col] = True
-        y = np.zeros((n, w), int)
+        y = np.zeros(live.shape, int)
         y[row, col] = [LABELS.index(label) for t in texts for _, label in t]
-        pairs = live[:, 1:]
         truth = np.zeros((k, k))
-        np.add.at(truth, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
+        np.add.at(truth, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), 1)
         before = np.where((col == 0)[:, None], N_FEATURES, f[np.maximum(np.arange(len(f)) - 1, 0)][:, _BESIDE])
         after = np.where((col == size[row] - 1)[:, None], N_FEATURES, f[np.minimum(np.arange(len(f)) + 1, len(f) - 1)][:, _BESIDE])
-        params = (self.own, self.left, self.right, self.step)
-        seen = [np.full_like(v, 1e-6) for v in params]
-        for _ in range(rounds):
-            e = np.zeros((n, w, k))
-            e[row, col] = self.emissions(f, first)
-            fw, bw = np.zeros((n, w, k)), np.zeros((n, w, k))
-            fw[:, 0] = e[:, 0]
-            for t in range(1, w):
-                fw[:, t] = np.where(live[:, t, None], e[:, t] + np.logaddexp.reduce(fw[:, t - 1, :, None] + self.step, axis=1), fw[:, t - 1])
-            for t in range(w - 2, -1, -1):
-                bw[:, t] = np.where(live[:, t + 1, None], np.logaddexp.reduce(self.step + (e[:, t + 1] + bw[:, t + 1])[:, None, :], axis=2), 0)
-            z = np.logaddexp.reduce(fw[:, -1], axis=1)
-            d = -np.exp(fw + bw - z[:, None, None])
-            d[np.arange(n)[:, None], np.arange(w)[None, :], y] += 1
-            d = d[row, col]
-            grads = []
-            for at in (f, before, after):
-                grad = np.empty((N_FEATURES + 1, k))
-                for label in range(k):
-                    grad[:, label] = np.bincount(at.ravel(), np.repeat(d[:, label], at.shape[1]), N_FEATURES + 1)
-                grads.append(grad)
-            both = np.exp(fw[:, :-1, :, None] + self.step + (e[:, 1:] + bw[:, 1:])[:, :, None, :] - z[:, None, None, None])
-            grads.append(truth - both[pairs].sum(axis=0))
-            for v, grad, s in zip(params, grads, seen, strict=True):
-                g = grad / n - decay * v
-                s += g * g
-                v += (rate * g / np.sqrt(s)).astype(np.float32)
-        return self
+        sums = []
+        for at in (f, before, after):
+            order = np.argsort(at.ravel(), kind="stable")
+            some, begins = np.unique(at.ravel()[order], return_index=True)
+            sums.append((order // at.shape[1], begins, some))
+        return f, first, row, col, live, y, truth, sums
+
+    def _gradients(self, f, first, row, col, live, y, truth, sums) -> tuple[int, list[np.ndarray]]:
+        """Gradients of the summed log-likelihood, by scaled forward and backward sums over all
+        sentences at once: each word's scores are taken from its best one and each step is scaled
+        to one, so nothing vanishes."""
+        (n, w), k = live.shape, self.step.shape[0]
+        e = np.zeros((n, w, k))
+        e[row, col] = self.emissions(f, first)
+        e = np.exp(e - e.max(axis=2, keepdims=True))
+        go = np.exp(self.step.astype(np.float64))
+        fw, bw, scale = np.zeros((n, w, k)), np.ones((n, w, k)), np.ones((n, w, 1))
+        fw[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+        for t in range(1, w):
+            x = (fw[:, t - 1] @ go) * e[:, t]
+            scale[:, t] = x.sum(axis=1, keepdims=True)
+            fw[:, t] = np.where(live[:, t, None], x / scale[:, t], fw[:, t - 1])
+        for t in range(w - 2, -1, -1):
+            bw[:, t] = np.where(live[:, t + 1, None], (e[:, t + 1] * bw[:, t + 1] / scale[:, t + 1]) @ go.T, 1)
+        d = -fw * bw
+        d[np.arange(n)[:, None], np.arange(w)[None, :], y] += 1
+        d = d[row, col]
+        grads = []
+        for order, begins, some in sums:
+            grad = np.zeros((N_FEATURES + 1, k))
+            grad[some] = np.add.reduceat(d[order], begins)
+            grads.append(grad)
+        ahead = np.where(live[:, 1:, None], e[:, 1:] * bw[:, 1:] / scale[:, 1:], 0)
+        return n, [*grads, truth - go * np.tensordot(fw[:, :-1], ahead, axes=((0, 1), (0, 1)))]
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of padded rows (rows, steps, labels); padding gets label 0."""
@@ -286,9 +327,10 @@ class CRF:
         return out
 
 
-def training_table(seed: int = 7, rows: int = 1500) -> list[list[tuple[str, str]]]:
+def training_table(seed: int = 7, rows: int = 3500) -> list[list[tuple[str, str]]]:
     """A small labelled table, made from a rule: sentences of plain words in some languages, with
-    one or two items of personal data, secrets, or harmless numbers and signs among them."""
+    one or two items of personal data, secrets, or of harmless things that look like them among
+    them: assignments of code and markup, dates, times, hashes, ids, book numbers, ranges."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     syllables = "an ber co de ent fi gra ha il jo ka lu mo ne or pe qui re sa tion un ver wie ze ñe öl êt ße".split()
@@ -307,8 +349,21 @@ def training_table(seed: int = 7, rows: int = 1500) -> list[list[tuple[str, str]
 
     host = lambda: ".".join([pick(["mail", "post", "mx", "corp", "inbox", "web"]) + pick(["", d(1), d(2)]), *([pick(["example", "acme", "site"])] if rng.random() < 0.7 else []), pick(["com", "org", "net", "de", "io"])])
     user = lambda: pick([plain().lower(), plain().lower() + "." + plain().lower(), plain().lower() + "." + d(2), plain().lower() + d(3), of(low, 1) + "_" + plain().lower()])
-    names, secret = ["password", "passwd", "secret", "token", "api_key"], lambda: pick([of(hexes, 32), of(hexes, 40), of(hexes, 24), of(mixed, 20), of(mixed, 36), of("abcdef", 24), of(low, 20)])
-    key = lambda: pick([pick(["AKIA", "ASIA"]) + of(up + "234567", 16), pick(["AKIA", "ASIA"]) + of(up, 16), "ghp_" + of(mixed, int(rng.integers(14, 37))), "ghp_" + of(low, 16), "sk-" + of(mixed, int(rng.integers(16, 41))), "sk-" + of(low, 16)])
+    names = ["password", "passwd", "pwd", "pass", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_token", "auth_token", "client_secret", "secret_key", "private_key", "db_password"]
+    harmless = "name class id sort order type lang page size href src style width height x y value q user mode path version build rev commit sha sha1 sha256 md5 etag checksum digest hash uuid date time isbn isbn-13 isbn-10 issn doi".split()
+    secret = lambda: pick([of(hexes, 32), of(hexes, 40), of(hexes, 24), of(mixed, 20), of(mixed, 36), of("abcdef", 24), of(low, 20)])
+    key = lambda: pick([pick(["AKIA", "ASIA"]) + of(up + "234567", 16), pick(["AKIA", "ASIA"]) + of(up, 16), "ghp_" + of(mixed, int(rng.integers(14, 37))), "ghp_" + of(low, 16), "sk-" + of(mixed, int(rng.integers(16, 41))), "sk-" + of(low, 16), jwt()])
+    jwt = lambda: pick(["eyJhbGciOi", "eyJ0eXAiOi", "eyJraWQiOi"]) + of(mixed, int(rng.integers(10, 30))) + ".eyJ" + of(mixed, int(rng.integers(10, 60))) + "." + of(mixed + "_-", int(rng.integers(20, 44)))
+    called = lambda: pick([pick(harmless), pick(harmless), plain().lower(), of(low, int(rng.integers(1, 4))), plain().lower() + pick("_-") + plain().lower()])
+    digest = lambda: of(hexes, pick([7, 8, 10, 12, 16, 32, 32, 40, 40, 40, 56, 64, 64, 128]))
+    uuid = lambda: "-".join(of(hexes, n) for n in (8, 4, 4, 4, 12))
+    day = lambda: f"{pick(['19', '20'])}{d(2)}-{pick(['0' + d(1), '10', '11', '12'])}-{pick('0123')}{d(1)}"
+    clock = lambda: pick([f"{pick('012')}{d(1)}:{pick('012345')}{d(1)}", f"{pick('012')}{d(1)}:{pick('012345')}{d(1)}:{pick('012345')}{d(1)}"])
+    moment = lambda: day() + pick("T_") + clock() + pick(["", "Z", "Z", "." + d(3) + "Z", "+0" + d(1) + ":00"])
+    book = lambda: pick([f"{pick(['978', '979'])}{d(10)}", f"{pick(['978', '979'])}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(1)}-{d(3)}-{d(5)}-{pick([d(1), 'X'])}", f"{d(9)}X", f"{d(4)}-{d(4)}"])
+    value = lambda: pick([plain().lower(), plain().lower(), of(low, int(rng.integers(2, 14))), plain().lower() + "-" + plain().lower(), plain() + "_" + plain(), d(int(rng.integers(1, 7))), plain().lower() + d(int(rng.integers(1, 4))), digest(), uuid(), day(), f"{d(3)}px", "#" + of(hexes, 6), f"/{plain()}/{plain()}.png", f"{plain()}()", of(mixed, int(rng.integers(4, 12)))])
+    code = lambda: pick([of(low, int(rng.integers(2, 8))) + d(int(rng.integers(1, 4))) + pick(["", of(low, 1), of(up, 1), "!"]), of(mixed[:26] + mixed[52:], int(rng.integers(6, 11)))])
+    quoted = lambda w: pick(['"%s"', "'%s'", "%s"]) % w
     said = lambda: pick([str.lower, str.upper, str.capitalize])(pick(names))
     items = [
         lambda: [(f"{user()}@{host()}", "email")],
@@ -320,7 +375,7 @@ def training_table(seed: int = 7, rows: int = 1500) -> list[list[tuple[str, str]
         lambda: [("+" + d(int(rng.integers(1, 3))), "phone"), (f"({d(3)})", "phone"), (f"{d(3)}-{d(4)}", "phone")],
         lambda: [("+" + d(2), "phone"), (d(3), "phone"), (d(3), "phone"), (d(4), "phone")],
         lambda: [(f"({d(3)})", "phone"), (f"{d(3)}-{d(4)}", "phone")],
-        lambda: [(f"{d(3)}-{d(3)}-{d(4)}", "phone")],
+        lambda: [(f"{pick('23456789')}{d(2)}-{d(3)}-{d(4)}", "phone")],
         lambda: [("+" + d(int(rng.integers(9, 15))), "phone")],
         lambda: [(f"{d(3)}-{d(2)}-{d(4)}", "ssn")],
         lambda: [(key(), "secret")],
@@ -329,7 +384,35 @@ def training_table(seed: int = 7, rows: int = 1500) -> list[list[tuple[str, str]
         lambda: [(said(), "O"), ("=", "O"), (pick(['"%s"', "'%s'"]) % of("abcdef", int(rng.integers(20, 33))), "secret")],
         lambda: [(pick([pick(["AKIA", "ASIA"]) + of(up, 16), "ghp_" + of(low, 16), "sk-" + of(low, int(rng.integers(14, 24)))]), "secret")],
         lambda: [(f"{said()}={of(low, int(rng.integers(2, 12)))}", "secret")],
+        lambda: [(said(), "O"), (pick(["=", "=", ":", ":="]), "O"), (pick(['"%s"', "'%s'"]) % of(hexes, pick([32, 40, 40, 64])), "secret")],
+        lambda: [(said(), "O"), (pick(["=", "=", ":", ":="]), "O"), (pick(['"%s"', "'%s'"]) % of(hexes, pick([32, 40, 40, 64])), "secret")],
         lambda: [(said() + ":", "O"), (secret()[:24] + d(2), "secret")],
+        lambda: [(said() + ":", "O"), (pick([code(), code().capitalize(), pick(up) + code(), of(mixed, 8) + d(1), digest()]), "secret")],
+        lambda: [(f"{said()}={quoted(pick([code(), code().capitalize(), secret(), jwt()]))}", "secret")],
+        lambda: [(f"{said()}={pick([code(), code(), of(mixed, int(rng.integers(5, 16))), plain().lower() + d(2)])}", "secret")],
+        lambda: [(f"{said()}={code()}", "secret")],
+        lambda: [(said() + ":", "O"), (code(), "secret")],
+        lambda: [(f'"{said()}":', "O"), (f'"{pick([secret(), code(), code().capitalize()])}"', "secret")],
+        lambda: [(pick(["Bearer", "bearer", "Authorization:", plain()]), "O"), (jwt(), "secret")],
+        lambda: [(f"{called()}={quoted(value())}", "O")],
+        lambda: [(f"{called()}={quoted(value())}", "O") for _ in range(3)],
+        lambda: [(f"{called()}={quoted(value())}", "O"), (pick(["class", "id", "name"]) + f'="{value()}">', "O")],
+        lambda: [(called(), "O"), (pick(["=", ":", ":=", "=="]), "O"), (quoted(value()), "O")],
+        lambda: [(f"{called()}:", "O"), (quoted(value()), "O")],
+        lambda: [(f'"{called()}":', "O"), (f'"{value()}",', "O")],
+        lambda: [(quoted(digest()), "O")],
+        lambda: [(pick(["commit", "sha256:", "md5:", "SHA1", "revision", "merge", "index", "object", plain()]), "O"), (digest(), "O")],
+        lambda: [(pick(["commit ", "sha256:", "md5:", "sha1-", "rev=", "@"]).strip() + digest(), "O")],
+        lambda: [(called(), "O"), ("=", "O"), (f'"{digest()}"', "O")],
+        lambda: [(uuid(), "O")],
+        lambda: [(moment(), "O")],
+        lambda: [(day(), "O"), (clock(), "O")],
+        lambda: [(pick(["ISBN", "ISBN-13:", "ISBN-10:", "ISBN:", "ISSN", "EAN", "isbn"]), "O"), (book(), "O")],
+        lambda: [(pick(["ISBN-13:", "ISBN-10:", "ISBN:", "ISSN:", "isbn="]) + book(), "O")],
+        lambda: [(f"{pick('01')}{d(2)}-{d(3)}-{d(4)}", "O")],
+        lambda: [(pick(["pp.", "pages", "lines", plain()]), "O"), (pick([f"{d(2)}-{d(2)}", f"{d(3)}-{d(3)}", f"{d(4)}-{d(4)}", f"19{d(2)}-20{d(2)}"]), "O")],
+        lambda: [(pick(["section", plain()]), "O"), (pick([f"{d(1)}.{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}-{plain().lower()}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(7)}", f"{d(8)}", f"{d(10)}", f"{d(12)}"]), "O")],
+        lambda: [(pick([plain().lower() + plain().capitalize() + plain().capitalize(), plain().upper() + "_" + plain().upper() + "_" + d(2), of(up, 3) + "-" + d(4), plain().lower() + "_" + plain().lower() + "()", f"{plain().lower()}.{plain().lower()}({plain().lower()})"]), "O")],
         lambda: [(number(), "O")],
         lambda: [(number(), "O"), (pick(["-", "to", "|", "/", "and"]), "O"), (number(), "O")],
         lambda: [(x, "O") for x in (plain().capitalize(), pick(["BY-NC", "GPL", "MIT", "ISO", "Version", "page", "No."]), number() + ".")],
@@ -374,7 +457,7 @@ def field_spans(data: np.ndarray, offsets: np.ndarray, model: CRF) -> list[list[
     start, end, first = words(data, offsets)
     if not len(start):
         return found
-    y = model.label(model.emissions(features(data, start, end), first), first)
+    y = model.label(model.emissions(features(data, start, end, first), first), first)
     at = np.flatnonzero(y)
     if not len(at):
         return found
