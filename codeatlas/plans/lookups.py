@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.operators import call_index, calls, chunks, grid, intervals, name_index
+from codeatlas.operators import call_index, calls, chunks, grid, intervals, name_index, sections
 from codeatlas.plans.lineage import shared_dir
 from codeatlas.plans.registry import _t, query
 from codeatlas.streaming import rollups
@@ -150,3 +150,24 @@ def maintained_rollup(spark, sf_dir):
     store.apply(c.join(made, "c_custkey").select(path, "lines", "commits"))
     store.apply(c.where("c_acctbal < 0").select(path, long(None).alias("lines"), long(None).alias("commits")))
     return store.folders()
+
+
+# -- texts larger than a task ---------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT o_orderpriority AS k, o_orderkey AS pos, o_custkey % 37 = 0 AS head, o_custkey % 5 = 1 AS blank, '## ' || o_custkey AS said FROM orders),
+w AS (SELECT k, min(pos) AS a, max(pos) + 1 AS z, min(CASE WHEN head THEN pos END) AS h0 FROM l GROUP BY k),
+e AS (SELECT k, pos, head FROM l JOIN w USING (k) WHERE pos > a AND (head OR blank) AND NOT (head AND pos = h0)),
+j AS (SELECT k, pos, min(CASE WHEN head THEN pos END) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS h,
+  min(pos) OVER (PARTITION BY k ORDER BY pos RANGE BETWEEN 60 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM (SELECT k, pos, head FROM e UNION ALL SELECT k, a, false FROM w)),
+c AS (SELECT k, a AS pos FROM w UNION ALL SELECT c.k, least(j.h, j.b) FROM c JOIN j ON c.k = j.k AND c.pos = j.pos WHERE least(j.h, j.b) IS NOT NULL),
+x AS (SELECT k, pos, lead(pos) OVER (PARTITION BY k ORDER BY pos) AS z FROM c)
+SELECT x.k AS o_orderpriority, x.pos AS start_line, coalesce(x.z, w.z) AS end_line, CASE WHEN l.head THEN CAST(substr(l.said, 4) AS VARCHAR) ELSE (x.pos + 1) || chr(8211) || coalesce(x.z, w.z) END AS label
+FROM x JOIN w ON x.k = w.k JOIN l ON x.k = l.k AND x.pos = l.pos""")
+def order_sections(spark, sf_dir):
+    """Heading chunks of five texts, each all orders of a priority: an order a line, some of them headings
+    or blank. A text's lines are cut into ranges, and ranges run beside each other."""
+    o = _t(spark, sf_dir, "orders")
+    said = F.when(F.col("o_custkey") % 37 == 0, F.concat(F.lit("## "), F.col("o_custkey").cast("string"))).when(F.col("o_custkey") % 5 == 1, F.lit(" ")).otherwise(F.col("o_orderstatus"))
+    return sections.headings(o.select("o_orderpriority", "o_orderkey", said.alias("s")), "o_orderpriority", "o_orderkey", "s")
