@@ -629,4 +629,4 @@ def daily_events(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("day"), "n")
 
 
-from codeatlas.plans import lookups, views  # noqa: E402, F401 - register their queries
+from codeatlas.plans import lookups, seams, views  # noqa: E402, F401 - register their queries
