@@ -12,6 +12,8 @@ def _order_files(spark, sf_dir) -> None:
     """View order_files (key, text): each order as a Python source, its lines as methods that take the
     part and call the supplier. An order has few lines."""
     item = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # parsing costs far more than its bytes tell, so partitions must not be merged by size; grouping uses them as they are
+    item = item.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     line = F.format_string("    def line%d(self, part: Part%d):\n        ship = Order%d(part)\n        supplier%d(ship)\n", "l_linenumber", "l_partkey", "l_orderkey", "l_suppkey")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda s: s["t"]), "")
     files = item.groupBy("l_orderkey").agg(body.alias("body"))
