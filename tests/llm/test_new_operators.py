@@ -264,6 +264,20 @@ def test_url_filter_clashes(spark, name):
         assert {r[name] for r in out.collect()} == {"mine"}
 
 
+CONTRACT = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+
+
+def test_rules_are_the_contracts(spark):
+    """Each rule's word, and the verdict of a page that it fits and that isn't listed."""
+    want = [(r.split()[1], r.split()[0]) for r in CONTRACT.split(", ")]
+    assert [(h + p, "block" if b else "allow") for h, p, b in url_filter.RULES] == want
+    urls = [("http://x.com/en/1", "com/en/"), ("http://example.com/en/7", "example.com/en/7"), ("http://example.net/de/1", "net/de/"), ("http://example.net/de/8", "example.net/de/8"), ("http://a.org/es/1", "org/es/")]
+    for listed in (0, len(urls)):  # a rule that fits outweighs the list
+        d = spark.createDataFrame(urls, "url string, want string")
+        out = url_filter.filter_urls(d, d.select("url").limit(listed)).collect()
+        assert {(r["want"], r["rule"], r["verdict"]) for r in out} == {(n, n, w) for n, w in want}
+
+
 def test_one_id_in_many_rows(spark):
     """What a fit brings to the driver is bounded by ids, not rows."""
     got = []
