@@ -51,11 +51,23 @@ def return_type(signature: str | Column, ext: str | Column) -> Column:
     return F.nullif(F.when(_col(ext).isin("ts", "tsx", "js", "jsx"), script).otherwise(other), F.lit(""))
 
 
-def format_bytes(n: str | Column) -> Column:
-    """Steps of 1024 with one decimal, halves to even."""
-    b = _col(n).cast("double")
-    step = lambda d, unit: F.concat(F.bround(b / d, 1).cast("string"), F.lit(unit))
-    return F.when(b < 1024, F.concat(_col(n).cast("long").cast("string"), F.lit(" B"))).when(b < 1024**2, step(1024.0, " KB")).when(b < 1024**3, step(1024.0**2, " MB")).otherwise(step(1024.0**3, " GB"))
+def format_bytes(n: str | Column, largest: str = "GB") -> Column:
+    """Steps of 1024 with one decimal, halves to even; from ``largest`` on sizes stay in that unit. Whole
+    numbers only, so a size of any length is written in full and no half is lost to a double."""
+    b = _col(n).cast("long")
+
+    def step(unit: int, name: str) -> Column:
+        part = F.pmod(b, F.lit(unit)) * 10
+        tenth, rest = F.floor(part / unit), F.pmod(part, F.lit(unit)) * 2
+        up = (rest > unit) | (rest == unit) & (tenth % 2 == 1)
+        tenths = F.shiftright(b, unit.bit_length() - 1) * 10 + tenth + up.cast("long")
+        return F.concat(F.floor(F.shiftright(tenths, 1) / 5).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(f" {name}"))
+
+    units = ["KB", "MB", "GB"][: ["KB", "MB", "GB"].index(largest) + 1]
+    out = F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B")))
+    for i, name in enumerate(units[:-1], 1):
+        out = out.when(b < 1024 ** (i + 1), step(1024**i, name))
+    return out.otherwise(step(1024 ** len(units), units[-1]))
 
 
 def fnv1a(text: str | Column) -> Column:

@@ -63,3 +63,8 @@ def test_format_bytes(spark, n, want):
 @pytest.mark.parametrize("folder, hit", [("b", True), ("a/b", True), ("b/a", False), ("top/a", True), ("x.rs", True)])
 def test_in_folder(spark, folder, hit):
     assert value(spark, paths.in_folder(F.lit("a/b/x.rs"), folder, "top")) == hit
+
+
+@pytest.mark.parametrize("n, want", [(256, "256 B"), (1280, "1.2 KB"), (1792, "1.8 KB"), ((1 << 20) - 1, "1024.0 KB"), (5388**2 * 37, "1024.4 MB"), (20 * (1 << 40) + 786432, "20971520.8 MB"), ((1 << 62) + 262144, "4398046511104.2 MB"), (None, None)])
+def test_format_bytes_up_to_megabytes(spark, n, want):
+    assert value(spark, text.format_bytes(F.lit(n).cast("long"), "MB")) == want
