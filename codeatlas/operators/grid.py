@@ -44,9 +44,10 @@ def hit_tests(points: DataFrame, rects: DataFrame, rank: str = "pre") -> DataFra
     levels = sorted(r[0] for r in there.select("_level").distinct().collect())  # one row a level: exponents of doubles
     at = points.select("point", "px", "py", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("_level"))
     at = at.withColumns({"_cx": cell_of(F.col("px"), F.col("_level")), "_cy": cell_of(F.col("py"), F.col("_level"))})
-    j = at.join(there, ["_level", "_cx", "_cy"]).where("x <= px and px < x + w and y <= py and py < y + h")
+    # exploded rows are many more than a file's size tells: neither side may be broadcast
+    j = at.join(there.hint("merge"), ["_level", "_cx", "_cy"]).where("x <= px and px < x + w and y <= py and py < y + h")
     best = j.groupBy("point").agg(F.max_by("id", rank).alias("id"))
-    return points.select("point").join(best, "point", "left")
+    return points.select("point").join(best.hint("merge"), "point", "left")
 
 
 def neighbours(rects: DataFrame, direction: str) -> DataFrame:
@@ -69,7 +70,8 @@ def neighbours(rects: DataFrame, direction: str) -> DataFrame:
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         a, b = a.alias("a"), b.alias("b")
         c, r = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-        j = a.join(b, (c("depth") == r("depth")) & (c("_at") == r("_at")) & (c("_cell") == r("_cell")) & (c("id") != r("id")))
+        # exploded rows are many more than a file's size tells: neither side may be broadcast
+        j = a.join(b.hint("merge"), (c("depth") == r("depth")) & (c("_at") == r("_at")) & (c("_cell") == r("_cell")) & (c("id") != r("id")))
         j = j.where((r(at) < c(at) + c(size)) & (r(at) + r(size) > c(at)) & (gap(c, r) >= 0))
         mis = F.abs(r(at) + r(size) / 2 - (c(at) + c(size) / 2))
         return j.select(c("id").alias("id"), r("id").alias("other"), gap(c, r).alias("gap"), mis.alias("mis"))

@@ -47,7 +47,8 @@ def nearest(rects: DataFrame, direction: str, cell: float) -> DataFrame:
     bands = lambda d: d.withColumn("band", F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))))
     a, b = bands(rects).alias("a"), bands(rects).alias("b")
     c, r = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
-    j = a.join(b, (c("band") == r("band")) & (c("depth") == r("depth")) & (c("id") != r("id")))
+    # exploded rows are many more than a file's size tells: neither side may be broadcast
+    j = a.join(b.hint("merge"), (c("band") == r("band")) & (c("depth") == r("depth")) & (c("id") != r("id")))
     j = j.where((r(at) < c(at) + c(size)) & (r(at) + r(size) > c(at)) & (gap(c, r) >= 0))
     mis = F.abs(r(at) + r(size) / 2 - (c(at) + c(size) / 2))
     return j.groupBy(c("id").alias("id")).agg(F.min_by(r("id"), F.struct(gap(c, r), mis, r("id"))).alias("neighbour"))

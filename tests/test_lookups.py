@@ -179,6 +179,21 @@ def test_same_as_bands(spark):
     assert {tuple(r) for r in grid.neighbours(d, "right").collect()} == {tuple(r) for r in view.nearest(d, "right", 15.0).collect()}
 
 
+def joins_of(df, how):
+    """Joins of a plan, before anything has run, that broadcast a side."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"\b(?:BroadcastHashJoin|BroadcastNestedLoopJoin)[^\n]*\b" + how, plan)
+
+
+def test_exploded_rectangles_are_not_broadcast(spark):
+    """A few bytes of a file may be millions of cells: only the levels that occur are broadcast."""
+    r = spark.createDataFrame([(i, 0, float(i), 1.0, 2.0, 3.0, i) for i in range(9)], "id long, depth int, x double, y double, w double, h double, pre long")
+    points = spark.createDataFrame([(1, 1.0, 2.0)], "point long, px double, py double")
+    for made in (grid.neighbours(r, "down"), view.nearest(r, "right", 2.0)):
+        assert not joins_of(made, "Inner")
+    assert not joins_of(grid.hit_tests(points, r), "(?:Inner|LeftOuter)")
+
+
 def test_levels(spark):
     sides = [0.0, 1e-9, 0.5, 1.0, 1.0000001, 2.0, 3.0, 1024.0, 1025.0, 1e12]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in sides], "s double").select(grid.level_of(F.col("s"))).collect()]
