@@ -84,6 +84,7 @@ def _pattern(language: str) -> re.Pattern:
 
 
 _compiled: dict[str, re.Pattern] = {}
+BATCH = 10_000  # captures a frame
 
 
 def captures(text: str, language: str | None) -> Iterator[tuple[int, int, str]]:
@@ -126,12 +127,18 @@ def _code(text: str, language: str) -> Iterator[tuple[int, int, str]]:
 def file_captures(files: DataFrame, key: str = "path") -> DataFrame:
     """(key, start, end, capture) of files (key, text, language). One pass over the texts."""
 
+    columns = [key, "start", "end", "capture"]
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in it:
+            rows: list[tuple] = []
             for k, text, language in d.itertuples(index=False):
-                rows = [(k, a, b, c) for a, b, c in captures(text or "", language)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=[key, "start", "end", "capture"])
+                rows += [(k, a, b, c) for a, b, c in captures(text or "", language)]
+                if len(rows) >= BATCH:  # many small files a frame, and never much more than one large file's
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, "text", "language").mapInPandas(run, f"{key} {kind}, start long, end long, capture string")

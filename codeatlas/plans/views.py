@@ -26,7 +26,9 @@ def _files(spark, sf_dir) -> DataFrame:
     """(key, language, ext, text): a small source for each part, the languages in turn."""
     k = F.col("p_partkey")
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (k % len(_LANGS)).cast("int"))
-    return _t(spark, sf_dir, "part").select(k.alias("key"), pick(_LANGS).alias("language"), pick([EXTENSIONS[x] for x in _LANGS]).alias("ext"), F.replace(pick([SOURCES[x][0] for x in _LANGS]), F.lit("%"), k.cast("string")).alias("text"))
+    # a small file is one task, and parsing costs far more than its bytes tell
+    parts = _t(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(k.alias("key"), pick(_LANGS).alias("language"), pick([EXTENSIONS[x] for x in _LANGS]).alias("ext"), F.replace(pick([SOURCES[x][0] for x in _LANGS]), F.lit("%"), k.cast("string")).alias("text"))
 
 
 def _values(rows: list[tuple]) -> str:

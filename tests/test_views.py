@@ -115,6 +115,21 @@ def tree(spark):
     return rows, d.withColumns({"label": F.when(F.col("kind") == "item", "fn"), "path": F.col("id"), "name": F.col("id"), "ordinal": F.lit(0), "role": F.lit(0), "byte_start": F.lit(None).cast("long")})
 
 
+def test_small_sources_are_many_tasks_and_few_frames(spark, sf, monkeypatch):
+    files = views._files(spark, sf)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert files.rdd.getNumPartitions() == n > 1
+    made = []
+    frame = highlight.pd.DataFrame
+    monkeypatch.setattr(highlight, "BATCH", 50)
+    monkeypatch.setattr(type(files), "mapInPandas", lambda self, run, schema: made.append(run) or self)
+    highlight.file_captures(files, "key")
+    some = files.select("key", "text", "language").limit(40).toPandas()
+    got = list(made[0](iter([some])))
+    assert [r for f in got for r in f.itertuples(index=False, name=None)] == [(k, *c) for k, t, x in some.itertuples(index=False) for c in highlight.captures(t, x)]
+    assert len(got) < 20 and all(type(f) is frame and len(f) >= 50 for f in got[:-1])
+
+
 def test_postorder(spark):
     rows, d = tree(spark)
     order, roles = [], {}
