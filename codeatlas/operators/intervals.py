@@ -58,6 +58,7 @@ def last_above(ends: np.ndarray, count: np.ndarray, limit: np.ndarray) -> np.nda
 
 
 _ORDER = ["_key", "_pos", "_kind", "_back", "_id"]
+RANGE = 200_000  # events of a range: what one Python task sorts at once
 
 
 def _answers(events: pa.Table) -> pa.Table:
@@ -82,7 +83,10 @@ def _answers(events: pa.Table) -> pa.Table:
 
 def _swept(events: DataFrame) -> DataFrame:
     """Answers to all questions among events (_key, _pos, _kind, _back, _id, _end, _limit, _give, _ask)."""
-    dealt = saved(events.repartitionByRange(*_ORDER).withColumn("_range", F.spark_partition_id()))
+    # a number of ranges that grows with the events, so that a range doesn't: its events are one Arrow table
+    least = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-events.count() // RANGE))
+    dealt = saved(events.repartitionByRange(ranges, *_ORDER).withColumn("_range", F.spark_partition_id()))
     # one row a range: where it begins
     heads = dealt.groupBy("_range").agg(F.min(F.struct("_key", "_pos")).alias("h")).select(F.col("_range").alias("_next"), F.col("h._key").alias("_key"), F.col("h._pos").alias("_first"))
     handed = dealt.where("_give").join(F.broadcast(heads), "_key").where("_range < _next and _end >= _first")

@@ -67,6 +67,23 @@ def test_innermost(spark, seed, nested, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_ranges_grow_with_the_events(spark, monkeypatch):
+    """What one Python task sorts at once has a bound, whatever the number of shuffle partitions."""
+    sizes = []
+    whole = intervals.saved
+
+    def seen(df):
+        made = whole(df)
+        sizes.extend(r["count"] for r in made.groupBy("_range").count().collect())
+        return made
+
+    monkeypatch.setattr(intervals, "RANGE", 50, raising=False)
+    monkeypatch.setattr(intervals, "saved", seen)
+    rows = spark.range(1000).selectExpr("id % 3 as key", "id as id", "id as start", "id + 2 as end")
+    assert intervals.parents(rows).count() == 1000
+    assert max(sizes) <= 150 and sum(sizes) == 1000
+
+
 def test_innermost_of_nothing(spark):
     p = spark.createDataFrame([("a", "p", 1)], "key string, id string, at long")
     none = spark.createDataFrame([], "key string, id string, start long, end long")
