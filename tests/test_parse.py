@@ -106,3 +106,15 @@ def test_bindings():
     assert registry.bindings(src, "py", 13, 100, "Foo", {"Dog"}, {"mk": "Z"}) == {"self": "Foo", "a": "Bar", "d": "Dog", "c": "Cat", "e": "Z"}
     ts = b"m(a: Bar, b?: Baz) { const d = new Dog(); let c: Cat = x; const e = mk(); }"
     assert registry.bindings(ts, "ts", 0, len(ts), "Foo", set(), {"mk": "Z"}) == {"this": "Foo", "a": "Bar", "b": "Baz", "d": "Dog", "c": "Cat", "e": "Z"}
+
+
+def test_bindings_walk_a_file_once(monkeypatch):
+    from codeatlas.parse import python
+
+    source = b"class A:\n" + b"".join(b"    def f%d(self, x: A):\n        y = A()\n" % i for i in range(20))
+    walked = []
+    walk = python.ast.walk
+    monkeypatch.setattr(python.ast, "walk", lambda n: walked.append(n) or walk(n))
+    functions = registry.parse(source, "python")[0].children
+    assert [registry.bindings(source, "py", f.start, f.end, "A", {"A"}, {}) for f in functions] == [{"self": "A", "x": "A", "y": "A"}] * 20
+    assert sum(isinstance(n, python.ast.Module) for n in walked) == 2  # for the items, and for all bindings
