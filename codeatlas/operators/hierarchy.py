@@ -17,6 +17,27 @@ def rollup(files: DataFrame, path: str, *aggs: Column, root: bool = True) -> Dat
     return files.withColumn("folder", F.explode(folders)).groupBy("folder").agg(*aggs)
 
 
+#: Rows of one folder that one task may hold to add them up in order.
+ORDERED_ROWS = 1 << 17
+
+
+def rollup_rounded(files: DataFrame, path: str, value: str, order: list[str], *aggs: Column, out: str = "measure", most: int = ORDERED_ROWS) -> DataFrame:
+    """The rollup with the sum of doubles below each folder, as a whole number (long). Doubles sum to
+    other last digits in another order, so a sum near a half could go up or down with the plan. Where
+    the order may tell, the values are added in the order of the columns ``order``, as one scan of a
+    table does; folders of over ``most`` values that are so near take their sum in decimals."""
+    n, total = F.col("_n"), F.col("_total")
+    sums = rollup(files, path, *aggs, F.count(value).alias("_n"), F.sum(value).alias("_total"), F.sum(F.abs(value)).alias("_size"), F.sum(F.col(value).cast("decimal(28,8)")).alias("_exact"))
+    off = n * F.col("_size") * 2.0**-52  # no two orders differ by more
+    sums = sums.withColumn("_near", F.round(total - off) != F.round(total + off))
+    near = sums.where(F.col("_near") & (n <= most)).select("folder")
+    rows = files.where(F.col(value).isNotNull()).select(F.explode(F.concat(F.array(F.lit("")), folder_prefixes(path))).alias("folder"), F.struct(*order, F.col(value).alias("v")).alias("_row"))
+    added = F.aggregate(F.sort_array(F.collect_list("_row")), F.lit(0.0), lambda sofar, r: sofar + r["v"])
+    ordered = rows.join(near, "folder").groupBy("folder").agg(added.alias("_ordered"))
+    whole = F.when(~F.col("_near"), F.round(total).cast("long")).otherwise(F.coalesce(F.round("_ordered").cast("long"), F.round("_exact").cast("long")))
+    return sums.join(ordered, "folder", "left").withColumn(out, whole).drop("_n", "_total", "_size", "_exact", "_near", "_ordered")
+
+
 def sibling_ordinals(nodes: DataFrame, parent: str, name: str, order: str, out: str = "ordinal") -> DataFrame:
     """0-based index among siblings of the same name, in source order."""
     return nodes.withColumn(out, (F.row_number().over(Window.partitionBy(parent, name).orderBy(order)) - 1).cast("int"))

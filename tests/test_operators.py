@@ -1,6 +1,14 @@
 """Operators on small tables with known results."""
 
+import functools
+import math
+import operator
+
+import duckdb
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +235,45 @@ def test_every_called_name_is_a_function(spark, tmp_path):
     assert rows(registry.QUERIES["all_reverse_name_join"](spark, str(tmp_path)), "caller", "target") == sorted((f, path) for f, path, _, _ in want)
     n = len(want)
     assert rows(registry.QUERIES["all_edge_union"](spark, str(tmp_path)), "direction", "n_edges", "n_centers") == [("callee", n, len({f for f, *_ in want})), ("caller", n, n)]
+
+
+def test_rounded_sums_add_in_table_order(spark):
+    """The last digits of a sum of doubles, which the order tells, decide how a half rounds."""
+    down, up = [520.68, 574.27, 426.6, 215.95], [520.68, 215.95, 426.6, 574.27]
+    add = lambda values: functools.reduce(operator.add, values, 0.0)  # noqa: E731  (sum() makes up for lost digits)
+    assert sorted(down) == sorted(up) and add(down) < 1737.5 <= add(up)
+    values = [("a/x", i, v) for i, v in enumerate(down)] + [("b/x", i, v) for i, v in enumerate(up)] + [("b/y", 9, None), ("c/y", 0, None), ("d/y", 0, -7.25)]
+    rows = spark.createDataFrame(values[::-1], "path string, i int, v double").repartition(7)
+    low = math.floor(add(down) + 0.5)
+    got = {r["folder"]: (r["n"], r["measure"]) for r in hierarchy.rollup_rounded(rows, "path", "v", ["i"], F.count("*").alias("n")).collect()}
+    assert got == {"": (11, round(add(down + up) - 7.25)), "a": (4, low), "b": (5, low + 1), "c": (1, None), "d": (1, -7)}
+    exact = {r["folder"]: r["measure"] for r in hierarchy.rollup_rounded(rows, "path", "v", ["i"], most=2).collect()}
+    assert exact == {"": got[""][1], "a": low + 1, "b": low + 1, "c": None, "d": -7}
+
+
+def test_measure_rollup_of_any_plan(spark, sf, tmp_path):
+    """Orders fifty times over: half the sums end in a half; joins that shuffle must not change how it rounds."""
+    shifts = {"orders": {"o_orderkey": 10**7, "o_custkey": 10**6}, "customer": {"c_custkey": 10**6}, "nation": {}, "region": {}}
+    con = duckdb.connect()
+    for name, keys in shifts.items():
+        t = pq.read_table(f"{sf}/{name}.parquet")
+        copies = [t]
+        for i in range(1, 50 if keys else 1):
+            more = t
+            for key, by in keys.items():
+                at = t.column_names.index(key)
+                more = more.set_column(at, key, pc.add(t[key], i * by))
+            copies.append(more)
+        pq.write_table(pa.concat_tables(copies), tmp_path / f"{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(con.sql(registry.ORACLES["measure_rollup"]).fetchall())
+    plan = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plan}
+    try:
+        for k, v in plan.items():
+            spark.conf.set(k, v)
+        got = registry.QUERIES["measure_rollup"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in got) == want
