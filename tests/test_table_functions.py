@@ -31,3 +31,19 @@ def test_chunk_strategies(spark):
     assert spark.sql("SELECT * FROM chunk_lines(TABLE(no_lines) PARTITION BY (k) ORDER BY (n), 'lines', 3)").count() == 0
     with pytest.raises(Exception, match="no chunk strategy"):
         chunks("pages", 3)
+
+
+def test_sources_go_to_the_parser_in_batches(spark):
+    """A few rows a source: a batch of their own for each cost more than parsing."""
+    table_functions.register(spark)
+    d = spark.createDataFrame([(1, "class A:\n    def f(self, b: B):\n        c = A()\n"), (2, None), (3, "def broken(:\n    pass\n"), (4, "x = 1"), (5, "@d\ndef g(): pass")], "id int, t string")
+    d.repartition(1).createOrReplaceTempView("some_sources")
+    items = spark.sql("SELECT id, i.* FROM some_sources, LATERAL parse_items('python', t) i")
+    kinds = spark.sql("SELECT id, b.* FROM some_sources, LATERAL type_bindings('py', t) b")
+    assert sorted(tuple(r) for r in items.collect()) == [(1, 0, "class", "A", 3, 1), (1, 1, "fn", "f", 2, 2), (3, 0, "fn", "broken", 2, 1), (5, 0, "fn", "g", 2, 1)]
+    assert sorted(tuple(r) for r in kinds.collect()) == [(1, "f", "b", "B"), (1, "f", "c", "A"), (1, "f", "self", "A")]
+    for q in (items, kinds):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython " in plan and "UDTF" not in plan
+    assert [r[0] for r in spark.sql("SELECT id FROM some_sources LEFT JOIN LATERAL parse_items('python', t) i ON true WHERE i.n IS NULL ORDER BY id").collect()] == [2, 4]
+    assert spark.sql("SELECT name FROM parse_items('python', 'def f(): pass')").collect()[0][0] == "f"
