@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.paths import folder_prefixes
-from codeatlas.operators.ordered import rank
+from codeatlas.operators.ordered import rank, sum_in_order
+from codeatlas.plans.lineage import saved
 
 
 def rollup(files: DataFrame, path: str, *aggs: Column, root: bool = True) -> DataFrame:
@@ -17,25 +18,32 @@ def rollup(files: DataFrame, path: str, *aggs: Column, root: bool = True) -> Dat
     return files.withColumn("folder", F.explode(folders)).groupBy("folder").agg(*aggs)
 
 
-#: Rows of one folder that one task may hold to add them up in order.
+#: Rows of one folder that one task adds up at once; of larger folders it takes a range.
 ORDERED_ROWS = 1 << 17
 
 
-def rollup_rounded(files: DataFrame, path: str, value: str, order: list[str], *aggs: Column, out: str = "measure", most: int = ORDERED_ROWS) -> DataFrame:
+def rollup_rounded(files: DataFrame, path: str, value: str, order: list[str], *aggs: Column, out: str = "measure", most: int | None = None, held: int = ORDERED_ROWS) -> DataFrame:
     """The rollup with the sum of doubles below each folder, as a whole number (long). Doubles sum to
     other last digits in another order, so a sum near a half could go up or down with the plan. Where
-    the order may tell, the values are added in the order of the columns ``order``, as one scan of a
-    table does; folders of over ``most`` values that are so near take their sum in decimals."""
+    the order may tell, the values are added in the order of the columns ``order`` (the last as
+    ``sum_in_order`` has it), as one scan of a table does. With ``most``, folders of more values that are
+    so near take their sum in decimals."""
     n, total = F.col("_n"), F.col("_total")
-    sums = rollup(files, path, *aggs, F.count(value).alias("_n"), F.sum(value).alias("_total"), F.sum(F.abs(value)).alias("_size"), F.sum(F.col(value).cast("decimal(28,8)")).alias("_exact"))
+    rows = files.withColumn("folder", F.explode(F.concat(F.array(F.lit("")), folder_prefixes(path))))
+    exact = [] if most is None else [F.sum(F.col(value).cast("decimal(28,8)")).alias("_exact")]
+    sums = rows.groupBy("folder").agg(*aggs, F.count(value).alias("_n"), F.sum(value).alias("_total"), F.sum(F.abs(value)).alias("_size"), *exact)
     off = n * F.col("_size") * 2.0**-52  # no two orders differ by more
-    sums = sums.withColumn("_near", F.round(total - off) != F.round(total + off))
-    near = sums.where(F.col("_near") & (n <= most)).select("folder")
-    rows = files.where(F.col(value).isNotNull()).select(F.explode(F.concat(F.array(F.lit("")), folder_prefixes(path))).alias("folder"), F.struct(*order, F.col(value).alias("v")).alias("_row"))
-    added = F.aggregate(F.sort_array(F.collect_list("_row")), F.lit(0.0), lambda sofar, r: sofar + r["v"])
-    ordered = rows.join(near, "folder").groupBy("folder").agg(added.alias("_ordered"))
-    whole = F.when(~F.col("_near"), F.round(total).cast("long")).otherwise(F.coalesce(F.round("_ordered").cast("long"), F.round("_exact").cast("long")))
-    return sums.join(ordered, "folder", "left").withColumn(out, whole).drop("_n", "_total", "_size", "_exact", "_near", "_ordered")
+    sums = saved(sums.withColumn("_near", F.round(total - off) != F.round(total + off)))
+    near = F.col("_near") if most is None else F.col("_near") & (n <= most)
+    small, large = sums.where(near & (n <= held)).select(F.col("folder").alias("_folder")), sums.where(n > held).select(F.col("folder").alias("_folder"), near.alias("_near"))
+    rows = rows.where(F.col(value).isNotNull()).select("folder", *order, F.col(value).alias("v"))
+    same = F.col("folder").eqNullSafe(F.col("_folder"))
+    added = F.aggregate(F.sort_array(F.collect_list(F.struct(*order, "v"))), F.lit(0.0), lambda sofar, r: sofar + r["v"])
+    # without the large ones, of which there are few, no folder fills a task
+    ordered = rows.join(F.broadcast(large), same, "left_anti").join(small, same, "left_semi").groupBy("folder").agg(added.alias("_ordered"))
+    ordered = ordered.union(sum_in_order(rows.join(F.broadcast(large.where("_near")), same, "left_semi"), "folder", order, "v", size=held)).withColumnRenamed("folder", "_folder")
+    whole = F.when(~F.col("_near"), F.round(total).cast("long")).otherwise(F.coalesce(F.round("_ordered").cast("long"), *([F.round("_exact").cast("long")] if exact else [])))
+    return sums.join(ordered, same, "left").withColumn(out, whole).drop("_folder", "_n", "_total", "_size", "_exact", "_near", "_ordered")
 
 
 def sibling_ordinals(nodes: DataFrame, parent: str, name: str, order: str, out: str = "ordinal") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import operator
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -277,3 +278,48 @@ def test_measure_rollup_of_any_plan(spark, sf, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_sums_in_order_of_ranges(spark):
+    """Ranges that answer apart give the last digit of adding one by one: halves, signs, powers of two crossed."""
+    r = np.random.default_rng(7)
+    values = {
+        "prices": np.round(r.uniform(0, 5e5, 700), 2),
+        "signs": r.normal(0, 1, 300),
+        "halves up": np.concatenate([[2.0**53 + 2], r.integers(1, 64, 300) / 2.0]),
+        "halves": np.concatenate([[-(2.0**52) * 1.5], r.integers(-64, 64, 300) / 4.0]),
+        "near halves": np.concatenate([[2.0**53 + 2], np.tile([-0.49999999999999994, 0.5, -1e-300, 5e-324, 1.5], 40)]),
+        "sizes": 10.0 ** r.uniform(-300, 300, 200) * r.choice([-1, 1], 200),
+        None: np.round(r.uniform(0, 9, 100), 1),
+        "one": np.array([0.1]),
+    }
+    rows = spark.createDataFrame([(k, f"f{i // 150}", i % 150, float(v)) for k, vs in values.items() for i, v in enumerate(vs)] + [("one", "f9", 1, None)], "k string, file string, i long, v double")
+    got = {r["k"]: r["total"] for r in ordered.sum_in_order(rows.repartition(5), "k", ["file", "i"], "v", size=16).collect()}
+    assert got == {k: functools.reduce(operator.add, map(float, vs), 0.0) for k, vs in values.items()}
+
+
+def _as_its_sql(spark, at, tables):
+    """measure_rollup's rows over the tables, and those of its SQL, added by one thread."""
+    con = duckdb.connect(config={"threads": 1})
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), at / f"{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+    got = registry.QUERIES["measure_rollup"](spark, str(at)).collect()
+    return sorted((tuple(r) for r in got), key=repr), sorted(con.sql(registry.ORACLES["measure_rollup"]).fetchall(), key=repr)
+
+
+def test_measure_rollup_of_large_folders(spark, tmp_path):
+    """Folders of more orders than a task adds up at once keep the table's order too."""
+    n, seed, low = 140_000, 0, False
+    while not low:  # exactly a half, and less of it where the values are added in order
+        cents = np.random.default_rng(seed).integers(10**5, 5 * 10**7, n)
+        cents[-1] += (50 - int(cents.sum())) % 100
+        low = functools.reduce(operator.add, (cents / 100).tolist(), 0.0) < int(cents.sum()) / 100
+        seed += 1
+    got, want = _as_its_sql(spark, tmp_path, {
+        "orders": {"o_orderkey": range(n), "o_custkey": [0] * n, "o_totalprice": cents / 100},
+        "customer": {"c_custkey": [0], "c_name": ["c"], "c_nationkey": [0]},
+        "nation": {"n_nationkey": [0], "n_name": ["N"], "n_regionkey": [0]},
+        "region": {"r_regionkey": [0], "r_name": ["R"]},
+    })
+    assert got == want == [(f, n, int(cents.sum()) // 100) for f in ("", "R", "R/N", "R/N/c")]
