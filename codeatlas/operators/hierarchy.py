@@ -22,14 +22,15 @@ def rollup(files: DataFrame, path: str, *aggs: Column, root: bool = True) -> Dat
 ORDERED_ROWS = 1 << 17
 
 
-def rollup_rounded(files: DataFrame, path: str, value: str, order: list[str], *aggs: Column, out: str = "measure", most: int | None = None, held: int = ORDERED_ROWS) -> DataFrame:
+def rollup_rounded(files: DataFrame, path: str | Column, value: str, order: list[str], *aggs: Column, out: str = "measure", most: int | None = None, held: int = ORDERED_ROWS) -> DataFrame:
     """The rollup with the sum of doubles below each folder, as a whole number (long). Doubles sum to
     other last digits in another order, so a sum near a half could go up or down with the plan. Where
     the order may tell, the values are added in the order of the columns ``order`` (the last as
-    ``sum_in_order`` has it), as one scan of a table does. With ``most``, folders of more values that are
-    so near take their sum in decimals."""
+    ``sum_in_order`` has it), as one scan of a table does. ``path`` may be an array of folders, the root
+    among them. With ``most``, folders of more values that are so near take their sum in decimals."""
     n, total = F.col("_n"), F.col("_total")
-    rows = files.withColumn("folder", F.explode(F.concat(F.array(F.lit("")), folder_prefixes(path))))
+    folders = path if isinstance(path, Column) else F.concat(F.array(F.lit("")), folder_prefixes(path))
+    rows = files.withColumn("folder", F.explode(folders))
     exact = [] if most is None else [F.sum(F.col(value).cast("decimal(28,8)")).alias("_exact")]
     sums = rows.groupBy("folder").agg(*aggs, F.count(value).alias("_n"), F.sum(value).alias("_total"), F.sum(F.abs(value)).alias("_size"), *exact)
     off = n * F.col("_size") * 2.0**-52  # no two orders differ by more

@@ -323,3 +323,15 @@ def test_measure_rollup_of_large_folders(spark, tmp_path):
         "region": {"r_regionkey": [0], "r_name": ["R"]},
     })
     assert got == want == [(f, n, int(cents.sum()) // 100) for f in ("", "R", "R/N", "R/N/c")]
+
+
+def test_measure_rollup_of_odd_names(spark, tmp_path):
+    """Every order counts in each of its folders: those without a key, and where names are null or hold a slash."""
+    got, want = _as_its_sql(spark, tmp_path, {
+        "orders": {"o_orderkey": [1, None, 2, 3, 4, None], "o_custkey": [0, 0, 1, 2, 3, 4], "o_totalprice": [10.25, 20.5, None, 7.0, 3.5, 0.5]},
+        "customer": {"c_custkey": [0, 1, 2, 3, 4], "c_name": ["a/b", "none", None, "d", ""], "c_nationkey": [0, 0, 0, 1, 0]},
+        "nation": {"n_nationkey": [0, 1], "n_name": ["M/O", None], "n_regionkey": [0, 0]},
+        "region": {"r_regionkey": [0], "r_name": ["S"]},
+    })
+    assert got == want
+    assert ("S/M/O/a/b", 2, 31) in got and (None, 3, 14) in got
