@@ -18,7 +18,7 @@ def rollup(files: DataFrame, path: str, *aggs: Column, root: bool = True) -> Dat
     return files.withColumn("folder", F.explode(folders)).groupBy("folder").agg(*aggs)
 
 
-#: Rows of one folder that one task adds up at once; of larger folders it takes a range.
+#: Rows of one folder that one task adds up at once; larger folders are added up range by range.
 ORDERED_ROWS = 1 << 17
 
 
@@ -42,7 +42,7 @@ def rollup_rounded(files: DataFrame, path: str | Column, value: str, order: list
     added = F.aggregate(F.sort_array(F.collect_list(F.struct(*order, "v"))), F.lit(0.0), lambda sofar, r: sofar + r["v"])
     # without the large ones, of which there are few, no folder fills a task
     ordered = rows.join(F.broadcast(large), same, "left_anti").join(small, same, "left_semi").groupBy("folder").agg(added.alias("_ordered"))
-    ordered = ordered.union(sum_in_order(rows.join(F.broadcast(large.where("_near")), same, "left_semi"), "folder", order, "v", size=held)).withColumnRenamed("folder", "_folder")
+    ordered = ordered.union(sum_in_order(rows.join(F.broadcast(large.where("_near")), same, "left_semi"), "folder", order, "v")).withColumnRenamed("folder", "_folder")
     whole = F.when(~F.col("_near"), F.round(total).cast("long")).otherwise(F.coalesce(F.round("_ordered").cast("long"), *([F.round("_exact").cast("long")] if exact else [])))
     return sums.join(ordered, same, "left").withColumn(out, whole).drop("_folder", "_n", "_total", "_size", "_exact", "_near", "_ordered")
 

@@ -62,7 +62,7 @@ def _steps(v: np.ndarray, start: float, off: float) -> tuple[np.ndarray, np.ndar
     return unit, even, odd
 
 
-def sum_in_order(rows: DataFrame, key: str, order: list[str], value: str, out: str = "total", size: int = 1 << 16) -> DataFrame:
+def sum_in_order(rows: DataFrame, key: str, order: list[str], value: str, out: str = "total", size: int = 1 << 14) -> DataFrame:
     """Doubles of each key added one by one in order, to the last digit: (key, out). The last of ``order``
     is a whole number that few rows of a key share, as a row's place in its file. Each ``size`` of them are
     a range; ranges answer beside each other what they add to the sum about where they start, and a
